@@ -10,7 +10,6 @@ Null texts count as empty. Empty and blank texts have no words and fail the base
 from __future__ import annotations
 
 import time
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,54 +41,62 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def repeat_columns(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out`: words in 8-word windows that the text holds twice or more.
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named; the optimizer doesn't unfold it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Hashes of 8 words come from three doublings: pairs, pairs of pairs, pairs of those. Only texts in which a hash
-    repeats go on to sort (hash, place), keep places whose neighbour has the same hash and sum the covered words.
-    """
 
-    def doubled(a: Column, step: int) -> Column:
-        return F.zip_with(
-            F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))),
-            F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0))),
-            lambda x, y: F.xxhash64(x, y),
-        )
-
-    step1 = df.withColumn("_a", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
-    hashes = reduce(lambda d, s: d.withColumn("_a", doubled(F.col("_a"), s)), (1, 2, 4), step1)
-    pairs = F.array_sort(F.transform("_a", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.filter(
-        F.transform(
-            F.col("_p"),
-            lambda p, i: F.when(
-                (F.get(F.col("_p"), i - 1)["h"] == p["h"]) | (F.get(F.col("_p"), i + 1)["h"] == p["h"]), p["i"]
-            ),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    covered = F.aggregate(
-        F.array_sort(F.col("_t")),
-        F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-        lambda s, x: F.struct((s["n"] + F.least(x - s["last"], F.lit(WINDOW))).alias("n"), x.alias("last")),
-        lambda s: s["n"],
+def _doubled(a: Column, step: int) -> Column:
+    """Hashes of runs twice as long, from hashes of runs of `step` words."""
+    return _let(
+        F.greatest(F.size(a) - step, F.lit(0)),
+        lambda n: F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y)),
     )
-    repeats = F.size(F.array_distinct("_a")) < F.size("_a")
-    return (
-        hashes.withColumn("_p", F.when(repeats, pairs))
-        .withColumn("_t", F.when(F.col("_p").isNotNull(), twice))
-        .withColumn(out, F.coalesce(covered, F.lit(0)).cast("long"))
-        .drop("_a", "_p", "_t")
+
+
+def _covered(hashes: Column) -> Column:
+    """Words in windows whose hash occurs twice or more: sort (hash, place), keep equal neighbours, join their spans."""
+
+    def places(p: Column) -> Column:
+        alike = lambda x, i: (F.get(p, i - 1)["h"] == x["h"]) | (F.get(p, i + 1)["h"] == x["h"])
+        return F.array_sort(F.transform(F.filter(p, lambda x, i: F.coalesce(alike(x, i), F.lit(False))), lambda x: x["i"]))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+    return _let(
+        F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        lambda p: F.aggregate(
+            places(p),
+            start,
+            lambda s, i: F.struct((s["n"] + F.least(i - s["last"], F.lit(WINDOW))).alias("n"), i.alias("last")),
+            lambda s: s["n"],
+        ),
     )
 
 
+def n_repeat_words(text: Column) -> Column:
+    """Words in 8-word windows that the text holds twice or more.
+
+    Hashes of 8 words come from three doublings: pairs, pairs of pairs, pairs of those. Only texts in which a hash
+    repeats go on to find the places.
+    """
+    words = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    count = lambda a: F.when(F.size(F.array_distinct(a)) < F.size(a), _covered(a)).otherwise(F.lit(0))
+    eights = lambda a: _let(_doubled(a, 1), lambda b: _let(_doubled(b, 2), lambda c: _let(_doubled(c, 4), count)))
+    return _let(words, eights).cast("long")
+
+
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that rules read: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     t = F.col(text)
-    counted = df.withColumns(
-        {"n_words": n_words(t), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t)}
+    return df.withColumns(
+        {
+            "n_words": n_words(t),
+            "word_chars": word_chars(t),
+            "n_symbols": n_symbols(t),
+            "n_dup_lines": n_dup_lines(t),
+            "n_repeat_words": n_repeat_words(t),
+        }
     )
-    return repeat_columns(counted, text, "n_repeat_words")
 
 
 def default_rules(text: str = "text") -> dict[str, Column]:
@@ -104,10 +111,10 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def base_rule(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out`: fewer than 20 words, or over 30 % of them in repeated 8-word windows."""
-    counted = repeat_columns(df.withColumn("_n", n_words(F.col(text))), text, "_r")
-    return counted.withColumn(out, (F.col("_n") < 20) | (100 * F.col("_r") > 30 * F.col("_n"))).drop("_n", "_r")
+def base_rule(text: Column) -> Column:
+    """Fewer than 20 words, or over 30 % of them in repeated 8-word windows."""
+    n = n_words(text)
+    return F.when(n < 20, F.lit(True)).otherwise(100 * n_repeat_words(text) > 30 * n)
 
 
 def plan_cascade(df: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
@@ -140,7 +147,5 @@ def apply_rules(df: DataFrame, text: str = "text", rules: dict[str, Column] | No
     """
     rules = default_rules(text) if rules is None else rules
     order = plan_cascade(df.select(text), rules) if order is None else order
-    first = df.withColumn("_by", cascade(rules, order)).withColumn("_rest", F.when(F.col("_by").isNull(), F.col(text)))
-    based = base_rule(first, "_rest", "_base")
-    by = F.coalesce(F.col("_by"), F.when(F.col("_base"), F.lit("base")))
-    return based.withColumn("rejected_by", by).drop("_by", "_rest", "_base")
+    by = F.coalesce(cascade(rules, order), F.when(base_rule(F.col(text)), F.lit("base")))
+    return df.withColumn("rejected_by", by)
