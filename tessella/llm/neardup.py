@@ -34,6 +34,8 @@ DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 5
 #: Documents of a tile. Groups of at most SMALL are compared by shifting rows, larger ones by matrix.
 TILE, SMALL = 2048, 48
+#: Documents with near candidates, of three numbers each, that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 _SEEDS = np.random.default_rng(20240607)
 _MULTIPLIERS = _SEEDS.integers(1, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -218,8 +220,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     members = members.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
     clusters = materialize(components(members.mapInArrow(_near, "a long, b long")), "dup-clusters")
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(clusters, "component")
+    sized = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n")
+    # up to a bound the clustered ids go to the texts; beyond it both are shuffled
+    sized = F.broadcast(sized) if clusters.count() <= BROADCAST_ROWS else sized.hint("merge")
     tiles = _tiled(
-        docs.join(sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n"), "doc_id").withColumnRenamed("doc_id", "doc"),
+        docs.join(sized, "doc_id").withColumnRenamed("doc_id", "doc"),
         "cluster",
         "n",
     ).select("cluster", "ta", "tb", "doc", "text")
