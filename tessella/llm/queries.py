@@ -110,15 +110,15 @@ _B32 = " || ".join(
 )
 #: Words, counts and repeated windows of a document, as DuckDB computes them; shared by op7 and the pipeline.
 QUALITY_SQL = r"""
-d AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-             list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM {docs}),
+d AS (SELECT *, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+             [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM {docs}),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM dup) GROUP BY doc_id),
 f AS (SELECT d.*, len(w)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
              coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(coalesce(text, ''), '\P{{L}}+', '', 'g')) AS letters,
-             len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(x) > 0)) AS full_lines
+             len([x FOR x IN string_split(coalesce(text, ''), chr(10)) IF length(x) > 0]) AS full_lines
       FROM d LEFT JOIN cov USING (doc_id)),
 q AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
              10 * n_symbols > greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) OR word_chars < 2 * greatest(n_words, 1)
