@@ -15,23 +15,27 @@ from tessella.llm.common import scratch_path
 from tessella.llm.queries import CATEGORIES, labelled, tokenizer_path
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as `doc` beside the columns that operators read, so that no other column can clash with theirs."""
+    return docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source")
+
+
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(docs).filter(F.col("rejected_by").isNull()).select(*docs.columns)
+    return quality.apply_rules(_packed(docs)).filter(F.col("rejected_by").isNull()).select("doc.*")
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_chain(docs, labelled(spark, sf_dir), CATEGORIES)
-    return chain.predict(docs).filter(~F.col("is_toxic")).select(*docs.columns)
+    return chain.predict(_packed(docs)).filter(~F.col("is_toxic")).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near_duplicates(docs).select(*docs.columns)
+    return neardup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs)
-    ordered = mixed.repartitionByRange("global_slot", "place").sortWithinPartitions("global_slot", "place")
-    return ordered.select(*docs.columns)
+    mixed = mixing.mix_sources(_packed(docs))
+    return mixed.repartitionByRange("global_slot", "place").sortWithinPartitions("global_slot", "place").select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,17 +67,19 @@ def dense_rank_in(df: DataFrame, group: str, key: Column, rank: str) -> DataFram
 
     One group may hold most rows, so a group is cut into hash-ordered buckets: counts of (group, bucket) give each
     bucket its offset, and only a bucket's rows meet in one task. Null groups form one group; equal keys get
-    neighbouring numbers in any order.
+    neighbouring numbers in any order. A column named `rank` is replaced.
     """
-    hashed = df.withColumn("_h", F.xxhash64(key)).withColumn("_b", F.shiftrightunsigned("_h", 64 - BUCKET_BITS))
-    keyed = hashed.withColumn("_g", F.to_json(F.struct(F.col(group).alias("g"))))
-    sizes = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    names = {n: f"__rank_{n}" for n in ("h", "b", "g", "r", "o", "n")}
+    h, b, g, r, o, n = (names[x] for x in ("h", "b", "g", "r", "o", "n"))
+    hashed = df.withColumn(h, F.xxhash64(key)).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
+    keyed = hashed.withColumn(g, F.to_json(F.struct(F.col(group).alias("g"))))
+    sizes = keyed.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(g, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(o))
     # within a bucket the leading bits are equal, so the signed order of the hash is also its unsigned order
-    own = Window.partitionBy("_g", "_b").orderBy("_h")
-    ranked = keyed.withColumn("_r", F.row_number().over(own) - 1).join(offsets, ["_g", "_b"])
-    return ranked.withColumn(rank, F.col("_r") + F.col("_o")).drop("_h", "_b", "_g", "_r", "_o")
+    own = Window.partitionBy(g, b).orderBy(h)
+    ranked = keyed.withColumn(r, F.row_number().over(own) - 1).join(offsets, [g, b])
+    return ranked.withColumn(rank, F.col(r) + F.col(o)).drop(h, b, g, r, o)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

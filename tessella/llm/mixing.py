@@ -6,7 +6,8 @@ earliest deadline goes next. Within a period of Q slots each source gets exactly
 more off its share, and the schedule repeats, so one period is scheduled (at most `PERIOD` slots or so, whatever the
 data) and every block looks up its slot. No row is dropped: a source that runs out leaves its slots to the others, in order.
 
-Null sources are a source of their own. Empty tables give an empty result. Extra columns pass through.
+Null sources are a source of their own. Empty tables give an empty result. Extra columns pass through;
+columns named as the operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -89,22 +90,30 @@ def mix_sources(
     Rows in the order of (global_slot, place) are the mix; global_slot = period number * q + slot, and grows without
     ties between blocks. `weights`: (source, weight) for every source; default `target_weights`.
     """
+    made = ["block", "period", "slot", "release", "deadline", "place", "global_slot"]
+    df = df.drop(*made)
     sizes = materialize(df.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    given = target_weights(sizes) if weights is None else sizes.join(weights, sizes.source.eqNullSafe(weights.source), "left").select(sizes.source, sizes.n, F.coalesce(weights.weight, F.lit(0.0)).alias("weight"))
+    if weights is None:
+        given = target_weights(sizes)
+    else:
+        same = sizes["source"].eqNullSafe(weights["source"])
+        given = sizes.join(weights, same, "left").select(sizes["source"], "n", F.coalesce(weights["weight"], F.lit(0.0)).alias("weight"))
     whole = materialize(whole_weights(given, period), "mix-weights")
     table = materialize(schedule(whole).select("source", "a", "q", "nth", "slot", "release", "deadline"), "mix-period")
-    per_source = whole.select(F.col("source").alias("_src"), F.col("a").alias("_a"), F.col("q").alias("_q"))
-    slots = table.select(F.col("source").alias("_src2"), F.col("nth").alias("_nth"), "slot", "release", "deadline")
-    ranked = dense_rank_in(df, source, F.col(key), "_row")
+    per_source = whole.select(F.col("source").alias("__mix_s"), F.col("a").alias("__mix_a"), F.col("q").alias("__mix_q"))
+    slots = table.select(F.col("source").alias("__mix_t"), F.col("nth").alias("__mix_n"), "slot", "release", "deadline")
+    ranked = dense_rank_in(df, source, F.col(key), "__mix_row")
     # both tables have at most period + MOST_SOURCES rows
-    blocked = ranked.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("_src"))).withColumn(
-        "block", F.floor(F.col("_row") / block_rows)
-    )
-    placed = blocked.withColumns(
-        {"place": (F.col("_row") % block_rows).cast("int"), "period": F.floor(F.col("block") / F.col("_a")), "_n": (F.col("block") % F.col("_a")).cast("int")}
-    ).join(F.broadcast(slots), F.col(source).eqNullSafe(F.col("_src2")) & (F.col("_n") == F.col("_nth")))
-    return placed.withColumn("global_slot", F.col("period") * F.col("_q") + F.col("slot")).drop(
-        "_row", "_src", "_a", "_q", "_n", "_src2", "_nth"
+    of_source = ranked.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("__mix_s")))
+    blocked = of_source.withColumn("block", F.floor(F.col("__mix_row") / block_rows)).withColumns(
+        {
+            "place": (F.col("__mix_row") % block_rows).cast("int"),
+            "period": F.floor(F.col("block") / F.col("__mix_a")),
+            "__mix_i": (F.col("block") % F.col("__mix_a")).cast("int"),
+        }
     )
+    placed = blocked.join(F.broadcast(slots), F.col(source).eqNullSafe(F.col("__mix_t")) & (F.col("__mix_i") == F.col("__mix_n")))
+    placed = placed.withColumn("global_slot", F.col("period") * F.col("__mix_q") + F.col("slot"))
+    return placed.drop("__mix_row", "__mix_s", "__mix_a", "__mix_q", "__mix_t", "__mix_n", "__mix_i")

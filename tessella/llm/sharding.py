@@ -3,6 +3,7 @@
 Each key draws one number for each shard from a hash of (key, shard); the shard with the highest score
 weight / -ln(draw) wins. A new shard can only win keys from others, so one more shard moves rows only into itself.
 Null keys are one key. Repeated rows of a key go to the same shard; ties go to the lower shard.
+Columns named shard, slot or grown_shard are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ def rendezvous(df: DataFrame, key: str, weights: list[float], grown_weight: floa
     best = F.greatest(*(F.struct(_score(text, i, w).alias("s"), F.lit(-i).alias("i")) for i, w in enumerate(weights)))
     if len(weights) == 1:
         best = F.struct(_score(text, 0, weights[0]).alias("s"), F.lit(0).alias("i"))
-    out = df.withColumn("_best", best).withColumn("shard", -F.col("_best.i"))
+    out = df.withColumn("__best", best).withColumn("shard", -F.col("__best.i"))
     if grown_weight is not None:
         new = _score(text, len(weights), grown_weight)
-        out = out.withColumn("grown_shard", F.when(new > F.col("_best.s"), F.lit(len(weights))).otherwise(F.col("shard")))
-    return out.drop("_best")
+        out = out.withColumn("grown_shard", F.when(new > F.col("__best.s"), F.lit(len(weights))).otherwise(F.col("shard")))
+    return out.drop("__best")
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], grown_weight: float | None = None) -> DataFrame:
