@@ -174,8 +174,8 @@ def article(page: str) -> Node:
         if node.tag in ("article", "main"):
             return node
         node = node.up
-    # a run of paragraphs may be split over sections: go up while the parent is as dense as the threshold asks
-    while chosen is not body and chosen.up is not None and chosen.up.density >= threshold and chosen.tag not in ("article", "main"):
+    # a run of paragraphs may be split over sections: go up, below the body, while the parent reaches the threshold
+    while chosen is not body and chosen.up is not body and chosen.up is not None and chosen.up.density >= threshold:
         chosen = chosen.up
     return chosen
 

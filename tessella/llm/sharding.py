@@ -23,9 +23,8 @@ def _score(key: Column, shard: int, weight: float) -> Column:
 def rendezvous(df: DataFrame, key: str, weights: list[float], grown_weight: float | None = None) -> DataFrame:
     """Add shard (0 to len(weights) - 1) and, with `grown_weight`, grown_shard: the shard when one of that weight is added."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    best = F.greatest(*(F.struct(_score(text, i, w).alias("s"), F.lit(-i).alias("i")) for i, w in enumerate(weights)))
-    if len(weights) == 1:
-        best = F.struct(_score(text, 0, weights[0]).alias("s"), F.lit(0).alias("i"))
+    scores = [F.struct(_score(text, i, w).alias("s"), F.lit(-i).alias("i")) for i, w in enumerate(weights)]
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     out = df.withColumn("__best", best).withColumn("shard", -F.col("__best.i"))
     if grown_weight is not None:
         new = _score(text, len(weights), grown_weight)
