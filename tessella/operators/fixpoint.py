@@ -108,7 +108,8 @@ def forced_values(lits: DataFrame, facts: DataFrame, ask: DataFrame, problem: st
     sides = ask.select(problem, branch, "var", F.explode(F.array(F.lit(True), F.lit(False))).alias("_try"))
     case = F.to_json(F.struct(F.col(branch).alias("b"), F.col("var").alias("v"), F.col("_try").alias("t")))
     sides = checkpointed(sides.withColumn("_case", case))
-    base = sides.join(facts, [problem, branch], "left").select(problem, F.col("_case").alias("branch_id"), facts["var"], facts["val"]).filter("var is not null")
+    given = facts.select(problem, branch, F.col("var").alias("_var"), F.col("val").alias("_val"))
+    base = sides.join(given, [problem, branch]).select(problem, F.col("_case").alias("branch_id"), F.col("_var").alias("var"), F.col("_val").alias("val"))
     tried = sides.select(problem, F.col("_case").alias("branch_id"), "var", F.col("_try").alias("val"))
     _, bad = horn_closure(lits, base.unionByName(tried), problem, "branch_id")
     judged = sides.join(bad.select(problem, F.col("branch_id").alias("_case"), F.lit(True).alias("_bad")), [problem, "_case"], "left")
