@@ -142,3 +142,32 @@ def best_answer(worlds: DataFrame, asks: DataFrame, narrow: bool, problem: str =
     order = F.col("n_states") if narrow else -F.col("n_states")
     w = Window.partitionBy(problem, "idx").orderBy(order, "value")
     return counts.filter("_ok").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(problem, "idx", "value", "n_states")
+
+
+def explanations(worlds: DataFrame, rows: DataFrame, variables: DataFrame, most: int, problem: str = "problem_id") -> DataFrame:
+    """(problem, row_id, k, mask): smallest parts of an observed row that already fix its outcome.
+
+    rows: (problem, row_id, row_state, row_y). A part suffices when every world that agrees with the row on it has the
+    row's outcome. Levels run in order; a row leaves at its first level with a hit.
+    """
+    level = rows.withColumns({"mask": F.lit(0).cast("long"), "top": F.lit(-1)})
+    out = None
+    for k in range(most + 1):
+        level = checkpointed(level)
+        same = worlds.join(level, problem).filter(F.col("state").bitwiseAND(F.col("mask")) == F.col("row_state").bitwiseAND(F.col("mask")))
+        judged = same.groupBy(problem, "row_id", "mask").agg(F.bool_and(F.col("y") == F.col("row_y")).alias("_ok"))
+        found = checkpointed(judged.filter("_ok").select(problem, "row_id", F.lit(k).alias("k"), "mask"))
+        out = found if out is None else out.unionByName(found)
+        rest = level.join(found.select(problem, "row_id").distinct(), [problem, "row_id"], "left_anti")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx"))
+        grown = rest.join(variables.select(problem, "idx"), problem).filter("idx > top")
+        level = grown.withColumns({"mask": F.col("mask").bitwiseOR(bit), "top": F.col("idx")}).drop("idx")
+    return out
+
+
+def identified(worlds: DataFrame, contexts: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, context, verdict): none, not unique, other, or ok for the outcome that a context leaves. contexts also hold `expected`."""
+    left = contexts.join(worlds, problem, "left").withColumn("_in", F.col("state").bitwiseAND(F.col("mask")) == F.col("value"))
+    seen = left.groupBy(problem, "context", "expected").agg(F.count_distinct(F.when(F.col("_in"), F.col("y"))).alias("_n"), F.min(F.when(F.col("_in"), F.col("y"))).alias("_y"))
+    verdict = F.when(F.col("_n") == 0, "none").when(F.col("_n") > 1, "not unique").when(F.col("_y") != F.col("expected"), "other").otherwise("ok")
+    return seen.select(problem, "context", verdict.alias("verdict"))
