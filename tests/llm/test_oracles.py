@@ -12,11 +12,3 @@ def test_query_equals_its_sql(spark, name):
     assert_same(spark, connect(SF), SF, queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_pipeline_runs_whole(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 0 < len(rows) <= docs.count() and len({r.doc_id for r in rows}) == len(rows)
-    assert set(docs.columns) - {"text"} <= set(out.columns)
