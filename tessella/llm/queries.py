@@ -27,7 +27,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    records = warc.read_warc(spark, path)
+    records = warc.read_warc(spark, path, payloads=False)
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1), '') as bigint)")
     revisit = F.col("record_type") == "revisit"
     return records.select(

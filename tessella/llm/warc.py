@@ -175,23 +175,31 @@ def _split_records(records: DataFrame, places: DataFrame, broken: DataFrame) ->
     return owned.join(broken, ["file", "at"])
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: path, at, record_id, record_type, target_uri, refers_to, header_digest, http_bytes, payload, payload_bytes, payload_digest.
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record: path, at, record_id, record_type, target_uri, refers_to, header_digest, http_bytes, payload_bytes, payload_digest, payload.
 
-    payload_bytes and payload_digest are of the record's own payload; a revisit has none, see http_bytes and header_digest.
-    Columns that aren't asked for aren't shuffled.
+    payload_bytes and payload_digest are of the record's own payload; a revisit has none, see http_bytes and
+    header_digest. The archives are scanned once and what is read is kept in the shared folder: splits may be cut
+    differently in a later scan, when executors have come or gone. Without `payloads` only header fields and digests
+    are kept, and no payload column is returned; archives in which a payload holds the magic are then read once more.
     """
-    scan = _parsed(_pieces(spark, path)).withColumn("file", F.xxhash64("path"))
-    candidates = materialize(scan.select("file", "split", "seq", "bytes", "span"), "warc-candidates")
-    records, places = _chain(candidates)
-    # a record of one piece needs no other rows: what it holds is found in the scan itself
-    one = _fields(scan.filter(F.col("bytes") == F.col("span"))).join(records, ["file", "split", "seq"]).select(*_OUT)
-    sized = records.join(candidates, ["file", "split", "seq"])
-    broken = materialize(sized.filter("bytes <> span").select("file", "at", "span"), "warc-broken")
-    if broken.isEmpty():
+    parsed = _fields(_parsed(_pieces(spark, path))).withColumn("file", F.xxhash64("path"))
+    table = materialize(parsed.select("file", "split", "seq", "bytes", "span", "path", *_NAMES, *["piece"] * payloads), "warc-pieces")
+    records, places = _chain(table.select("file", "split", "seq", "bytes", "span"))
+    spans = records.join(table.select("file", "split", "seq", "bytes", "span"), ["file", "split", "seq"])
+    broken = materialize(spans.filter("bytes <> span").select("file", "at", "span"), "warc-broken")
+    some_broken = not broken.isEmpty()
+    if some_broken and not payloads:
+        return read_warc(spark, path).drop("payload")
+    # a record of one piece is whole in its row
+    one = table.filter(F.col("bytes") == F.col("span")).join(records, ["file", "split", "seq"])
+    if not payloads:
+        return one.select("path", "at", *_NAMES)
+    one = _fields(_parsed(one.select("path", "at", "piece"))).select(*_OUT)
+    if not some_broken:
         return one
-    owned = materialize(_split_records(records, places, broken), "warc-pieces")
-    parts = scan.select("file", "split", "seq", "path", "piece").join(owned, ["file", "split", "seq"])
+    owned = materialize(_split_records(records, places, broken), "warc-owned")
+    parts = table.select("file", "split", "seq", "path", "piece").join(owned, ["file", "split", "seq"])
     built = parts.groupBy("file", "at").agg(F.min("path").alias("path"), F.max("span").alias("span"), F.array_sort(F.collect_list(F.struct("piece_at", "piece"))).alias("ps"))
     magic = F.lit(MAGIC).cast("binary")
     glued = F.aggregate(F.slice("ps", 2, F.size("ps")), F.get("ps", F.lit(0))["piece"], lambda a, x: F.concat(a, magic, x["piece"]))
@@ -200,7 +208,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return one.unionByName(_fields(many).select(*_OUT))
 
 
-_OUT = ["path", "at", "record_id", "record_type", "target_uri", "refers_to", "header_digest", "http_bytes", "payload", "payload_bytes", "payload_digest"]
+_NAMES = ["record_id", "record_type", "target_uri", "refers_to", "header_digest", "http_bytes", "payload_bytes", "payload_digest"]
+_OUT = ["path", "at", *_NAMES, "payload"]
 
 
 def _fields(parsed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def archived(spark, rows, min_bytes=0, **options):
     pages = spark.createDataFrame([(*r, "d", 1) for r in rows], KINDS).repartition(3)
     path = scratch_path(spark, "test-warc")
     warc.write_warc(pages, path, min_bytes=min_bytes)
-    return warc.read_warc(spark, path).collect()
+    return warc.read_warc(spark, path, **options).collect()
 
 
 def expected(rows, min_bytes=0):
@@ -54,6 +54,7 @@ def test_warc_round_trip_rejects_magic_in_payloads(spark, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got(records) == expected(PAGES)
+    assert got(archived(spark, PAGES, payloads=False)) == expected(PAGES)
     texts = {(r[0], r[2] or "") for r in PAGES}
     for r in records:
         if r.record_type == "response":
