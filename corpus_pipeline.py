@@ -39,8 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source", "n_chars")), path)
+    coded = bpe.round_trip(docs, tokenizer_path(), keep=("doc_id", "lang", "source", "n_chars"))
     return coded.withColumns(
         {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
     ).drop("decoded")

@@ -28,9 +28,9 @@ from .common import text_slices
 
 #: Fragments in each of a worker's two memories: when the young one is full it becomes the old one, from which
 #: what is still used moves back.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Bytes of texts that are handled together.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: The pre-splitting pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters below this are letters in every version of Unicode; pieces with others are left to the tokenizer's own library.
@@ -223,3 +223,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     ordered = df.select(*[c for c in df.columns if c != ids], ids)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     return ordered.mapInArrow(_decode(path), f"{schema}, decoded string")
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`encode`, then `decode`, in the same workers: the columns `keep`, ids and decoded."""
+    kept = df.select(F.col(text).alias("_text"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    there, back = _encode(path), _decode(path)
+    return kept.mapInArrow(lambda batches: back(there(batches)), f"{schema}, ids binary, decoded string")
