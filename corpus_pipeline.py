@@ -15,6 +15,10 @@ from tessella.llm.common import scratch_path
 from tessella.llm.queries import CATEGORIES, labelled, tokenizer_path
 
 
+#: Documents of this similarity or more are near duplicates; op6 has a contract of its own.
+NEAR_PERCENT = 80
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """Whole rows as `doc` beside the columns that operators read, so that no other column can clash with theirs."""
     return docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source")
@@ -30,7 +34,7 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
 A document's set is its distinct word shingles. Each of `SLOTS` hash functions gives the low `b` = 8 bits of the set's
-minimum, so that similar sets differ in few slots. The signature is cut into `CHUNKS` chunks; when two signatures
-differ in at most 2 * CHUNKS - 1 slots, some chunk differs in at most one (pigeonhole). Each chunk's allowed errors
-are enumerated as one key per left-out slot, so every pair within that distance shares a key: no such pair is lost.
-Pairs within the distance are confirmed on full sets.
+minimum, so that similar sets differ in few slots. The signature is cut into chunks; when two signatures differ in at
+most 2 * chunks - 1 slots, some chunk differs in at most one (pigeonhole). Each chunk's allowed errors are enumerated
+as one key per left-out slot, so every pair within that distance shares a key: no such pair is lost. The number of
+chunks follows from the similarity asked for (`Chunks`). Pairs within the distance are confirmed on full sets.
 
 Exact copies collapse first: only one document of each distinct set goes on. Key groups and candidate clusters of more
 than `TILE` documents are cut into pairs of tiles, so a task holds a bounded number of documents; what a task returns
@@ -17,6 +17,7 @@ one document; null doc_ids are linked with nothing and kept.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,8 @@ from .common import materialize, mix, text_slices, word_hashes
 from .groups import Forest, components, whole_groups
 
 SLOTS = 64
-CHUNKS = 11
-#: Slots in which two signatures may differ: a pair of similarity 0.85 exceeds it with a chance below 1 in 10,000.
-DISTANCE = 2 * CHUNKS - 1
+#: Chance at most that a pair of exactly the similarity asked for differs in more slots than are allowed.
+MISS = 1e-4
 SHINGLE = 5
 #: Documents of a tile. Groups of at most SMALL are compared by shifting rows, larger ones by matrix.
 TILE, SMALL = 2048, 48
@@ -41,8 +41,25 @@ _SEEDS = np.random.default_rng(20240607)
 _MULTIPLIERS = _SEEDS.integers(1, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _SEEDS.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _WEIGHTS = _SEEDS.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
-_CHUNK_OF = np.arange(SLOTS) * CHUNKS // SLOTS
-_CHUNK_STARTS = np.searchsorted(_CHUNK_OF, np.arange(CHUNKS))
+
+
+class Chunks:
+    """The fewest chunks of a signature for links of `percent`, and the slots in which two signatures may differ."""
+
+    def __init__(self, percent: int):
+        fits = (n for n in range(1, SLOTS // 2 + 1) if miss_chance(percent, 2 * n - 1) < MISS)
+        self.number = next(fits, 0)
+        if not self.number:
+            raise ValueError(f"{SLOTS} slots can't find pairs of {percent} percent")
+        self.distance = 2 * self.number - 1
+        self.of_slot = np.arange(SLOTS) * self.number // SLOTS
+        self.starts = np.searchsorted(self.of_slot, np.arange(self.number))
+
+
+def miss_chance(percent: int, distance: int) -> float:
+    """Chance that signatures of two sets of that similarity differ in more than `distance` slots."""
+    p = (1 - percent / 100) * 255 / 256
+    return sum(math.comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k) for k in range(distance + 1, SLOTS + 1))
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -101,58 +118,66 @@ def _as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(chunks: Chunks):
     """SLOTS keys of a signature: its chunk with one slot left out; the low bits of a key name the slot."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            weighted = (_as_matrix(part.column(1)).astype(np.uint64) + np.uint64(1)) * _WEIGHTS
-            sums = np.add.reduceat(weighted, _CHUNK_STARTS, axis=1)
-            left = mix(sums[:, _CHUNK_OF] - weighted + np.arange(SLOTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keys = (left & np.uint64(2**64 - SLOTS)) | np.arange(SLOTS, dtype=np.uint64)
-            docs = np.repeat(part.column(0).to_numpy(), SLOTS)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys.ravel().view(np.int64))], ["doc", "key"])
-
-
-def _own_key(unlike: np.ndarray, slot: np.ndarray) -> np.ndarray:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                weighted = (_as_matrix(part.column(1)).astype(np.uint64) + np.uint64(1)) * _WEIGHTS
+                sums = np.add.reduceat(weighted, chunks.starts, axis=1)
+                left = mix(sums[:, chunks.of_slot] - weighted + np.arange(SLOTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                keys = (left & np.uint64(2**64 - SLOTS)) | np.arange(SLOTS, dtype=np.uint64)
+                docs = np.repeat(part.column(0).to_numpy(), SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys.ravel().view(np.int64))], ["doc", "key"])
+
+    return run
+
+
+def _own_key(chunks: Chunks, unlike: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Whether `slot` names the first key that a pair shares, so that one group alone reports the pair."""
-    errors = np.add.reduceat(unlike, _CHUNK_STARTS, axis=1, dtype=np.int64)
+    errors = np.add.reduceat(unlike, chunks.starts, axis=1, dtype=np.int64)
     chunk = np.argmax(errors <= 1, axis=1)
-    inside = unlike & (_CHUNK_OF[None, :] == chunk[:, None])
-    first = np.where(inside.any(axis=1), np.argmax(inside, axis=1), _CHUNK_STARTS[chunk])
+    inside = unlike & (chunks.of_slot[None, :] == chunk[:, None])
+    first = np.where(inside.any(axis=1), np.argmax(inside, axis=1), chunks.starts[chunk])
     return first == slot
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of signatures within DISTANCE in each group of a key and pair of tiles."""
-    for table, starts in whole_groups(batches, ["key", "ta", "tb"]):
-        docs = table["doc"].to_numpy()
-        keys, sigs = table["key"].to_numpy(), _as_matrix(table["sig"])
-        sizes = np.diff(starts)
-        a_found, b_found = [], []
-        place = np.arange(len(docs)) - np.repeat(starts[:-1], sizes)
-        size_of = np.repeat(sizes, sizes)
-        for lag in range(1, min(SMALL, int(sizes.max())) if len(sizes) else 0):
-            at = np.flatnonzero((place + lag < size_of) & (size_of <= SMALL))
-            for cut in range(0, len(at), 1 << 16):
-                i = at[cut : cut + (1 << 16)]
-                unlike = sigs[i] != sigs[i + lag]
-                ok = unlike.sum(axis=1) <= DISTANCE
-                i, unlike = i[ok], unlike[ok]
-                own = _own_key(unlike, keys[i] & (SLOTS - 1))
-                a_found.append(docs[i[own]])
-                b_found.append(docs[i[own] + lag])
-        for start, n in zip(starts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            own, forest = sigs[start : start + n], Forest(n)
-            for i in range(n):
-                near = np.flatnonzero((own[i + 1 :] != own[i]).sum(axis=1) <= DISTANCE) + i + 1
-                for j in near.tolist():
-                    forest.join(i, j)
-            roots, rows = forest.links()
-            a_found.append(docs[start + roots])
-            b_found.append(docs[start + rows])
-        if a_found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_found)), pa.array(np.concatenate(b_found))], ["a", "b"])
+def _near(chunks: Chunks):
+    """Links of signatures within the distance in each group of a key and pair of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["key", "ta", "tb"]):
+            docs = table["doc"].to_numpy()
+            keys, sigs = table["key"].to_numpy(), _as_matrix(table["sig"])
+            sizes = np.diff(starts)
+            a_found, b_found = [], []
+            place = np.arange(len(docs)) - np.repeat(starts[:-1], sizes)
+            size_of = np.repeat(sizes, sizes)
+            for lag in range(1, min(SMALL, int(sizes.max())) if len(sizes) else 0):
+                at = np.flatnonzero((place + lag < size_of) & (size_of <= SMALL))
+                for cut in range(0, len(at), 1 << 16):
+                    i = at[cut : cut + (1 << 16)]
+                    unlike = sigs[i] != sigs[i + lag]
+                    ok = unlike.sum(axis=1) <= chunks.distance
+                    i, unlike = i[ok], unlike[ok]
+                    own = _own_key(chunks, unlike, keys[i] & (SLOTS - 1))
+                    a_found.append(docs[i[own]])
+                    b_found.append(docs[i[own] + lag])
+            for start, n in zip(starts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                own, forest = sigs[start : start + n], Forest(n)
+                for i in range(n):
+                    near = np.flatnonzero((own[i + 1 :] != own[i]).sum(axis=1) <= chunks.distance) + i + 1
+                    for j in near.tolist():
+                        forest.join(i, j)
+                roots, rows = forest.links()
+                a_found.append(docs[start + roots])
+                b_found.append(docs[start + rows])
+            if a_found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_found)), pa.array(np.concatenate(b_found))], ["a", "b"])
+
+    return run
 
 
 def _confirm(size: int, percent: int):
@@ -207,6 +232,7 @@ def _tiled(df: DataFrame, group: str, size: str) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: components of links 100 * shared >= percent * union."""
+    chunks = Chunks(percent)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = materialize(docs.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, fp binary, sig binary"), "dup-base")
     classes = materialize(
@@ -214,11 +240,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         "dup-classes",
     )
     sigs = classes.select("doc", "sig")
-    keys = sigs.mapInArrow(_keys, "doc long, key long")
+    keys = sigs.mapInArrow(_keys(chunks), "doc long, key long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = _tiled(keys.join(shared, "key").join(sigs, "doc"), "key", "n").select("key", "ta", "tb", "doc", "sig")
     members = members.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
-    clusters = materialize(components(members.mapInArrow(_near, "a long, b long")), "dup-clusters")
+    clusters = materialize(components(members.mapInArrow(_near(chunks), "a long, b long")), "dup-clusters")
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(clusters, "component")
     sized = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n")
     # up to a bound the clustered ids go to the texts; beyond it both are shuffled
