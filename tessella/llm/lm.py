@@ -3,9 +3,9 @@
 Counts of words and word pairs over all training texts are quantised to levels q = 1 + floor(log_b count). A pair of
 count level q enters a Bloom filter once for each level 1 to q; probing levels upwards until one is missing gives the
 level back, so a probe never reads a count too low and reads it too high only by a false positive. The filter is made
-of segments by leading key bits: each is built by one task from its own keys, so the filter never meets in a task. The
-filter and the table of exact word counts are broadcast when they are at most FILTER_BYTES and WORD_BYTES; beyond
-that, scoring joins the quantised counts instead (no false positives then) and nothing large leaves the executors.
+of segments by leading key bits: each is built by one task from its own keys, so the filter never meets in a task. Nor
+does it leave the executors, whatever its size: texts are dealt to chunks, each chunk sends its distinct keys to their
+segments, is answered with levels (and exact word counts) in the order of the keys, and scores its texts with them.
 
     p(w | v) = L min(1, c(v, w) / c(v)) + (1 - L) (c(w) + 1) / (N + V + 1),    L = c(v) / (c(v) + BACKOFF)
 
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, text_slices, word_hashes
 
 BASE = 1.5
-BITS_PER_ENTRY = 6
+#: With four probes, a key that was never entered is found with a chance of 0.65 %.
+BITS_PER_ENTRY = 12
 PROBES = 4
 BACKOFF = 10.0
-FILTER_BYTES = 128 << 20
-WORD_BYTES = 96 << 20
+#: Text of a chunk, about; its distinct keys and their counts are held by one task.
+CHUNK_BYTES = 8 << 20
 #: Training tokens for which a segment of the filter is planned.
 SEGMENT_TOKENS = 1 << 20
 #: Keys counted in a worker before they are sent on.
@@ -182,27 +183,82 @@ def _log_p(pair_n, before_n, word_n, total, distinct):
     return np.log10(weight * ratio + (1 - weight) * (word_n + 1) / (total + distinct + 1))
 
 
-def _score(shared, total: int, distinct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, counts = shared.value
-        for batch in batches:
-            for start, texts in text_slices(batch.column(2)):
-                words, starts = tokens(texts)
-                single, which = np.unique(words, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, single), max(len(keys) - 1, 0))
-                exact = np.where(keys[at] == single, counts[at], 0) if len(keys) else np.zeros(len(single), np.int64)
-                base = np.log10((exact + 1) / (total + distinct + 1))[which]
-                word_n = count_of(model.levels(word_keys(single)))[which]
-                pairs = pair_keys(np.append(np.uint64(0), words[:-1]), words)
-                pairs, of_pair = np.unique(pairs, return_inverse=True)
-                pair_n = count_of(model.levels(pairs))[of_pair]
-                before_n = np.append(0.0, word_n[:-1])
-                before_n[starts] = 0.0
-                score = _log_p(pair_n, before_n, word_n, total, distinct)
-                sizes = np.diff(np.append(starts, len(words)))
-                columns = [sizes, np.add.reduceat((exact > 0).astype(np.int64)[which], starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
-                ids = [batch.column(i).slice(start, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _wanted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words, and sorted distinct keys of words and word pairs, of a chunk's texts in any order."""
+    single, pairs = [], []
+    for _, part in text_slices(texts):
+        words, starts = tokens(part)
+        inner = np.ones(len(words), bool)
+        inner[starts] = False
+        at = np.flatnonzero(inner)
+        single.append(np.unique(words))
+        pairs.append(np.unique(pair_keys(words[at - 1], words[at])))
+    words = np.unique(np.concatenate(single))
+    return words, np.unique(np.concatenate([*pairs, word_keys(words)]))
+
+
+def _ask(segments: int):
+    """A chunk's texts to a row for each segment: the words and keys that the chunk wants from it."""
+    bounds = (np.arange(1, segments).astype(np.uint64)) << np.uint64(64 - int(math.log2(segments)))
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        parts = [np.split(x, np.searchsorted(x, bounds)) for x in _wanted(table["text"].combine_chunks())]
+        rows = [(i, w.tobytes(), k.tobytes()) for i, (w, k) in enumerate(zip(*parts, strict=True)) if len(w) or len(k)]
+        columns = [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
+        return pa.table([*columns, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["chunk", "segment", "words", "keys"])
+
+    return run
+
+
+def _answer(segments: int):
+    """A segment's filter and word counts, probed for every chunk: (chunk, segment, counts, levels) in the order asked."""
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        is_filter = held["data"].is_valid()
+        model = LogFrequencyFilter(zip(*(held.filter(is_filter)[c].to_pylist() for c in ("segment", "bits", "data")), strict=True), segments)
+        counted = held.filter(held["key"].is_valid())
+        known, n = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+        order = np.argsort(known)
+        known, n = known[order], n[order]
+        rows = []
+        for words, keys in zip(asked["words"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            words = np.frombuffer(words, np.uint64)
+            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+            exact = np.where(known[at] == words, n[at], 0) if len(known) else np.zeros(len(words), np.int64)
+            rows.append((exact.astype(np.int64).tobytes(), model.levels(np.frombuffer(keys, np.uint64)).astype(np.uint8).tobytes()))
+        answers = [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]
+        return pa.table([asked["chunk"], asked["segment"], *answers], ["chunk", "segment", "counts", "levels"])
+
+    return run
+
+
+def _score(total: int, distinct: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = docs["text"].combine_chunks()
+        single, keys = _wanted(texts)
+        answers = answers.sort_by("segment")
+        exact_of = np.frombuffer(b"".join(answers["counts"].to_pylist()), np.int64)
+        count_at = count_of(np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8).astype(np.int64))
+        single_n = count_at[np.searchsorted(keys, word_keys(single))]
+        parts = []
+        for start, part in text_slices(texts):
+            words, starts = tokens(part)
+            which = np.searchsorted(single, words)
+            exact, word_n = exact_of[which], single_n[which]
+            base = np.log10((exact + 1) / (total + distinct + 1))
+            inner = np.ones(len(words), bool)
+            inner[starts] = False
+            at = np.flatnonzero(inner)
+            pair_n, before_n = np.zeros(len(words)), np.zeros(len(words))
+            pair_n[at] = count_at[np.searchsorted(keys, pair_keys(words[at - 1], words[at]))]
+            before_n[at] = word_n[at - 1]
+            score = _log_p(pair_n, before_n, word_n, total, distinct)
+            sizes = np.diff(np.append(starts, len(words)))
+            columns = [sizes, np.add.reduceat((exact > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
+            ids = [docs[c].slice(start, len(part)).combine_chunks() for c in ("doc_id", "held_out")]
+            parts.append(pa.table([*ids, *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -210,71 +266,26 @@ def _score(shared, total: int, distinct: int):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct (word before, word) of a text: its keys and number."""
-    for batch in batches:
-        for start, texts in text_slices(batch.column(1)):
-            words, starts = tokens(texts)
-            before = np.append(np.uint64(0), words[:-1])
-            before[starts] = 0
-            doc = np.repeat(np.arange(start, start + len(texts)), np.diff(np.append(starts, len(words))))
-            table = pa.table({
-                "row": batch.column(0).take(pa.array(doc)), "word": words.view(np.int64), "before": word_keys(before).view(np.int64),
-                "starts": before == 0, "word_key": word_keys(words).view(np.int64), "pair_key": pair_keys(before, words).view(np.int64),
-            })
-            grouped = table.group_by(["row", "word", "before", "starts", "word_key", "pair_key"]).aggregate([([], "count_all")])
-            yield from grouped.rename_columns([*grouped.column_names[:-1], "tf"]).combine_chunks().to_batches()
-
-
-def _score_by_joins(docs: DataFrame, words: DataFrame, grams: DataFrame, total: int, distinct: int) -> DataFrame:
-    """The way beyond FILTER_BYTES and WORD_BYTES: text keys are joined with the counts, hot keys by AQE's skew join."""
-    ids = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "lm-docs")
-    rows = ids.select("row", "text").mapInArrow(_grams_of, "row long, word long, before long, starts boolean, word_key long, pair_key long, tf long")
-    q = F.floor(F.log(F.col("n")) / math.log(BASE) + 1e-9) + 1
-    low, high = F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9), F.ceil(F.pow(F.lit(BASE), q) - 1e-9) - 1
-    quantised = materialize(grams.groupBy("key").agg(F.sum("n").alias("n")).select("key", ((low + F.greatest(low, high)) / 2).alias("c")), "lm-counts")
-    named = lambda key, c: quantised.select(F.col("key").alias(key), F.col("c").alias(c))
-    joined = (
-        rows.join(words.select(F.col("key").alias("word"), F.col("n").alias("exact")), "word", "left")
-        .join(named("word_key", "word_n"), "word_key", "left").join(named("pair_key", "pair_n"), "pair_key", "left").join(named("before", "before_n"), "before", "left")
-        .fillna(0, ["exact", "word_n", "pair_n", "before_n"])
-    )
-    before = F.when(F.col("starts"), 0.0).otherwise(F.col("before_n"))
-    weight = before / (before + BACKOFF)
-    p = weight * F.least(F.lit(1.0), F.col("pair_n") / F.greatest(before, F.lit(1.0))) + (1 - weight) * (F.col("word_n") + 1) / (total + distinct + 1)
-    sums = joined.groupBy("row").agg(
-        F.sum("tf").alias("n_tokens"),
-        F.sum(F.when(F.col("exact") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("tf") * F.log10((F.col("exact") + 1) / (total + distinct + 1))).alias("base_score"),
-        F.sum(F.col("tf") * F.log10(p)).alias("score"),
-    )
-    return ids.join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
-
-
-def score_texts(
-    df: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "held_out", filter_bytes: int = FILTER_BYTES, word_bytes: int = WORD_BYTES
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false."""
-    spark = df.sparkSession
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "held_out", filter_bytes: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false.
+
+    `filter_bytes` has no effect: the method is the same at every size.
+    """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(held_out).alias("held_out"), F.col(text).alias("text"))
     train = docs.filter(~F.col("held_out")).select("text")
     counts = train.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     words = materialize(counts, "lm-words")
     distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     segments = 1 << max(6, math.ceil(math.log2(max(total, 1) / SEGMENT_TOKENS)) if total > SEGMENT_TOKENS else 0)
-    grams = train.mapInArrow(_gram_counts, "key long, n long")
-    named = F.shiftrightunsigned("key", 64 - int(math.log2(segments)))
-    built = grams.withColumn("s", named).repartition(segments, "s").select("key", "n").mapInArrow(_build(segments), "segment long, bits long, data binary")
-    # with so many words the filter could not fit either
-    filter_rows = materialize(built, "lm-filter") if distinct * 12 <= word_bytes else None
-    if filter_rows is None or (filter_rows.agg(F.sum("bits")).first()[0] or 0) > 8 * filter_bytes:
-        scored = _score_by_joins(docs, words, grams, total, distinct)
-    else:
-        table = words.toArrow()
-        keys, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-        order = np.argsort(keys)
-        model = LogFrequencyFilter(filter_rows.toLocalIterator(), segments)
-        kind = np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64
-        shared = spark.sparkContext.broadcast((model, keys[order], n[order].astype(kind)))
-        scored = docs.mapInArrow(_score(shared, total, distinct), _SCORED)
+    segment_of = F.shiftrightunsigned("key", 64 - int(math.log2(segments)))
+    grams = train.mapInArrow(_gram_counts, "key long, n long").repartition(segments, segment_of)
+    filter_rows = materialize(grams.mapInArrow(_build(segments), "segment long, bits long, data binary"), "lm-filter")
+    held = filter_rows.unionByName(words.withColumn("segment", segment_of), allowMissingColumns=True)
+    # by content, so that rows fall into the same chunk whenever they are read
+    chunks = math.ceil(size / CHUNK_BYTES) or 1
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).groupBy("chunk")
+    asked = dealt.applyInArrow(_ask(segments), "chunk long, segment long, words binary, keys binary")
+    answers = held.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer(segments), "chunk long, segment long, counts binary, levels binary")
+    scored = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct), _SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -1,10 +1,17 @@
 """Cases that earlier versions of the operators cut short."""
 
+import collections
+import math
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tessella.llm import lm
 
-from .test_text_operators import brute_components
+from .test_text_operators import brute_components, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +36,32 @@ def test_pipeline_links_from_080_on(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     at = {p: {i for i, _, c in brute_components(rows, p) if i == c} for p in (80, 85)}
     assert kept == at[80] and len(at[80]) < len(at[85])
+
+
+def test_lm_scores_are_the_same_at_every_size(spark, monkeypatch):
+    """Scores follow the formula with quantised counts, but for rare false positives, however texts are dealt."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randint(0, 50))) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    texts = {i: [*words(t), "\n"] for i, t in rows}
+    single, pairs = collections.Counter(), collections.Counter()
+    for i, ws in texts.items():
+        if i % 7 != 2:
+            single.update(ws)
+            pairs.update(zip(ws, ws[1:]))
+    total, distinct = sum(single.values()), len(single)
+
+    def near(n):
+        return float(lm.count_of(lm.level(np.array([n])))[0]) if n else 0.0
+
+    def log_p(v, w):
+        before = near(single[v]) if v else 0.0
+        weight = before / (before + lm.BACKOFF)
+        return math.log10(weight * min(1.0, near(pairs[v, w]) / max(before, 1.0)) + (1 - weight) * (near(single[w]) + 1) / (total + distinct + 1))
+
+    exact = {i: sum(log_p(v, w) for v, w in zip([None, *ws], ws)) for i, ws in texts.items()}
+    whole = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 10)
+    cut = {r.doc_id: r.score for r in lm.score_texts(df, filter_bytes=0).collect()}
+    assert cut == pytest.approx(whole, rel=1e-12)
+    assert sum(whole[i] == pytest.approx(exact[i], rel=0.02) for i in exact) >= 0.9 * len(exact)
