@@ -2,12 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
 docs. All but the last return the columns of documents. Stages 7, 8 and 6 drop what they reject; mixing keeps every
-document and writes them in the order of the mix; the last encodes each text and decodes it again.
+document and writes them in the order of the mix; the last encodes each text and decodes it again, and gives each row
+its place in that order as `mix_position`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, mixing, neardup, quality, toxicity
@@ -42,8 +44,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("global_slot", "place").sortWithinPartitions("global_slot", "place").select("doc.*")
 
 
+def _positioned(docs: DataFrame) -> DataFrame:
+    """Add mix_position, from 0: files in the order of their names and rows as they stand in them (or partitions, in memory)."""
+    try:
+        placed = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        number = F.monotonically_increasing_id()
+        placed = docs.withColumn("__at", number).withColumn("__file", F.shiftright("__at", 33).cast("string"))
+        placed = placed.withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    # a row for each file
+    return placed.join(F.broadcast(offsets), "__file").withColumn("mix_position", F.col("__offset") + F.col("__at")).drop("__file", "__at", "__offset")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(docs, tokenizer_path(), keep=("doc_id", "lang", "source", "n_chars"))
+    coded = bpe.round_trip(_positioned(docs), tokenizer_path(), keep=("doc_id", "lang", "source", "n_chars", "mix_position"))
     return coded.withColumns(
         {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
     ).drop("decoded")

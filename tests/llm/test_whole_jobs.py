@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import lm
+from tessella.llm import lm, mixing
 
 from .test_text_operators import brute_components, words
 
@@ -65,3 +65,16 @@ def test_lm_scores_are_the_same_at_every_size(spark, monkeypatch):
     cut = {r.doc_id: r.score for r in lm.score_texts(df, filter_bytes=0).collect()}
     assert cut == pytest.approx(whole, rel=1e-12)
     assert sum(whole[i] == pytest.approx(exact[i], rel=0.02) for i in exact) >= 0.9 * len(exact)
+
+
+def test_run_gives_the_order_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = corpus_pipeline.run(spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = sorted(mixing.mix_sources(docs).collect(), key=lambda r: (r.global_slot, r.place))
+    assert sorted(r.mix_position for r in rows) == list(range(len(mixed)))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == [r.doc_id for r in mixed]
