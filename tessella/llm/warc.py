@@ -52,7 +52,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     refers = F.when((F.col("bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     known = known.withColumn("refers", refers)
     block = F.when(F.col("refers").isNull(), F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END), F.col("payload"))).otherwise(F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END)))
-    clean_url = F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20")
+    # the magic stands in no header
+    clean_url = F.replace(F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"), F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F")))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("refers").isNull(), F.lit("response")).otherwise(F.lit("revisit")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")),
@@ -74,15 +75,20 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _end_at(data: Column) -> Column:
+    """Byte position, from 1, of the first END; 0 where there is none."""
+    before = F.octet_length(F.substring_index(data.cast("string"), END, 1))
+    return F.when(before < F.octet_length(data), before + 1).otherwise(0)
+
+
 def _field(head: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
 
 
 def _parsed(pieces: DataFrame) -> DataFrame:
     """Header fields of a piece as if it began a record, and its whole length as declared (null: no such header)."""
-    text = F.decode(F.substring("piece", 1, 65536), "ISO-8859-1")
-    head_bytes = F.locate(END, text)
-    head = F.when(head_bytes > 0, F.substring_index(text, END, 1))
+    head_bytes = _end_at(F.col("piece"))
+    head = F.when(head_bytes > 0, F.decode(F.substring(F.col("piece"), F.lit(1), head_bytes - 1), "ISO-8859-1"))
     length = F.expr("try_cast(_content_length as bigint)")
     out = pieces.withColumn("_head", head).withColumn("_content_length", F.nullif(_field(F.col("_head"), "Content-Length"), F.lit("")))
     good = F.col("_head").rlike(r"^[01]\r\n") & (length >= 0)
@@ -175,6 +181,15 @@ def _split_records(records: DataFrame, places: DataFrame, broken: DataFrame) ->
     return owned.join(broken, ["file", "at"])
 
 
+def _check_ends(table: DataFrame, spans: DataFrame) -> None:
+    """Raise where a file's chain of records doesn't end with the file, so that no record is left out in silence."""
+    sizes = table.groupBy("file").agg(F.min("path").alias("path"), (F.sum("bytes") - len(MAGIC)).alias("size"))
+    ends = spans.groupBy("file").agg(F.max(F.col("at") + F.col("span")).alias("end"))
+    found = sizes.join(ends, "file", "left").withColumn("end", F.coalesce("end", F.lit(0))).filter(F.col("end") != F.col("size")).first()
+    if found is not None:
+        raise ValueError(f"{found.path}: the chain of records ends at byte {found.end} of {found.size}")
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record: path, at, record_id, record_type, target_uri, refers_to, header_digest, http_bytes, payload_bytes, payload_digest, payload.
 
@@ -187,6 +202,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     table = materialize(parsed.select("file", "split", "seq", "bytes", "span", "path", *_NAMES, *["piece"] * payloads), "warc-pieces")
     records, places = _chain(table.select("file", "split", "seq", "bytes", "span"))
     spans = records.join(table.select("file", "split", "seq", "bytes", "span"), ["file", "split", "seq"])
+    _check_ends(table, spans)
     broken = materialize(spans.filter("bytes <> span").select("file", "at", "span"), "warc-broken")
     some_broken = not broken.isEmpty()
     if some_broken and not payloads:
@@ -217,14 +233,14 @@ def _fields(parsed: DataFrame) -> DataFrame:
     # `body_at` counts the magic, which the piece lacks
     block = F.substring(F.col("piece"), (F.col("body_at") - len(MAGIC) + 1).cast("int"), F.col("content_length").cast("int"))
     out = parsed.withColumn("_block", block)
-    http = F.decode(F.substring("_block", 1, 4096), "ISO-8859-1")
-    http_head = F.locate(END, http)
+    http_head = _end_at(F.col("_block"))
+    http = F.decode(F.substring(F.col("_block"), F.lit(1), http_head), "ISO-8859-1")
     is_http = _field(head, "Content-Type").startswith("application/http") & (http_head > 0)
     payload = F.when(is_http, F.substring(F.col("_block"), http_head + len(END), F.octet_length("_block"))).otherwise(F.col("_block"))
     out = out.withColumns({
         "record_id": F.regexp_extract(_field(head, "WARC-Record-ID"), "^<?([^>]*)", 1), "record_type": _field(head, "WARC-Type"), "target_uri": _field(head, "WARC-Target-URI"),
         "refers_to": F.nullif(F.regexp_extract(_field(head, "WARC-Refers-To"), "^<?([^>]*)", 1), F.lit("")), "header_digest": F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", ""),
-        "http_bytes": F.when(is_http, F.expr("try_cast(nullif(regexp_extract(decode(substring(_block, 1, 4096), 'ISO-8859-1'), '(?i)content-length:[ ]*([0-9]+)', 1), '') as bigint)")),
+        "http_bytes": F.when(is_http, F.nullif(F.regexp_extract(http, "(?i)content-length:[ ]*([0-9]+)", 1), F.lit("")).try_cast("bigint")),
         "payload": payload,
     })
     return out.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": digest(F.col("payload"))})

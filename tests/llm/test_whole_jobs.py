@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import lm, mixing
+from tessella.llm import lm, mixing, warc
 
+from .test_other_operators import archived, expected, got
 from .test_text_operators import brute_components, words
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,30 @@ def test_run_gives_the_order_of_the_mix(spark, monkeypatch):
     mixed = sorted(mixing.mix_sources(docs).collect(), key=lambda r: (r.global_slot, r.place))
     assert sorted(r.mix_position for r in rows) == list(range(len(mixed)))
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == [r.doc_id for r in mixed]
+
+
+def test_warc_long_urls_and_magic_in_urls(spark):
+    rows = [(1, "http://a/", "<p>a</p>"), (2, "data:" + "x" * 150_000, "<p>b</p>"), (3, "http://x/WARC/1.0", "<p>c</p>"), (4, "WARC/1.WARC/1.", "d"), (5, "http://e/", "<p>e</p>")]
+    records = archived(spark, rows)
+    assert got(records) == expected(rows) == got(archived(spark, rows, payloads=False))
+    assert {r.record_id[9:]: r.target_uri for r in records} == {str(i): u.replace("WARC/1.", "WARC%2F1.") for i, u, _ in rows}
+
+
+def foreign(path, *bodies):
+    heads = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) for i, b in enumerate(bodies)]
+    path.write_bytes(b"".join(h + b + b"\r\n\r\n" for h, b in zip(heads, bodies)))
+    return str(path)
+
+
+def test_warc_long_http_headers(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nX-Long: " + b"\xe9" * 9000 + b"\r\nContent-Length: 5\r\n\r\nhello"
+    rows = warc.read_warc(spark, foreign(tmp_path / "a.warc", body, body.replace(b"hello", b"world"))).collect()
+    assert sorted((bytes(r.payload), r.payload_bytes, r.http_bytes) for r in rows) == [(b"hello", 5, 5), (b"world", 5, 5)]
+
+
+def test_warc_broken_chains_raise(spark, tmp_path):
+    path = foreign(tmp_path / "a.warc", b"one", b"two", b"three")
+    whole = (tmp_path / "a.warc").read_bytes()
+    (tmp_path / "a.warc").write_bytes(whole.replace(b"Content-Length: 3\r\n\r\ntwo", b"Content-Length: 9\r\n\r\ntwo"))
+    with pytest.raises(ValueError, match="chain"):
+        warc.read_warc(spark, path)
