@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density.
 
 A page is parsed to a tree. Elements that are never article text (menus, forms, scripts, adverts, comments, ...) are
-cut off by tag, role or class. For every node left, the composite density is its characters per tag, adjusted by the
+cut off by tag, role or class; by role or class only if they hold no article, main or h1 and, where
+the page has no article or main, at most half of its text. For every node left, the composite density is its characters per tag, adjusted by the
 share of characters in links; a node's density sum is that of its children. From the node of the largest sum, the
 least density on its path up to the body is the threshold; among nodes that reach the threshold the subtree of the
 largest sum is the article (or the article element around it).
@@ -45,30 +46,43 @@ MARKS = frozenset(
     "modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus reply replies respond share sharing social related "
     "recommended recommendations widget widgets toolbar skip search form complementary contentinfo dialog disclaimer".split()
 )
+# Words that say nothing of the content: a class name marks if it holds a mark and, beside marks, only these.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box btn button buttons center col column container content div form group head heading icon icons inner item items label left link links list "
+    "lower middle mobile outer panel posts primary right row secondary section site slot small text title top unit upper view wrap wrapper zone".split()
+)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _KEEP = frozenset({"html", "body", "article", "main", "h1"})
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "chars", "links", "tags", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "up", "parts", "chars", "links", "tags", "link_tags", "density", "total", "cut", "named")
 
-    def __init__(self, tag: str, up: Node | None, cut: bool = False):
-        self.tag, self.up, self.cut = tag, up, cut
+    def __init__(self, tag: str, up: Node | None, cut: bool = False, named: bool = False):
+        # named: cut for its class, id or role alone
+        self.tag, self.up, self.cut, self.named = tag, up, cut or named, named and not cut
         self.parts: list[Node | str] = []
 
 
-def _is_marked(tag: str, attributes: str) -> bool:
+def _is_mark(name: str) -> bool:
+    found = {w.lower() for w in _WORDS.findall(name)}
+    return not MARKS.isdisjoint(found) and found <= MARKS | NEUTRAL
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role marks it."""
+    named = False
     if tag in _KEEP or not attributes:
-        return False
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
         if m[3]:
-            return True
+            return True, named
         name, value = m[1].lower(), m[2].strip("\"'")
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
+        if name in ("class", "id", "role") and any(map(_is_mark, value.split())):
+            named = True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -103,9 +117,10 @@ def parse(page: str) -> Node:
                 if node.tag in ENDS:
                     break
                 node = node.up
-            made = Node(tag, here, tag in DROPPED or _is_marked(tag, m[3]))
-            if tag == "header":
-                made.cut = made.cut or not _inside_article(here)
+            hidden, named = _marks(tag, m[3])
+            made = Node(tag, here, tag in DROPPED or hidden or tag == "header" and not _inside_article(here), named)
+            if tag in ("article", "main", "h1"):
+                _keep_around(here)
             here.parts.append(made)
             if tag in RAW and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -116,6 +131,27 @@ def parse(page: str) -> Node:
     return root
 
 
+def _keep_around(node: Node | None) -> None:
+    while node is not None:
+        if node.named:
+            node.cut = node.named = False
+        node = node.up
+
+
+def _keep_large(root: Node) -> None:
+    """Elements that are cut for their names stay if they hold more than half of the text of a page without article or main."""
+    order = [root]
+    for node in order:
+        order += [p for p in node.parts if isinstance(p, Node) and (p.named or not p.cut)]
+    if not any(x.named for x in order) or any(x.tag in ("article", "main") for x in order):
+        return
+    for node in reversed(order):
+        node.chars = sum(len("".join(p.split())) if isinstance(p, str) else p.chars if p.named or not p.cut else 0 for p in node.parts)
+    for node in order:
+        if node.named and 2 * node.chars > root.chars:
+            node.cut = node.named = False
+
+
 def _inside_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -159,6 +195,7 @@ def _measure(root: Node) -> list[Node]:
 def article(page: str) -> Node:
     """The node of the article."""
     root = parse(page)
+    _keep_large(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     best = max((x for x in order if x is body or _under(x, body)), key=lambda x: x.total, default=body)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import lm, mixing, warc
+from tessella.llm import html, lm, mixing, warc
 
 from .test_other_operators import archived, expected, got
 from .test_text_operators import brute_components, words
@@ -106,3 +106,25 @@ def test_warc_broken_chains_raise(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(whole.replace(b"Content-Length: 3\r\n\r\ntwo", b"Content-Length: 9\r\n\r\ntwo"))
     with pytest.raises(ValueError, match="chain"):
         warc.read_warc(spark, path)
+
+
+STORY = "".join(f"<p>Sentence number {i} of the story, with enough words in it.</p>" for i in range(6))
+SIDE = "<div class='sidebar'><a href=1>one</a> more</div><div id='ad-box'>Buy</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='has-sidebar'>{STORY}{SIDE}</div>", f"<body><div class='content no-sidebar'><div>{STORY}</div>{SIDE}</div>", f"<body><div id='page' class='site has-header-image'><article>{STORY}</article>{SIDE}</div>",
+        f"<body><div class='sidebar'><article>{STORY}</article></div>{SIDE}", f"<body><div class='header'>{STORY}</div>{SIDE}", f"<body><div class='post share-enabled'><div>{STORY}</div></div>{SIDE}",
+    ],
+)
+def test_wrappers_with_marked_names_keep_the_text(page):
+    text = html.main_text(page)
+    assert all(f"Sentence number {i} of" in text for i in range(6)) and "Buy" not in text and "one more" not in text
+
+
+def test_parts_of_articles_with_marked_names():
+    page = f"<body><article><header class='entry-header'><h1>Head</h1><p>By line</p></header>{STORY}<section id='related-work'><p>Prior art.</p></section><div class='related-posts'>Else</div></article>"
+    text = html.main_text(page)
+    assert text.startswith("Head By line") and text.endswith("Prior art.")
