@@ -175,21 +175,84 @@ def test_lm_scores(spark):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 0
-    joined = {r.doc_id: r for r in lm.score_texts(df, filter_bytes=0).collect()}  # the way without broadcast
-    close = [abs(joined[i].score - got[i].score) <= 0.02 * abs(got[i].score) for i in got]
-    assert sum(close) >= 0.9 * len(close)
-    assert all(joined[i].base_score == pytest.approx(got[i].base_score, rel=1e-9) and joined[i].n_known == got[i].n_known for i in got)
+    cut = {r.doc_id: r for r in lm.score_texts(df, chunk_bytes=50).collect()}  # many small chunks
+    assert all(cut[i].score == pytest.approx(got[i].score, rel=1e-9) and cut[i].base_score == pytest.approx(got[i].base_score, rel=1e-9) for i in got)
+    assert all(cut[i].n_known == got[i].n_known for i in got)
 
 
 def test_lm_filter_never_reads_low():
     import numpy as np
 
-    counts = np.array([1, 1, 2, 3, 10, 500, 7, 1, 10**6])
-    keys = lm.mix(np.arange(9, dtype=np.uint64) + np.uint64(1))
-    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-    rows = [r for b in lm._build(64)(iter([batch])) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-    levels = lm.LogFrequencyFilter(rows, 64).levels(keys)
-    assert (levels >= lm.level(counts)).all() and (levels == lm.level(counts)).mean() > 0.7
+    rng = np.random.default_rng(1)
+    keys = lm.distinct(rng.integers(0, 1 << 32, 60_000, dtype=np.uint64)).astype(np.uint32)
+    counts = np.where(np.arange(len(keys)) % 50 == 0, rng.integers(1, 10**6, len(keys)), 1 + np.arange(len(keys)) % 4)
+    bits, data = lm.build_filter(keys, counts)
+    levels = lm.probe_filter(keys, bits, data)
+    assert (levels >= lm.level(counts)).all() and (levels == lm.level(counts)).mean() > 0.998
+    absent = np.setdiff1d(rng.integers(0, 1 << 32, 200_000, dtype=np.uint64).astype(np.uint32), keys)
+    assert (lm.probe_filter(absent, bits, data) > 0).mean() < 0.001
+
+
+def plain_filter(counts):
+    """A Bloom filter in plain Python: a set of bits for each segment's entries, with the same hash functions."""
+    import numpy as np
+
+    by_segment = collections.defaultdict(list)
+    for key, n in counts.items():
+        by_segment[key >> 58].append((((key << 6) & (2**64 - 1)) >> 32, 1 + math.floor(math.log(n) / math.log(lm.BASE) + 1e-9)))
+    filters = {}
+
+    def mixed(x):
+        return int(lm.mix(np.array([x % 2**64], np.uint64))[0])
+
+    def places(key, q, bits):
+        entry = mixed(key + q * lm._LEVEL)
+        step = mixed(entry) | 1
+        return [((((entry + i * step) % 2**64) >> 32) * bits) >> 32 for i in range(1, lm.PROBES + 1)]
+
+    for segment, entries in by_segment.items():
+        bits = max(64, -(-sum(q for _, q in entries) * lm.BITS_PER_ENTRY // 64) * 64)
+        filters[segment] = bits, {p for key, top in entries for q in range(1, top + 1) for p in places(key, q, bits)}
+
+    def level_of(key):
+        if key >> 58 not in filters:
+            return 0
+        bits, hit = filters[key >> 58]
+        q = 0
+        while all(p in hit for p in places(((key << 6) & (2**64 - 1)) >> 32, q + 1, bits)):
+            q += 1
+        return q
+
+    return level_of
+
+
+def test_lm_scores_equal_a_plain_filter(spark):
+    import numpy as np
+
+    rows = corpus()[:120]
+    hashes = lambda t: lm.tokens(pa.array([t or ""], pa.large_string()))[0]
+    texts = {i: hashes(t) for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    single, pairs = collections.Counter(), collections.Counter()
+    for i, ws in texts.items():
+        if not held[i]:
+            single.update(ws.tolist())
+            pairs.update(lm.pair_keys(ws[:-1], ws[1:]).tolist())
+    named = {int(lm.word_keys(np.array([w], np.uint64))[0]): n for w, n in single.items()}
+    level_of = plain_filter(named | dict(pairs))
+    count = lambda key: float(lm.count_of(np.array([level_of(key)]))[0])
+    total, distinct = sum(single.values()), len(single)
+    got = {r.doc_id: r.score for r in lm.score_texts(held_out(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, ws in texts.items():
+        score, before = 0.0, None
+        for w in ws:
+            c = count(int(lm.word_keys(np.array([w]))[0]))
+            v = 0.0 if before is None else count(int(lm.word_keys(np.array([before]))[0]))
+            both = 0.0 if before is None else count(int(lm.pair_keys(np.array([before]), np.array([w]))[0]))
+            weight = v / (v + lm.BACKOFF)
+            score += math.log10(weight * min(1.0, both / max(v, 1.0)) + (1 - weight) * (c + 1) / (total + distinct + 1))
+            before = w
+        assert got[i] == pytest.approx(score, rel=1e-9)
 
 
 def test_lm_odd_rows(spark, odd):
@@ -198,6 +261,8 @@ def test_lm_odd_rows(spark, odd):
     assert lm.score_texts(held_out(odd.limit(0))).count() == 0
     only_held = lm.score_texts(odd.withColumn("held_out", F.lit(True))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in only_held)
+    unknown = lm.score_texts(odd.withColumn("held_out", F.lit(None).cast("boolean"))).collect()
+    assert len(unknown) == len(ODD) and all(r.train_tokens == 0 and r.held_out is None for r in unknown)
 
 
 def labelled(spark):

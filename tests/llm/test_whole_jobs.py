@@ -39,7 +39,7 @@ def test_pipeline_links_from_080_on(spark):
     assert kept == at[80] and len(at[80]) < len(at[85])
 
 
-def test_lm_scores_are_the_same_at_every_size(spark, monkeypatch):
+def test_lm_scores_are_the_same_at_every_size(spark):
     """Scores follow the formula with quantised counts, but for rare false positives, however texts are dealt."""
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randint(0, 50))) if i % 11 else None) for i in range(300)]
@@ -62,8 +62,7 @@ def test_lm_scores_are_the_same_at_every_size(spark, monkeypatch):
 
     exact = {i: sum(log_p(v, w) for v, w in zip([None, *ws], ws)) for i, ws in texts.items()}
     whole = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 10)
-    cut = {r.doc_id: r.score for r in lm.score_texts(df, filter_bytes=0).collect()}
+    cut = {r.doc_id: r.score for r in lm.score_texts(df, chunk_bytes=100).collect()}
     assert cut == pytest.approx(whole, rel=1e-12)
     assert sum(whole[i] == pytest.approx(exact[i], rel=0.02) for i in exact) >= 0.9 * len(exact)
 
