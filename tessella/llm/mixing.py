@@ -2,12 +2,16 @@
 
 Each source's rows, in a fixed hash order, form blocks. With whole weights a_s that sum to Q, block i of a source has
 its release at slot floor(i Q / a_s) and its deadline at ceil((i + 1) Q / a_s); in each slot the released block of the
-earliest deadline goes next. Within a period of Q slots each source gets exactly a_s slots and is never a block or
-more off its share, and the schedule repeats, so one period is scheduled (at most `PERIOD` slots or so, whatever the
-data) and every block looks up its slot. No row is dropped: a source that runs out leaves its slots to the others, in order.
-
-Null sources are a source of their own. Empty tables give an empty result. Extra columns pass through;
-columns named as the operator's own are replaced.
+earliest deadline goes next, ties to the source first by name. Within a period of Q slots each source gets exactly a_s
+slots and is never a block or more off a_s / Q, and the schedule repeats, so one period is scheduled, whatever the
+data, and every block looks up its slot. Target weights are rounded to whole a_s by largest remainders, with Q at
+least PERIOD and at least 4 slots a source, so a share is rounded by less than 1 / Q. No row is dropped: a source that runs out
+leaves its slots to the others, in order.
+
+Null sources are a source of their own. A source whose weight is zero, null or not given comes after all others, block
+by block in turn with those like it; negative or infinite weights, a source named twice in the weights and more than
+MOST_SOURCES sources are errors. Rows that repeat a key are ranked each, in any order. Empty tables give an empty
+result. Extra columns pass through; columns named as the operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from pyspark.sql.window import Window
 
 from .common import dense_rank_in, materialize
 
-#: Slots of a period: target weights are rounded to multiples of about 1 / PERIOD, 1 at least.
-PERIOD = 1000
-#: Sources beyond this number would make the period's table large; the operator then fails.
+#: Slots of a period at least.
+PERIOD = 20_000
+#: Each slot looks at every source, so the work of a period grows with the square of their number.
 MOST_SOURCES = 10_000
+#: Slots that are scheduled before their list is joined to the period's.
+RUN = 200
 BLOCK_ROWS = 16
 
 
@@ -31,52 +37,70 @@ def target_weights(sizes: DataFrame, power: float = 0.5) -> DataFrame:
 
 
 def whole_weights(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, weight) to (source, a, s, q): whole weights a, sources numbered by name, and their sum q."""
+    """(source, weight) to (source, a, s, q): whole weights a by largest remainders, 1 at least, sources numbered by name, and their sum q.
+
+    `weights` has one row a source, a bounded number, and positive weights.
+    """
     every = Window.partitionBy()
-    share = F.greatest(F.lit(1), F.round(F.col("weight") / F.sum("weight").over(every) * period)).cast("int")
-    numbered = weights.withColumn("a", share).withColumn("s", F.row_number().over(Window.orderBy("source")) - 1)
-    return numbered.withColumn("q", F.sum("a").over(every).cast("int"))
+    size = F.greatest(F.lit(period), 4 * F.count(F.lit(1)).over(every))
+    exact = weights.withColumn("exact", F.col("weight") / F.sum("weight").over(every) * size).withColumn("q", size)
+    left = F.col("q") - F.sum(F.floor("exact")).over(every)
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.floor("exact")), "source"))
+    dealt = exact.withColumn("a", F.greatest(F.lit(1), F.floor("exact") + (place <= left).cast("int")).cast("int"))
+    numbered = dealt.withColumn("s", F.row_number().over(Window.orderBy("source")) - 1)
+    return numbered.withColumn("q", F.sum("a").over(every).cast("int")).drop("exact")
 
 
 def schedule(weights: DataFrame) -> DataFrame:
     """Earliest deadline first over one period: (source, a, q, nth, slot, release, deadline), q rows in all.
 
-    `weights` is the output of `whole_weights`; it has one row a source, a bounded number.
+    `weights` is the output of `whole_weights`.
     """
     one = weights.groupBy().agg(
         F.transform(F.array_sort(F.collect_list(F.struct("s", "a"))), lambda x: x["a"]).alias("as"), F.max("q").alias("q")
     ).filter(F.col("q").isNotNull())
 
     def release(i: Column, a: Column) -> Column:
-        return F.floor(i * F.col("q") / a).cast("int")
+        return F.floor(i.cast("long") * F.col("q") / a).cast("int")
 
     def deadline(i: Column, a: Column) -> Column:
-        return F.ceil((i + 1) * F.col("q") / a).cast("int")
+        return F.ceil((i.cast("long") + 1) * F.col("q") / a).cast("int")
+
+    # a source's next block: how many came before it, its release and its deadline
+    def entry(done: Column, a: Column) -> Column:
+        return F.struct(done.alias("done"), F.when(done < a, release(done, a)).otherwise(F.col("q")).alias("r"), deadline(done, a).alias("d"))
 
     def step(state: Column, slot: Column) -> Column:
-        ready = F.transform(
-            F.col("as"),
-            lambda a, s: F.when(
-                (F.get(state["done"], s) < a) & (release(F.get(state["done"], s), a) <= slot),
-                F.struct(deadline(F.get(state["done"], s), a).alias("d"), s.alias("s")),
-            ),
-        )
-        pick = F.array_min(F.filter(ready, lambda x: x.isNotNull()))["s"]
-        return F.struct(
-            F.transform(state["done"], lambda n, s: F.when(s == pick, n + 1).otherwise(n)).alias("done"),
-            F.array_append(state["slots"], pick).alias("slots"),
-        )
-
-    start = F.struct(F.transform("as", lambda a: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("slots"))
-    slots = F.aggregate(F.sequence(F.lit(0), F.col("q") - 1), start, step, lambda state: state["slots"])
+        pick = F.array_min(F.transform(state["next"], lambda x, s: F.when(x["r"] <= slot, F.struct(x["d"].alias("d"), s.alias("s")))))["s"]
+        later = F.transform(state["next"], lambda x, s: F.when(s == pick, entry(x["done"] + 1, F.get(F.col("as"), s))).otherwise(x))
+        return F.struct(later.alias("next"), F.array_append(state["slots"], pick).alias("slots"))
+
+    def run(state: Column, first: Column) -> Column:
+        last = F.least(first + RUN, F.col("q")) - 1
+        start = F.struct(state["next"].alias("next"), F.array().cast("array<int>").alias("slots"))
+        return F.aggregate(F.sequence(first, last), start, step, lambda s: F.struct(s["next"].alias("next"), F.array_append(state["runs"], s["slots"]).alias("runs")))
+
+    start = F.struct(F.transform("as", lambda a: entry(F.lit(0), a)).alias("next"), F.array().cast("array<array<int>>").alias("runs"))
+    slots = F.aggregate(F.sequence(F.lit(0), F.col("q") - 1, F.lit(RUN)), start, run, lambda s: F.flatten(s["runs"]))
     picked = one.select(F.posexplode(slots).alias("slot", "s"))
     nth = F.row_number().over(Window.partitionBy("s").orderBy("slot")) - 1
     joined = picked.withColumn("nth", nth).join(F.broadcast(weights), "s")
-    return joined.withColumn("release", F.floor(F.col("nth") * F.col("q") / F.col("a")).cast("int")).withColumn(
-        "deadline", F.ceil((F.col("nth") + 1) * F.col("q") / F.col("a")).cast("int")
+    return joined.withColumn("release", F.floor(F.col("nth").cast("long") * F.col("q") / F.col("a")).cast("int")).withColumn(
+        "deadline", F.ceil((F.col("nth").cast("long") + 1) * F.col("q") / F.col("a")).cast("int")
     )
 
 
+def checked_weights(sizes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, n, weight) of every source of the table; sources without a weight get 0."""
+    odd = (F.col("weight") < 0) | F.isnan(F.col("weight").cast("double")) | (F.abs(F.col("weight").cast("double")) == float("inf"))
+    if not weights.filter(odd).isEmpty():
+        raise ValueError("weights must be finite and not negative")
+    if not weights.groupBy("source").count().filter("count > 1").isEmpty():
+        raise ValueError("a source is named twice in the weights")
+    same = sizes["source"].eqNullSafe(weights["source"])
+    return sizes.join(weights, same, "left").select(sizes["source"], "n", F.coalesce(weights["weight"].cast("double"), F.lit(0.0)).alias("weight"))
+
+
 def mix_sources(
     df: DataFrame,
     source: str = "source",
@@ -88,25 +112,28 @@ def mix_sources(
     """Add block (of its source, from 0), period, slot, release, deadline, place (in the block) and global_slot.
 
     Rows in the order of (global_slot, place) are the mix; global_slot = period number * q + slot, and grows without
-    ties between blocks. `weights`: (source, weight) for every source; default `target_weights`.
+    ties between blocks. Sources of weight 0 have no period, slot, release and deadline. `weights`: (source, weight);
+    default `target_weights`.
     """
     made = ["block", "period", "slot", "release", "deadline", "place", "global_slot"]
     df = df.drop(*made)
     sizes = materialize(df.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    if weights is None:
-        given = target_weights(sizes)
-    else:
-        same = sizes["source"].eqNullSafe(weights["source"])
-        given = sizes.join(weights, same, "left").select(sizes["source"], "n", F.coalesce(weights["weight"], F.lit(0.0)).alias("weight"))
-    whole = materialize(whole_weights(given, period), "mix-weights")
+    given = target_weights(sizes) if weights is None else checked_weights(sizes, weights)
+    given = materialize(given, "mix-given")
+    whole = materialize(whole_weights(given.filter("weight > 0"), period), "mix-weights")
     table = materialize(schedule(whole).select("source", "a", "q", "nth", "slot", "release", "deadline"), "mix-period")
-    per_source = whole.select(F.col("source").alias("__mix_s"), F.col("a").alias("__mix_a"), F.col("q").alias("__mix_q"))
+    # sources of weight 0 take turns after the last slot that any other can have
+    blocks = F.ceil(F.col("n") / block_rows)
+    last = whole.agg(F.max((F.floor((blocks - 1) / F.col("a")) + 1) * F.col("q"))).first()[0] or 0
+    idle = given.filter("weight = 0").select(F.col("source"), F.row_number().over(Window.orderBy("source")).alias("turn"), F.count(F.lit(1)).over(Window.partitionBy()).alias("turns"))
+    per_source = whole.select("source", "a", "q").unionByName(idle, allowMissingColumns=True)
+    per_source = per_source.select(*[F.col(c).alias(f"__mix_{c}") for c in ("source", "a", "q", "turn", "turns")])
     slots = table.select(F.col("source").alias("__mix_t"), F.col("nth").alias("__mix_n"), "slot", "release", "deadline")
     ranked = dense_rank_in(df, source, F.col(key), "__mix_row")
-    # both tables have at most period + MOST_SOURCES rows
-    of_source = ranked.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("__mix_s")))
+    # both tables have at most max(PERIOD, 5 * MOST_SOURCES) rows
+    of_source = ranked.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("__mix_source")))
     blocked = of_source.withColumn("block", F.floor(F.col("__mix_row") / block_rows)).withColumns(
         {
             "place": (F.col("__mix_row") % block_rows).cast("int"),
@@ -114,6 +141,7 @@ def mix_sources(
             "__mix_i": (F.col("block") % F.col("__mix_a")).cast("int"),
         }
     )
-    placed = blocked.join(F.broadcast(slots), F.col(source).eqNullSafe(F.col("__mix_t")) & (F.col("__mix_i") == F.col("__mix_n")))
-    placed = placed.withColumn("global_slot", F.col("period") * F.col("__mix_q") + F.col("slot"))
-    return placed.drop("__mix_row", "__mix_s", "__mix_a", "__mix_q", "__mix_t", "__mix_n", "__mix_i")
+    placed = blocked.join(F.broadcast(slots), F.col(source).eqNullSafe(F.col("__mix_t")) & (F.col("__mix_i") == F.col("__mix_n")), "left")
+    turn = F.lit(last) + F.col("block") * F.col("__mix_turns") + F.col("__mix_turn") - 1
+    placed = placed.withColumn("global_slot", F.coalesce(F.col("period") * F.col("__mix_q") + F.col("slot"), turn))
+    return placed.drop(*[f"__mix_{c}" for c in ("row", "source", "a", "q", "turn", "turns", "t", "n", "i")])

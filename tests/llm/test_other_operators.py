@@ -170,6 +170,52 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert all(r.release <= r.slot < r.deadline for r in rows)
 
 
+def plain_edf(shares):
+    """Earliest deadline first, slot by slot, over one period: shares are whole numbers by source."""
+    q, done, order = sum(shares.values()), dict.fromkeys(shares, 0), []
+    for t in range(q):
+        ready = [(math.ceil((done[s] + 1) * q / a), s) for s, a in shares.items() if done[s] < a and done[s] * q // a <= t]
+        pick = min(ready)[1]
+        order.append((pick, done[pick]))
+        done[pick] += 1
+    return order
+
+
+def test_mix_follows_a_plain_schedule(spark):
+    rng = random.Random(6)
+    shares = {f"s{i:02d}": rng.randint(1, 60) for i in range(12)}
+    shares["s03"] += 500 - sum(shares.values()) if sum(shares.values()) < 500 else 0
+    weights = spark.createDataFrame([(s, float(a)) for s, a in shares.items()], "source string, weight double")
+    docs = documents(spark, [(s, 3 * a) for s, a in shares.items()])
+    period = sum(shares.values())
+    rows = mixing.mix_sources(docs, weights=weights, block_rows=1, period=period).collect()
+    got = [(r.source, r.block) for r in sorted(rows, key=lambda r: r.global_slot)]
+    assert got == [(s, i + p * shares[s]) for p in range(3) for s, i in plain_edf(shares)]
+
+
+def test_mix_rounds_shares_by_less_than_a_slot(spark):
+    weights = spark.createDataFrame([("big", 1 / 3), *[(f"t{i}", (2 / 3) / 300) for i in range(300)]], "source string, weight double")
+    whole = {r.source: r for r in mixing.whole_weights(weights).collect()}
+    q = whole["big"].q
+    assert q == mixing.PERIOD and all(abs(r.a - q * r.weight) < 1 for r in whole.values())
+    many = spark.createDataFrame([(f"t{i}", 1.0) for i in range(60)], "source string, weight double")
+    assert {r.a for r in mixing.whole_weights(many, 10).collect()} == {4}
+
+
+def test_mix_odd_weights(spark):
+    docs = documents(spark, [("a", 70), ("b", 40), (None, 20), ("zero", 20), ("other", 5)])
+    weights = spark.createDataFrame([("a", 2.0), ("b", 1.0), (None, 1.0), ("zero", 0.0), ("absent", 5.0), ("other", None)], "source string, weight double")
+    rows = sorted(mixing.mix_sources(docs, weights=weights, block_rows=4).collect(), key=lambda r: (r.global_slot, r.place))
+    assert len(rows) == docs.count() and [r.source in ("zero", "other") for r in rows] == [False] * 130 + [True] * 25
+    assert len({r.global_slot for r in rows}) == len({(r.source, r.block) for r in rows})
+    assert all((r.slot is None) == (r.source in ("zero", "other")) for r in rows)
+    none = spark.createDataFrame([], "source string, weight double")
+    assert mixing.mix_sources(docs, weights=none).count() == docs.count()
+    for bad in ([("a", 1.0), ("a", 2.0)], [("a", -1.0)], [("a", math.nan)], [("a", math.inf)]):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, weights=spark.createDataFrame(bad, "source string, weight double"))
+
+
 def test_mix_default_weights_and_empty(spark):
     docs = documents(spark, [("big", 500), ("small", 20)])
     assert mixing.mix_sources(docs).count() == 520
