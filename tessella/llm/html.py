@@ -1,13 +1,17 @@
 """Main-text extraction by composite text density.
 
-A page is parsed to a tree. Elements that are never article text (menus, forms, scripts, adverts, comments, ...) are
-cut off by tag, role or class; by role or class only if they hold no article, main or h1 and, where
-the page has no article or main, at most half of its text. For every node left, the composite density is its characters per tag, adjusted by the
-share of characters in links; a node's density sum is that of its children. From the node of the largest sum, the
-least density on its path up to the body is the threshold; among nodes that reach the threshold the subtree of the
-largest sum is the article (or the article element around it).
-
-Null and empty pages give an empty text. Unclosed tags end with what contains them. Texts of any length stay whole.
+A page is parsed to a tree. Elements that are never article text are cut off: by their tag (menus, forms, scripts, ...)
+or because they are hidden; by class, id or role only if those mark them and they hold no article, main or h1, nor
+more than half of the text of the article around them (or of the page, where none is around them; an element marked as
+reader comments may hold more, if any other text is left). For every node left, the composite density is its characters per tag,
+adjusted by the share of characters in links; a node's density sum is that of its children. From the node of the
+largest sum, the least density on its path up to the body is the threshold; among nodes that reach the threshold the
+subtree of the largest sum is the article (or the article element around it).
+
+Parsing takes time in proportion to the page, however deep or broken it is: tags that never end are text, and after a
+tag that only ends inside quotes the rest of the page is read without heed of quotes. Unclosed elements end with what
+contains them. Null and empty pages give an empty text; texts of any length stay whole. Repeated rows give a row each, an empty
+table none. Only the columns in `keep` are returned beside text and n_chars; of these names in `keep`, those two win.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![-\w=\"'])(hidden)(?![-\w=])", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([A-Za-z_:][-\w:.]*+)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![-\w=\"'])(hidden)(?![-\w=])", re.S)
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +52,8 @@ MARKS = frozenset(
     "modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus reply replies respond share sharing social related "
     "recommended recommendations widget widgets toolbar skip search form complementary contentinfo dialog disclaimer".split()
 )
+# Of these, words that mark reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 # Words that say nothing of the content: a class name marks if it holds a mark and, beside marks, only these.
 NEUTRAL = frozenset(
     "area articles bar block body bottom box btn button buttons center col column container content div form group head heading icon icons inner item items label left link links list "
@@ -56,110 +64,146 @@ _KEEP = frozenset({"html", "body", "article", "main", "h1"})
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "chars", "links", "tags", "link_tags", "density", "total", "cut", "named")
+    __slots__ = ("tag", "up", "parts", "chars", "links", "tags", "link_tags", "density", "total", "cut", "named", "comments", "kept", "ends", "scope")
 
-    def __init__(self, tag: str, up: Node | None, cut: bool = False, named: bool = False):
-        # named: cut for its class, id or role alone
-        self.tag, self.up, self.cut, self.named = tag, up, cut or named, named and not cut
+    def __init__(self, tag: str, up: Node | None, cut: bool = False, named: bool = False, comments: bool = False):
+        # named: cut for its class, id or role alone; kept: no more to be cut for those
+        self.tag, self.up, self.cut, self.named, self.comments, self.kept = tag, up, cut or named, named and not cut, comments, False
         self.parts: list[Node | str] = []
+        # the nearest element, itself included, of those that others end, if only formatting stands between
+        self.ends: Node | None = self if tag in ENDS else up.ends if up is not None and tag not in BLOCKS else None
+        # the article or main element around it, itself included
+        self.scope: Node | None = self if tag in ("article", "main") else up.scope if up is not None else None
 
 
-def _is_mark(name: str) -> bool:
+def _words_of(name: str) -> set[str]:
+    """The words of a class name, id or role, if it marks and says nothing else; else none."""
     found = {w.lower() for w in _WORDS.findall(name)}
-    return not MARKS.isdisjoint(found) and found <= MARKS | NEUTRAL
+    return found if not MARKS.isdisjoint(found) and found <= MARKS | NEUTRAL else set()
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether its class, id or role marks it."""
-    named = False
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether its class, id or role marks it, and whether as reader comments."""
+    found: set[str] = set()
     if tag in _KEEP or not attributes:
-        return False, False
+        return False, False, False
+    hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         if m[3]:
-            return True, named
+            hidden = True
+            continue
         name, value = m[1].lower(), m[2].strip("\"'")
-        if name in ("class", "id", "role") and any(map(_is_mark, value.split())):
-            named = True
+        if name in ("class", "id", "role"):
+            found = found.union(*map(_words_of, value.split()))
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, named
-    return False, named
+            hidden = True
+    return hidden, bool(found), not COMMENTS.isdisjoint(found)
+
+
+class _Reader:
+    """Where tags end."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at `at`; -1 if there is none."""
+        if at > self.last:
+            return -1
+        page, here = self.page, at
+        while self.quotes and (m := _STOP.search(page, here)) is not None:
+            if m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            here = close + 1
+        # a quote that is never closed, or no end outside quotes: quotes mean nothing from here on
+        self.quotes = False
+        return page.find(">", at)
 
 
 def parse(page: str) -> Node:
     """The page's tree; a node's parts are texts and nodes, `cut` marks what isn't article text."""
-    root = here = Node("#root", None)
-    at, n = 0, len(page)
+    root = Node("#root", None)
+    reader, here, at, n = _Reader(page), root, 0, len(page)
+    opened: dict[str, int] = {}  # elements of each tag that are open
+
+    def climb(to: Node) -> Node:
+        node = here
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.up
+        return to
+
     while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            here.parts.append(page[at])
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            here.parts.append(page[at:end])
+            at = end
+            continue
+        if (m := _MARKUP.match(page, at)) is not None:
+            at = m.end()
+            continue
+        m = _TAG.match(page, at)
+        end = reader.tag_end(m.end()) if m is not None else -1
+        if end < 0:
+            here.parts.append("<")
             at += 1
             continue
-        at = m.end()
-        if m[4] is not None:
-            here.parts.append(m[4])
-        elif m[2] is not None:
-            tag = m[2].lower()
-            if m[1]:
+        at, tag, attributes = end + 1, m[2].lower(), page[m.end() : end]
+        if m[1]:
+            if opened.get(tag):
                 node = here
-                while node is not None and node.tag != tag:
+                while node.tag != tag:
                     node = node.up
-                if node is not None and node.up is not None:
-                    here = node.up
-                elif tag in ("p", "br"):
-                    here.parts.append(Node(tag, here))
-                continue
-            node = here
-            while node.tag in ENDS or node.tag not in BLOCKS and node.up is not None:  # formatting may stand between
-                if tag in ENDS.get(node.tag, ()):
-                    here = node.up
-                    break
-                if node.tag in ENDS:
-                    break
-                node = node.up
-            hidden, named = _marks(tag, m[3])
-            made = Node(tag, here, tag in DROPPED or hidden or tag == "header" and not _inside_article(here), named)
-            if tag in ("article", "main", "h1"):
-                _keep_around(here)
-            here.parts.append(made)
-            if tag in RAW and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                made.parts.append(page[at : end.start() if end else n])
-                at = end.end() if end else n
-            elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                here = made
+                here = climb(node.up)
+            elif tag in ("p", "br"):
+                here.parts.append(Node(tag, here))
+            continue
+        if here.ends is not None and tag in ENDS[here.ends.tag]:
+            here = climb(here.ends.up)
+        hidden, named, comments = _marks(tag, attributes)
+        made = Node(tag, here, tag in DROPPED or hidden or tag == "header" and here.scope is None, named, comments)
+        if tag in ("article", "main", "h1"):
+            _keep_around(here)
+        here.parts.append(made)
+        closed = attributes.rstrip().endswith("/")
+        if tag in RAW and not closed:
+            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            made.parts.append(page[at : found.start() if found else n])
+            at = found.end() if found else n
+        elif tag not in VOID and not closed:
+            opened[tag] = opened.get(tag, 0) + 1
+            here = made
     return root
 
 
 def _keep_around(node: Node | None) -> None:
-    while node is not None:
+    while node is not None and not node.kept:
+        node.kept = True
         if node.named:
             node.cut = node.named = False
         node = node.up
 
 
 def _keep_large(root: Node) -> None:
-    """Elements that are cut for their names stay if they hold more than half of the text of a page without article or main."""
+    """Elements that are cut for their names stay if they hold more than half of the text around them: of the article, or of a page without one."""
     order = [root]
     for node in order:
         order += [p for p in node.parts if isinstance(p, Node) and (p.named or not p.cut)]
-    if not any(x.named for x in order) or any(x.tag in ("article", "main") for x in order):
+    if not any(x.named for x in order):
         return
     for node in reversed(order):
         node.chars = sum(len("".join(p.split())) if isinstance(p, str) else p.chars if p.named or not p.cut else 0 for p in node.parts)
+    articles = any(x.tag in ("article", "main") for x in order)
     for node in order:
-        if node.named and 2 * node.chars > root.chars:
+        around = node.scope or (None if articles else root)
+        if node.named and around is not None and (node.chars == around.chars if node.comments else 2 * node.chars > around.chars):
             node.cut = node.named = False
 
 
-def _inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.up
-    return False
-
-
 def _walk(root: Node) -> list[Node]:
     """Nodes that aren't cut off, parents first; without recursion, as trees may be deep."""
     order = [root]
@@ -198,33 +242,23 @@ def article(page: str) -> Node:
     _keep_large(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
-    best = max((x for x in order if x is body or _under(x, body)), key=lambda x: x.total, default=body)
+    order = _walk(body)
+    best = max(order, key=lambda x: x.total)
     path = [best]
-    while path[-1] is not body and path[-1].up is not None:
+    while path[-1] is not body:
         path.append(path[-1].up)
     threshold = min(x.density for x in path)
-    chosen = max((x for x in order if x.density >= threshold and (x is body or _under(x, body))), key=lambda x: x.total, default=best)
+    chosen = max((x for x in order if x.density >= threshold), key=lambda x: x.total, default=best)
     if not chosen.total:
         return body
-    node = chosen
-    while node is not None and node is not body:
-        if node.tag in ("article", "main"):
-            return node
-        node = node.up
+    if chosen.scope is not None and chosen.scope is not body:
+        return chosen.scope
     # a run of paragraphs may be split over sections: go up, below the body, while the parent reaches the threshold
-    while chosen is not body and chosen.up is not body and chosen.up is not None and chosen.up.density >= threshold:
+    while chosen is not body and chosen.up is not body and chosen.up.density >= threshold:
         chosen = chosen.up
     return chosen
 
 
-def _under(node: Node, body: Node) -> bool:
-    while node is not None:
-        if node is body:
-            return True
-        node = node.up
-    return False
-
-
 def text_of(node: Node) -> str:
     """Texts of a subtree in page order: white space inside a block as one space, blocks joined by one space."""
     out: list[str] = []
@@ -255,6 +289,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep`, text and n_chars (its code points)."""
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     texts = df.select(F.col(page).alias("_page"), *keep).mapInArrow(_extract, f"{schema}, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

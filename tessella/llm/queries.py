@@ -68,12 +68,12 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.default_rules()
-    order = quality.plan_cascade(docs.select("text"), rules)
-    counted = quality.features(docs).withColumn("rejected_by", quality.cascade(rules, order))
+    order = quality.plan_cascade(docs, rules)
+    # the result holds the count of repeated windows, so the base rule reads it here
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept")
-    )
+    counted = quality.features(docs).withColumn("base_failed", failed)
+    judged = counted.withColumn("rejected_by", quality.cascade(rules | {"base": F.col("base_failed")}, order))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

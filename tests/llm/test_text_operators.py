@@ -148,6 +148,25 @@ def test_cascade_puts_cheap_rejection_first(spark):
     assert quality.plan_cascade(df, rules)[0] == "always"
 
 
+def test_cascade_orders_by_rejection_per_cost(spark):
+    costs = {"dear": (8.0, 0.4), "cheap": (0.1, 0.1), "idle": (0.1, 0.0), "slow_idle": (1.0, 0.0), "b": (0.2, 0.2)}
+    assert quality.ranked(costs) == ["b", "cheap", "dear", "idle", "slow_idle"]
+    text = " ".join(f"w{i}" for i in range(4000))
+    rows = quality.sample(spark.createDataFrame([(text + str(i),) for i in range(40)], "text string"), sample_rows=40)
+    found = quality.measured(rows, quality.default_rules())
+    assert rows.count() == 40 and found["base"][0] > found["symbols"][0] and found["base"][1] == found["lines"][1] == found["symbols"][1] == 0
+    part = quality.sample(spark.range(4000).selectExpr("concat('t', id) AS text"), sample_rows=400)
+    assert 250 < part.count() < 550
+    assert quality.plan_cascade(rows.limit(0).select("text"), quality.default_rules()) == sorted(quality.default_rules())
+
+
+def test_rejected_by_names_the_first_rule(spark):
+    df = spark.createDataFrame([("# | $ %" * 30,), ("one two",), (" ".join(f"word{chr(97 + i % 26)}{i % 7}" for i in range(60)),)], "text string")
+    order = ["base", "symbols", "word_length", "letters", "lines"]
+    assert [r.rejected_by for r in quality.apply_rules(df, order=order).collect()][1:] == ["base", None]
+    assert [r.rejected_by for r in quality.apply_rules(df, order=order[::-1]).collect()][0] != "base"
+
+
 def base_scores(rows):
     tokens = {i: [*words(t), "\n"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
