@@ -10,7 +10,9 @@ splits, it doubles the hops from each file's start until no new split is reached
 start of the file are records. Pieces between a record's start and its successor are its payload, magic included.
 
 Null payloads count as empty. Rows that repeat both page_id and payload are all responses if the id is the largest of
-its group. A null page_id is smaller than any other. An empty table writes no record.
+its group. A null page_id is smaller than any other. An empty table writes no record. Urls and headers may have any
+length; of a url that holds the magic, one character is written percent-encoded. Other columns are ignored. A file
+whose chain of records doesn't end with the file raises an error.
 """
 
 from __future__ import annotations
@@ -196,32 +198,33 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     payload_bytes and payload_digest are of the record's own payload; a revisit has none, see http_bytes and
     header_digest. The archives are scanned once and what is read is kept in the shared folder: splits may be cut
     differently in a later scan, when executors have come or gone. Without `payloads` only header fields and digests
-    are kept, and no payload column is returned; archives in which a payload holds the magic are then read once more.
+    are kept, and pieces that aren't a whole record by their own header, and no payload column is returned; only if a
+    payload holds whole records in a row, the archives are read once more.
     """
     parsed = _fields(_parsed(_pieces(spark, path))).withColumn("file", F.xxhash64("path"))
-    table = materialize(parsed.select("file", "split", "seq", "bytes", "span", "path", *_NAMES, *["piece"] * payloads), "warc-pieces")
+    if not payloads:
+        parsed = parsed.withColumn("piece", F.when(F.col("bytes").eqNullSafe(F.col("span")), F.lit(None)).otherwise(F.col("piece")))
+    table = materialize(parsed.select("file", "split", "seq", "bytes", "span", "path", *_NAMES, "piece"), "warc-pieces")
     records, places = _chain(table.select("file", "split", "seq", "bytes", "span"))
     spans = records.join(table.select("file", "split", "seq", "bytes", "span"), ["file", "split", "seq"])
     _check_ends(table, spans)
     broken = materialize(spans.filter("bytes <> span").select("file", "at", "span"), "warc-broken")
     some_broken = not broken.isEmpty()
-    if some_broken and not payloads:
-        return read_warc(spark, path).drop("payload")
     # a record of one piece is whole in its row
     one = table.filter(F.col("bytes") == F.col("span")).join(records, ["file", "split", "seq"])
-    if not payloads:
-        return one.select("path", "at", *_NAMES)
-    one = _fields(_parsed(one.select("path", "at", "piece"))).select(*_OUT)
+    one = _fields(_parsed(one.select("path", "at", "piece"))).select(*_OUT) if payloads else one.select("path", "at", *_NAMES)
     if not some_broken:
         return one
     owned = materialize(_split_records(records, places, broken), "warc-owned")
     parts = table.select("file", "split", "seq", "path", "piece").join(owned, ["file", "split", "seq"])
+    if not payloads and not parts.filter(F.col("piece").isNull()).isEmpty():
+        return read_warc(spark, path).drop("payload")
     built = parts.groupBy("file", "at").agg(F.min("path").alias("path"), F.max("span").alias("span"), F.array_sort(F.collect_list(F.struct("piece_at", "piece"))).alias("ps"))
     magic = F.lit(MAGIC).cast("binary")
     glued = F.aggregate(F.slice("ps", 2, F.size("ps")), F.get("ps", F.lit(0))["piece"], lambda a, x: F.concat(a, magic, x["piece"]))
     # pieces after the declared end belong to no record
     many = _parsed(built.select("path", "at", F.substring(glued, F.lit(1), (F.col("span") - len(MAGIC)).cast("int")).alias("piece")))
-    return one.unionByName(_fields(many).select(*_OUT))
+    return one.unionByName(_fields(many).select(*one.columns))
 
 
 _NAMES = ["record_id", "record_type", "target_uri", "refers_to", "header_digest", "http_bytes", "payload_bytes", "payload_digest"]
