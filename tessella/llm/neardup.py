@@ -6,12 +6,14 @@ most 2 * chunks - 1 slots, some chunk differs in at most one (pigeonhole). Each
 as one key per left-out slot, so every pair within that distance shares a key: no such pair is lost. The number of
 chunks follows from the similarity asked for (`Chunks`). Pairs within the distance are confirmed on full sets.
 
-Exact copies collapse first: only one document of each distinct set goes on. Key groups and candidate clusters of more
-than `TILE` documents are cut into pairs of tiles, so a task holds a bounded number of documents; what a task returns
-is a spanning forest of what it has linked, never all pairs.
+Exact copies collapse first: only one document of each distinct set goes on. Key groups of more than `TILE` documents,
+and candidate clusters of more than that or of more than `TILE_SHINGLES` shingles, are cut into pairs of tiles, so a
+task holds a bounded number of documents and of shingles (or one document, if that is longer); what a task returns is
+a spanning forest of what it has linked, never all pairs.
 
 Null texts count as empty. Documents without words are linked with nothing and kept. Rows that share a doc_id count as
-one document; null doc_ids are linked with nothing and kept.
+one document; null doc_ids are linked with nothing and kept. An empty table gives an empty result. Other columns are
+ignored by `near_duplicates` and pass through `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, text_slices, word_hashes
+from .common import distinct, materialize, mix, text_slices, word_hashes
 from .groups import Forest, components, whole_groups
 
 SLOTS = 64
@@ -34,6 +36,8 @@ MISS = 1e-4
 SHINGLE = 5
 #: Documents of a tile. Groups of at most SMALL are compared by shifting rows, larger ones by matrix.
 TILE, SMALL = 2048, 48
+#: Shingles of a tile of texts, about.
+TILE_SHINGLES = 1 << 21
 #: Documents with near candidates, of three numbers each, that may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -77,7 +81,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     sets = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         if n >= size:
-            sets.append(np.unique(rolled[end - n : end - size + 1]))
+            sets.append(distinct(rolled[end - n : end - size + 1]))
         elif n:
             short = np.add.reduce(words[end - n : end] * np.array(powers[:n], np.uint64))
             sets.append(mix(np.array([short + np.uint64(n)], np.uint64)))
@@ -222,11 +226,10 @@ def _link(texts: pa.Array, size: int, percent: int) -> tuple[np.ndarray, np.ndar
     return forest.links()
 
 
-def _tiled(df: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows of each group dealt to pairs of tiles (ta, tb) of at most about TILE rows; groups of up to TILE are one tile."""
-    tiles = F.ceil(F.col(size) / TILE).cast("int")
+def _tiled(df: DataFrame, tiles: Column) -> DataFrame:
+    """Rows dealt to pairs of tiles (ta, tb) of their group, which is to have so many tiles."""
     own = F.when(tiles > 1, F.pmod(F.xxhash64("doc"), tiles)).otherwise(0).cast("int")
-    dealt = df.withColumn("tile", own).withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = df.withColumn("tile", own).withColumn("_o", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
     return dealt.withColumns({"ta": F.least("tile", "_o").cast("long"), "tb": F.greatest("tile", "_o").cast("long")}).drop("_o")
 
 
@@ -236,23 +239,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = materialize(docs.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, fp binary, sig binary"), "dup-base")
     classes = materialize(
-        base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig")),
+        base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"), F.min("n_shingles").alias("shingles")),
         "dup-classes",
     )
     sigs = classes.select("doc", "sig")
     keys = sigs.mapInArrow(_keys(chunks), "doc long, key long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = _tiled(keys.join(shared, "key").join(sigs, "doc"), "key", "n").select("key", "ta", "tb", "doc", "sig")
+    members = _tiled(keys.join(shared, "key").join(sigs, "doc"), F.ceil(F.col("n") / TILE)).select("key", "ta", "tb", "doc", "sig")
     members = members.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
     clusters = materialize(components(members.mapInArrow(_near(chunks), "a long, b long")), "dup-clusters")
-    sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(clusters, "component")
-    sized = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n")
+    member = clusters.withColumnRenamed("node", "doc").join(classes.select("doc", "shingles"), "doc")
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)).alias("tiles"))
+    sized = sizes.join(clusters, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "tiles")
     # up to a bound the clustered ids go to the texts; beyond it both are shuffled
     sized = F.broadcast(sized) if clusters.count() <= BROADCAST_ROWS else sized.hint("merge")
     tiles = _tiled(
         docs.join(sized, "doc_id").withColumnRenamed("doc_id", "doc"),
-        "cluster",
-        "n",
+        F.col("tiles"),
     ).select("cluster", "ta", "tb", "doc", "text")
     tiles = tiles.repartition("cluster", "ta", "tb").sortWithinPartitions("cluster", "ta", "tb", "doc")
     links = tiles.mapInArrow(_confirm(shingle, percent), "a long, b long")
