@@ -7,8 +7,13 @@ queries. Within a code distance r some substring differs in at most r // (number
 values that near in every table retrieves each code within r; these are checked on whole codes, then ranked by the
 exact distance of the original vectors. r is learned on the sample: the least that keeps RECALL of its true neighbours.
 
+How much the probes spare depends on the vectors: where neighbours are near, few bits may be wrong and few rows are
+probed (`probed` tells the share); where the tenth neighbour is nearly as far as the thousandth, nearly all are.
+
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Equal
-distances go to the smaller id. Rows that repeat an id are candidates each, but never of that id's own query.
+distances go to the smaller id. Rows that repeat an id are candidates each, but never of that id's own query; a query
+id that is repeated gets one list, of the nearest to any of its rows. Without vectors or queries the result is empty.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,31 +88,41 @@ class Codes:
         return int(np.ceil(np.quantile(apart, recall))) if apart else self.parts * SUB
 
 
-def probe(index: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query code its number and the rows of `index` within `radius`: one table for each substring."""
+def probed(index: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of queries: the first one's number, and for each the rows of `index` that share a near enough substring.
+
+    Each substring has a table of its own, from value to rows. With `parts` substrings, a code within the radius
+    differs from the query's in at most radius // parts bits of some substring; and after the first
+    (radius % parts) + 1 substrings, in at most one bit less.
+    """
     parts = index.shape[1]
-    allowed = radius // parts
     tables = []
     for j in range(parts):
+        allowed = radius // parts - (j > radius % parts)
         order = np.argsort(index[:, j], kind="stable")
-        tables.append((order, np.searchsorted(index[:, j][order], np.arange(257))))
-    near = [np.flatnonzero(_APART[v] <= allowed) for v in range(256)]
+        bounds = np.searchsorted(index[:, j][order], np.arange(257))
+        near = [np.concatenate([order[bounds[u] : bounds[u + 1]] for u in np.flatnonzero(_APART[v] <= allowed)] or [order[:0]]) for v in np.unique(queries[:, j])]
+        tables.append(dict(zip(np.unique(queries[:, j]).tolist(), near, strict=True)))
     for start in range(0, len(queries), 64):
         own = queries[start : start + 64]
         seen = np.zeros((len(own), len(index)), bool)
-        for j, (order, bounds) in enumerate(tables):
-            for v in np.unique(own[:, j]):
-                rows = np.concatenate([order[bounds[u] : bounds[u + 1]] for u in near[v]])
-                for q in np.flatnonzero(own[:, j] == v):
-                    seen[q, rows] = True
-        for q in range(len(own)):
+        for j, near in enumerate(tables):
+            for q, v in enumerate(own[:, j].tolist()):
+                seen[q, near[v]] = True
+        yield start, seen
+
+
+def probe(index: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query code its number and the rows of `index` within `radius`."""
+    for start, seen in probed(index, queries, radius):
+        for q in range(len(seen)):
             rows = np.flatnonzero(seen[q])
-            yield start + q, rows[_APART[index[rows], own[q]].sum(1, dtype=np.int64) <= radius]
+            yield start + q, rows[_APART[index[rows], queries[start + q]].sum(1, dtype=np.int64) <= radius]
 
 
 def _search(codes: Codes, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["ib", "qb"]):
+        for table, starts in whole_groups(batches, ["tile"]):
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 part = table.slice(start, end - start).combine_chunks()
                 asks = part["asks"].to_numpy(zero_copy_only=False).astype(bool)
@@ -167,11 +182,12 @@ def _tiles(rows: DataFrame, is_query, total: int, codes: Codes, k: int, only: Da
     blocks = max(math.ceil(total / INDEX_BLOCK), min(spread, math.ceil(total / 4096)), 1)
     groups = max(math.ceil(asked / QUERY_BLOCK), 1)
     ib, qb = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups))
-    # each side is copied to the blocks of the other; a tile holds a block of either
+    # a tile holds a block of either side: the stated queries meet all rows, block by block
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    index = rows.select(ib.cast("long").alias("ib"), every(groups).alias("qb"), F.lit(False).alias("asks"), "id", "v")
-    asks = queries.select(every(blocks).alias("ib"), qb.cast("long").alias("qb"), F.lit(True).alias("asks"), "id", "v")
-    tiles = index.unionByName(asks).repartition(blocks * groups, "ib", "qb").sortWithinPartitions("ib", "qb")
+    index = rows.select(ib.cast("long").alias("ib"), every(groups).alias("qb"), "id", "v").select((F.col("ib") * groups + F.col("qb")).alias("tile"), F.lit(False).alias("asks"), "id", "v")
+    asks = queries.select(every(blocks).alias("ib"), qb.cast("long").alias("qb"), "id", "v").select((F.col("ib") * groups + F.col("qb")).alias("tile"), F.lit(True).alias("asks"), "id", "v")
+    # by range, so that no two tiles fall into a task while others have none
+    tiles = index.unionByName(asks).repartitionByRange(blocks * groups, "tile").sortWithinPartitions("tile")
     best = tiles.mapInArrow(_search(codes, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,13 +3,14 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import html, lm, mixing, warc
+from tessella.llm import ann, html, lm, mixing, warc
 
 from .test_other_operators import archived, expected, got
 from .test_text_operators import brute_components, words
@@ -127,3 +128,114 @@ def test_parts_of_articles_with_marked_names():
     page = f"<body><article><header class='entry-header'><h1>Head</h1><p>By line</p></header>{STORY}<section id='related-work'><p>Prior art.</p></section><div class='related-posts'>Else</div></article>"
     text = html.main_text(page)
     assert text.startswith("Head By line") and text.endswith("Prior art.")
+
+
+def test_parts_with_marked_names_that_hold_the_article():
+    page = f"<body><article><div class='widget-content'>{STORY}</div><div class='widget'>Else</div></article>"
+    assert html.main_text(page).startswith("Sentence number 0") and "Else" not in html.main_text(page)
+    talk = "".join(f"<p>Reader {i} says much more than the article itself has to say.</p>" for i in range(30))
+    assert "Reader" not in html.main_text(f"<body><article>{STORY}<section class='comments'>{talk}</section></article>")
+
+
+@pytest.mark.parametrize("bad", ['<a href="x ' * 90_000, "<span>" * 160_000, "<b>" * 200_000 + "</i>" * 100_000, "<p><b>" * 160_000, "<a " * 300_000 + '">"', "<x " + "a" * 1_000_000 + ">y", '<a b="' * 160_000 + ">"])
+def test_broken_pages_take_linear_time(bad):
+    began = time.process_time()
+    html.main_text(bad)
+    whole = time.process_time() - began
+    began = time.process_time()
+    html.main_text(bad[: len(bad) // 8])
+    assert whole < 10 and whole < 30 * max(time.process_time() - began, 0.02)
+
+
+def plain_choice(tree):
+    """The text of the subtree that composite density chooses, by recursion over (tag, parts); no article or marked names."""
+
+    def counts(node):
+        tag, parts = node
+        inner = [counts(p) for p in parts if not isinstance(p, str)]
+        chars = sum(len(p.replace(" ", "")) for p in parts if isinstance(p, str)) + sum(c["chars"] for c in inner)
+        return {"node": node, "inner": inner, "chars": chars, "links": chars if tag == "a" else sum(c["links"] for c in inner), "tags": len(inner) + sum(c["tags"] for c in inner),
+                "link_tags": sum(c["link_tags"] + (c["node"][0] == "a") for c in inner)}
+
+    def density(c, share):
+        for x in c["inner"]:
+            density(x, share)
+        tags, link_tags, links = max(c["tags"], 1), max(c["link_tags"], 1), max(c["links"], 1)
+        inside = c["chars"] / links * tags / link_tags
+        base = math.log(c["chars"] / max(c["chars"] - c["links"], 1) * c["links"] + share * c["chars"] + math.e)
+        c["density"] = 0.0
+        if c["chars"] and (inside > 1 or base <= 1.0000001):
+            c["density"] = c["chars"] / tags * (math.log(inside, base) if base > 1.0000001 else 1.0)
+        c["sum"] = sum(x["density"] for x in c["inner"])
+
+    def paths(c, above=()):
+        yield (*above, c)
+        for x in c["inner"]:
+            yield from paths(x, (*above, c))
+
+    body = counts(tree)
+    density(body, body["links"] / max(body["chars"], 1))
+    every = list(paths(body))
+    top = max(p[-1]["sum"] for p in every)
+    best = [p for p in every if p[-1]["sum"] == top]
+    threshold = {min(x["density"] for x in p) for p in best}
+    options = set()
+    for t in threshold:
+        reach = [p for p in every if p[-1]["density"] >= t]
+        most = max(p[-1]["sum"] for p in reach)
+        for p in (p for p in reach if p[-1]["sum"] == most):
+            p = list(p) if most else list(p[:1])
+            while len(p) > 2 and p[-2]["density"] >= t:
+                p.pop()
+            options.add(" ".join("".join(shown(p[-1]["node"])).split()))
+    return options
+
+
+def shown(node):
+    tag, parts = node
+    gap = [" "] if tag in ("div", "p", "section", "body") else []
+    return gap + [x for p in parts for x in ([p] if isinstance(p, str) else shown(p))] + gap
+
+
+def written(node):
+    tag, parts = node
+    return f"<{tag}>" + "".join(p if isinstance(p, str) else written(p) for p in parts) + f"</{tag}>"
+
+
+def test_density_against_recursion():
+    rng = random.Random(12)
+
+    def grown(depth, tag):
+        kinds = ["span", "b", "a"] if tag in ("p", "span", "b") else ["div", "section", "p", "a"]
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            if tag == "a" or depth == 0 or rng.random() < 0.4:
+                parts.append(" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 25))) + " ")
+            else:
+                parts.append(grown(depth - 1, rng.choice(kinds)))
+        return tag, parts
+
+    for _ in range(300):
+        tree = grown(4, "body")
+        assert html.main_text(f"<html>{written(tree)}</html>") in plain_choice(tree)
+
+
+def test_nearest_prunes_where_neighbours_are_near(spark):
+    """Clustered vectors: the probes look at under 20 % of the rows, and find 0.9 of the true neighbours or more."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(80, 48)) * 4
+    data = (centres[rng.integers(0, 80, 4000)] + rng.normal(size=(4000, 48)) * 0.5).astype(np.float32)
+    codes = ann.Codes(data[:2000].astype(float))
+    own = codes.of(data.astype(float))
+    seen = np.concatenate([s for _, s in ann.probed(own, own[::50], codes.radius)])
+    assert seen.mean() < 0.2
+    within = (ann._APART[own[None, :, :], own[::50][:, None, :]].sum(2) <= codes.radius)
+    assert (seen | ~within).all()  # the pigeonhole: no code within the radius is left out
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    found = ann.nearest(df, lambda i: i % 50 == 0).collect()
+    hits = 0
+    for q in range(0, 4000, 50):
+        d = ((data.astype(float) - data[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 800
