@@ -19,9 +19,21 @@ WINNING = [
 ]
 LOSING_START, LOSING = r"^(no|nope|incorrect|false)\b", "not correct"
 _EDGE = r"[\s\"'`()\[\]{}.,!?;:]+"
-# The forms of a guess, in the order they are tried.
-GUESS_FORMS = ["x is", "is it", "my guess is", "the answer is", "i think it is", "it is", ""]
-_QUESTION = r"(?i)((?:is|does|do|can|could|would|was|are|has|have|did|will)\b[^?.!\n]*\?)"
+# Other mentions that count as pass, but not at the start of a reply.
+PASS_MENTIONS = ["cannot determine", "can't determine"]
+# The patterns of a guess, in the order in which they are tried.
+GUESSES = [
+    r"^\s*x\s+is\s+[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+    r"^\s*is\s+it\s+[\"']?(.+?)[\"']?\??\s*$",
+    r"^\s*my\s+guess\s+is\s+[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+    r"^\s*the\s+answer\s+is\s+[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+    r"^\s*i\s+think\s+it\s+is\s+[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+    r"^\s*it\s+is\s+[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+    r"^\s*[\"']?(.+?)[\"']?\s*[.!?]?\s*$",
+]
+# Verbs that begin a question, and a question about X, which goes before any other.
+_VERBS = "is|are|does|do|can|could|would|should|will|have|has"
+ABOUT_X, QUESTION = rf"(?i)(\b(?:{_VERBS})\s+x\b[^?]*\?)", rf"(?i)(\b(?:{_VERBS})\b[^?]*\?)"
 
 
 def squeeze(text: Column) -> Column:
@@ -45,7 +57,7 @@ def answer_label(text: Column) -> Column:
     def of(t: Column) -> Column:
         first = F.regexp_extract(t, rf"^(yes|no|{'|'.join(PASS)})\b", 1)
         yes, no = t.rlike(r"\byes\b"), t.rlike(r"\bno\b")
-        some_pass = t.rlike(rf"\b({'|'.join(PASS)})\b")
+        some_pass = t.rlike(rf"\b({'|'.join(PASS + PASS_MENTIONS)})\b")
         return (
             F.when(first == YES, F.lit(YES)).when(first == NO, F.lit(NO)).when(first != "", F.lit("pass"))
             .when(yes & no, F.lit(None).cast("string")).when(some_pass, F.lit("pass")).when(yes, F.lit(YES)).when(no, F.lit(NO))
@@ -55,27 +67,26 @@ def answer_label(text: Column) -> Column:
 
 
 def questions_in(text: Column) -> Column:
-    """All questions of a text: those that begin with a question verb, else everything that ends with a question mark."""
-    def of(t: Column) -> Column:
-        strict = F.regexp_extract_all(t, F.lit(_QUESTION), F.lit(1))
-        loose = F.regexp_extract_all(t, F.lit(r"([^?.!\n]+\?)"), F.lit(1))
-        return F.transform(F.when(F.size(strict) > 0, strict).otherwise(loose), squeeze)
+    """All questions of a text: those about X, else all that a question verb begins."""
+    all_of = lambda t, p: F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), squeeze)
+    return let(normalize(text), lambda t: let(all_of(t, ABOUT_X), lambda x: F.when(F.size(x) > 0, x).otherwise(all_of(t, QUESTION))))
+
 
-    return let(normalize(text), of)
+def is_question(text: Column) -> Column:
+    """Whether a text asks about X, or ends as a question that a question verb begins."""
+    return let(normalize(text), lambda t: t.rlike(ABOUT_X) | t.endswith("?") & t.rlike(QUESTION))
 
 
 def best_question(text: Column, most_chars: int = 260) -> Column:
-    """A short text with a question as a whole, else its last question, else null."""
-    return let(
-        F.struct(normalize(text).alias("t"), questions_in(text).alias("q")),
-        lambda x: F.when((F.size(x["q"]) > 0) & (F.length(x["t"]) < most_chars), x["t"]).otherwise(F.try_element_at(x["q"], F.lit(-1))),
-    )
+    """A short text that is a question as a whole, else its last question, else null."""
+    whole = F.when(is_question(text) & (F.length(normalize(text)) < most_chars), normalize(text))
+    return F.coalesce(whole, F.try_element_at(questions_in(text), F.lit(-1)))
 
 
 def guess_entity(text: Column) -> Column:
-    """What a guess names, by the first form that fits; empty if none does."""
+    """What a guess names, by the first pattern that fits; empty if none does."""
     t = squeeze(F.translate(text, "’‘“”", "''\"\""))
-    found = [F.nullif(F.regexp_extract(t, rf"(?is)^{form.replace(' ', chr(92) + 's+')}{chr(92) + 's+' if form else ''}[\"']?(.+?)[\"']?\s*[.!?]?\s*$", 1), F.lit("")) for form in GUESS_FORMS]
+    found = [F.nullif(F.trim(F.regexp_extract(t, f"(?i){pattern}", 1)), F.lit("")) for pattern in GUESSES]
     return F.coalesce(*found, F.lit(""))
 
 
@@ -147,10 +158,16 @@ def asked_variables(text: Column) -> Column:
 
 
 def known_names(text: Column, names: Column) -> Column:
-    """Known names in a `Question:` payload: bracketed ones, else parts between ? , ; and `and`; each once, in order."""
+    """Known names in a `Question:` payload, each once, in order: those in brackets, else those that a part between ? , ; and `and` ends with."""
     payload = F.regexp_extract(text, r"(?is)\bquestion\s*:\s*(.+)$", 1)
-    clean = lambda t: F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"^[\s\[\]`'\".:;,-]+|[\s\[\]`'\".:;,-]+$", ""), r"(?i)^(what is( the value of)?\s+)?(value of\s+)?(gene\s+)?(is\s+)?", "")))
-    known = lambda xs: F.array_distinct(F.flatten(F.transform(xs, lambda t: F.filter(names, lambda n: F.lower(n) == clean(t)))))
+
+    def named(part: Column) -> Column:
+        bare = F.lower(F.regexp_replace(part, r"\W+$", ""))
+        before = lambda n: F.substring(bare, F.length(bare) - F.length(n), F.lit(1))
+        ends = lambda n: F.endswith(bare, F.lower(n)) & ((F.length(bare) == F.length(n)) | ~before(n).rlike(r"\w"))
+        return F.filter(names, ends)
+
+    known = lambda parts: F.array_distinct(F.flatten(F.transform(parts, named)))
     bracketed = known(F.regexp_extract_all(payload, F.lit(r"\[([^\]]+)\]"), F.lit(1)))
     return F.when(F.size(bracketed) > 0, bracketed).otherwise(known(F.split(payload, r"(?i)\?|,|;|\band\b")))
 
@@ -206,8 +223,12 @@ def literal_map(literals: Column) -> Column:
 
 
 def python_literal_to_json(cell: Column) -> Column:
-    """A printed Python list or dict of plain values as JSON text."""
-    quoted = F.regexp_replace(cell, r"'", '"')
+    """A printed Python list or dict of plain values as JSON text.
+
+    A quote mark begins or ends a value only beside a bracket, comma or colon; others, such as apostrophes, stay.
+    """
+    safe = F.replace(F.regexp_replace(cell, r"(?<=[^\[{(,:\s\\])\\?'(?=[^\]}),:\s])", "\u2019"), F.lit("\\'"), F.lit("\u2019"))
+    quoted = F.replace(F.replace(safe, F.lit("'"), F.lit('"')), F.lit("\u2019"), F.lit("'"))
     words = F.regexp_replace(F.regexp_replace(quoted, r"\bNone\b", "null"), r"\bTrue\b", "true")
     return F.regexp_replace(F.translate(F.regexp_replace(words, r"\bFalse\b", "false"), "()", "[]"), r",\s*\]", "]")
 

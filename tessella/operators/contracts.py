@@ -20,10 +20,14 @@ def missing_properties(found: DataFrame, required: DataFrame, keys: list[str]) -
 
 
 def field_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, pos, field, type, nullable) of each table's schema."""
-    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable) for t, df in tables.items() for i, f in enumerate(df.schema)]
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "`table` string, pos int, field string, type string, nullable boolean")
+    """(table, pos, field, type, nullable, n_rows, n_nulls) of each table: its schema, and one aggregation over its rows."""
+    out = None
+    for t, df in tables.items():
+        kind = lambda i, f: [F.lit(i).alias("pos"), F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable")]
+        each = [F.struct(*kind(i, f), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f.name).isNull()).alias("n_nulls")) for i, f in enumerate(df.schema)]
+        rows = df.agg(F.array(*each).alias("f")).select(F.lit(t).alias("table"), F.inline("f"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import setscore
+from . import curate
+
 
 def scoped(df: DataFrame, scopes: list[str], aggregates: list[Column]) -> DataFrame:
     """Aggregates overall and by each of `scopes`: a scope column is null where its row is of another scope; `scope` names it."""
@@ -23,7 +26,7 @@ def macro_accuracy(df: DataFrame, sample: str, correct: str, scopes: list[str])
     return scoped(means, scopes, [F.avg("_m").alias("macro_accuracy")])
 
 
-def episode_metrics(episodes: DataFrame, scopes: list[str], sample: str = "sample_id") -> DataFrame:
+def episode_metrics(episodes: DataFrame, scopes: list[str], sample: str = "sample_id", more: tuple[Column, ...] = ()) -> DataFrame:
     """Totals, micro and macro accuracy, answer rate, and averages of questions, F1, Jaccard, tokens, turns and overhead.
 
     episodes: sample_id, correct, answered, n_questions, k, f1, jaccard, tokens, turns and the scope columns. Episodes
@@ -36,7 +39,7 @@ def episode_metrics(episodes: DataFrame, scopes: list[str], sample: str = "sampl
             F.count(F.lit(1)).alias("total_episodes"), d("correct").alias("micro_accuracy"), d("answered").alias("answer_rate"),
             d("n_questions").alias("avg_questions_used"), d("f1").alias("avg_minset_f1"), d("jaccard").alias("avg_minset_jaccard"),
             d("tokens").alias("avg_thinking_tokens"), d("turns").alias("avg_num_turns_used"),
-            F.avg((F.col("n_questions") - F.col("k")).cast("double")).alias("avg_overhead_questions"),
+            F.avg((F.col("n_questions") - F.col("k")).cast("double")).alias("avg_overhead_questions"), *more,
         ],
     )
     macro = macro_accuracy(episodes, sample, "correct", scopes)
@@ -47,6 +50,45 @@ def episode_metrics(episodes: DataFrame, scopes: list[str], sample: str = "sampl
     return core.join(macro, condition).select(*[core[c] for c in core.columns], macro["macro_accuracy"])
 
 
+def question_metrics(episodes: DataFrame, scopes: list[str], sample: str = "sample_id") -> DataFrame:
+    """`episode_metrics` of dialogues whose questions are matched with wanted ones, with errors and question-level precision.
+
+    episodes: sample_id, correct, answered, error, asked, matched (the distinct matches), n_matched (questions with a
+    match), wanted, tokens, turns, k and the scope columns. F1 is of the matches, Jaccard of the questions as asked.
+    """
+    rows = episodes.withColumns({
+        "n_questions": F.size("asked"), "f1": setscore.one_set_f1(F.col("matched"), F.col("wanted")), "jaccard": setscore.one_set_jaccard(F.col("asked"), F.col("wanted")),
+        "precision": F.when(F.size("asked") > 0, F.col("n_matched") / F.size("asked")).otherwise(0.0),
+    })
+    more = (F.count_if("error").alias("n_episode_errors"), F.avg("precision").alias("avg_question_precision"))
+    return episode_metrics(rows, scopes, sample, more)
+
+
+def scored_rows(df: DataFrame, correct: str, scopes: list[str]) -> DataFrame:
+    """Rows, scored rows, accuracy over them, right and wrong ones: overall and in each scope. A null verdict isn't scored."""
+    c = F.col(correct)
+    return scoped(df, scopes, [
+        F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_scored"), F.avg(c.cast("double")).alias("accuracy"), F.count_if(c).alias("n_correct"), F.count_if(~c).alias("n_incorrect"),
+    ])
+
+
+def coverage(df: DataFrame, k: str, depth: str, flags: list[str]) -> DataFrame:
+    """One row: rows by k and by depth bucket as text, the number of rows with each flag, and of all rows.
+
+    Rows are counted by (k, bucket) first; only these cells, a handful, are listed.
+    """
+    bucket = curate.depth_bucket(F.col(depth)).alias("_b")
+    cells = df.groupBy(F.col(k).alias("_k"), bucket).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(f).alias(f"n_{f}") for f in flags])
+
+    def listed(by: str) -> Column:
+        one = F.array_sort(F.collect_set(by))
+        every = F.collect_list(F.struct(F.col(by).alias("v"), "_n"))
+        total = lambda v: F.aggregate(F.filter(every, lambda x: x["v"] == v), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+        return F.array_join(F.transform(one, lambda v: F.concat(v.cast("string"), F.lit("="), total(v).cast("string"))), ", ")
+
+    return cells.agg(listed("_k").alias("by_k"), listed("_b").alias("by_depth"), *[F.sum(f"n_{f}").alias(f"n_{f}") for f in flags], F.sum("_n").alias("n"))
+
+
 def pooled_rates(turns: DataFrame, scopes: list[str], flags: list[str]) -> DataFrame:
     """Rates over all turns pooled: turns of long episodes count as often as they occur."""
     return scoped(turns, scopes, [F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags])

@@ -64,9 +64,10 @@ def labels_of_others(labels: DataFrame, owner: str, label: str) -> DataFrame:
 def prefix_lookup(df: DataFrame, name: str, table: DataFrame, prefix: str, order: str, value: str, default: Column) -> DataFrame:
     """Add `value` of the first entry of a small table, in its order, that `name` equals or starts with.
 
-    Names are cut to the lengths that prefixes have, so that the join is on equality.
+    Names are cut to the lengths that prefixes have (as many as the longest prefix has characters, at most), so that
+    the join is on equality.
     """
-    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().limit(1000).collect()]
+    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().collect()]
     cut = F.array(*[F.when(F.length(name) >= n, F.substring(F.col(name), 1, n)) for n in sorted(lengths)])
     names = df.select(name).distinct().withColumn("_p", F.explode(F.array_compact(cut)))
     found = names.join(table.select(F.col(prefix).alias("_p"), order, value), "_p").groupBy(name).agg(F.min_by(value, order).alias(value))

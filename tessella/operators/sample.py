@@ -60,11 +60,18 @@ def one_index(size: Column, seed: int, *key: Column) -> Column:
     return F.pmod(F.conv(F.substring(draw(seed, *key), 1, 8), 16, 10).cast("long"), size)
 
 
-def balanced_schedule(df: DataFrame, levels: int, seed: int, key: str, buckets: int = 64) -> DataFrame:
-    """Add k: levels 1 to `levels` in equal numbers over the shuffled rows (within each of `buckets` hash buckets)."""
-    bucketed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy(draw(seed, F.col(key)), key)
-    return bucketed.withColumn("k", F.pmod(F.row_number().over(w) - 1 + F.col("_b"), F.lit(levels)) + 1).drop("_b")
+def balanced_schedule(df: DataFrame, levels: int, seed: int, key: str) -> DataFrame:
+    """Add k: levels 1 to `levels` in turn over the shuffled rows, so that their numbers differ by one at most.
+
+    Rows are ranked within 4,096 buckets of the shuffle, which follow each other; counts of the buckets give the offsets.
+    """
+    drawn = df.withColumn("_d", draw(seed, F.col(key))).withColumn("_b", F.substring("_d", 1, 3))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = drawn.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key))
+    # 4,096 rows at most
+    placed = drawn.withColumn("_r", own).join(F.broadcast(offsets), "_b")
+    return placed.withColumn("k", F.pmod(F.col("_o") + F.col("_r") - 1, F.lit(levels)) + 1).drop("_b", "_d", "_r", "_o")
 
 
 def hardest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

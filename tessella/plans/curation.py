@@ -142,10 +142,11 @@ def policy_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an append-only log, in two appends, compacted to the last line of each key and read back."""
+    """Events as an append-only log in two appends, of which the second names half of the keys again, compacted and read back."""
     place = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key"))
-    io.append_log(rows.agg(F.max("event_id").cast("string").alias("result")).coalesce(1), f"{place}/log")
+    events = table(spark, sf_dir, "events").withColumn("key", F.col("user_id").cast("string"))
+    io.append_log(events.groupBy("key").agg(F.max("event_id").cast("string").alias("result")), f"{place}/log")
+    io.append_log(events.filter("user_id % 2 = 0").groupBy("key").agg(F.min("event_id").cast("string").alias("result")), f"{place}/log")
     io.compact_log(spark, f"{place}/log", f"{place}/compact")
     return io.read_log(spark, f"{place}/compact").select("key", "result")
 
@@ -159,8 +160,10 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents 50 to 150 that have no label yet."""
-    return io.remaining(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", 50, 150)
+    """Documents, from the least to the largest id, that have no label yet."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    first, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return io.remaining(docs, table(spark, sf_dir, "labels"), "doc_id", first or 0, last or 0)
 
 
 QUERIES = {
@@ -195,7 +198,7 @@ ORACLES = {
       SELECT problem_id, context, CASE WHEN n = 0 THEN 'none' WHEN n > 1 THEN 'not unique' WHEN y <> 0 THEN 'other' ELSE 'ok' END AS verdict FROM s""",
     "sampled_subsets": f"WITH {_LISTS}, u AS (SELECT o, unnest(items) AS i FROM b), p AS (SELECT a.o AS problem_id, a.i || ',' || c.i AS s FROM u a JOIN u c ON a.o = c.o AND a.i < c.i) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY md5('42|' || s), s) <= 10",
     "policy_choices": f"WITH {_LISTS}, u AS (SELECT o, items, unnest(items) AS i FROM b), n AS (SELECT o, i, row_number() OVER (PARTITION BY o ORDER BY md5('42|' || o || '|' || i), i) AS p FROM u WHERE i <> items[1] AND i <> 'I05') SELECT b.o, coalesce(string_agg(i, ',' ORDER BY p), '') AS asked FROM b LEFT JOIN n ON n.o = b.o AND p <= 2 GROUP BY 1",
-    "log_compaction": "SELECT user_id::VARCHAR AS key, max(event_id)::VARCHAR AS result FROM events GROUP BY 1",
+    "log_compaction": "SELECT user_id::VARCHAR AS key, CASE WHEN user_id % 2 = 0 THEN min(event_id) ELSE max(event_id) END::VARCHAR AS result FROM events GROUP BY user_id",
     "csv_round_trip": f"WITH {_LISTS} SELECT o, array_to_string(items, ',') AS items FROM b",
-    "resume_rows": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id) WHERE doc_id BETWEEN 50 AND 150",
+    "resume_rows": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)",
 }

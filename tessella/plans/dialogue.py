@@ -48,6 +48,19 @@ def reply_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def message_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, question and guess of each message, with a question of one of four forms put after every second one."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("turn") % len(ASKED) + 1).cast("int"))
+    t = F.when(F.col("turn") % 2 == 1, F.concat(F.substring("text", 1, 200), F.lit(" "), asked)).otherwise(asked)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
+    said = F.col("t")
+    return rows.select("conv_id", "turn", tx.answer_label(said).alias("label"), tx.is_question(said).alias("is_question"), tx.best_question(said).alias("question"), tx.guess_entity(said).alias("guess"))
+
+
+# Forms of replies that the given conversations lack.
+ASKED = ["Is X alive? Could it fly?", "My guess is \"Rome\".", "One cannot determine that.", "Should we go on?", "It is a dog!", "Yes, or no."]
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.compact_transcript(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
@@ -103,10 +116,12 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "section")
 
 
-QUERIES = {f.__name__: f for f in (dialogue_pairs, dialogue_metrics, turn_features, reply_actions, transcripts, role_tokens, turns_to_clarity, turn_of_coverage, running_ambiguity, latest_events, log_breaks, section_lines)}
+QUERIES = {f.__name__: f for f in (dialogue_pairs, dialogue_metrics, turn_features, reply_actions, message_questions, transcripts, role_tokens, turns_to_clarity, turn_of_coverage, running_ambiguity, latest_events, log_breaks, section_lines)}
 
 _NORM = r"trim(regexp_replace(regexp_replace(translate(text, '’‘“”–—', '''''\"\"--'), '\*+', '', 'g'), '\s+', ' ', 'g'))".replace('\\"', '"')
 _PASS = "|".join(tx.PASS)
+_MENTIONS = "|".join(tx.PASS + tx.PASS_MENTIONS).replace("'", "''")
+_SQL = lambda pattern: pattern.replace("'", "''")
 ORACLES = {
     "dialogue_pairs": _PAIRS + " SELECT * FROM r",
     "dialogue_metrics": _PAIRS + r""", c AS (SELECT conv_id, count(*) AS n_pairs, count(*) FILTER (is_repeat) AS n_repeats, sum(len(regexp_extract_all(question, '\S+'))) AS q,
@@ -115,10 +130,18 @@ ORACLES = {
       SELECT length, CASE WHEN grouping(length) = 0 THEN 'length' ELSE 'overall' END AS scope, count(*) AS dialogues, sum(n_pairs)::BIGINT AS pairs, sum(n_repeats)::BIGINT AS repeats,
         round(avg(q::DOUBLE), 6) AS avg_question_tokens, round(avg(a::DOUBLE), 6) AS avg_answer_tokens FROM d GROUP BY GROUPING SETS ((), (length))""",
     "turn_features": rf"""WITH t AS (SELECT *, lower({_NORM}) AS n, {_NORM} AS m, list_last(string_split_regex(text, '(?i)answer\s*:')) AS tail FROM conversations),
-      f AS (SELECT *, regexp_extract(n, '^(yes|no|{_PASS})\b', 1) AS first, regexp_matches(n, '\byes\b') AS y, regexp_matches(n, '\bno\b') AS o, regexp_matches(n, '\b({_PASS})\b') AS s FROM t)
+      f AS (SELECT *, regexp_extract(n, '^(yes|no|{_PASS})\b', 1) AS first, regexp_matches(n, '\byes\b') AS y, regexp_matches(n, '\bno\b') AS o, regexp_matches(n, '\b({_MENTIONS})\b') AS s FROM t)
       SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n_tokens, len(regexp_extract_all(m, '([^?.!\n]+\?)')) AS n_questions,
         CASE WHEN first IN ('yes', 'no') THEN first WHEN first <> '' THEN 'pass' WHEN y AND o THEN NULL WHEN s THEN 'pass' WHEN y THEN 'yes' WHEN o THEN 'no' END AS label,
         try_cast(nullif(regexp_extract(tail, '[-+]?\d+(?:\.\d+)?'), '') AS DOUBLE) AS number, regexp_matches(text, '(?im)^\s*answer\s*:\s*(.+?)\s*$') AS has_answer FROM f""",
+    "message_questions": rf"""WITH a AS (SELECT conv_id, turn, [{", ".join("'" + _SQL(q) + "'" for q in ASKED)}][(turn % {len(ASKED)} + 1)::INT] AS q, text FROM conversations),
+      s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN substr(text, 1, 200) || ' ' || q ELSE q END AS text FROM a), t AS (SELECT *, {_NORM} AS m, lower({_NORM}) AS n FROM s),
+      f AS (SELECT *, regexp_extract(n, '^(yes|no|{_PASS})\b', 1) AS first, regexp_matches(n, '\byes\b') AS y, regexp_matches(n, '\bno\b') AS o, regexp_matches(n, '\b({_MENTIONS})\b') AS s,
+        regexp_extract_all(m, '{tx.ABOUT_X}', 1) AS x, regexp_extract_all(m, '{tx.QUESTION}', 1) AS g, trim(regexp_replace(text, '\s+', ' ', 'g')) AS z FROM t),
+      b AS (SELECT *, len(x) > 0 OR (ends_with(m, '?') AND len(g) > 0) AS is_question FROM f)
+      SELECT conv_id, turn, CASE WHEN first IN ('yes', 'no') THEN first WHEN first <> '' THEN 'pass' WHEN y AND o THEN NULL WHEN s THEN 'pass' WHEN y THEN 'yes' WHEN o THEN 'no' END AS label, is_question,
+        coalesce(CASE WHEN is_question AND length(m) < 260 THEN m END, list_last(CASE WHEN len(x) > 0 THEN x ELSE g END)) AS question,
+        coalesce({", ".join(f"nullif(trim(regexp_extract(z, '(?i){_SQL(p)}', 1)), '')" for p in tx.GUESSES)}, '') AS guess FROM b""",
     "role_tokens": r"""WITH c AS (SELECT role, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS tokens FROM conversations)
       SELECT role, CASE WHEN grouping(role) = 0 THEN 'role' ELSE 'overall' END AS scope, count(*) AS messages, sum(tokens)::BIGINT AS tokens, round(avg(tokens::DOUBLE), 6) AS avg_tokens FROM c GROUP BY GROUPING SETS ((), (role))""",
     "transcripts": """SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS system,

@@ -57,7 +57,7 @@ def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first market segment, in alphabetical order, that has a customer of the supplier's nation."""
-    pools = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("pool"), F.col("c_mktsegment").alias("pool_pos"), F.col("c_nationkey").alias("n")).filter("n < 20")
+    pools = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("pool"), F.col("c_mktsegment").alias("pool_pos"), F.col("c_nationkey").alias("n"))
     items = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
     return relate.first_pool(items, "n", pools, "pool", "pool_pos", "n", "none").select("s_suppkey", "pool")
 
@@ -91,7 +91,7 @@ def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def setting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers of equal number whose nations differ, as two versions of a manifest."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").alias("value"))
-    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("value")).filter("name <= 60")
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("value"))
     return relate.setting_changes(a, b, "name", "value")
 
 
@@ -110,8 +110,12 @@ def key_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.key_problems(table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey")
 
 
+FIELDS = {"orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "documents": "doc_id text lang source n_chars", "labels": "doc_id quality toxic"}
+
+
 def field_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.field_inventory({t: table(spark, sf_dir, t) for t in ("orders", "documents", "labels")})
+    """Fields of three tables, with the rows and nulls of each."""
+    return contracts.field_inventory({t: table(spark, sf_dir, t) for t in FIELDS}).select("table", "pos", "field", "n_rows", "n_nulls")
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,18 +139,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "field_inventory": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {i} AS pos, '{f}' AS field, count(*) AS n_rows, count(*) - count({f}) AS n_nulls FROM {t}" for t, fs in FIELDS.items() for i, f in enumerate(fs.split())),
     "contained_sets": f"WITH {_BASKETS} SELECT c, small, large FROM p",
     "minimal_baskets": f"WITH {_BASKETS} SELECT c, o FROM b ANTI JOIN (SELECT DISTINCT c, large AS o FROM p) USING (c, o)",
     "union_of_contained": f"WITH {_BASKETS} SELECT c, large AS o, array_to_string(list_sort(list_distinct(flatten(list(ai)))), ',') AS union FROM p GROUP BY ALL",
     "differ_on_one": f"WITH {_BASKETS}, d AS (SELECT a.c, a.o AS a, g.o AS b, [x FOR x IN a.items IF NOT list_contains(g.items, x)] AS da, [x FOR x IN g.items IF NOT list_contains(a.items, x)] AS db FROM b a JOIN b g ON a.c = g.c AND a.o % 2 = 0 AND g.o % 2 = 1) SELECT c, a, b, da[1] AS dropped_a, db[1] AS dropped_b FROM d WHERE len(da) = 1 AND len(db) = 1",
     "foreign_labels": "WITH l AS (SELECT DISTINCT c_nationkey, c_custkey % 40 AS label FROM customer) SELECT * FROM (SELECT DISTINCT c_nationkey FROM l), (SELECT DISTINCT label FROM l) EXCEPT SELECT * FROM l",
     "price_lookup": "WITH q AS (SELECT prefix, max(p_size)::DOUBLE AS price FROM (SELECT substr(p_type, 1, 3) AS prefix, p_size FROM part WHERE p_type < 'M' UNION ALL SELECT substr(p_type, 1, 5), p_size FROM part WHERE p_type > 'N') GROUP BY 1) SELECT p_partkey, p_type, coalesce((SELECT arg_min(price, prefix) FROM q WHERE starts_with(p_type, prefix)), 0) AS price FROM part",
-    "first_pool": "SELECT s_suppkey, coalesce((SELECT min(c_mktsegment) FROM customer WHERE c_nationkey = s_nationkey AND c_nationkey < 20), 'none') AS pool FROM supplier",
+    "first_pool": "SELECT s_suppkey, coalesce((SELECT min(c_mktsegment) FROM customer WHERE c_nationkey = s_nationkey), 'none') AS pool FROM supplier",
     "filled_grid": "SELECT o_orderpriority, o_orderstatus, coalesce(n, 0) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) LEFT JOIN (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL) USING (o_orderpriority, o_orderstatus)",
     "set_differences": "WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A') SELECT *, 'extra' AS status FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'missing' FROM (FROM b EXCEPT FROM a)",
     "unanswered": "WITH d AS (SELECT doc_id, sha256(text) AS key FROM documents) SELECT DISTINCT key FROM d EXCEPT SELECT key FROM d JOIN labels USING (doc_id)",
     "orphan_labels": "SELECT c_custkey AS k, c_nationkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
-    "setting_changes": "SELECT coalesce(s_suppkey, c_custkey) AS name, s_nationkey AS current, c_nationkey AS stored FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 60) ON s_suppkey = c_custkey WHERE s_nationkey IS DISTINCT FROM c_nationkey",
+    "setting_changes": "SELECT coalesce(s_suppkey, c_custkey) AS name, s_nationkey AS current, c_nationkey AS stored FROM supplier FULL JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey IS DISTINCT FROM c_nationkey",
     "first_texts": "SELECT substr(md5(text), 1, 12) AS id, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1",
     "zipped_lists": "SELECT a.l_orderkey, a.pos, a.a, b.b FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS pos, l_partkey AS a FROM lineitem) a JOIN (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS pos, l_suppkey AS b FROM lineitem) b USING (l_orderkey, pos)",
     "key_problems": "SELECT l_orderkey, count(*) AS n, 'duplicate' AS problem FROM lineitem GROUP BY 1 HAVING count(*) > 1",

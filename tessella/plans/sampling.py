@@ -75,8 +75,8 @@ def shuffled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers per level of a balanced schedule of four."""
-    return sample.balanced_schedule(table(spark, sf_dir, "customer").select("c_custkey"), 4, SEED, "c_custkey").groupBy("k").count()
+    """Customers with their level in a balanced schedule of four."""
+    return sample.balanced_schedule(table(spark, sf_dir, "customer").select("c_custkey"), 4, SEED, "c_custkey")
 
 
 def curation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,7 @@ QUERIES = {
 _QUOTA = """p AS (SELECT *, p_size % 4 AS cell FROM part), u AS (SELECT * FROM p WHERE p_retailprice > 950 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type, cell ORDER BY p_partkey) = 1),
   a AS (SELECT *, row_number() OVER (PARTITION BY p_brand, cell ORDER BY p_partkey) AS quota_rank FROM u QUALIFY quota_rank <= 5)"""
 ORACLES = {
+    "balanced_levels": "SELECT c_custkey, (row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) - 1) % 4 + 1 AS k FROM customer",
     "stratified_orders": "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 30",
     "sized_strata": "SELECT o_orderkey, o_orderstatus FROM orders QUALIFY o_orderstatus NOT IN ('F', 'O') OR row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) <= CASE o_orderstatus WHEN 'F' THEN 200 ELSE 50 END",
     "uniform_sample": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY md5('42|' || c_custkey), c_custkey LIMIT 100",

@@ -51,7 +51,7 @@ def stream_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
     covered = jobs.live_coverage(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", types, "36500 days")
     return _drained(covered, _place(spark, "coverage"), "append").select("user_id", F.col("covered_at").cast("timestamp_ntz").alias("covered_at"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,46 @@ def read_episodes(spark: SparkSession, arrays: str | None, lines: str | None, sc
     return out
 
 
+def read_tasks(spark: SparkSession, path: str, schema: str, task: Column, wanted: list[str]) -> DataFrame:
+    """Problems from JSON lines whose derived task is wanted; lines that are no JSON are left out."""
+    rows = read_json_lines(spark, path, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows.withColumn("task", task).filter(F.col("task").isin(wanted))
+
+
+def sniffed(cell: Column) -> Column:
+    """A text cell as JSON text of its value: true and false in any case, numbers, JSON objects and lists; other text as a string; empty as null.
+
+    One column has one type in a table, so the value stays JSON text until a schema is applied.
+    """
+    t = F.trim(cell)
+    number = F.when(t.rlike(r"^[-+]?\d+$"), t.try_cast("bigint").cast("string")).when(t.rlike(r"^[-+]?(\d+\.\d*|\.\d+)([eE][-+]?\d+)?$"), t.try_cast("double").cast("string"))
+    flag = F.when(F.lower(t).isin("true", "false"), F.lower(t))
+    nested = F.when(t.rlike(r"^[\[{]"), F.coalesce(F.to_json(F.from_json(t, "map<string,string>")), F.when(F.json_array_length(t).isNotNull(), t)))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(t != "", F.coalesce(flag, number, nested, quoted))
+
+
+def result_parts(spark: SparkSession, path: str, metrics: str, episodes: str, episode_schema: str) -> tuple[DataFrame, DataFrame]:
+    """From result documents of one JSON object each: (file, name, value) of the numbers in object `metrics`, and (file, episode columns) of list `episodes`."""
+    schema = f"`{metrics}` map<string,string>, `{episodes}` array<struct<{episode_schema}>>"
+    docs = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    numbers = docs.select("file", F.explode(F.col(metrics)).alias("name", "value")).withColumn("value", F.col("value").try_cast("double")).filter("value is not null")
+    return numbers, docs.select("file", F.inline(F.col(episodes)))
+
+
+def with_questions(problems: DataFrame, questions: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
+    """Problems with their question lists, from `fallback` where the first source has none; an empty list where neither has."""
+    first = questions.select(key, F.col("questions").alias("_a"))
+    other = fallback.select(key, F.col("questions").alias("_b"))
+    return problems.join(first, key, "left").join(other, key, "left").withColumn("questions", F.coalesce("_a", "_b", F.array().cast("array<string>"))).drop("_a", "_b")
+
+
+def write_statistics(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Statistics as JSON with sorted fields and as CSV with the given columns in order, below one folder."""
+    df.select(*sorted(columns)).write.json(f"{path}/json")
+    df.select(*columns).write.option("header", True).csv(f"{path}/csv")
+
+
 def files_of(spark: SparkSession, path: str, pattern: str = "*", excluded: str | None = None) -> DataFrame:
     """(path, name, modified, bytes) of files below a folder whose name fits; content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -48,23 +90,33 @@ def last_file(files: DataFrame, by: list[str], newest: bool = False) -> DataFram
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(key, result, file, line): an append-only log of {key, result} lines; lines that don't parse are left out.
+    """(key, result, batch, pos, file, line): an append-only log of JSON lines; lines that don't parse are left out.
 
-    `line` orders lines within a file: the scan's row number, which follows the file's order.
+    Later lines have a greater (batch, pos, file, line). `batch` and `pos` are what `append_log` wrote: the append's time
+    in nanoseconds and the row's place in it. Lines of another writer lack both; their file's time stands for the first.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    parsed = text.withColumn("_j", F.from_json("value", "key string, result string"))
-    return parsed.filter(F.col("_j.key").isNotNull()).select("_j.key", "_j.result", "file", "line")
+    written = (F.unix_micros("_metadata.file_modification_time") * 1000).alias("written")
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), written, F.monotonically_increasing_id().alias("line"))
+    parsed = text.withColumn("_j", F.from_json("value", "key string, result string, batch long, pos long"))
+    return parsed.filter(F.col("_j.key").isNotNull()).select("_j.key", "_j.result", F.coalesce("_j.batch", "written").alias("batch"), "_j.pos", "file", "line")
+
+
+def append_log(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append (key, result) rows as one batch, by default numbered by the time in nanoseconds; later rows of `df` are later lines."""
+    number = time.time_ns() if batch is None else batch
+    rows = df.select("key", "result", F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("pos"))
+    rows.write.mode("append").json(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.select("key", "result").write.mode("append").json(path)
+def latest_lines(log: DataFrame) -> DataFrame:
+    """The last line of each key, by one aggregation."""
+    order = F.struct("batch", "pos", "file", "line")
+    return log.groupBy("key").agg(F.max_by(F.struct("result", "batch", "pos"), order).alias("_l")).select("key", "_l.*")
 
 
 def compact_log(spark: SparkSession, path: str, out: str) -> None:
-    """One line for each key, the last in (file, line) order, sorted by key within range-partitioned files."""
-    latest = read_log(spark, path).groupBy("key").agg(F.max_by("result", F.struct("file", "line")).alias("result"))
-    latest.orderBy("key").write.mode("overwrite").json(out)
+    """One line for each key, the latest, sorted by key within range-partitioned files; later appends still win over it."""
+    latest_lines(read_log(spark, path)).orderBy("key").write.mode("overwrite").json(out)
 
 
 def remaining(rows: DataFrame, log: DataFrame, index: str, start: int, end: int) -> DataFrame:

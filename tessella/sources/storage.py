@@ -10,10 +10,12 @@ _own_dir: str | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests) a temporary folder, which is then also set for the session's context."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a local master only, which is then also set for the context."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="tessella-")
         found = _own_dir

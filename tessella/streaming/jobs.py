@@ -28,8 +28,10 @@ def latest_wins(stream: DataFrame, table: str, key: str, sequence: str, checkpoi
 
 
 def read_latest(spark: SparkSession, table: str, query) -> DataFrame:
-    """The table that a finished `latest_wins` query left."""
-    return spark.read.parquet(f"{table}/v{query.lastProgress['batchId']}")
+    """The table that a finished `latest_wins` query left: its newest whole version, also if the last run had no data."""
+    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(table)
+    newest = versions.agg(F.max(F.regexp_extract("path", r"/v(\d+)/[^/]+$", 1).cast("int"))).first()[0]
+    return spark.read.parquet(f"{table}/v{newest}")
 
 
 def metric_board(stream: DataFrame, by: list[str], flag: str) -> DataFrame:
@@ -52,9 +54,10 @@ def live_coverage(stream: DataFrame, episode: str, item: str, time: str, needed:
             state.remove()
             return
         first, n, done = state.get if state.exists else ([-1] * len(names), 0, False)
-        first = list(first)
+        first, latest = list(first), 0
         for frame in frames:
             n += len(frame)
+            latest = max(latest, int(frame[time].max().value // 1_000_000))
             for i, name in enumerate(names):
                 times = frame.loc[frame[item] == name, time]
                 if len(times):
@@ -64,7 +67,8 @@ def live_coverage(stream: DataFrame, episode: str, item: str, time: str, needed:
             done = True
             yield pd.DataFrame({episode: [key[0]], "covered_at": [pd.Timestamp(max(first), unit="us")], "n_seen": [n]})
         state.update((first, n, done))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
+        # closed once the watermark, which lags by `idle`, has passed the last event
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
 
     marked = stream.withWatermark(time, idle)
     return marked.groupBy(episode).applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
