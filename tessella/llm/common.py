@@ -24,11 +24,13 @@ _fallback_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on a local master only, a temporary one where that is unset."""
     global _fallback_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="tessella-")
     return _fallback_dir
@@ -67,11 +69,12 @@ def dense_rank_in(df: DataFrame, group: str, key: Column, rank: str) -> DataFram
 
     One group may hold most rows, so a group is cut into hash-ordered buckets: counts of (group, bucket) give each
     bucket its offset, and only a bucket's rows meet in one task. Null groups form one group; equal keys get
-    neighbouring numbers in any order. A column named `rank` is replaced.
+    neighbouring numbers in any order, unless they are null: null keys are spread over the buckets. A column named
+    `rank` is replaced.
     """
     names = {n: f"__rank_{n}" for n in ("h", "b", "g", "r", "o", "n")}
     h, b, g, r, o, n = (names[x] for x in ("h", "b", "g", "r", "o", "n"))
-    hashed = df.withColumn(h, F.xxhash64(key)).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
+    hashed = df.withColumn(h, F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(*df.columns))).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
     keyed = hashed.withColumn(g, F.to_json(F.struct(F.col(group).alias("g"))))
     sizes = keyed.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

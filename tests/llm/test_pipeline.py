@@ -39,7 +39,7 @@ def test_stages_against_plain_python(spark):
 
     single = materialize(corpus_pipeline.drop_near_duplicates(spark, clean, SF), "test")
     rows = clean.collect()
-    first = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in rows]) if i == c}
+    first = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in rows], 80) if i == c}
     assert {r.doc_id for r in single.collect()} == first and single.columns == names
 
     mixed = materialize(corpus_pipeline.mix(spark, single, SF), "test")
