@@ -36,7 +36,7 @@ BASE = 1.5
 BITS_PER_ENTRY, PROBES = 16, 11
 BACKOFF = 10.0
 #: Text of a chunk, about; its tokens and their counts are held by one task.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Training text for which a segment of the filter is planned.
 SEGMENT_BYTES = 24 << 20
 #: Chunks and segments at least, so that small tables are spread as well.
@@ -312,15 +312,15 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     segments = Segments(1 << math.ceil(math.log2(max(LEAST, size / segment_bytes))))
     sent = docs.filter(~F.col("held_out")).select("text").mapInArrow(_gather(segments), "segment long, words binary, word_n binary, keys binary, n binary")
-    # tasks of a segment or chunk or two each, however many there are
-    built = sent.repartition(segments.number // 2, "segment").groupBy("segment").applyInArrow(_build, "segment long, distinct long, total long, words binary, word_n binary, bits long, data binary")
+    # a task for each segment and chunk, or so, however many there are
+    built = sent.repartition(segments.number, "segment").groupBy("segment").applyInArrow(_build, "segment long, distinct long, total long, words binary, word_n binary, bits long, data binary")
     model = materialize(built, "lm-filter")
     total, distinct_words = model.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     # dealt by content, so that rows fall into the same chunk whenever they are read
     chunks = max(LEAST, math.ceil(size / chunk_bytes))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(chunks // 2, "chunk").groupBy("chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk").groupBy("chunk")
     asked = dealt.applyInArrow(_ask(segments), "chunk long, segment long, words binary, word_keys binary, pairs binary")
     held = model.select("segment", "words", "word_n", "bits", "data").groupBy("segment")
-    answers = held.cogroup(asked.repartition(segments.number // 2, "segment").groupBy("segment")).applyInArrow(_answer, "chunk long, segment long, counts binary, word_levels binary, pair_levels binary")
+    answers = held.cogroup(asked.repartition(segments.number, "segment").groupBy("segment")).applyInArrow(_answer, "chunk long, segment long, counts binary, word_levels binary, pair_levels binary")
     scored = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct_words), _SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
