@@ -74,7 +74,9 @@ def dense_rank_in(df: DataFrame, group: str, key: Column, rank: str) -> DataFram
     """
     names = {n: f"__rank_{n}" for n in ("h", "b", "g", "r", "o", "n")}
     h, b, g, r, o, n = (names[x] for x in ("h", "b", "g", "r", "o", "n"))
-    hashed = df.withColumn(h, F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(*df.columns))).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
+    # types without a hash stay out
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    hashed = df.withColumn(h, F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(*rest))).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
     keyed = hashed.withColumn(g, F.to_json(F.struct(F.col(group).alias("g"))))
     sizes = keyed.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
