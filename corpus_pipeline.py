@@ -27,7 +27,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(_packed(docs)).filter(F.col("rejected_by").isNull()).select("doc.*")
+    judged = quality.apply_rules(_packed(docs))
+    # a filter would be pushed below the counts, which each rule would then compute again
+    return judged.select(F.inline(F.when(F.col("rejected_by").isNull(), F.array("doc"))))
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
