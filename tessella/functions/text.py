@@ -280,3 +280,52 @@ def to_clause(premises: Column, conclusion: Column) -> Column:
 def token_count(text: Column) -> Column:
     """Words; the default token counter."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
+
+
+#: A line with a question or an answer; what stands before and after it is the first and third group.
+_ACTION = r"(?is)^(.*\n|)[ \t]*((?:question|answer):\s*\S[^\n]*)(\n.*|)$"
+
+
+def visible_action(text: Column) -> Column:
+    """struct(visible, rest): the last line `Question: …` or `Answer: …`, and all else; visible is empty if there is none."""
+    part = lambda i: F.trim(F.regexp_replace(F.regexp_extract(text, _ACTION, i), r"^\s+|\s+$", ""))
+    around = F.array_join(F.filter(F.array(part(1), part(3)), lambda x: x != ""), "\n\n")
+    found = text.rlike(_ACTION)
+    return F.struct(F.when(found, part(2)).otherwise("").alias("visible"), F.when(found, around).otherwise(F.trim(text)).alias("rest"))
+
+
+def joined_parts(parts: Column) -> Column:
+    """Parts in order with an empty line between them, without empty ones and those that another part holds."""
+    start = F.array().cast("array<string>")
+    add = lambda kept, p: F.array_append(F.filter(kept, lambda k: ~p.contains(k)), p)
+    held = lambda kept, p: (p == "") | F.exists(kept, lambda k: k.contains(p))
+    trimmed = F.transform(parts, lambda p: F.trim(F.coalesce(p, F.lit(""))))
+    return F.array_join(F.aggregate(trimmed, start, lambda kept, p: F.when(held(kept, p), kept).otherwise(add(kept, p))), "\n\n")
+
+
+def asked_questions(text: Column) -> Column:
+    """What stands between each `Question:` and the next question mark; where no mark follows, the first line after it."""
+    marked = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?is)\bquestion\s*:\s*(.+?)\?"), F.lit(1)), F.trim), lambda q: q != "")
+    line = F.trim(F.regexp_extract(text, r"(?is)\bquestion\s*:\s*([^\n]+)", 1))
+    other = F.when(line != "", F.array(line)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.when(F.size(marked) > 0, marked).otherwise(other), lambda q: F.concat(q, F.lit("?")))
+
+
+def same_question(question: Column) -> Column:
+    """A question for comparison: lower case, single blanks, without marks at its end."""
+    bare = F.regexp_replace(F.trim(question), r"""[\s.!?,"'`]+$""", "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+
+
+def billed_tokens(usage: Column) -> Column:
+    """struct(prompt, response, thoughts, total, output) from a provider's usage JSON with names in snake or camel case.
+
+    output is what is billed: the response with the thoughts; without a response the total less the prompt; else the thoughts.
+    """
+    named = lambda *names: F.coalesce(*[F.get_json_object(usage, f"$.{n}").try_cast("long") for n in names], F.lit(0))
+    prompt, total = named("prompt_token_count", "promptTokenCount"), named("total_token_count", "totalTokenCount")
+    response = named("response_token_count", "responseTokenCount", "candidates_token_count", "candidatesTokenCount")
+    thoughts = named("thoughts_token_count", "thoughtsTokenCount")
+    spent = F.greatest(F.lit(0), thoughts)
+    output = F.when(response > 0, response + spent).when(total > 0, F.greatest(F.lit(0), total - prompt)).otherwise(spent)
+    return F.struct(prompt.alias("prompt"), response.alias("response"), thoughts.alias("thoughts"), total.alias("total"), output.alias("output"))

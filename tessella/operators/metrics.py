@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import setscore
@@ -94,13 +94,54 @@ def pooled_rates(turns: DataFrame, scopes: list[str], flags: list[str]) -> DataF
     return scoped(turns, scopes, [F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags])
 
 
+#: Values between the bounds of a median beyond which the bounds are narrowed before what lies between is sorted.
+SORTED = 1_000_000
+#: Share of the values on either side of the middle that the next bounds leave in; ten times the error of the quantiles.
+MARGIN, ACCURACY = 0.001, 10_000
+
+
+def medians(df: DataFrame, columns: list[str], most: int = SORTED) -> DataFrame:
+    """(column, median) of columns of doubles, exact; a column without values gives no row.
+
+    Approximate quantiles bound the middle, and exact counts below and between the bounds say which ranks are wanted
+    there, until at most `most` values, ties not counted, are left for a window. The driver holds a few numbers a column.
+    """
+    first = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    size = {c: first[f"n_{c}"] for c in columns if first[f"n_{c}"]}
+    bounds = {c: (first[f"lo_{c}"], first[f"hi_{c}"]) for c in size}
+    below, inside = dict.fromkeys(size, 0), dict(size)
+    wide = set(size)
+    while wide := {c for c in wide if inside[c] > most and bounds[c][0] < bounds[c][1]}:
+        middle = {c: ((size[c] - 1) / 2 - below[c]) / inside[c] for c in wide}
+        near = {c: F.when(F.col(c).between(*bounds[c]), F.col(c)) for c in wide}
+        ends = {c: [max(0.0, middle[c] - MARGIN), min(1.0, middle[c] + MARGIN)] for c in wide}
+        found = df.agg(*[F.percentile_approx(near[c], ends[c], ACCURACY).alias(c) for c in wide]).first()
+        counts = df.agg(*[a for c in wide for a in (F.count_if(F.col(c) < found[c][0]).alias(f"below_{c}"), F.count_if(F.col(c).between(*found[c])).alias(f"in_{c}"))]).first()
+        for c in list(wide):
+            under, held = counts[f"below_{c}"], counts[f"in_{c}"]
+            if under > (size[c] - 1) // 2 or under + held <= size[c] // 2 or held == inside[c]:
+                wide.discard(c)  # no narrower bounds that hold the middle
+            else:
+                bounds[c], below[c], inside[c] = tuple(found[c]), under, held
+    if not size:
+        return df.sparkSession.createDataFrame([], "column string, median double")
+    ranks = df.sparkSession.createDataFrame([(c, below[c], (n - 1) // 2, n // 2) for c, n in size.items()], "column string, _below long, _r1 long, _r2 long")
+    near = [F.when(F.col(c).between(*bounds[c]), F.col(c)).alias(c) for c in size]
+    values = df.select(*near).unpivot([], list(size), "column", "x").filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each column
+    placed = values.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(ranks), "column")
+    at = lambda r: F.min(F.when(F.col("_below") + F.col("_upto") > F.col(r), F.col("x")))
+    return placed.groupBy("column").agg(((at("_r1") + at("_r2")) / 2).alias("median"))
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, median, min, max, total, n) of each column; what isn't a number is left out. The median is exact."""
     values = [F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
-    long = df.select(*values).unpivot([], columns, "column", "x")
-    return long.groupBy("column").agg(
-        F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("total"), F.count("x").alias("n")
-    )
+    numbers = df.select(*values)
+    rest = numbers.unpivot([], columns, "column", "x").groupBy("column").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("total"), F.count("x").alias("n"))
+    # a row for each column
+    return rest.join(F.broadcast(medians(numbers, columns)), "column", "left").select("column", "mean", "median", "min", "max", "total", "n")
 
 
 def flag_counts(df: DataFrame, flags: list[str]) -> DataFrame:

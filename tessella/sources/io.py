@@ -76,6 +76,31 @@ def write_statistics(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.option("header", True).csv(f"{path}/csv")
 
 
+def read_shards(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    """JSON lines of all shard folders that a path with wildcards names, as one table; `shard` is the pattern's first group in the file's path."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.select("*", F.regexp_extract("_metadata.file_path", pattern, 1).alias("shard"))
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "tree") -> DataFrame:
+    """(key, json): files of one JSON document each, whole, named by the file without its ending."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias(key), F.col("value").alias("json"))
+
+
+def copies_differ(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """(name, problem): files of two folders that aren't byte-identical: missing on either side, size, or content.
+
+    A file of more than 2 GB is an error of the reader.
+    """
+    sizes = lambda path, c: files_of(spark, path).select("name", F.col("bytes").alias(c))
+    sums = lambda path, c: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.sha2("content", 256).alias(c))
+    both = sizes(left, "_a").join(sizes(right, "_b"), "name", "full")
+    same = both.filter("_a = _b").select("name").join(sums(left, "_x"), "name").join(sums(right, "_y"), "name").select("name", (F.col("_x") == F.col("_y")).alias("_same"))
+    problem = F.when(F.col("_a").isNull(), "missing left").when(F.col("_b").isNull(), "missing right").when(F.col("_a") != F.col("_b"), "size").when(~F.col("_same"), "content")
+    return both.join(same, "name", "left").select("name", problem.alias("problem")).filter("problem is not null")
+
+
 def files_of(spark: SparkSession, path: str, pattern: str = "*", excluded: str | None = None) -> DataFrame:
     """(path, name, modified, bytes) of files below a folder whose name fits; content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
