@@ -9,55 +9,72 @@ from ..sources.storage import checkpointed
 from .fixpoint import forced_values, horn_closure
 
 
-def combinations(variables: DataFrame, k: int, problem: str = "problem_id", var: str = "var") -> DataFrame:
+def _columns(problem: str | list[str]) -> list[str]:
+    return [problem] if isinstance(problem, str) else problem
+
+
+def combinations(variables: DataFrame, k: int, problem: str | list[str] = "problem_id", var: str = "var") -> DataFrame:
     """(problem, vars): all k-subsets of each problem's variables, in name order; each is made once."""
-    own = variables.select(problem, var).distinct()
-    sets = own.select(problem).distinct().select(problem, F.array().cast("array<string>").alias("vars"))
+    by = _columns(problem)
+    own = variables.select(*by, var).distinct()
+    sets = own.select(*by).distinct().select(*by, F.array().cast("array<string>").alias("vars"))
     for i in range(k):
-        longer = sets.join(own, problem)
+        longer = sets.join(own, by)
         if i:
             longer = longer.filter(F.col(var) > F.element_at("vars", -1))
-        sets = longer.select(problem, F.array_append("vars", F.col(var)).alias("vars"))
+        sets = longer.select(*by, F.array_append("vars", F.col(var)).alias("vars"))
     return sets
 
 
-def truth_tables(lits: DataFrame, facts: DataFrame, goals: DataFrame, sets: DataFrame, problem: str = "problem_id") -> DataFrame:
-    """(problem, vars, assignment, feasible, forced) for each of the 2^k assignments of each set of variables.
+def context_tables(lits: DataFrame, goals: DataFrame, sets: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, context, vars, assignment, feasible, forced) for each of the 2^k assignments of each set of variables.
 
-    facts: (problem, var, val); goals: (problem, goal). Bit i of the assignment is the value of the i-th variable.
+    sets: (problem, context, vars), the context an array of literals that hold besides; a context and a set that are both
+    empty give no row. goals: (problem, goal). Bit i of the assignment is the value of the i-th variable.
     """
-    rows = sets.select(problem, "vars", F.explode(F.expr("sequence(0, cast(shiftleft(1, size(vars)) - 1 as int))")).alias("assignment"))
-    rows = checkpointed(rows.withColumn("branch_id", F.concat_ws("|", F.array_join("vars", ","), F.col("assignment").cast("string"))))
+    bits = F.explode(F.expr("sequence(0, cast(shiftleft(1, size(vars)) - 1 as int))"))
+    rows = sets.filter(F.size("context") + F.size("vars") > 0).select(problem, "context", "vars", bits.alias("assignment"))
+    rows = checkpointed(rows.withColumn("branch_id", F.to_json(F.struct("context", "vars", "assignment"))))
     chosen = rows.select(problem, "branch_id", "assignment", F.posexplode("vars").alias("i", "var"))
     chosen = chosen.select(problem, "branch_id", "var", (F.getbit(F.col("assignment").cast("long"), F.col("i")) == 1).alias("val"))
-    given = rows.select(problem, "branch_id").join(facts, problem).select(problem, "branch_id", "var", "val")
+    given = rows.select(problem, "branch_id", F.explode("context").alias("_l"))
+    given = given.select(problem, "branch_id", F.regexp_replace("_l", "^not ", "").alias("var"), (~F.col("_l").startswith("not ")).alias("val"))
     state = checkpointed(chosen.unionByName(given))
     ask = rows.join(goals, problem).select(problem, "branch_id", F.col("goal").alias("var"))
     _, bad = horn_closure(lits, state, problem, "branch_id")
     infeasible = bad.withColumn("_bad", F.lit(True))
     out = forced_values(lits, state, ask, problem, "branch_id").select(problem, "branch_id", "forced", "feasible")
     joined = rows.join(out, [problem, "branch_id"]).join(infeasible, [problem, "branch_id"], "left")
-    return joined.select(problem, "vars", "assignment", (F.col("feasible") & F.col("_bad").isNull()).alias("feasible"), "forced")
+    return joined.select(problem, "context", "vars", "assignment", (F.col("feasible") & F.col("_bad").isNull()).alias("feasible"), "forced")
+
+
+def truth_tables(lits: DataFrame, facts: DataFrame, goals: DataFrame, sets: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, vars, assignment, feasible, forced): `context_tables` with a problem's facts, (problem, var, val), as the context."""
+    literal = F.when(F.col("val"), F.col("var")).otherwise(F.concat(F.lit("not "), F.col("var")))
+    known = facts.groupBy(problem).agg(F.array_sort(F.collect_set(literal)).alias("context"))
+    cases = sets.join(known, problem, "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    return context_tables(lits, goals, cases, problem).drop("context")
 
 
-def is_sufficient(tables: DataFrame, problem: str = "problem_id") -> DataFrame:
+def is_sufficient(tables: DataFrame, problem: str | list[str] = "problem_id") -> DataFrame:
     """(problem, vars, is_sufficient): every feasible assignment forces the goal, and one is feasible."""
-    return tables.groupBy(problem, "vars").agg(
+    return tables.groupBy(*_columns(problem), "vars").agg(
         (F.bool_or("feasible") & F.bool_and(~F.col("feasible") | F.col("forced").isNotNull())).alias("is_sufficient")
     )
 
 
-def essential(tables: DataFrame, problem: str = "problem_id") -> DataFrame:
+def essential(tables: DataFrame, problem: str | list[str] = "problem_id") -> DataFrame:
     """(problem, vars, is_essential): each variable has two assignments that differ in it alone and force opposite goals."""
-    good = tables.filter("feasible and forced is not null").select(problem, "vars", F.col("assignment").cast("long").alias("a"), "forced")
+    by = [*_columns(problem), "vars"]
+    good = tables.filter("feasible and forced is not null").select(*by, F.col("assignment").cast("long").alias("a"), "forced")
     each = good.select("*", F.explode(F.sequence(F.lit(0), F.size("vars") - 1)).alias("i"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
     cleared = each.withColumn("rest", F.col("a").bitwiseAND(F.expr("~shiftleft(1L, i)"))).withColumn("_b", F.col("a").bitwiseAND(bit))
-    pairs = cleared.groupBy(problem, "vars", "i", "rest").agg(F.count_distinct("forced").alias("_n"))
-    flips = pairs.groupBy(problem, "vars", "i").agg(F.max("_n").alias("_n"))
-    judged = flips.groupBy(problem, "vars").agg(F.count_if(F.col("_n") > 1).alias("_ok"))
-    sets = tables.select(problem, "vars").distinct()
-    return sets.join(judged, [problem, "vars"], "left").select(problem, "vars", (F.coalesce("_ok", F.lit(0)) == F.size("vars")).alias("is_essential"))
+    pairs = cleared.groupBy(*by, "i", "rest").agg(F.count_distinct("forced").alias("_n"))
+    flips = pairs.groupBy(*by, "i").agg(F.max("_n").alias("_n"))
+    judged = flips.groupBy(*by).agg(F.count_if(F.col("_n") > 1).alias("_ok"))
+    sets = tables.select(*by).distinct()
+    return sets.join(judged, by, "left").select(*by, (F.coalesce("_ok", F.lit(0)) == F.size("vars")).alias("is_essential"))
 
 
 def sufficient_sets(lits: DataFrame, facts: DataFrame, goals: DataFrame, variables: DataFrame, k: int, problem: str = "problem_id") -> DataFrame:
