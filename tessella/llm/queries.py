@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, lm, mixing, neardup, quality, sharding, toxicity, warc
+from . import ann, bpe, credentials, html, lm, merkle, mixing, neardup, negatives, quality, sharding, toxicity, warc
 from .common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,9 +99,39 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), lambda i: i % 100 == 0)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.CERTAIN))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in credentials.CERTAIN], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # a null id has no decimal, so its row stays as it is
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_of(*[lowered if f == "text" else F.col(f) for f in fields]))
+    rows = merkle.manifest(docs.withColumn("tampered", tampered), fields, "lang", "doc_id", ("doc_id", "tampered"))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root")
+    out = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_warc, op2_bpe, op3_ann, op4_mixing, op5_lm, op6_neardup, op7_quality, op8_toxicity, op9_sharding, op10_html)
-}
+    f.__name__: f
+    for f in (
+        op1_warc, op2_bpe, op3_ann, op4_mixing, op5_lm, op6_neardup, op7_quality, op8_toxicity, op9_sharding, op10_html,
+        op11_negatives, op12_secrets, op13_merkle,
+    )
+}
 
 _B32 = " || ".join(
     f"translate(lpad(to_base(('0x' || substr(h, {at}, 10))::BIGINT, 32), 8, '0'), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
@@ -123,10 +153,57 @@ q AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
              10 * n_symbols > greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) OR word_chars < 2 * greatest(n_words, 1)
              OR 2 * letters < word_chars OR full_lines * 2 < 3 * n_dup_lines AS rejected FROM f)"""
 
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _climb(k: int, a: str = "a", p: str = "p") -> str:
+    """SQL of one level: nodes and paths of groups that have more than one node left go up, others stay."""
+    up = "CASE WHEN n > 1 THEN i // 8 ELSE i END"
+    left, right = "array_to_string(hs[1:(p.i % 8)::INT], '')", "array_to_string(hs[(p.i % 8)::INT + 2:], '')"
+    return f"""{a}{k + 1} AS (SELECT lang, {up} AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (n + 7) // 8 AS n FROM {a}{k} GROUP BY lang, n, {up}),
+    {p}x{k} AS (SELECT lang, i // 8 AS run, list(h ORDER BY i) AS hs, n FROM {a}{k} GROUP BY lang, n, i // 8),
+    {p}{k + 1} AS (SELECT doc_id, p.lang, leaf, subroot, {up.replace(" i ", " p.i ")} AS i, CASE WHEN n > 1 THEN sha256({left} || f || {right}) ELSE f END AS f, CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof
+      FROM {p}{k} p JOIN {p}x{k} x ON x.lang IS NOT DISTINCT FROM p.lang AND x.run = p.i // 8)"""
+
+
+def _merkle_sql(levels: int) -> str:
+    """SQL of the manifest and its check, for groups of up to 8 ** levels leaves and up to 64 groups."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    bits = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, i: " + step.format("a") + ", xor(c, x))"
+    crc = f"xor(list_reduce([ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], lambda c, x: {bits}, 4294967295), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return ",\n".join([
+        f"WITH d AS (SELECT doc_id, lang, {_leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {_leaf(low)} END AS bad FROM documents)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "a0 AS (SELECT lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM r)",
+        "p0 AS (SELECT doc_id, lang, leaf, NULL::VARCHAR AS subroot, i, coalesce(bad, leaf) AS f, '' AS proof FROM r)",
+        *[_climb(k) for k in range(levels)],
+        f"b0 AS (SELECT '' AS lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, lang AS was FROM a{levels})",
+        f"q0 AS (SELECT doc_id, '' AS lang, leaf, h AS subroot, b.i, f, proof FROM p{levels} p JOIN b0 b ON b.was IS NOT DISTINCT FROM p.lang)",
+        _climb(0, "b", "q"),
+        _climb(1, "b", "q"),
+    ]) + "\nSELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q2, b2"
+
+
+_NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
 ORACLES = {
     "op1_warc": f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, upper(sha1(b)) AS h FROM p),
         e AS (SELECT page_id, payload_bytes, {_B32} AS payload_digest FROM d), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM e)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m""",
     "op7_quality": "WITH " + QUALITY_SQL.format(docs="documents")
     + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM q",
+    "op11_negatives": _NEGATIVES_SQL,
+    "op13_merkle": _merkle_sql(9),
 }
