@@ -113,19 +113,29 @@ def prepared(df: DataFrame, key: str, vector: str, label: str, scale: int) -> Da
     return named.select("id", "r.label", "r.v")
 
 
-def _tiles(rows: DataFrame, anchors: DataFrame, bucket: Callable[[], Column], sizes: tuple[int, int], carried: str | None = None) -> DataFrame:
-    """Rows and anchors of a bucket, met block by block: (bucket, rb, ab, asks, id, label, v, windows), sorted in tasks of whole tiles."""
+def _tiles(rows: DataFrame, anchors: DataFrame, buckets: int, sizes: tuple[int, int], carried: str | None = None) -> DataFrame:
+    """Rows and anchors, met block by block: (bucket, rb, ab, asks, id, label, v, windows), sorted in tasks of whole tiles.
+
+    With `buckets`, labels are hashed to that many, and rows meet the anchors of their bucket; without, they meet all.
+    """
     row_block, anchor_block = sizes
-    rows, anchors = rows.withColumn("bucket", bucket()), anchors.withColumn("bucket", bucket())
-    blocks = lambda n, most: F.ceil(F.col(n) / most).cast("long")
-    rb = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", blocks("n", row_block).alias("rbs"))
-    ab = anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", blocks("n", anchor_block).alias("abs"))
-    size = materialize(rb.join(ab, "bucket"), "negatives-blocks")
-    tiles = size.agg(F.sum(F.col("rbs") * F.col("abs"))).first()[0] or 1
+    if buckets:
+        bucket = F.pmod(F.xxhash64("label"), F.lit(buckets))
+        rows, anchors = rows.withColumn("bucket", bucket), anchors.withColumn("bucket", bucket)
+        blocks = lambda n, most: F.ceil(F.col(n) / most).cast("long")
+        rb = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", blocks("n", row_block).alias("rbs"))
+        ab = anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", blocks("n", anchor_block).alias("abs"))
+        size = materialize(rb.join(ab, "bucket"), "negatives-blocks")
+        tiles = size.agg(F.sum(F.col("rbs") * F.col("abs"))).first()[0] or 1
+        rows, anchors = rows.join(size, "bucket"), anchors.join(size, "bucket")
+    else:
+        rbs, abs_ = (max(1, math.ceil(df.count() / most)) for df, most in ((rows, row_block), (anchors, anchor_block)))
+        tiles, one = rbs * abs_, {"bucket": F.lit(0).cast("long"), "rbs": F.lit(rbs).cast("long"), "abs": F.lit(abs_).cast("long")}
+        rows, anchors = rows.withColumns(one), anchors.withColumns(one)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     none = F.lit(None).cast("array<struct<id:bigint,score:bigint>>")
-    met = rows.join(size, "bucket").select("bucket", F.pmod(F.xxhash64("id", F.lit(1)), "rbs").alias("rb"), every("abs").alias("ab"), F.lit(False).alias("asks"), "id", "label", "v", none.alias("windows"))
-    ask = anchors.join(size, "bucket").select("bucket", every("rbs").alias("rb"), F.pmod(F.xxhash64("id", F.lit(2)), "abs").alias("ab"), F.lit(True).alias("asks"), "id", "label", "v", (F.col(carried) if carried else none).alias("windows"))
+    met = rows.select("bucket", F.pmod(F.xxhash64("id", F.lit(1)), "rbs").alias("rb"), every("abs").alias("ab"), F.lit(False).alias("asks"), "id", "label", "v", none.alias("windows"))
+    ask = anchors.select("bucket", every("rbs").alias("rb"), F.pmod(F.xxhash64("id", F.lit(2)), "abs").alias("ab"), F.lit(True).alias("asks"), "id", "label", "v", (F.col(carried) if carried else none).alias("windows"))
     # by range, so that no two tiles fall into a task while others have none
     return met.unionByName(ask).repartitionByRange(min(tiles, MOST_TASKS), "bucket", "rb", "ab").sortWithinPartitions("bucket", "rb", "ab", "asks", "id")
 
@@ -198,14 +208,13 @@ def hard_negatives(
     most = max(1, TILE_BYTES // (8 * dimensions))
     sizes = (min(row_block, most), min(anchor_block, most))
     anchors = rows.filter(is_anchor(F.col("id")))
-    buckets = math.ceil(total / sizes[0])
-    same = _tiles(rows, anchors, lambda: F.pmod(F.xxhash64("label"), F.lit(buckets)), sizes)
+    same = _tiles(rows, anchors, math.ceil(total / sizes[0]), sizes)
     found = same.mapInArrow(_positives(primes, positives), "anchor_id long, label long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     first = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= positives)
     windows = first.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(F.struct(F.col("positive_id").alias("id"), F.col("positive_score").alias("score"))).alias("windows"))
     asks = materialize(anchors.join(windows, "id"), "negatives-anchors")
-    every = _tiles(rows, asks, lambda: F.lit(0).cast("long"), sizes, "windows")
+    every = _tiles(rows, asks, 0, sizes, "windows")
     near = every.mapInArrow(_negatives(primes, negatives, low, high), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
