@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import checkpointed
+from ..sources.storage import Pieces, checkpointed
 
 
 #: Rounds after which what is known is written anew, so that plans stay short.
@@ -59,8 +61,8 @@ def cyclic_nodes(edges: DataFrame, problem: str = "problem_id") -> DataFrame:
 
 
 def literals(clauses: DataFrame, problem: str = "problem_id", clause: str = "clause") -> DataFrame:
-    """(problem, clause_id, var, val) of arrays of literals `x` and `not x`."""
-    rows = clauses.select(problem, "clause_id", F.explode(clause).alias("_l"))
+    """(problem, clause_id, var, val) of arrays of literals `x` and `not x`; an empty clause has one row with a null variable."""
+    rows = clauses.select(problem, "clause_id", F.explode_outer(clause).alias("_l"))
     return rows.select(problem, "clause_id", F.regexp_replace("_l", "^not ", "").alias("var"), (~F.col("_l").startswith("not ")).alias("val"))
 
 
@@ -69,54 +71,162 @@ def contradictions(facts: DataFrame, by: list[str]) -> DataFrame:
     return facts.groupBy(*by, "var").agg(F.count_distinct("val").alias("n")).filter("n > 1").drop("n")
 
 
-def horn_closure(lits: DataFrame, facts: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> tuple[DataFrame, DataFrame]:
-    """Unit propagation of all branches at once: (problem, branch, var, val) that follow, and branches with a contradiction.
+class Closure(NamedTuple):
+    """What follows in each branch: `known` (problem, branch, var, val); `counts` (problem, branch, clause_id, _true, _false, _sum), the
+    satisfied and falsified literals of each clause that was touched and the sum of the latter's places; `bad` (problem, branch)."""
+
+    known: DataFrame
+    counts: DataFrame
+    bad: DataFrame
+
+
+def clause_index(lits: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, clause_id, var, val, _pos, _n): each literal with its place in its clause, from 1, and the clause's size. Empty clauses have a null variable."""
+    own = Window.partitionBy(problem, "clause_id")
+    placed = lits.select(problem, "clause_id", "var", "val").distinct()
+    return checkpointed(placed.withColumns({"_pos": F.row_number().over(own.orderBy("var", "val")), "_n": F.count("var").over(own)}))
+
+
+def _summed(counts: DataFrame, key: list[str]) -> DataFrame:
+    return counts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("_true", "_false", "_sum")])
+
 
-    lits: (problem, clause_id, var, val); facts: (problem, branch, var, val). A clause whose other literals are all
-    false makes its last literal true; one whose literals are all false, or both signs of a variable, is a contradiction.
+def inherited(base: Closure, parents: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> Closure:
+    """The closure of each parent, given to its children. parents: (problem, branch, parent); each child is one row."""
+    given = parents.select(problem, F.col("parent").alias("_parent"), F.col(branch).alias("_child"))
+
+    def handed(df: DataFrame) -> DataFrame:
+        own = df.withColumnRenamed(branch, "_parent").join(given, [problem, "_parent"]).drop("_parent")
+        return own.withColumnRenamed("_child", branch).select(*df.columns)
+
+    return Closure(*map(handed, base))
+
+
+def close(
+    index: DataFrame, facts: DataFrame, branches: DataFrame | None = None, base: Closure | None = None, problem: str = "problem_id", branch: str = "branch_id"
+) -> Closure:
+    """Unit propagation of all branches at once, by counters that only new literals move.
+
+    index: of `clause_index`; facts: (problem, branch, var, val); branches: (problem, branch), those of the facts where
+    not given; base: closures of the same branches to start from. A new literal is looked up in the clauses that hold its
+    variable, and adds to their counters of satisfied and falsified literals and to the sum of the falsified ones' places.
+    A clause with none satisfied and all but one falsified forces the literal whose place is missing from the sum; one
+    with all falsified, an empty one, and both signs of a variable are contradictions. So a round reads the new literals,
+    the clauses they touch and these clauses' counters. A branch with a contradiction goes no further; what it knows by
+    then says nothing.
     """
-    size = lits.groupBy(problem, "clause_id").agg(F.count(F.lit(1)).alias("_n"))
-    branches = checkpointed(facts.select(problem, branch).distinct())
-    known = new = checkpointed(facts.select(problem, branch, "var", "val").distinct())
-    units = branches.join(lits.join(size.filter("_n = 1"), [problem, "clause_id"]).select(problem, "var", "val"), problem)
-    new = checkpointed(known.unionByName(units.select(*known.columns)).distinct())
-    known, step = new, 0
+    key, at = [problem, branch], [problem, branch, "var"]
+    by_clause = [*key, "clause_id"]
+    branches = (facts if branches is None else branches).select(*key).distinct()
+    spark, sums = index.sparkSession, [F.lit(0).cast("long").alias(c) for c in ("_true", "_false", "_sum")]
+    counts = Pieces(spark, branches.select(*key, F.lit(None).cast(index.schema["clause_id"].dataType).alias("clause_id"), *sums).schema)
+    new = facts.select(*at, "val")
+    known, units = Pieces(spark, new.schema), Pieces(spark, new.withColumn("_stop", F.lit(True)).schema)
+
+    def stops(df: DataFrame) -> DataFrame:
+        return df.select(*key, *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ("var", "val")], F.lit(True).alias("_stop"))
+
+    # branches that need no new literal for a contradiction
+    stopped = branches.join(index.filter("_n = 0").select(problem), problem, "left_semi")
+    if base is None:
+        new = known.add(new.unionByName(branches.join(index.filter("_n = 1").select(problem, "var", "val"), problem)).distinct())
+    else:
+        stopped = stopped.unionByName(base.bad)
+        counts.add(base.counts)
+        known.add(base.known)
+        new = known.add(new.distinct().join(known.all(), [*at, "val"], "left_anti").join(stopped, key, "left_anti"))
     while not new.isEmpty():
-        step += 1
-        state = known.select(problem, branch, "var", F.col("val").alias("_v"))
-        touched = new.join(lits, [problem, "var"]).select(problem, branch, "clause_id").distinct()
-        rows = touched.join(lits, [problem, "clause_id"]).join(state, [problem, branch, "var"], "left")
-        clause = rows.groupBy(problem, branch, "clause_id").agg(
-            F.count_if(F.col("_v") == F.col("val")).alias("_sat"), F.count_if(F.col("_v").isNull()).alias("_open"),
-            F.max_by(F.struct("var", "val"), F.col("_v").isNull()).alias("_last"),
-        )
-        forced = clause.filter("_sat = 0 and _open = 1").select(problem, branch, "_last.var", "_last.val")
-        new = _new(forced, known, [problem, branch, "var", "val"])
-        known = _with(known, new, step)
-    state = known.select(problem, branch, "var", F.col("val").alias("_v"))
-    both = contradictions(known, [problem, branch]).select(problem, branch)
-    full = branches.join(lits, problem).join(state, [problem, branch, "var"], "left").groupBy(problem, branch, "clause_id")
-    false = full.agg(F.min(F.coalesce(F.col("_v") != F.col("val"), F.lit(False))).alias("_f")).filter("_f").select(problem, branch)
-    return known, both.unionByName(false).distinct()
+        touched = new.withColumnRenamed("val", "_v").join(index, [problem, "var"])
+        same = (F.col("_v") == F.col("val")).cast("long")
+        moved = touched.select(*by_clause, same.alias("_true"), (1 - same).alias("_false"), ((1 - same) * F.col("_pos")).alias("_sum"))
+        keys = counts.add(_summed(moved, by_clause)).select(*by_clause)
+        now = _summed(counts.all().join(keys, by_clause, "left_semi"), by_clause).filter("_true = 0").join(index, [problem, "clause_id"])
+        # the place that is left: all places less the falsified ones
+        left = F.col("_n") * (F.col("_n") + 1) / 2 - F.col("_sum")
+        all_false, all_but_one = F.col("_false") == F.col("_n"), (F.col("_false") == F.col("_n") - 1) & (F.col("_pos") == left)
+        both = new.join(known.all().select(*at, (~F.col("val")).alias("val")), [*at, "val"], "left_semi")
+        forced = now.filter(all_false | all_but_one).select(*at, "val", all_false.alias("_stop"))
+        found = units.add(forced.unionByName(stops(both)).distinct())
+        if found.isEmpty():
+            break
+        ended = found.filter("_stop").select(*key)
+        new = known.add(found.filter("not _stop").select(*at, "val").join(ended, key, "left_anti").join(known.all(), [*at, "val"], "left_anti"))
+    bad = stopped.unionByName(units.all().filter("_stop").select(*key)).distinct()
+    return Closure(known.all(), _summed(counts.all(), by_clause), bad)
+
+
+def horn_closure(
+    lits: DataFrame, facts: DataFrame, problem: str = "problem_id", branch: str = "branch_id", branches: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(problem, branch, var, val) that follow, and the branches with a contradiction, by `close`.
+
+    lits: (problem, clause_id, var, val); facts: (problem, branch, var, val); branches without a fact have to be given.
+    """
+    found = close(clause_index(lits, problem), facts, branches, None, problem, branch)
+    return found.known, found.bad
+
+
+def refuted(
+    index: DataFrame, base: Closure, cases: DataFrame, problem: str = "problem_id", branch: str = "branch_id"
+) -> tuple[Closure, DataFrame]:
+    """Cases that add literals to branches of `base`: their closures, and (problem, branch, feasible, forced).
+
+    cases: (problem, branch, parent, literals, var): an array of literals as (var, val), and the variable whose value is
+    asked. Each case is closed as it is, with the variable true and with it false, all in one batch. forced is the value
+    that is left when the other one is refuted, null if neither or both are.
+    """
+    tries = F.explode(F.array(F.lit("case"), F.lit("true"), F.lit("false")))
+    sides = cases.withColumn("_try", tries).withColumn("_side", F.to_json(F.struct(F.col(branch).alias("b"), F.col("_try").alias("t"))))
+    each = sides.select(problem, F.col("_side").alias(branch), F.col(branch).alias("_of"), "parent", "literals", "var", "_try")
+    asked = F.when(F.col("_try") != "case", F.array(F.struct(F.col("var").alias("var"), (F.col("_try") == "true").alias("val"))))
+    literal = "array<struct<var:string,val:boolean>>"
+    added = each.select(problem, branch, F.explode(F.concat(F.col("literals").cast(literal), F.coalesce(asked, F.array()).cast(literal))).alias("_l")).select(problem, branch, "_l.*")
+    start = inherited(base, each.select(problem, branch, "parent"), problem, branch)
+    found = close(index, added, each.select(problem, branch), start, problem, branch)
+    marked = each.join(found.bad.withColumn("_bad", F.lit(True)), [problem, branch], "left")
+    is_bad = lambda t: F.bool_or((F.col("_try") == t) & F.coalesce("_bad", F.lit(False)))
+    judged = marked.groupBy(problem, F.col("_of").alias(branch)).agg(is_bad("case").alias("_c"), is_bad("true").alias("_t"), is_bad("false").alias("_f"))
+    forced = F.when(~F.col("_c") & F.col("_f") & ~F.col("_t"), True).when(~F.col("_c") & F.col("_t") & ~F.col("_f"), False)
+    # a case that is refuted either way is infeasible, too
+    judged = judged.select(problem, branch, (~F.col("_c") & ~(F.col("_t") & F.col("_f"))).alias("feasible"), forced.alias("forced"))
+    own = each.filter("_try = 'case'").select(problem, F.col("_of").alias(branch), F.col(branch).alias("parent"))
+    return inherited(found, own, problem, branch), judged
+
+
+def no_closure(index: DataFrame, branches: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> Closure:
+    """The closure of branches without facts: what unit clauses alone force."""
+    facts = branches.select(problem, branch, F.lit("").alias("var"), F.lit(True).alias("val")).filter("false")
+    return close(index, facts, branches, None, problem, branch)
 
 
 def forced_values(lits: DataFrame, facts: DataFrame, ask: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> DataFrame:
     """(problem, branch, var, forced): the value that refutation forces, null if neither or the branch is infeasible; `feasible`.
 
-    ask: (problem, branch, var). Each case is closed with the variable true and false; both run in one batch.
+    ask: (problem, branch, var). A branch is closed once; its cases, with each variable asked for true and false, start from that.
+    """
+    index = clause_index(lits, problem)
+    base = close(index, facts, facts.select(problem, branch).unionByName(ask.select(problem, branch)), None, problem, branch)
+    case = F.to_json(F.struct(F.col(branch).alias("b"), F.col("var").alias("v")))
+    named = checkpointed(ask.select(problem, F.col(branch).cast("string").alias("parent"), F.col(branch).alias("_branch"), "var", case.alias("_case")).distinct())
+    texts = Closure(*[df.withColumn(branch, F.col(branch).cast("string")) for df in base])
+    cases = named.select(problem, F.col("_case").alias(branch), "parent", F.array().cast("array<struct<var:string,val:boolean>>").alias("literals"), "var")
+    _, judged = refuted(index, texts, cases, problem, branch)
+    out = named.join(judged.withColumnRenamed(branch, "_case"), [problem, "_case"])
+    return out.select(problem, F.col("_branch").alias(branch), "var", "forced", "feasible")
+
+
+def contradictory_sets(lits: DataFrame, sets: DataFrame, key: str, items: str, problem: str = "problem_id") -> DataFrame:
+    """(problem, key, reason): sets of literals that can't hold together: `both signs` or `inferred`; other sets give no row.
+
+    All sets are closed in one batch under their problem's clauses. An empty set is contradictory if the clauses are.
     """
-    sides = ask.select(problem, branch, "var", F.explode(F.array(F.lit(True), F.lit(False))).alias("_try"))
-    case = F.to_json(F.struct(F.col(branch).alias("b"), F.col("var").alias("v"), F.col("_try").alias("t")))
-    sides = checkpointed(sides.withColumn("_case", case))
-    given = facts.select(problem, branch, F.col("var").alias("_var"), F.col("val").alias("_val"))
-    base = sides.join(given, [problem, branch]).select(problem, F.col("_case").alias("branch_id"), F.col("_var").alias("var"), F.col("_val").alias("val"))
-    tried = sides.select(problem, F.col("_case").alias("branch_id"), "var", F.col("_try").alias("val"))
-    _, bad = horn_closure(lits, base.unionByName(tried), problem, "branch_id")
-    judged = sides.join(bad.select(problem, F.col("branch_id").alias("_case"), F.lit(True).alias("_bad")), [problem, "_case"], "left")
-    out = judged.groupBy(problem, branch, "var").agg(
-        F.max(F.when(F.col("_try"), F.coalesce("_bad", F.lit(False)))).alias("_t"), F.max(F.when(~F.col("_try"), F.coalesce("_bad", F.lit(False)))).alias("_f")
-    )
-    return out.select(problem, branch, "var", F.when(F.col("_f") & ~F.col("_t"), True).when(F.col("_t") & ~F.col("_f"), False).alias("forced"), (~(F.col("_t") & F.col("_f"))).alias("feasible"))
+    index = clause_index(lits, problem)
+    rows = sets.select(problem, F.col(key).alias("branch_id"), F.explode_outer(items).alias("_l"))
+    facts = checkpointed(rows.select(problem, "branch_id", F.regexp_replace("_l", "^not ", "").alias("var"), (~F.col("_l").startswith("not ")).alias("val")))
+    found = close(index, facts.filter("var is not null"), facts.select(problem, "branch_id"), None, problem, "branch_id")
+    signs = contradictions(facts.filter("var is not null"), [problem, "branch_id"]).select(problem, "branch_id", F.lit(True).alias("_s")).distinct()
+    reason = F.when(F.col("_s"), "both signs").otherwise("inferred")
+    return found.bad.join(signs, [problem, "branch_id"], "left").select(problem, F.col("branch_id").alias(key), reason.alias("reason"))
 
 
 def recompute(rules: DataFrame, leaves: DataFrame, problem: str = "problem_id") -> DataFrame:

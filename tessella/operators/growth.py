@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
-from .logic import combinations, context_tables, essential, is_sufficient
+from .logic import context_tables, essential, is_sufficient, settled_contexts
 
 
 def bare(literal: Column) -> Column:
@@ -36,43 +36,69 @@ def free_variables(contexts: DataFrame, variables: DataFrame, goals: DataFrame,
     return rows.filter(~known & (F.col("var") != F.col("goal"))).select(problem, "context", "var").distinct()
 
 
-def settled(lits: DataFrame, goals: DataFrame, free: DataFrame, k: int, problem: str = "problem_id") -> DataFrame:
-    """(problem, context): contexts under which some k of the free variables suffice."""
-    sets = checkpointed(combinations(free, k, [problem, "context"]))
-    tables = context_tables(lits, goals, sets, problem)
-    return is_sufficient(tables, [problem, "context"]).filter("is_sufficient").select(problem, "context").distinct()
+def sibling_settled(lits: DataFrame, goals: DataFrame, grown: DataFrame, level: DataFrame, free: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, context) that a set of the context it comes from settles: that set of the level has one variable less, and suffices here as well.
 
+    grown: (problem, context, parent), the context and the larger one it comes from; sets with a variable that may not be
+    asked don't count.
+    """
+    key = [problem, "context"]
+    siblings = level.select(problem, F.col("context").alias("parent"), "vars")
+    pairs = grown.select(*key, "parent").distinct().join(siblings, [problem, "parent"]).select(*key, "vars").distinct()
+    each = pairs.select(*key, "vars", F.explode("vars").alias("var")).join(free, [*key, "var"], "left_anti").select(*key, "vars").distinct()
+    pairs = checkpointed(pairs.join(each, [*key, "vars"], "left_anti"))
+    return is_sufficient(context_tables(lits, goals, pairs, problem), key).filter("is_sufficient").select(*key).distinct()
 
-def grown_sets(lits: DataFrame, goals: DataFrame, variables: DataFrame, level_one: DataFrame, max_k: int = 4, problem: str = "problem_id") -> DataFrame:
-    """(problem, k, context, vars): the pairs of level one and all that grow from them, up to max_k variables.
+
+def grown_levels(
+    lits: DataFrame, goals: DataFrame, variables: DataFrame, level_one: DataFrame, max_k: int = 4, problem: str = "problem_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(problem, k, context, vars): the pairs of level one and all that grow from them, up to max_k variables; and what it took.
 
     level_one: (problem, context, vars) with an array of literals and one variable; lits: (problem, clause_id, var, val);
     goals: (problem, goal); variables: (problem, var), all that may be asked.
     A pair grows by moving a literal of its context into its set. It stays if the old set suffices with that literal
     negated, the smaller context holds no context of the level before, and no k - 1 free variables suffice under it. A
-    pair with several parents is kept once, if one of them passes. All pairs of a level are judged in one batch.
+    pair with several parents is kept once, if one of them passes. All pairs of a level are judged in one batch. Cheap
+    tests come first: contained contexts by a join, then the sets of the same parent, and only what is left is searched.
+
+    The second result, (problem, k, context, n_closures, n_full), has the contexts that were searched: cases closed, and
+    cases that all sets of k - 1 variables have.
     """
     key = [problem, "context"]
     level = checkpointed(level_one.select(problem, F.array_sort("context").alias("context"), F.array_sort("vars").alias("vars")).distinct())
     found = level.withColumn("k", F.lit(1))
+    work = None
     for k in range(2, max_k + 1):
-        moved = level.select(problem, F.col("context").alias("_c"), "vars", F.explode("context").alias("_l"))
+        moved = level.select(problem, F.col("context").alias("parent"), "vars", F.explode("context").alias("_l"))
+        rest = F.array_remove("parent", F.col("_l"))
         grown = moved.select(
-            problem, F.array_remove("_c", F.col("_l")).alias("context"), F.array_sort(F.array_append("vars", bare(F.col("_l")))).alias("_grown"), "vars",
-            F.array_sort(F.array_append(F.array_remove("_c", F.col("_l")), negated(F.col("_l")))).alias("_flipped"),
+            problem, rest.alias("context"), F.array_sort(F.array_append("vars", bare(F.col("_l")))).alias("_grown"), "vars", "parent",
+            F.array_sort(F.array_append(rest, negated(F.col("_l")))).alias("_flipped"),
         )
         grown = checkpointed(grown.distinct())
         grown = grown.join(holding(grown.select(*key).distinct(), level, problem), key, "left_anti")
         flipped = grown.select(problem, F.col("_flipped").alias("context"), "vars").distinct()
         good = is_sufficient(context_tables(lits, goals, flipped, problem), key).filter("is_sufficient")
         good = good.select(problem, F.col("context").alias("_flipped"), "vars")
-        grown = checkpointed(grown.join(good, [problem, "_flipped", "vars"], "left_semi").select(*key, F.col("_grown").alias("vars")).distinct())
+        grown = checkpointed(grown.join(good, [problem, "_flipped", "vars"], "left_semi").select(*key, "parent", F.col("_grown").alias("vars")).distinct())
         if grown.isEmpty():
             break
-        free = free_variables(grown, variables, goals, problem)
-        level = checkpointed(grown.join(settled(lits, goals, free, k - 1, problem), key, "left_anti"))
+        free = checkpointed(free_variables(grown, variables, goals, problem))
+        grown = checkpointed(grown.join(sibling_settled(lits, goals, grown, level, free, problem), key, "left_anti"))
+        settled, searched = settled_contexts(lits, goals, free.join(grown.select(*key).distinct(), key, "left_semi"), k - 1, problem)
+        searched = searched.select(problem, F.lit(k).alias("k"), "context", "n_closures", "n_full")
+        work = searched if work is None else work.unionByName(searched)
+        level = checkpointed(grown.join(settled, key, "left_anti").select(*key, "vars").distinct())
         found = found.unionByName(level.withColumn("k", F.lit(k)))
-    return found.select(problem, "k", "context", "vars")
+    if work is None:
+        work = found.select(problem, "k", "context", F.lit(0).cast("long").alias("n_closures"), F.lit(0).cast("decimal(38,0)").alias("n_full")).filter("false")
+    return found.select(problem, "k", "context", "vars"), work
+
+
+def grown_sets(lits: DataFrame, goals: DataFrame, variables: DataFrame, level_one: DataFrame, max_k: int = 4, problem: str = "problem_id") -> DataFrame:
+    """The pairs of `grown_levels`: (problem, k, context, vars)."""
+    return grown_levels(lits, goals, variables, level_one, max_k, problem)[0]
 
 
 def problem_rows(
@@ -99,7 +125,7 @@ def problem_rows(
     largest = good.agg(F.max(F.size("vars"))).first()[0] or 0
     for n in range(2, largest + 1):
         of_size = good.filter(F.size("vars") == n)
-        easy = settled(lits, goals, free_variables(of_size, variables, goals, problem), n - 1, problem)
+        easy, _ = settled_contexts(lits, goals, free_variables(of_size, variables, goals, problem), n - 1, problem)
         good = checkpointed(good.filter(F.size("vars") != n).unionByName(of_size.join(easy, key, "left_anti")))
     rows = good.groupBy(problem, "k", "context", "goal").agg(F.array_sort(F.collect_set("vars")).alias("sets"))
     every = variables.groupBy(problem).agg(F.array_sort(F.collect_set("var")).alias("all_vars"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
-from .fixpoint import forced_values, horn_closure
+from .fixpoint import Closure, clause_index, close, refuted
 
 
 def _columns(problem: str | list[str]) -> list[str]:
@@ -26,26 +28,82 @@ def combinations(variables: DataFrame, k: int, problem: str | list[str] = "probl
     return sets
 
 
+def literal_structs(context: str) -> Column:
+    """An array of literals `x` and `not x` as an array of (var, val)."""
+    bare = lambda x: F.struct(F.regexp_replace(x, "^not ", "").alias("var"), (~x.startswith("not ")).alias("val"))
+    return F.transform(context, bare)
+
+
+def context_closures(index: DataFrame, contexts: DataFrame, problem: str = "problem_id") -> tuple[DataFrame, Closure]:
+    """(problem, context, branch_id), and the closure of each context. contexts: (problem, context), arrays of literals."""
+    named = checkpointed(contexts.select(problem, "context").distinct().withColumn("branch_id", F.to_json(F.struct("context"))))
+    facts = named.select(problem, "branch_id", F.explode(literal_structs("context")).alias("_l")).select(problem, "branch_id", "_l.*")
+    return named, close(index, facts, named, None, problem)
+
+
 def context_tables(lits: DataFrame, goals: DataFrame, sets: DataFrame, problem: str = "problem_id") -> DataFrame:
     """(problem, context, vars, assignment, feasible, forced) for each of the 2^k assignments of each set of variables.
 
-    sets: (problem, context, vars), the context an array of literals that hold besides; a context and a set that are both
-    empty give no row. goals: (problem, goal). Bit i of the assignment is the value of the i-th variable.
+    sets: (problem, context, vars), the context an array of literals that hold besides. goals: (problem, goal). Bit i of
+    the assignment is the value of the i-th variable. A context is closed once; its assignments start from that.
     """
+    index = clause_index(lits, problem)
+    contexts, base = context_closures(index, sets, problem)
     bits = F.explode(F.expr("sequence(0, cast(shiftleft(1, size(vars)) - 1 as int))"))
-    rows = sets.filter(F.size("context") + F.size("vars") > 0).select(problem, "context", "vars", bits.alias("assignment"))
-    rows = checkpointed(rows.withColumn("branch_id", F.to_json(F.struct("context", "vars", "assignment"))))
-    chosen = rows.select(problem, "branch_id", "assignment", F.posexplode("vars").alias("i", "var"))
-    chosen = chosen.select(problem, "branch_id", "var", (F.getbit(F.col("assignment").cast("long"), F.col("i")) == 1).alias("val"))
-    given = rows.select(problem, "branch_id", F.explode("context").alias("_l"))
-    given = given.select(problem, "branch_id", F.regexp_replace("_l", "^not ", "").alias("var"), (~F.col("_l").startswith("not ")).alias("val"))
-    state = checkpointed(chosen.unionByName(given))
-    ask = rows.join(goals, problem).select(problem, "branch_id", F.col("goal").alias("var"))
-    _, bad = horn_closure(lits, state, problem, "branch_id")
-    infeasible = bad.withColumn("_bad", F.lit(True))
-    out = forced_values(lits, state, ask, problem, "branch_id").select(problem, "branch_id", "forced", "feasible")
-    joined = rows.join(out, [problem, "branch_id"]).join(infeasible, [problem, "branch_id"], "left")
-    return joined.select(problem, "context", "vars", "assignment", (F.col("feasible") & F.col("_bad").isNull()).alias("feasible"), "forced")
+    rows = sets.select(problem, "context", "vars").distinct().join(contexts.withColumnRenamed("branch_id", "parent"), [problem, "context"])
+    rows = rows.select("*", bits.alias("assignment")).withColumn("branch_id", F.to_json(F.struct("context", "vars", "assignment")))
+    chosen = F.transform("vars", lambda v, i: F.struct(v.alias("var"), (F.getbit(F.col("assignment").cast("long"), i) == 1).alias("val")))
+    cases = rows.join(goals, problem).select(problem, "branch_id", "parent", chosen.alias("literals"), F.col("goal").alias("var"))
+    _, judged = refuted(index, base, cases, problem)
+    return rows.join(judged, [problem, "branch_id"]).select(problem, "context", "vars", "assignment", "feasible", "forced")
+
+
+def settled_contexts(lits: DataFrame, goals: DataFrame, free: DataFrame, k: int, problem: str = "problem_id") -> tuple[DataFrame, DataFrame]:
+    """(problem, context) under which some k of the free variables suffice, and (problem, context, n_closures, n_full).
+
+    free: (problem, context, var). Cases form a tree: a context, then its variables in name order, each true or false. A
+    case starts from its parent's closure and adds one literal. Below a case that is infeasible, or that forces the goal,
+    nothing is closed any more, as all cases there are or do the same. A set suffices when none of its cases is left open;
+    its context then leaves the search, for more variables suffice as well. n_closures counts the cases that were closed,
+    n_full the 2^k cases of all sets of k.
+    """
+    by = [problem, "context"]
+    index = clause_index(lits, problem)
+    own = checkpointed(free.select(*by, "var").distinct())
+    sizes = own.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("_m")).filter(F.col("_m") >= k)
+    choose = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(1).cast("decimal(38,0)"), lambda x, i: (x * (F.col("_m") - k + i) / i).cast("decimal(38,0)")) if k else F.lit(1)
+    full = sizes.select(*by, (choose * (1 << k)).cast("decimal(38,0)").alias("n_full"))
+    contexts, base = context_closures(index, sizes, problem)
+    cases = contexts.join(goals, problem).select(problem, F.concat_ws("|", "branch_id", F.lit("")).alias("branch_id"), F.col("branch_id").alias("parent"), F.array().cast("array<struct<var:string,val:boolean>>").alias("literals"), F.col("goal").alias("var"))
+    nodes = contexts.select(problem, F.concat_ws("|", "branch_id", F.lit("")).alias("branch_id"), "context", F.array().cast("array<string>").alias("vars"))
+    done, closed = [], []
+    for size in range(k + 1):
+        nodes = checkpointed(nodes)
+        base, judged = refuted(index, base, cases, problem)
+        closed.append(nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_closures")))
+        open_ = F.col("feasible") & F.col("forced").isNull()
+        status = checkpointed(nodes.join(judged, [problem, "branch_id"]).withColumn("_open", open_))
+        sets = status.groupBy(*by, "vars").agg(F.bool_or("_open").alias("_open"), F.bool_or("feasible").alias("_any"))
+        # at the top nothing is left of an infeasible context; below it, a set without an open case has a feasible one further up
+        found = sets.filter("not _open and _any" if size == 0 else "not _open").select(*by).distinct()
+        done.append(checkpointed(found))
+        if size == k:
+            break
+        rest = status.filter("_open").join(done[-1], by, "left_anti").select(problem, "branch_id", "context", "vars")
+        longer = rest.join(own, by)
+        if size:
+            longer = longer.filter(F.col("var") > F.element_at("vars", -1))
+        longer = longer.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("val"))
+        grown = checkpointed(longer.select(
+            problem, F.col("branch_id").alias("parent"), F.concat("branch_id", F.to_json(F.struct("var", "val"))).alias("branch_id"), "context",
+            F.array_append("vars", F.col("var")).alias("vars"), F.array(F.struct("var", "val")).alias("literals"),
+        ))
+        if grown.isEmpty():
+            break
+        cases = grown.join(goals, problem).select(problem, "branch_id", "parent", "literals", F.col("goal").alias("var"))
+        nodes = grown.select(problem, "branch_id", "context", "vars")
+    counted = reduce(DataFrame.unionByName, closed).groupBy(*by).agg(F.sum("n_closures").alias("n_closures"))
+    return reduce(DataFrame.unionByName, done).distinct(), full.join(counted, by)
 
 
 def truth_tables(lits: DataFrame, facts: DataFrame, goals: DataFrame, sets: DataFrame, problem: str = "problem_id") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own_dir: str | None = None
 
@@ -24,7 +27,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def _written(df: DataFrame) -> str:
+    """Write to a new folder in the shared one, which is removed when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder: cuts the lineage of loops and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written once to the shared folder and read again: cuts the lineage of loops, survives lost executors, and gives the planner true sizes."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+class Pieces:
+    """A table that a loop adds to: each piece is written once, and all are read by one scan, so plans keep their shape."""
+
+    #: Pieces after which all are written as one.
+    MOST = 64
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self.spark, self.schema, self.paths = spark, schema, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write another piece; returns its rows."""
+        if len(self.paths) >= self.MOST:
+            self.paths = [_written(self.all())]
+        self.paths.append(_written(df.select(*self.schema.names)))
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        if not self.paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
