@@ -135,7 +135,7 @@ def close(
         counts.add(base.counts)
         known.add(base.known)
         new = known.add(new.distinct().join(known.all(), [*at, "val"], "left_anti").join(stopped, key, "left_anti"))
-    while not new.isEmpty():
+    while known.last:
         touched = new.withColumnRenamed("val", "_v").join(index, [problem, "var"])
         same = (F.col("_v") == F.col("val")).cast("long")
         moved = touched.select(*by_clause, same.alias("_true"), (1 - same).alias("_false"), ((1 - same) * F.col("_pos")).alias("_sum"))
@@ -147,11 +147,11 @@ def close(
         both = new.join(known.all().select(*at, (~F.col("val")).alias("val")), [*at, "val"], "left_semi")
         forced = now.filter(all_false | all_but_one).select(*at, "val", all_false.alias("_stop"))
         found = units.add(forced.unionByName(stops(both)).distinct())
-        if found.isEmpty():
+        if not units.last:
             break
         ended = found.filter("_stop").select(*key)
         new = known.add(found.filter("not _stop").select(*at, "val").join(ended, key, "left_anti").join(known.all(), [*at, "val"], "left_anti"))
-    bad = stopped.unionByName(units.all().filter("_stop").select(*key)).distinct()
+    bad = checkpointed(stopped.unionByName(units.all().filter("_stop").select(*key)).distinct())
     return Closure(known.all(), _summed(counts.all(), by_clause), bad)
 
 
@@ -193,12 +193,6 @@ def refuted(
     return inherited(found, own, problem, branch), judged
 
 
-def no_closure(index: DataFrame, branches: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> Closure:
-    """The closure of branches without facts: what unit clauses alone force."""
-    facts = branches.select(problem, branch, F.lit("").alias("var"), F.lit(True).alias("val")).filter("false")
-    return close(index, facts, branches, None, problem, branch)
-
-
 def forced_values(lits: DataFrame, facts: DataFrame, ask: DataFrame, problem: str = "problem_id", branch: str = "branch_id") -> DataFrame:
     """(problem, branch, var, forced): the value that refutation forces, null if neither or the branch is infeasible; `feasible`.
 

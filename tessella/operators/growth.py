@@ -36,18 +36,16 @@ def free_variables(contexts: DataFrame, variables: DataFrame, goals: DataFrame,
     return rows.filter(~known & (F.col("var") != F.col("goal"))).select(problem, "context", "var").distinct()
 
 
-def sibling_settled(lits: DataFrame, goals: DataFrame, grown: DataFrame, level: DataFrame, free: DataFrame, problem: str = "problem_id") -> DataFrame:
-    """(problem, context) that a set of the context it comes from settles: that set of the level has one variable less, and suffices here as well.
+def sibling_pairs(grown: DataFrame, level: DataFrame, free: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, context, vars): for each context the sets that its parent has in the level, of variables that may be asked.
 
-    grown: (problem, context, parent), the context and the larger one it comes from; sets with a variable that may not be
-    asked don't count.
+    grown: (problem, context, parent), the context and the larger one it comes from.
     """
     key = [problem, "context"]
     siblings = level.select(problem, F.col("context").alias("parent"), "vars")
     pairs = grown.select(*key, "parent").distinct().join(siblings, [problem, "parent"]).select(*key, "vars").distinct()
-    each = pairs.select(*key, "vars", F.explode("vars").alias("var")).join(free, [*key, "var"], "left_anti").select(*key, "vars").distinct()
-    pairs = checkpointed(pairs.join(each, [*key, "vars"], "left_anti"))
-    return is_sufficient(context_tables(lits, goals, pairs, problem), key).filter("is_sufficient").select(*key).distinct()
+    closed = pairs.select(*key, "vars", F.explode("vars").alias("var")).join(free, [*key, "var"], "left_anti").select(*key, "vars").distinct()
+    return pairs.join(closed, [*key, "vars"], "left_anti")
 
 
 def grown_levels(
@@ -77,15 +75,17 @@ def grown_levels(
             F.array_sort(F.array_append(rest, negated(F.col("_l")))).alias("_flipped"),
         )
         grown = checkpointed(grown.distinct())
-        grown = grown.join(holding(grown.select(*key).distinct(), level, problem), key, "left_anti")
-        flipped = grown.select(problem, F.col("_flipped").alias("context"), "vars").distinct()
-        good = is_sufficient(context_tables(lits, goals, flipped, problem), key).filter("is_sufficient")
-        good = good.select(problem, F.col("context").alias("_flipped"), "vars")
-        grown = checkpointed(grown.join(good, [problem, "_flipped", "vars"], "left_semi").select(*key, "parent", F.col("_grown").alias("vars")).distinct())
+        grown = checkpointed(grown.join(holding(grown.select(*key).distinct(), level, problem), key, "left_anti"))
         if grown.isEmpty():
             break
         free = checkpointed(free_variables(grown, variables, goals, problem))
-        grown = checkpointed(grown.join(sibling_settled(lits, goals, grown, level, free, problem), key, "left_anti"))
+        flipped = grown.select(problem, F.col("_flipped").alias("context"), "vars")
+        asked = checkpointed(flipped.unionByName(sibling_pairs(grown, level, free, problem)).distinct())
+        good = checkpointed(is_sufficient(context_tables(lits, goals, asked, problem), key).filter("is_sufficient").select(*key, "vars"))
+        easy = sibling_pairs(grown, level, free, problem).join(good, [*key, "vars"], "left_semi").select(*key).distinct()
+        still = good.withColumnRenamed("context", "_flipped")
+        grown = grown.join(still, [problem, "_flipped", "vars"], "left_semi").join(easy, key, "left_anti")
+        grown = checkpointed(grown.select(*key, F.col("_grown").alias("vars")).distinct())
         settled, searched = settled_contexts(lits, goals, free.join(grown.select(*key).distinct(), key, "left_semi"), k - 1, problem)
         searched = searched.select(problem, F.lit(k).alias("k"), "context", "n_closures", "n_full")
         work = searched if work is None else work.unionByName(searched)

@@ -34,6 +34,10 @@ def literal_structs(context: str) -> Column:
     return F.transform(context, bare)
 
 
+def no_facts(branches: DataFrame, problem: str = "problem_id") -> DataFrame:
+    return branches.select(problem, "branch_id", F.lit("").alias("var"), F.lit(True).alias("val")).filter("false")
+
+
 def context_closures(index: DataFrame, contexts: DataFrame, problem: str = "problem_id") -> tuple[DataFrame, Closure]:
     """(problem, context, branch_id), and the closure of each context. contexts: (problem, context), arrays of literals."""
     named = checkpointed(contexts.select(problem, "context").distinct().withColumn("branch_id", F.to_json(F.struct("context"))))
@@ -73,9 +77,11 @@ def settled_contexts(lits: DataFrame, goals: DataFrame, free: DataFrame, k: int,
     sizes = own.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("_m")).filter(F.col("_m") >= k)
     choose = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(1).cast("decimal(38,0)"), lambda x, i: (x * (F.col("_m") - k + i) / i).cast("decimal(38,0)")) if k else F.lit(1)
     full = sizes.select(*by, (choose * (1 << k)).cast("decimal(38,0)").alias("n_full"))
-    contexts, base = context_closures(index, sizes, problem)
-    cases = contexts.join(goals, problem).select(problem, F.concat_ws("|", "branch_id", F.lit("")).alias("branch_id"), F.col("branch_id").alias("parent"), F.array().cast("array<struct<var:string,val:boolean>>").alias("literals"), F.col("goal").alias("var"))
-    nodes = contexts.select(problem, F.concat_ws("|", "branch_id", F.lit("")).alias("branch_id"), "context", F.array().cast("array<string>").alias("vars"))
+    # a context starts from what unit clauses force; its own literals are the first case
+    root = sizes.select(problem, F.lit("").alias("branch_id")).distinct()
+    base = close(index, no_facts(root, problem), root, None, problem)
+    nodes = sizes.select(problem, F.to_json(F.struct("context")).alias("branch_id"), "context", F.array().cast("array<string>").alias("vars"))
+    cases = nodes.join(goals, problem).select(problem, "branch_id", F.lit("").alias("parent"), literal_structs("context").alias("literals"), F.col("goal").alias("var"))
     done, closed = [], []
     for size in range(k + 1):
         nodes = checkpointed(nodes)

@@ -1,57 +1,99 @@
-"""Queries of grown sets and problem rows: a clause set for each supplier, of four kinds."""
+"""Queries of grown sets, problem rows and contradictory sets, on a clause set that each customer's orders give."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fixpoint, growth
+from ..sources.storage import checkpointed
 from .base import table
 
+#: Orders of more than this stand for a literal that holds, others for one that doesn't.
+DEAR = 150_000
 
-def _words(*items: str) -> Column:
-    return F.array(*map(F.lit, items)).cast("array<string>")
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(problem_id, turn, v, dear): a customer's orders in turn, each with the variable of its priority."""
+    o = table(spark, sf_dir, "orders")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    variable = F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1))
+    return o.select(F.col("o_custkey").alias("problem_id"), F.row_number().over(own).alias("turn"), variable.alias("v"), (F.col("o_totalprice") > DEAR).alias("dear"))
 
-def _clauses(*clauses: str) -> Column:
-    return F.array(*[_words(*c.split(",")) for c in clauses])
 
+def _literal(v: str, holds: str) -> Column:
+    return F.when(F.col(holds), F.col(v)).otherwise(F.concat(F.lit("not "), F.col(v)))
 
-def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Literals, goals, variables and level one: g is a and b; b is c and d, or c alone; b may be asked, or not."""
-    s = table(spark, sf_dir, "supplier")
-    p = s.select(F.col("s_suppkey").alias("problem_id"), (F.col("s_nationkey") % 2 == 0).alias("both"), (F.col("s_acctbal") > 5000).alias("asked"))
-    lower = F.when(F.col("both"), _clauses("b,not c,not d", "not b,c", "not b,d")).otherwise(_clauses("b,not c", "not b,c"))
-    clauses = F.posexplode(F.concat(_clauses("g,not a,not b", "not g,a", "not g,b"), lower)).alias("clause_id", "clause")
-    goals = p.select("problem_id", F.lit("g").alias("goal"))
-    variables = p.select("problem_id", F.explode(F.when(F.col("asked"), _words("a", "b", "c", "d")).otherwise(_words("a", "c", "d"))).alias("var"))
 
-    def pair(context: Column, name: str) -> Column:
-        return F.struct(context.alias("context"), _words(name).alias("vars"))
+def _no(v: Column) -> Column:
+    return F.concat(F.lit("not "), v)
+
+
+def _pairs(orders: DataFrame) -> DataFrame:
+    """Each order beside the customer's next one, of another priority."""
+    own = Window.partitionBy("problem_id").orderBy("turn")
+    return orders.withColumns({"w": F.lead("v").over(own), "next_dear": F.lead("dear").over(own)}).filter("v <> w")
+
+
+def _clauses(orders: DataFrame) -> DataFrame:
+    """Literals. The goal g is the two commonest priorities together; the second of them is the third, or the third and fourth
+    together where there is a fifth; and a dear order implies the priority of a cheaper one after it."""
+    ranked = _ranked(orders)
+    a, b, c, d = (F.get("r", F.lit(i)) for i in range(4))
+    g = F.lit("g")
+    goal = [F.array(g, _no(a), _no(b)), F.array(_no(g), a), F.array(_no(g), b), F.array(_no(b), c)]
+    both = F.size("r") == 5
+    second = F.when(both, F.array(F.array(b, _no(c), _no(d)), F.array(_no(b), d))).otherwise(F.array(F.array(b, _no(c))))
+    fixed = ranked.select("problem_id", F.explode(F.concat(F.array(*goal), second)).alias("clause"))
+    chained = _pairs(orders).filter("dear and not next_dear and turn % 5 = 0").select("problem_id", F.array(F.col("w"), _no(F.col("v"))).alias("clause"))
+    rows = fixed.unionByName(chained.join(ranked.select("problem_id"), "problem_id", "left_semi")).distinct()
+    return fixpoint.literals(rows.withColumn("clause_id", F.array_join("clause", ",")))
+
 
-    first = F.when(F.col("both"), F.array(pair(_words("a", "c"), "d"), pair(_words("a", "d"), "c")))
-    first = first.otherwise(F.array(pair(_words("a"), "c"), pair(_words("a", "not d"), "c")))
-    asked = F.when(F.col("asked"), F.array(pair(_words("a"), "b")))
-    pairs = p.select("problem_id", F.explode(F.concat(first, F.coalesce(asked, F.filter(first, lambda x: F.lit(False))))).alias("_p"))
-    return fixpoint.literals(p.select("problem_id", clauses)), goals, variables, pairs.select("problem_id", "_p.*")
+def _ranked(orders: DataFrame) -> DataFrame:
+    """(problem_id, r): a customer's priorities, the commonest first, of those with three or more."""
+    counts = orders.groupBy("problem_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "v")))
+    return counts.groupBy("problem_id").agg(F.transform(order, lambda x: x["v"]).alias("r")).filter("size(r) >= 3")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Literals, goals, variables that may be asked (a customer's priorities), and level one: the commonest priority is known, and
+    another one as the customer's last order of it says, and the second commonest is left out."""
+    orders = _orders(spark, sf_dir)
+    lits = checkpointed(_clauses(orders))
+    ranked = checkpointed(_ranked(orders))
+    goals = ranked.select("problem_id", F.lit("g").alias("goal"))
+    variables = ranked.select("problem_id", F.explode("r").alias("var"))
+    last = orders.groupBy("problem_id", "v").agg(F.max_by("dear", "turn").alias("dear")).join(ranked, "problem_id").filter(~F.col("v").isin(F.get("r", F.lit(0)), F.get("r", F.lit(1))))
+    context = F.array_sort(F.array(F.get("r", F.lit(0)), _literal("v", "dear")))
+    return lits, goals, variables, last.select("problem_id", context.alias("context"), F.array(F.get("r", F.lit(1))).alias("vars"))
 
 
 def grown_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lits, goals, variables, first = _cases(spark, sf_dir)
-    sets = growth.grown_sets(lits, goals, variables, first, 3)
+    sets = growth.grown_sets(*_cases(spark, sf_dir), 3)
     return sets.select("problem_id", "k", F.array_join("context", ",").alias("context"), F.array_join("vars", ",").alias("vars"))
 
 
 def problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of all grown sets; the set a, c is refused where d is known to be false."""
+    """Rows of the grown sets of one and two variables; those of two that hold p1 are refused."""
     lits, goals, variables, first = _cases(spark, sf_dir)
-    sets = growth.grown_sets(lits, goals, variables, first, 3)
-    refused = goals.select("problem_id", F.lit(2).alias("k"), _words("not d").alias("context"), _words("a", "c").alias("vars"))
-    rows = growth.problem_rows(lits, goals, variables, sets, refused)
+    sets = growth.grown_sets(lits, goals, variables, first, 2)
+    rows = growth.problem_rows(lits, goals, variables, sets, sets.filter("k = 2 and array_contains(vars, 'p1')"))
     joined = [F.array_join(c, ",").alias(c) for c in ("known_true", "known_false", "invalid_vars", "valid_vars")]
     return rows.select("problem_id", "k", "goal", *joined, F.array_join(F.transform("sets", lambda s: F.array_join(s, ",")), ";").alias("sets"))
 
 
+def contradictory_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three orders whose literals can't hold together with the customer's clauses."""
+    orders = _orders(spark, sf_dir)
+    lits = _clauses(orders)
+    own = Window.partitionBy("problem_id").orderBy("turn").rowsBetween(0, 2)
+    runs = orders.withColumn("items", F.collect_list(_literal("v", "dear")).over(own)).join(lits.select("problem_id").distinct(), "problem_id", "left_semi")
+    keyed = runs.select("problem_id", "turn", "items")
+    return fixpoint.contradictory_sets(lits, keyed, "turn", "items")
+
+
 def _level(k: int) -> str:
     """SQL of the pairs of k variables: contexts are masks of known variables and their values, sets are masks."""
     return f"""l{k} AS (SELECT DISTINCT problem_id, rest AS cm, val AS cv, s | bit AS s FROM (
@@ -59,41 +101,52 @@ def _level(k: int) -> str:
     WHERE EXISTS (SELECT 1 FROM u WHERE u.problem_id = q.problem_id AND u.cm = q.cm AND u.cv = xor(q.cv, bit) AND u.s = q.s)
       AND NOT EXISTS (SELECT 1 FROM l{k - 1} o WHERE o.problem_id = q.problem_id AND (o.cm & rest) = o.cm AND (val & o.cm) = o.cv)
       AND NOT EXISTS (SELECT 1 FROM u WHERE u.problem_id = q.problem_id AND u.cm = rest AND u.cv = val AND bit_count(u.s) = {k - 1}
-        AND (u.s & rest) = 0 AND (asked OR (u.s & 2) = 0)))"""
+        AND (u.s & rest) = 0 AND (u.s & ~asked) = 0))"""
 
 
 def _names(test: str, prefix: str = "") -> str:
-    return ", ".join(f"CASE WHEN {test.format(1 << i)} THEN '{prefix}{n}' END" for i, n in enumerate("abcd"))
+    return ", ".join(f"CASE WHEN {test.format(1 << i)} THEN '{prefix}p{i + 1}' END" for i in range(5))
 
 
 _TRUE, _FALSE = _names("(cv & {0}) <> 0"), "((cm - cv) & {0}) <> 0"
-_GROWN = f"""WITH p AS (SELECT s_suppkey AS problem_id, s_nationkey % 2 = 0 AS both_, s_acctbal > 5000 AS asked FROM supplier),
-  v AS (SELECT unnest(range(0, 32)) AS m), x AS (SELECT unnest(range(0, 16)) AS x), b AS (SELECT unnest([1, 2, 4, 8])::BIGINT AS bit),
-  w AS (SELECT problem_id, m, m >> 4 AS g FROM p, v
-    WHERE (m >> 4) = ((m & 1) & ((m >> 1) & 1)) AND ((m >> 1) & 1) = ((m >> 2) & 1) & CASE WHEN both_ THEN (m >> 3) & 1 ELSE 1 END),
-  c AS (SELECT i.x AS cm, j.x AS cv FROM x i, x j WHERE (i.x & j.x) = j.x),
-  t AS (SELECT problem_id, cm, cv, x AS s, m & x AS pat, min(g) AS lo, max(g) AS hi FROM w, c, x WHERE (m & cm) = cv GROUP BY ALL),
+#: Priorities are the bits 1 to 16, the goal is 32; a clause is the masks of its negative and its positive literals.
+_MODELS = f"""o AS (SELECT o_custkey AS problem_id, row_number() OVER w AS turn, (1 << (substr(o_orderpriority, 1, 1)::INT - 1))::BIGINT AS v, o_totalprice > {DEAR} AS dear FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+  k AS (SELECT *, lead(v) OVER w AS nv, lead(dear) OVER w AS ndear FROM o WINDOW w AS (PARTITION BY problem_id ORDER BY turn)),
+  r AS (SELECT problem_id, list(v ORDER BY n DESC, v) AS r FROM (SELECT problem_id, v, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1 HAVING count(*) >= 3),
+  cl AS (SELECT problem_id, unnest([r[1] | r[2], 32, 32, r[2]]) AS neg, unnest([32, r[1], r[2], r[3]]) AS pos FROM r
+    UNION ALL SELECT problem_id, CASE WHEN len(r) = 5 THEN r[3] | r[4] ELSE r[3] END, r[2] FROM r UNION ALL SELECT problem_id, r[2], r[4] FROM r WHERE len(r) = 5
+    UNION ALL SELECT problem_id, v, nv FROM k JOIN r USING (problem_id) WHERE v <> nv AND dear AND NOT ndear AND turn % 5 = 0),
+  v AS (SELECT unnest(range(0, 64)) AS m),
+  w AS (SELECT problem_id, m FROM r, v WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.problem_id = r.problem_id AND (neg & m) = neg AND (pos & m) = 0))"""
+_GROWN = f"""WITH {_MODELS},
+  p AS (SELECT problem_id, bit_or(v) AS asked FROM o SEMI JOIN r USING (problem_id) GROUP BY 1),
+  x AS (SELECT unnest(range(0, 32)) AS x), b AS (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS bit),
+  c AS (SELECT i.x AS cm, j.x AS cv FROM x i, x j WHERE (i.x & j.x) = j.x AND bit_count(i.x) <= 2),
+  t AS (SELECT problem_id, cm, cv, x AS s, m & x AS pat, min(m >> 5) AS lo, max(m >> 5) AS hi FROM w, c, x WHERE (m & cm) = cv GROUP BY ALL),
   u AS (SELECT problem_id, cm, cv, s FROM t GROUP BY ALL HAVING bool_and(lo = hi)),
-  l1 AS (SELECT problem_id, cm::BIGINT AS cm, cv::BIGINT AS cv, s::BIGINT AS s FROM p,
-    (VALUES (1, 1, 2, NULL), (5, 5, 8, true), (9, 9, 4, true), (1, 1, 4, false), (9, 1, 4, false)) AS f(cm, cv, s, kind)
-    WHERE CASE WHEN kind IS NULL THEN asked ELSE kind = both_ END),
+  f AS (SELECT problem_id, v, arg_max(dear, turn) AS dear, any_value(r) AS r FROM o JOIN r USING (problem_id) WHERE v <> r[1] AND v <> r[2] GROUP BY problem_id, v),
+  l1 AS (SELECT problem_id, v | r[1] AS cm, r[1] | CASE WHEN dear THEN v ELSE 0 END AS cv, r[2] AS s FROM f),
   {_level(2)},
   {_level(3)},
   grown AS (SELECT 1 AS k, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3)"""
 
-QUERIES = {"grown_sets": grown_sets, "problem_rows": problem_rows}
+QUERIES = {"grown_sets": grown_sets, "problem_rows": problem_rows, "contradictory_orders": contradictory_orders}
 ORACLES = {
-    "grown_sets": f"""{_GROWN} SELECT problem_id, k, concat_ws(',', {_TRUE}, {_names(_FALSE, "not ")}) AS context,
+    "grown_sets": f"""{_GROWN} SELECT problem_id, k, concat_ws(',', {_names(_FALSE, "not ")}, {_TRUE}) AS context,
       concat_ws(',', {_names("(s & {0}) <> 0")}) AS vars FROM grown""",
     "problem_rows": f"""{_GROWN}, e AS (SELECT DISTINCT y.problem_id, y.cm, y.cv, y.s, bit FROM t y, t z, b
       WHERE y.problem_id = z.problem_id AND y.cm = z.cm AND y.cv = z.cv AND y.s = z.s AND (y.s & bit) <> 0 AND (y.pat & bit) = 0
         AND z.pat = y.pat | bit AND y.lo = y.hi AND z.lo = z.hi AND y.lo <> z.lo),
     good AS (SELECT asked, g.*, concat_ws(',', {_names("(s & {0}) <> 0")}) AS names FROM grown g JOIN p USING (problem_id) SEMI JOIN u USING (problem_id, cm, cv, s)
-      WHERE NOT (k = 2 AND cm = 8 AND cv = 0 AND s = 5) AND (s & cm) = 0
+      WHERE k < 3 AND NOT (k = 2 AND (s & 1) = 1) AND (s & cm) = 0
         AND (bit_count(s) = 1 OR bit_count(s) = (SELECT count(*) FROM e WHERE e.problem_id = g.problem_id AND e.cm = g.cm AND e.cv = g.cv AND e.s = g.s)
           AND NOT EXISTS (SELECT 1 FROM u WHERE u.problem_id = g.problem_id AND u.cm = g.cm AND u.cv = g.cv AND bit_count(u.s) = bit_count(g.s) - 1
-            AND (u.s & u.cm) = 0 AND (asked OR (u.s & 2) = 0))))
+            AND (u.s & u.cm) = 0 AND (u.s & ~asked) = 0)))
     SELECT problem_id, k, 'g' AS goal, concat_ws(',', {_TRUE}) AS known_true, concat_ws(',', {_names(_FALSE)}) AS known_false,
-      concat_ws(',', {_names("(cm & {0}) <> 0")}, 'g') AS invalid_vars, concat_ws(',', {_names("(cm & {0}) = 0 AND (asked OR {0} <> 2)")}) AS valid_vars,
+      concat_ws(',', 'g', {_names("(cm & {0}) <> 0")}) AS invalid_vars, concat_ws(',', {_names("(asked & ~cm & {0}) <> 0")}) AS valid_vars,
       string_agg(names, ';' ORDER BY names) AS sets FROM good GROUP BY problem_id, k, cm, cv, asked""",
+    "contradictory_orders": f"""WITH {_MODELS}, s AS (SELECT problem_id, turn, coalesce(bit_or(CASE WHEN dear THEN v END) OVER w, 0) AS pos, coalesce(bit_or(CASE WHEN NOT dear THEN v END) OVER w, 0) AS neg
+      FROM o SEMI JOIN r USING (problem_id) WINDOW w AS (PARTITION BY problem_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+    SELECT problem_id, turn, CASE WHEN (pos & neg) <> 0 THEN 'both signs' ELSE 'inferred' END AS reason FROM s
+    WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.problem_id = s.problem_id AND (m & pos) = pos AND (m & neg) = 0)""",
 }

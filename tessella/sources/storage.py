@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own_dir: str | None = None
@@ -49,12 +50,17 @@ class Pieces:
 
     def __init__(self, spark: SparkSession, schema: StructType):
         self.spark, self.schema, self.paths = spark, schema, []
+        #: Rows of the piece that was added last.
+        self.last = 0
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write another piece; returns its rows."""
         if len(self.paths) >= self.MOST:
             self.paths = [_written(self.all())]
-        self.paths.append(_written(df.select(*self.schema.names)))
+        seen = Observation()
+        self.paths.append(_written(df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n"))))
+        # what is known to be empty is not observed
+        self.last = seen.get.get("n", 0)
         return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
     def all(self) -> DataFrame:

@@ -76,7 +76,9 @@ def test_grown_sets_and_problem_rows_against_all_models(spark):
     goals = spark.createDataFrame([(p, "g") for p in problems], "problem_id string, goal string")
     variables = spark.createDataFrame([(p, v) for p in problems for v in NAMES], "problem_id string, var string")
     level = spark.createDataFrame([(p, list(c), list(s)) for p, ps in first.items() for c, s in ps], "problem_id string, context array<string>, vars array<string>")
-    sets = growth.grown_sets(lits, goals, variables, level, 3)
+    sets, work = growth.grown_levels(lits, goals, variables, level, 3)
+    spent = work.collect()
+    assert spent and sum(r.n_closures for r in spent if r.k == 3) < sum(int(r.n_full) for r in spent if r.k == 3)
     got = {(r.problem_id, r.k, tuple(r.context), tuple(r.vars)) for r in sets.collect()}
     assert got == {(p, k, c, s) for p in problems for k, found in grown(worlds[p], first[p], 3).items() for c, s in found}
     assert {k for _, k, _, _ in got} >= {1, 2}
@@ -96,6 +98,23 @@ def test_grown_sets_and_problem_rows_against_all_models(spark):
         assert sorted(r.known_true + [f"not {x}" for x in r.known_false]) == r.context
 
 
+def test_contradictory_sets_against_all_models(spark):
+    rng = random.Random(3)
+    problems, sets = {}, []
+    for p in range(5):
+        problems[p] = [[rng.choice(["not ", ""]) + x if i == 0 else f"not {x}" for i, x in enumerate(rng.sample(NAMES, rng.randint(1, 3)))] for _ in range(7)]
+        sets += [(p, i, [rng.choice(["", "not "]) + x for x in rng.choices(NAMES, k=rng.randint(0, 4))]) for i in range(30)]
+    problems[5], sets = [["a"], []], [*sets, (5, 0, ["b"])]
+    lits = fixpoint.literals(spark.createDataFrame([(p, i, c) for p, cs in problems.items() for i, c in enumerate(cs)], "problem_id int, clause_id int, clause array<string>"))
+    df = spark.createDataFrame(sets, "problem_id int, i int, items array<string>")
+    got = {(r.problem_id, r.i): r.reason for r in fixpoint.contradictory_sets(lits, df, "i", "items").collect()}
+    want = {}
+    for p, i, items in sets:
+        if not any(all(v[x.removeprefix("not ")] != x.startswith("not ") for x in items) for v in models(problems[p])):
+            want[p, i] = "both signs" if {x for x in items if negated(x) in items} else "inferred"
+    assert got == want and set(want.values()) == {"both signs", "inferred"}
+
+
 def test_no_pairs(spark):
     lits = fixpoint.literals(spark.createDataFrame([(1, 1, ["g", "not a"])], "problem_id int, clause_id int, clause array<string>"))
     goals = spark.createDataFrame([(1, "g")], "problem_id int, goal string")
