@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,11 +196,61 @@ def test_mix_follows_a_plain_schedule(spark):
 
 def test_mix_rounds_shares_by_less_than_a_slot(spark):
     weights = spark.createDataFrame([("big", 1 / 3), *[(f"t{i}", (2 / 3) / 300) for i in range(300)]], "source string, weight double")
-    whole = {r.source: r for r in mixing.whole_weights(weights).collect()}
+    whole = {r.source: r for r in mixing.whole_weights(weights)[0].collect()}
     q = whole["big"].q
     assert q == mixing.PERIOD and all(abs(r.a - q * r.weight) < 1 for r in whole.values())
     many = spark.createDataFrame([(f"t{i}", 1.0) for i in range(60)], "source string, weight double")
-    assert {r.a for r in mixing.whole_weights(many, 10).collect()} == {4}
+    assert {r.a for r in mixing.whole_weights(many, 10)[0].collect()} == {4}
+
+
+def deviations(order, target):
+    """The largest distance of a source's count from its target at any position."""
+    done, worst = dict.fromkeys(target, 0), dict.fromkeys(target, 0.0)
+    for t, s in enumerate(order):
+        worst[s] = max(worst[s], abs(done[s] - t * target[s]), abs(done[s] + 1 - (t + 1) * target[s]))
+        done[s] += 1
+    return {s: max(w, abs(done[s] - len(order) * target[s])) for s, w in worst.items()}
+
+
+def test_mix_does_not_round_small_sources_up(spark):
+    """A source beside 2,000 of a ten millionth each, over several periods: all are within a block of the given target."""
+    weights = spark.createDataFrame([("big", 1.0), *[(f"t{i}", 1e-7) for i in range(2000)]], "source string, weight double")
+    docs = documents(spark, [("big", 60_000), *[(f"t{i}", 1) for i in range(2000)]])
+    rows = mixing.mix_sources(docs, weights=weights, block_rows=1).select("source", "global_slot").collect()
+    order = [r.source for r in sorted(rows, key=lambda r: r.global_slot)]
+    assert len(order) == 62_000 and len({r.global_slot for r in rows}) == 62_000
+    total = 1.0 + 2000 * 1e-7
+    target = {"big": 1.0 / total, **{f"t{i}": 1e-7 / total for i in range(2000)}}
+    assert order[:60_000].count("big") in (59_988, 59_989) and max(deviations(order[:59_900], target).values()) < 1.001
+
+
+def test_mix_of_pools_within_pools(spark):
+    """Weights over many powers of ten take several levels; each level keeps its shares."""
+    shares = {f"s{i}": 10.0 ** -i for i in range(13)}
+    weights = spark.createDataFrame(list(shares.items()), "source string, weight double")
+    whole, table, pools = mixing.levels(weights, 50)
+    assert whole.select("level").distinct().count() == len(pools) + 1 > 3 and table.count() >= 13
+    docs = documents(spark, [(s, 400 if i == 0 else 5) for i, s in enumerate(shares)])
+    rows = mixing.mix_sources(docs, weights=weights, block_rows=1, period=50).collect()
+    assert len({r.global_slot for r in rows}) == len(rows) == docs.count()
+    for s in shares:
+        own = sorted((r for r in rows if r.source == s), key=lambda r: r.global_slot)
+        assert [r.block for r in own] == list(range(len(own)))
+
+
+def test_mix_of_many_sources_takes_little_time(spark):
+    rng = random.Random(4)
+    shares = {f"s{i}": rng.choice([0.5, 1.0, 2.0, 3.5, 10.0 * rng.random()]) for i in range(5000)}
+    weights = spark.createDataFrame(list(shares.items()), "source string, weight double")
+    total = sum(shares.values())
+    docs = documents(spark, [(s, max(1, round(20_000 * w / total))) for s, w in shares.items()])
+    began = time.perf_counter()
+    rows = mixing.mix_sources(docs, weights=weights, block_rows=1).select("source", "global_slot").collect()
+    assert time.perf_counter() - began < 120
+    order = [r.source for r in sorted(rows, key=lambda r: r.global_slot)]
+    # up to where the first source has run out
+    worst = deviations(order[:10_000], {s: w / total for s, w in shares.items()})
+    assert max(worst.values()) < 1.0 + 10_000 / mixing.PERIOD
 
 
 def test_mix_odd_weights(spark):
