@@ -6,7 +6,8 @@ more than half of the text of the article around them (or of the page, where non
 reader comments may hold more, if any other text is left). For every node left, the composite density is its characters per tag,
 adjusted by the share of characters in links; a node's density sum is that of its children. From the node of the
 largest sum, the least density on its path up to the body is the threshold; among nodes that reach the threshold the
-subtree of the largest sum is the article (or the article element around it).
+subtree of the largest sum is the article. As its paragraphs may be split over sections, the choice goes up, below the
+body, while the parent reaches the threshold as well.
 
 Parsing takes time in proportion to the page, however deep or broken it is: tags that never end are text, and after a
 tag that only ends inside quotes the rest of the page is read without heed of quotes. Unclosed elements end with what
@@ -56,8 +57,8 @@ MARKS = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 # Words that say nothing of the content: a class name marks if it holds a mark and, beside marks, only these.
 NEUTRAL = frozenset(
-    "area articles bar block body bottom box btn button buttons center col column container content div form group head heading icon icons inner item items label left link links list "
-    "lower middle mobile outer panel posts primary right row secondary section site slot small text title top unit upper view wrap wrapper zone".split()
+    "area articles bar block body bottom box btn button buttons center col column container content cta div form group head heading icon icons inner item items label left link links list "
+    "lower middle mobile outer panel posts primary right row secondary section site slot small text thread threads title tools top unit upper view wrap wrapper zone".split()
 )
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _KEEP = frozenset({"html", "body", "article", "main", "h1"})
@@ -95,6 +96,9 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
         name, value = m[1].lower(), m[2].strip("\"'")
         if name in ("class", "id", "role"):
             found = found.union(*map(_words_of, value.split()))
+        if name == "id":
+            # what an id begins with says what the element is, whatever other words follow
+            found |= COMMENTS & {w.lower() for w in _WORDS.findall(value)[:1]}
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
     return hidden, bool(found), not COMMENTS.isdisjoint(found)
@@ -251,8 +255,6 @@ def article(page: str) -> Node:
     chosen = max((x for x in order if x.density >= threshold), key=lambda x: x.total, default=best)
     if not chosen.total:
         return body
-    if chosen.scope is not None and chosen.scope is not body:
-        return chosen.scope
     # a run of paragraphs may be split over sections: go up, below the body, while the parent reaches the threshold
     while chosen is not body and chosen.up is not body and chosen.up.density >= threshold:
         chosen = chosen.up
