@@ -11,8 +11,8 @@ How much the probes spare depends on the vectors: where neighbours are near, few
 probed (`probed` tells the share); where the tenth neighbour is nearly as far as the thousandth, nearly all are.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Equal
-distances go to the smaller id. Rows that repeat an id are candidates each, but never of that id's own query; a query
-id that is repeated gets one list, of the nearest to any of its rows. Without vectors or queries the result is empty.
+distances go to the smaller id. Of rows that repeat an id the nearest one counts, and a list names an id once, never the
+query's own; a query id that is repeated gets one list, of the nearest to any of its rows. Without vectors or queries the result is empty.
 Other columns are ignored, whatever their names.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, run_starts
 from .groups import whole_groups
 
 SAMPLE_ROWS = 8192
@@ -132,10 +132,14 @@ def _search(codes: Codes, k: int):
                 own, own_ids, asked, asked_ids = vectors[~asks], ids[~asks], vectors[asks], ids[asks]
                 if not len(own) or not len(asked):
                     continue
-                out = []
+                out, repeated = [], len(np.unique(own_ids)) < len(own_ids)
                 for q, rows in probe(codes.of(own), codes.of(asked), codes.radius):
                     rows = rows[own_ids[rows] != asked_ids[q]]
                     d = np.sqrt(((own[rows] - asked[q]) ** 2).sum(1))
+                    if repeated:
+                        nearer = np.lexsort((d, own_ids[rows]))
+                        nearer = nearer[run_starts(own_ids[rows][nearer])] if len(nearer) else nearer
+                        rows, d = rows[nearer], d[nearer]
                     if len(rows) > k:
                         kept = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
                         rows, d = rows[kept], d[kept]
@@ -162,7 +166,7 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     found = _tiles(rows, is_query, total, codes, k)
     short = materialize(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "ann-found")
     queries = rows.filter(is_query(F.col("id")))
-    wanted = min(k, total - 1)
+    wanted = min(k, rows.select("id").distinct().count() - 1)
     few = queries.select("id").distinct().join(short.filter(F.col("n") >= wanted).select(F.col("query_id").alias("id")), "id", "left_anti")
     few = materialize(few, "ann-few")
     if not few.isEmpty():
@@ -189,5 +193,7 @@ def _tiles(rows: DataFrame, is_query, total: int, codes: Codes, k: int, only: Da
     # by range, so that no two tiles fall into a task while others have none
     tiles = index.unionByName(asks).repartitionByRange(blocks * groups, "tile").sortWithinPartitions("tile")
     best = tiles.mapInArrow(_search(codes, k), "query_id long, vec_id long, score double")
+    # rows that repeat an id share a block; only a repeated query names a candidate twice
+    best = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

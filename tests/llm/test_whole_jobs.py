@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,23 @@ def test_parts_of_articles_with_marked_names():
     assert text.startswith("Head By line") and text.endswith("Prior art.")
 
 
+def test_comments_are_told_by_their_id():
+    talk = "".join(f"<p>Reader {i} says much more than the article itself has to say.</p>" for i in range(30))
+    for part in ("id='disqus_thread'", "id='comments-area'", "id='respond'", "id='comment-policy-and-all-remarks'"):
+        for tag in ("article", "div"):
+            text = html.main_text(f"<body><{tag}>{STORY}<div {part}>{talk}</div></{tag}>{SIDE}")
+            assert "Reader" not in text and len(text) > 300, (part, tag)
+    text = html.main_text(f"<body><article>{STORY}<div class='share-tools'>Share it</div><div class='newsletter-signup-cta'>Sign up</div></article>")
+    assert "Share" not in text and "Sign" not in text
+
+
+def test_density_chooses_the_same_with_and_without_an_article_tag():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    plain = [html.main_text((p or "").replace("<article", "<div").replace("</article", "</div")) for p in pages]
+    same = sum(html.main_text(p or "") == q for p, q in zip(pages, plain, strict=True))
+    assert same >= 0.98 * len(pages)
+
+
 def test_parts_with_marked_names_that_hold_the_article():
     page = f"<body><article><div class='widget-content'>{STORY}</div><div class='widget'>Else</div></article>"
     assert html.main_text(page).startswith("Sentence number 0") and "Else" not in html.main_text(page)
@@ -239,3 +257,10 @@ def test_nearest_prunes_where_neighbours_are_near(spark):
         d[q] = np.inf
         hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert hits >= 0.9 * 800
+
+
+def test_ann_names_a_candidate_once(spark):
+    rows = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [9.0, 9.0]), (2, [3.0, 0.0]), (3, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, lambda i: i < 1).collect()}
+    assert got == {(0, 1): (1, 1.0), (0, 2): (2, 2.0), (0, 3): (3, math.sqrt(41))}
