@@ -60,6 +60,27 @@ def cyclic_nodes(edges: DataFrame, problem: str = "problem_id") -> DataFrame:
     return left.select(problem, F.col("dst").alias("node")).unionByName(left.select(problem, F.col("src").alias("node"))).distinct()
 
 
+def topological_levels(nodes: DataFrame, edges: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, node, level) of nodes that lose all their incoming edges, in the round in which they do; those on or behind a cycle give no row.
+
+    Each node has a counter of edges from nodes that already have a level; a round adds the edges of the last level's
+    nodes, and looks at the nodes they point to only.
+    """
+    own = checkpointed(edges.select(problem, "src", "dst").distinct())
+    need = checkpointed(own.groupBy(problem, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_need")))
+    first = nodes.select(problem, "node").distinct().join(need, [problem, "node"], "left_anti")
+    levels = Pieces(edges.sparkSession, first.withColumn("level", F.lit(0)).schema)
+    seen = Pieces(edges.sparkSession, need.withColumnRenamed("_need", "_seen").schema)
+    new, level = levels.add(first.withColumn("level", F.lit(0))), 0
+    while levels.last:
+        level += 1
+        out = new.join(own.withColumnRenamed("src", "node"), [problem, "node"])
+        touched = seen.add(out.groupBy(problem, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_seen")))
+        total = seen.all().join(touched.select(problem, "node"), [problem, "node"], "left_semi").groupBy(problem, "node").agg(F.sum("_seen").alias("_seen"))
+        new = levels.add(total.join(need, [problem, "node"]).filter("_seen = _need").select(problem, "node", F.lit(level).alias("level")))
+    return levels.all()
+
+
 def literals(clauses: DataFrame, problem: str = "problem_id", clause: str = "clause") -> DataFrame:
     """(problem, clause_id, var, val) of arrays of literals `x` and `not x`; an empty clause has one row with a null variable."""
     rows = clauses.select(problem, "clause_id", F.explode_outer(clause).alias("_l"))

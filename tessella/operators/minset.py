@@ -54,6 +54,47 @@ def grow(masks: DataFrame, variables: DataFrame, problem: str = "problem_id") ->
     return joined.select(problem, F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx"))).alias("mask"), F.col("idx").alias("top"))
 
 
+def witnesses(worlds: DataFrame, masks: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, mask, diff) of masks that don't suffice: bits in which two worlds differ that agree on the mask but not on y.
+
+    One aggregation over (problem, mask, pattern) finds such a pair in each pattern; of a mask's the one with the fewest
+    differing bits of `vars` is taken. masks: (problem, mask, vars), the variables as a mask.
+    """
+    pairs = worlds.join(masks.select(problem, "mask", "vars"), problem)
+    patterns = pairs.groupBy(problem, "mask", "vars", F.col("state").bitwiseAND(F.col("mask")).alias("_p")).agg(
+        F.min("y").alias("_a"), F.max("y").alias("_b"), F.min_by("state", F.struct("y", "state")).alias("_s"), F.max_by("state", F.struct("y", "state")).alias("_t")
+    )
+    diff = F.col("_s").bitwiseXOR(F.col("_t")).bitwiseAND(F.col("vars"))
+    apart = patterns.filter("_a <> _b").select(problem, "mask", diff.alias("_d"))
+    return apart.groupBy(problem, "mask").agg(F.min_by("_d", F.struct(F.bit_count("_d"), "_d")).alias("diff"))
+
+
+def smaller_suffices(worlds: DataFrame, claims: DataFrame, most: int, problem: str = "problem_id") -> tuple[DataFrame, DataFrame]:
+    """(problem, found): whether at most `size` of a problem's variables suffice; and (problem, n_nodes), the sets that were looked at.
+
+    claims: (problem, vars, size), the variables as a mask, size up to `most`. A sufficient set hits every difference of
+    two worlds with unequal outcomes, so a set that doesn't suffice is only grown by the variables of its witness: any
+    sufficient set that holds it holds one of these. No other set is made, and a problem leaves at its first hit.
+    """
+    level = checkpointed(claims.select(problem, "vars", "size", F.lit(0).cast("long").alias("mask")))
+    none = level.select(problem, "mask").filter("false")
+    hits, nodes = none.select(problem), none.select(problem)
+    for size in range(most + 1):
+        open_ = checkpointed(witnesses(worlds, level, problem))
+        nodes = nodes.unionByName(level.select(problem))
+        good = checkpointed(level.join(open_, [problem, "mask"], "left_anti").select(problem).distinct())
+        hits = hits.unionByName(good)
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("diff", i) == 1)
+        rest = level.filter(F.col("size") > size).join(good, problem, "left_anti").join(open_, [problem, "mask"])
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i"))
+        grown = rest.select(problem, "vars", "size", "mask", F.explode(bits).alias("_i"))
+        level = checkpointed(grown.select(problem, "vars", "size", F.col("mask").bitwiseOR(one).alias("mask")).distinct())
+        if level.isEmpty():
+            break
+    found = claims.select(problem).join(hits.distinct().withColumn("_f", F.lit(True)), problem, "left")
+    return found.select(problem, F.coalesce("_f", F.lit(False)).alias("found")), nodes.groupBy(problem).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 def minimal_sufficient(worlds: DataFrame, variables: DataFrame, most: int, cap: int | None = None, problem: str = "problem_id") -> tuple[DataFrame, DataFrame]:
     """Smallest k and all sufficient masks of that size: (problem, k, mask), and (problem, k, n_sets, n_tested, status).
 

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
-from . import minset
+from . import fixpoint, minset
 
 
-def smaller_sets(claims: DataFrame, variables: DataFrame, most: int, problem: str = "problem_id") -> DataFrame:
-    """(problem, mask): all sets of one variable less than a problem's k. claims: (problem, k), k up to `most`."""
-    less = claims.select(problem, (F.col("k") - 1).alias("_less"))
-    level = less.filter("_less >= 0").select(problem, F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("top"))
-    out = level.join(less.filter("_less = 0"), problem).select(problem, "mask")
-    for size in range(1, most):
-        level = checkpointed(minset.grow(level.join(less.filter(F.col("_less") >= size).select(problem), problem, "left_semi"), variables, problem))
-        out = out.unionByName(level.join(less.filter(F.col("_less") == size), problem).select(problem, "mask"))
-    return out
+def set_count(n: Column, k: Column, most: int) -> Column:
+    """The number of sets of k out of n, for k up to `most`; null for a negative k."""
+    step = lambda x, i: F.when(i <= k, (x * (n - k + i) / i).cast("decimal(38,0)")).otherwise(x)
+    counted = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, most))), F.lit(1).cast("decimal(38,0)"), step)
+    return F.when(k < 0, None).when(k > n, 0).otherwise(counted)
 
 
 def global_minimality(worlds: DataFrame, claims: DataFrame, variables: DataFrame, most: int, cap: int, problem: str = "problem_id") -> DataFrame:
-    """(problem, k, status, n_tested): pass if no set of k - 1 variables suffices, fail if one does; skip where k is 0 or over `most`, or where more than `cap` sets would have to be tried."""
-    sets = checkpointed(smaller_sets(claims.filter(F.col("k") <= most), variables, most, problem))
-    counts = sets.groupBy(problem).agg(F.count(F.lit(1)).alias("n_tested"))
-    tried = sets.join(counts.filter(F.col("n_tested") <= cap), problem, "left_semi")
-    found = minset.sufficient(worlds, tried, problem).groupBy(problem).agg(F.bool_or("is_sufficient").alias("_some"))
-    status = F.when(F.col("_some").isNull(), "skip").when(F.col("_some"), "fail").otherwise("pass")
-    out = claims.select(problem, "k").join(counts, problem, "left").join(found, problem, "left")
-    return out.select(problem, "k", status.alias("status"), F.coalesce("n_tested", F.lit(0)).alias("n_tested"))
+    """(problem, k, status, n_tested): pass if no set of k - 1 variables suffices, fail if one does; skip where k is 0 or over `most`, or where there are more than `cap` sets of k - 1.
+
+    n_tested, the number of such sets, is computed; no set is made that no pair of worlds asks for. variables: (problem, idx).
+    """
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx"))
+    own = variables.select(problem, "idx").distinct().groupBy(problem).agg(F.bit_or(one).alias("vars"), F.count(F.lit(1)).cast("int").alias("_n"))
+    known = claims.select(problem, "k").join(own, problem, "left")
+    n, size = F.coalesce("_n", F.lit(0)), F.col("k") - 1
+    total = F.when(F.col("k") <= most, F.coalesce(set_count(n, size, most), F.lit(0))).otherwise(0)
+    rows = checkpointed(known.select(problem, "k", F.coalesce("vars", F.lit(0)).cast("long").alias("vars"), total.cast("decimal(38,0)").alias("n_tested")))
+    tried = rows.filter((F.col("n_tested") > 0) & (F.col("n_tested") <= cap)).join(worlds.select(problem).distinct(), problem, "left_semi")
+    found, _ = minset.smaller_suffices(worlds, tried.select(problem, "vars", size.alias("size")), most - 1, problem)
+    status = F.when(F.col("found").isNull(), "skip").when(F.col("found"), "fail").otherwise("pass")
+    return rows.join(found, problem, "left").select(problem, "k", status.alias("status"), F.col("n_tested").cast("long").alias("n_tested"))
 
 
 def five_checks(worlds: DataFrame, sets: DataFrame, claims: DataFrame, variables: DataFrame, most: int, cap: int, problem: str = "problem_id") -> DataFrame:
@@ -55,3 +57,52 @@ def sample_errors(checks: DataFrame, problem: str, flags: dict[str, str]) -> Dat
     """
     found = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(True)), F.lit(m)) for c, m in flags.items()]))
     return checks.select(problem, found.alias("errors"))
+
+
+def validated(
+    nodes: DataFrame, edges: DataFrame, rules: DataFrame, claims: DataFrame, variables: int = 3, rule_count: int = 2, depth: int = 0, problem: str = "problem_id"
+) -> DataFrame:
+    """(problem, errors): what is wrong with each problem of a rule graph, computed from its rows; an empty array if nothing is.
+
+    nodes: (problem, node, value, known), the stated values and whether they are given; edges: (problem, src, dst); rules:
+    (problem, output, rule_type, inputs, constant); claims: a row for each problem, (problem, goal, num_vars, num_rules,
+    depth, asked_vars, asked_rules, asked_depth, distractors). Sizes may be off by `variables`, `rule_count` and `depth`.
+    In order: cycles (nodes that never lose all their incoming edges), a goal that is no node or that no node without
+    incoming edges leads to, sizes, outputs that the rules never reach or whose kind is unknown, else the first name whose
+    value is another one, and distractors that lead to the goal. Null sizes and values count as wrong.
+    """
+    ids = nodes.select(problem, "node").unionByName(edges.select(problem, F.col("src").alias("node"))).unionByName(edges.select(problem, F.col("dst").alias("node"))).distinct()
+    ids = checkpointed(ids)
+    levels = fixpoint.topological_levels(ids, edges, problem)
+    cyclic = ids.join(levels, [problem, "node"], "left_anti").select(problem).distinct().withColumn("_cyclic", F.lit(True))
+    goals = claims.select(problem, "goal")
+    known_goals = checkpointed(goals.join(ids.withColumnRenamed("node", "goal"), [problem, "goal"], "left_semi"))
+    above = checkpointed(fixpoint.ancestors(edges, known_goals, problem))
+    leaves = above.join(levels.filter("level = 0"), [problem, "node"], "left_semi").select(problem).distinct().withColumn("_reached", F.lit(True))
+    present = known_goals.select(problem, F.lit(True).alias("_present"))
+    given = nodes.filter("known").select(problem, "node", "value")
+    values = checkpointed(fixpoint.recompute(rules, given, problem))
+    outputs = rules.select(problem, F.col("output").alias("node"))
+    missing = outputs.join(values, [problem, "node"], "left_anti").groupBy(problem).agg(F.array_sort(F.collect_set("node")).alias("_missing"))
+    odd = values.filter("value is null").join(outputs, [problem, "node"], "left_semi").groupBy(problem).agg(F.min("node").alias("_odd"))
+    stated = nodes.select(problem, "node", F.col("value").alias("_v"))
+    other = values.join(stated, [problem, "node"], "left").filter("value is not null and (_v is null or _v <> value)").groupBy(problem).agg(F.min("node").alias("_other"))
+    overlap = claims.select(problem, F.explode("distractors").alias("node")).join(above, [problem, "node"], "left_semi").select(problem).distinct().withColumn("_overlap", F.lit(True))
+    rows = claims
+    for part in (cyclic, present, leaves, missing, odd, other, overlap):
+        rows = rows.join(part, problem, "left")
+    near = lambda a, b, most: F.coalesce(F.abs(F.col(a) - F.col(b)) <= most, F.lit(False))
+    computed = F.col("_missing").isNull() & F.col("_odd").isNull()
+    checks = [
+        (F.col("_cyclic").isNotNull(), F.lit("graph is not acyclic")),
+        (F.col("_present").isNull(), F.lit("goal is not a node")),
+        (F.col("_present").isNotNull() & F.col("_reached").isNull(), F.lit("goal not reached from a leaf")),
+        (~near("num_vars", "asked_vars", variables), F.lit("number of variables")),
+        (~near("num_rules", "asked_rules", rule_count), F.lit("number of rules")),
+        (~near("depth", "asked_depth", depth), F.lit("depth")),
+        (F.col("_missing").isNotNull(), F.concat(F.lit("not computed: "), F.array_join("_missing", ", "))),
+        (F.col("_odd").isNotNull(), F.concat(F.lit("unknown rule for "), F.col("_odd"))),
+        (computed & F.col("_other").isNotNull(), F.concat(F.lit("value mismatch for "), F.col("_other"))),
+        (F.col("_overlap").isNotNull(), F.lit("distractors lead to the goal")),
+    ]
+    return rows.select(problem, F.array_compact(F.array(*[F.when(test, text) for test, text in checks])).alias("errors"))

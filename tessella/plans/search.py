@@ -119,7 +119,7 @@ def basin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def horn_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow from a nation's first part, by rules `the part of a line implies that of the order's next line`."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
-    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     lines = lines.withColumn("z", F.lead("x").over(after)).filter("x <> z")
     placed = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("problem_id"))
     rules = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("problem_id", "x", "z").distinct()
@@ -168,7 +168,7 @@ ORACLES = {
     "goal_distances": f"WITH RECURSIVE {_EDGES} SELECT problem_id, dist, count(*) AS n FROM (SELECT problem_id, node, min(dist) AS dist FROM r GROUP BY 1, 2) GROUP BY 1, 2",
     "basin_labels": """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 20 AS model, event_id % 97 AS state FROM events), t AS (SELECT e.model, e.state, coalesce(k.state, e.state) AS nxt FROM e LEFT JOIN e k ON k.model = e.model AND k.state = (e.state * e.state + e.model) % 97),
       w AS (SELECT model, state, state AS cur, 0 AS step FROM t UNION ALL SELECT w.model, w.state, t.nxt, step + 1 FROM w JOIN t ON t.model = w.model AND t.state = w.cur WHERE step < 200) SELECT model, state, min(cur) AS cycle FROM w WHERE step >= 98 GROUP BY 1, 2""",
-    "horn_reach": """WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey AS x, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS z FROM lineitem),
+    "horn_reach": """WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey AS x, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS z FROM lineitem),
       u AS (SELECT DISTINCT c_nationkey AS problem_id, x, z FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE x <> z),
       r AS (SELECT problem_id, min(x) AS v FROM u GROUP BY 1 UNION SELECT u.problem_id, z FROM r JOIN u ON u.problem_id = r.problem_id AND u.x = r.v) SELECT problem_id, 'v' || v AS var, true AS val FROM r""",
     "recomputed_totals": "SELECT l_orderkey AS problem_id, floor((q[1] + q[2]) / 3) AS value FROM (SELECT l_orderkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY 1) WHERE len(q) >= 2",

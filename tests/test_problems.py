@@ -1,13 +1,15 @@
 """Readers, logs and problem tables on hand-made rows, shaped as logs and problem files are."""
 
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions import verdicts
-from tessella.operators import metrics, problems, sample, verify
+from tessella.operators import fixpoint, metrics, minset, problems, sample, verify
 from tessella.sources import io
 
 
@@ -169,3 +171,75 @@ def test_columns_of_problems(spark):
     assert one(spark, problems.without_field(F.col("k"), "old"), k=("string", '{"a":"1","old":"x"}')).asDict() == {"key": '{"a":"1"}', "changed": True}
     assert one(spark, problems.listed_numbers(F.col("c"), F.lit(2)), c=("string", "[1, 2.5]")) == [1.0, 2.5] and one(spark, problems.listed_numbers(F.col("c"), F.lit(2)), c=("string", "3")) == [3.0, 3.0]
     assert one(spark, problems.unknown_literals(F.col("r"), F.col("k"), F.lit("g")), r=("array<array<string>>", [["g", "not a", "not b"], ["a", "not c"]]), k=("array<string>", ["b"])) == ["a", "c"]
+
+
+def plain_levels(nodes, edges):
+    """Round by round: nodes all of whose sources have a level."""
+    level, n = {}, 0
+    while True:
+        new = [x for x in nodes if x not in level and all(a in level for a, b in edges if b == x)]
+        if not new:
+            return level
+        level |= dict.fromkeys(new, n)
+        n += 1
+
+
+def test_topological_levels_against_rounds(spark):
+    rng = random.Random(2)
+    graphs = {}
+    for p in range(12):
+        nodes = [f"n{i}" for i in range(rng.randint(1, 9))]
+        pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]] if p % 2 else [(a, b) for a in nodes for b in nodes]
+        graphs[p] = (nodes, rng.choices(pairs, k=rng.randint(0, 9)) if pairs else [])
+    nodes = spark.createDataFrame([(p, x) for p, (ns, _) in graphs.items() for x in ns], "problem_id int, node string")
+    edges = spark.createDataFrame([(p, a, b) for p, (_, es) in graphs.items() for a, b in es], "problem_id int, src string, dst string")
+    got = {(r.problem_id, r.node): r.level for r in fixpoint.topological_levels(nodes, edges).collect()}
+    assert got == {(p, x): n for p, (ns, es) in graphs.items() for x, n in plain_levels(ns, es).items()}
+
+
+def test_errors_of_problems_from_their_rows(spark):
+    """The sample problem of the fixtures (P = B + F, T = B + P), right and with one fault each."""
+    nodes = {"B": (200.0, True), "F": (90.0, True), "A": (15.0, True), "P": (290.0, False), "T": (490.0, False)}
+    edges = [("B", "P"), ("F", "P"), ("B", "T"), ("P", "T")]
+    rules = [("P", "add_xy", ["B", "F"], None), ("T", "add_xy", ["B", "P"], None)]
+    claim = {"goal": "T", "num_vars": 5, "num_rules": 2, "depth": 2, "asked_vars": 5, "asked_rules": 3, "asked_depth": 2, "distractors": ["A"]}
+    cases = {
+        "right": ((nodes, edges, rules, claim), []),
+        "cycle": ((nodes, [*edges, ("T", "P")], rules, claim), ["graph is not acyclic"]),
+        "no goal": ((nodes, edges, rules, claim | {"goal": "Z"}), ["goal is not a node"]),
+        "unreached": ((nodes, [("P", "T"), ("T", "P")], rules, claim), ["graph is not acyclic", "goal not reached from a leaf"]),
+        "sizes": ((nodes, edges, rules, claim | {"num_vars": 9, "num_rules": 6, "depth": 1}), ["number of variables", "number of rules", "depth"]),
+        "stalled": ((nodes, edges, [("P", "add_xy", ["B", "X"], None), rules[1]], claim), ["not computed: P, T"]),
+        "odd": ((nodes, edges, [("P", "pow", ["B", "F"], None)], claim), ["unknown rule for P"]),
+        "value": ((nodes | {"P": (291.0, False), "T": (1.0, False)}, edges, rules, claim), ["value mismatch for P"]),
+        "overlap": ((nodes, edges, rules, claim | {"distractors": ["A", "F"]}), ["distractors lead to the goal"]),
+        "no null": ((nodes, edges, rules, claim | {"num_vars": None, "distractors": []}), ["number of variables"]),
+    }
+    flat = lambda i, f: [(p, *x) for p, (parts, _) in cases.items() for x in f(parts[i])]
+    n = spark.createDataFrame(flat(0, lambda d: [(k, *v) for k, v in d.items()]), "problem_id string, node string, value double, known boolean")
+    e = spark.createDataFrame(flat(1, list), "problem_id string, src string, dst string")
+    r = spark.createDataFrame(flat(2, list), "problem_id string, output string, rule_type string, inputs array<string>, constant double")
+    fields = "goal string, num_vars int, num_rules int, depth int, asked_vars int, asked_rules int, asked_depth int, distractors array<string>"
+    c = spark.createDataFrame(flat(3, lambda d: [tuple(d.values())]), f"problem_id string, {fields}")
+    assert {x.problem_id: x.errors for x in verify.validated(n, e, r, c).collect()} == {p: want for p, (_, want) in cases.items()}
+
+
+def test_global_minimality_makes_only_sets_that_witnesses_ask_for(spark):
+    """Against all sets; and of 40 variables, three of which settle the outcome, few of the 10,701 sets of up to three are looked at."""
+    rng = random.Random(9)
+    rows = {p: [(rng.getrandbits(6), None) for _ in range(25)] for p in range(8)}
+    rows = {p: [(s, (s & [3, 5, 7, 21, 0, 63, 1, 9][p]) % 5) for s, _ in ws] for p, ws in rows.items()}
+    worlds = spark.createDataFrame([(p, s, y) for p, ws in rows.items() for s, y in ws], "problem_id int, state long, y int")
+    names = spark.createDataFrame([(p, i) for p in rows for i in range(6)], "problem_id int, idx int")
+    for k in (0, 1, 2, 3, 6, 7):
+        claims = spark.createDataFrame([(p, k) for p in rows], "problem_id int, k int")
+        got = {r.problem_id: (r.status, r.n_tested) for r in verify.global_minimality(worlds, claims, names, 7, 15).collect()}
+        for p, ws in rows.items():
+            sets = list(itertools.combinations(range(6), k - 1)) if k else []
+            ok = [all(len({y for s, y in ws if tuple(s >> i & 1 for i in c) == key}) < 2 for key in {tuple(s >> i & 1 for i in c) for s, _ in ws}) for c in sets]
+            assert got[p] == ("skip" if not sets or len(sets) > 15 else "fail" if any(ok) else "pass", len(sets))
+    wide = [(1, rng.getrandbits(40), 0) for _ in range(150)]
+    wide = spark.createDataFrame([(p, s, s & 7) for p, s, _ in wide], "problem_id int, state long, y long")
+    claim = spark.createDataFrame([(1, (1 << 40) - 1, 3)], "problem_id int, vars long, size int")
+    found, looked = minset.smaller_suffices(wide, claim, 3)
+    assert found.first().found and looked.first().n_nodes < 6_000
