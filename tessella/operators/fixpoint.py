@@ -48,18 +48,6 @@ def distances(edges: DataFrame, goals: DataFrame, problem: str = "problem_id") -
     return known
 
 
-def cyclic_nodes(edges: DataFrame, problem: str = "problem_id") -> DataFrame:
-    """(problem, node) that remain when nodes without incoming edges are dropped again and again; none in a DAG."""
-    left = checkpointed(edges.select(problem, "src", "dst").distinct())
-    while True:
-        targets = left.select(problem, F.col("dst").alias("src")).distinct()
-        rest = checkpointed(left.join(targets, [problem, "src"], "left_semi"))
-        if rest.count() == left.count():
-            break
-        left = rest
-    return left.select(problem, F.col("dst").alias("node")).unionByName(left.select(problem, F.col("src").alias("node"))).distinct()
-
-
 def topological_levels(nodes: DataFrame, edges: DataFrame, problem: str = "problem_id") -> DataFrame:
     """(problem, node, level) of nodes that lose all their incoming edges, in the round in which they do; those on or behind a cycle give no row.
 
@@ -81,6 +69,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, problem: str = "probl
     return levels.all()
 
 
+def cyclic_nodes(edges: DataFrame, problem: str = "problem_id") -> DataFrame:
+    """(problem, node) on or behind a cycle, that is, without a topological level; none in a DAG."""
+    nodes = edges.select(problem, F.col("src").alias("node")).unionByName(edges.select(problem, F.col("dst").alias("node"))).distinct()
+    return nodes.join(topological_levels(nodes, edges, problem), [problem, "node"], "left_anti")
+
+
 def literals(clauses: DataFrame, problem: str = "problem_id", clause: str = "clause") -> DataFrame:
     """(problem, clause_id, var, val) of arrays of literals `x` and `not x`; an empty clause has one row with a null variable."""
     rows = clauses.select(problem, "clause_id", F.explode_outer(clause).alias("_l"))

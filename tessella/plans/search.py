@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fixpoint, minset
+from ..operators import fixpoint, minset, verify
 from .base import table
 
 BITS = 6
@@ -98,18 +98,26 @@ def goal_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.distances(edges, _goals(edges)).groupBy("problem_id", "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, x, z): the part of each line and that of the order's next line, where it is another one."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x")
+    return lines.withColumn("z", F.lead("x").over(after)).filter("x <> z").select("l_orderkey", "x", "z")
+
+
 def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts on or behind a cycle of the graph that links a part's first digit classes within each brand."""
-    p = table(spark, sf_dir, "part")
-    edges = p.select(F.col("p_brand").alias("problem_id"), (F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") % 40 * 3 + F.col("p_size")) % 40).alias("dst"))
-    return fixpoint.cyclic_nodes(edges).groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"))
+    """Parts on or behind a cycle of the graph that links the parts of a customer's orders, line by line."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("problem_id"))
+    edges = _line_links(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("problem_id", F.col("x").alias("src"), F.col("z").alias("dst"))
+    return fixpoint.cyclic_nodes(edges)
 
 
 def _transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("model"), (F.col("event_id") % 97).alias("state")).distinct()
-    to = e.withColumn("next", (F.col("state") * F.col("state") + F.col("model")) % 97)
-    known = e.select("model", F.col("state").alias("next"), F.lit(True).alias("_k"))
-    return to.join(known, ["model", "next"], "left").select("model", "state", F.when(F.col("_k"), F.col("next")).otherwise(F.col("state")).alias("next"))
+    """Each event leads to the user's next one of its type; the last one of more than 20 leads back to the first, others to themselves."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), "event_type", F.col("event_id").alias("state"), "value")
+    own = Window.partitionBy("model", "event_type")
+    first = F.when(F.col("value") > 20, F.min("state").over(own)).otherwise(F.col("state"))
+    return e.select("model", "state", F.coalesce(F.lead("state").over(own.orderBy("state")), first).alias("next"))
 
 
 def basin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +126,7 @@ def basin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def horn_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow from a nation's first part, by rules `the part of a line implies that of the order's next line`."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
-    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    lines = lines.withColumn("z", F.lead("x").over(after)).filter("x <> z")
+    lines = _line_links(spark, sf_dir)
     placed = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("problem_id"))
     rules = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("problem_id", "x", "z").distinct()
     name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
@@ -140,6 +146,27 @@ def recomputed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.recompute(rules, leaves).filter("node = 't'").select("problem_id", "value")
 
 
+def validated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a rule graph for each order: its least and largest quantity, their sum s, and t, a third of s. Customers' numbers put in faults."""
+    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.count(F.lit(1)).cast("int").alias("lines"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), F.col("o_custkey").alias("c"), "o_orderstatus").join(q, "problem_id")
+    of = lambda n: F.col("c") % n == 0
+    node = lambda name, value, known: F.struct(F.lit(name).alias("node"), value.cast("double").alias("value"), F.lit(known).alias("known"))
+    third = F.floor((F.col("a") + F.col("b")) / 3) + of(7).cast("int")
+    nodes = o.select("problem_id", F.inline(F.array(node("a", F.col("a"), True), node("b", F.col("b"), True), node("s", F.col("a") + F.col("b"), False), node("t", third, False))))
+    edge = lambda x, y: F.struct(F.lit(x).alias("src"), F.lit(y).alias("dst"))
+    edges = o.select("problem_id", F.inline(F.array_compact(F.array(edge("a", "s"), edge("b", "s"), edge("s", "t"), F.when(of(5), edge("t", "s"))))))
+    rule = lambda out, kind, inputs, k: F.struct(F.lit(out).alias("output"), F.lit(kind).alias("rule_type"), inputs.alias("inputs"), F.lit(k).cast("double").alias("constant"))
+    source = F.array(F.when(of(11), "x").otherwise("s"))
+    rules = o.select("problem_id", F.inline(F.array(rule("s", "add_xy", F.array(F.lit("a"), F.lit("b")), None), rule("t", "div_k", source, 3))))
+    claims = o.select(
+        "problem_id", F.when(of(13), "z").otherwise("t").alias("goal"), (F.col("lines") + 2).alias("num_vars"), F.col("lines").alias("num_rules"),
+        F.when(F.col("o_orderstatus") == "P", 3).otherwise(2).alias("depth"), F.lit(4).alias("asked_vars"), F.lit(3).alias("asked_rules"), F.lit(2).alias("asked_depth"),
+        F.array(F.when(of(17), "a").otherwise("d")).alias("distractors"),
+    )
+    return verify.validated(nodes, edges, rules, claims).select("problem_id", F.array_join("errors", "; ").alias("errors"))
+
+
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from each region to its nations and their suppliers."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
@@ -152,7 +179,7 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (minimal_sets, search_reports, verified_sets, partial_observations, narrowed_contexts, best_answers, goal_ancestors, goal_distances, cyclic_nodes, basin_labels, horn_reach, recomputed_totals, tree_paths)
+    for f in (minimal_sets, search_reports, verified_sets, partial_observations, narrowed_contexts, best_answers, goal_ancestors, goal_distances, cyclic_nodes, basin_labels, horn_reach, recomputed_totals, validated_orders, tree_paths)
 }
 
 _BEST = "b AS (SELECT problem_id, min(bit_count(mask)) AS k FROM m WHERE ok GROUP BY 1)"
@@ -166,12 +193,22 @@ ORACLES = {
     "best_answers": f"WITH {_WORLDS} SELECT problem_id, i::INT AS idx, ((state >> i::INT) & 1)::INT AS value, count(*) AS n_states FROM w, range(0, 6) r(i) GROUP BY 1, 2, 3 HAVING bool_or(y = 0) QUALIFY row_number() OVER (PARTITION BY problem_id, idx ORDER BY n_states DESC, value) = 1",
     "goal_ancestors": f"WITH RECURSIVE {_EDGES} SELECT DISTINCT problem_id, node FROM r",
     "goal_distances": f"WITH RECURSIVE {_EDGES} SELECT problem_id, dist, count(*) AS n FROM (SELECT problem_id, node, min(dist) AS dist FROM r GROUP BY 1, 2) GROUP BY 1, 2",
-    "basin_labels": """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 20 AS model, event_id % 97 AS state FROM events), t AS (SELECT e.model, e.state, coalesce(k.state, e.state) AS nxt FROM e LEFT JOIN e k ON k.model = e.model AND k.state = (e.state * e.state + e.model) % 97),
-      w AS (SELECT model, state, state AS cur, 0 AS step FROM t UNION ALL SELECT w.model, w.state, t.nxt, step + 1 FROM w JOIN t ON t.model = w.model AND t.state = w.cur WHERE step < 200) SELECT model, state, min(cur) AS cycle FROM w WHERE step >= 98 GROUP BY 1, 2""",
+    "cyclic_nodes": """WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey AS x, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS z FROM lineitem),
+      u AS (SELECT DISTINCT o_custkey AS problem_id, x, z FROM l JOIN orders ON l_orderkey = o_orderkey WHERE x <> z),
+      r AS (SELECT problem_id, x, z FROM u UNION SELECT r.problem_id, r.x, u.z FROM r JOIN u ON u.problem_id = r.problem_id AND u.x = r.z)
+      SELECT DISTINCT r.problem_id, r.z AS node FROM r SEMI JOIN (SELECT problem_id, x FROM r WHERE x = z) c ON c.problem_id = r.problem_id AND c.x = r.x""",
+    "basin_labels": """SELECT user_id AS model, event_id AS state, CASE WHEN last_value(value) OVER w > 20 THEN first_value(event_id) OVER w ELSE last_value(event_id) OVER w END AS cycle
+      FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "horn_reach": """WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey AS x, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS z FROM lineitem),
       u AS (SELECT DISTINCT c_nationkey AS problem_id, x, z FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE x <> z),
       r AS (SELECT problem_id, min(x) AS v FROM u GROUP BY 1 UNION SELECT u.problem_id, z FROM r JOIN u ON u.problem_id = r.problem_id AND u.x = r.v) SELECT problem_id, 'v' || v AS var, true AS val FROM r""",
     "recomputed_totals": "SELECT l_orderkey AS problem_id, floor((q[1] + q[2]) / 3) AS value FROM (SELECT l_orderkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY 1) WHERE len(q) >= 2",
+    "validated_orders": """WITH q AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1)
+      SELECT o_orderkey AS problem_id, concat_ws('; ', CASE WHEN o_custkey % 5 = 0 THEN 'graph is not acyclic' END, CASE WHEN o_custkey % 13 = 0 THEN 'goal is not a node' END,
+        CASE WHEN abs(lines + 2 - 4) > 3 THEN 'number of variables' END, CASE WHEN abs(lines - 3) > 2 THEN 'number of rules' END, CASE WHEN o_orderstatus = 'P' THEN 'depth' END,
+        CASE WHEN o_custkey % 11 = 0 THEN 'not computed: t' WHEN o_custkey % 7 = 0 THEN 'value mismatch for t' END,
+        CASE WHEN o_custkey % 17 = 0 AND o_custkey % 13 <> 0 THEN 'distractors lead to the goal' END) AS errors
+      FROM orders JOIN q ON l_orderkey = o_orderkey""",
     "tree_paths": """SELECT DISTINCT 'r' || n_regionkey AS node, 0 AS depth, 'r' || n_regionkey AS path FROM nation UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey || '/n' || n_nationkey FROM nation
       UNION ALL SELECT 's' || s_suppkey, 2, 'r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 }
