@@ -51,7 +51,7 @@ def reply_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, question and guess of each message, with a question of one of four forms put after every second one."""
     asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("turn") % len(ASKED) + 1).cast("int"))
-    t = F.when(F.col("turn") % 2 == 1, F.concat(F.substring("text", 1, 200), F.lit(" "), asked)).otherwise(asked)
+    t = F.when(F.col("turn") % 2 == 1, F.concat(F.col("text"), F.lit(" "), asked)).otherwise(asked)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
     said = F.col("t")
     return rows.select("conv_id", "turn", tx.answer_label(said).alias("label"), tx.is_question(said).alias("is_question"), tx.best_question(said).alias("question"), tx.guess_entity(said).alias("guess"))
@@ -116,6 +116,9 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "section")
 
 
+# DuckDB's \b knows ASCII letters only, so the letters around a question's verb are looked at by their kind
+_QUESTION = tx.QUESTION.replace(r"(\b(?:", r"(?:^|[^\pL\pN_])((?:").replace(r")\b[^?]*", r")(?:[^\pL\pN_?][^?]*)?")
+
 QUERIES = {f.__name__: f for f in (dialogue_pairs, dialogue_metrics, turn_features, reply_actions, message_questions, transcripts, role_tokens, turns_to_clarity, turn_of_coverage, running_ambiguity, latest_events, log_breaks, section_lines)}
 
 _NORM = r"trim(regexp_replace(regexp_replace(translate(text, '’‘“”–—', '''''\"\"--'), '\*+', '', 'g'), '\s+', ' ', 'g'))".replace('\\"', '"')
@@ -135,9 +138,9 @@ ORACLES = {
         CASE WHEN first IN ('yes', 'no') THEN first WHEN first <> '' THEN 'pass' WHEN y AND o THEN NULL WHEN s THEN 'pass' WHEN y THEN 'yes' WHEN o THEN 'no' END AS label,
         try_cast(nullif(regexp_extract(tail, '[-+]?\d+(?:\.\d+)?'), '') AS DOUBLE) AS number, regexp_matches(text, '(?im)^\s*answer\s*:\s*(.+?)\s*$') AS has_answer FROM f""",
     "message_questions": rf"""WITH a AS (SELECT conv_id, turn, [{", ".join("'" + _SQL(q) + "'" for q in ASKED)}][(turn % {len(ASKED)} + 1)::INT] AS q, text FROM conversations),
-      s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN substr(text, 1, 200) || ' ' || q ELSE q END AS text FROM a), t AS (SELECT *, {_NORM} AS m, lower({_NORM}) AS n FROM s),
+      s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text || ' ' || q ELSE q END AS text FROM a), t AS (SELECT *, {_NORM} AS m, lower({_NORM}) AS n FROM s),
       f AS (SELECT *, regexp_extract(n, '^(yes|no|{_PASS})\b', 1) AS first, regexp_matches(n, '\byes\b') AS y, regexp_matches(n, '\bno\b') AS o, regexp_matches(n, '\b({_MENTIONS})\b') AS s,
-        regexp_extract_all(m, '{tx.ABOUT_X}', 1) AS x, regexp_extract_all(m, '{tx.QUESTION}', 1) AS g, trim(regexp_replace(text, '\s+', ' ', 'g')) AS z FROM t),
+        regexp_extract_all(m, '{tx.ABOUT_X}', 1) AS x, regexp_extract_all(m, '{_QUESTION}', 1) AS g, trim(regexp_replace(text, '\s+', ' ', 'g')) AS z FROM t),
       b AS (SELECT *, len(x) > 0 OR (ends_with(m, '?') AND len(g) > 0) AS is_question FROM f)
       SELECT conv_id, turn, CASE WHEN first IN ('yes', 'no') THEN first WHEN first <> '' THEN 'pass' WHEN y AND o THEN NULL WHEN s THEN 'pass' WHEN y THEN 'yes' WHEN o THEN 'no' END AS label, is_question,
         coalesce(CASE WHEN is_question AND length(m) < 260 THEN m END, list_last(CASE WHEN len(x) > 0 THEN x ELSE g END)) AS question,
