@@ -5,35 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sample
+
+
+def _signature(items: Column) -> Column:
+    """64 bits, one for each item's hash: a set lies in another only if its bits do."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x)))
+
+
+def _lookup(small: DataFrame, large: DataFrame, group: list[str], proper: bool = True) -> tuple[DataFrame, DataFrame, Column]:
+    """Both tables of sets `_s`, prepared for a join on equality, and the join's condition.
+
+    A contained set shares its rarest item with what contains it. Each small set (`_a`) is looked up by that one item
+    only, in the lists of items of the large ones (`_b`), so candidates grow with the rarest item's frequency and no pair
+    is tried by more than one item. Signatures are compared before sets are.
+    """
+    items = large.select(*large.columns, F.explode("_s").alias("_i"))
+    frequency = items.groupBy(*group, "_i").agg(F.count(F.lit(1)).alias("_f"))
+    names = [c for c in small.columns if c not in (*group, "_s")]
+    looked = small.select(*small.columns, F.explode("_s").alias("_i")).join(frequency, [*group, "_i"])
+    rare = looked.groupBy(*group, *names, "_s").agg(F.min_by("_i", F.struct("_f", "_i")).alias("_i"))
+    left = rare.withColumnRenamed("_s", "_a").withColumn("_wa", _signature(F.col("_a"))).alias("small")
+    right = items.withColumnRenamed("_s", "_b").withColumn("_wb", _signature(F.col("_b"))).alias("large")
+    size = F.size("_a") < F.size("_b") if proper else F.size("_a") <= F.size("_b")
+    bits = F.col("_wa").bitwiseAND(F.bitwise_not("_wb")) == 0
+    ok = size & bits & (F.size(F.array_except("_a", "_b")) == 0)
+    for name in (*group, "_i"):
+        ok = (F.col(f"small.{name}") == F.col(f"large.{name}")) & ok
+    return left, right, ok
+
+
+def _sets(sets: DataFrame, group: list[str], names: list, items: str) -> DataFrame:
+    return sets.select(*group, *names, F.array_sort(F.array_distinct(items)).alias("_s")).filter(F.size("_s") > 0)
+
 
 def contained_sets(sets: DataFrame, group: list[str], key: str, items: str, proper: bool = True) -> DataFrame:
-    """(group, small, large): pairs of sets of a group of which the first lies in the second.
+    """(group, small, large): pairs of sets of a group of which the first lies in the second. Empty sets and null groups are left out."""
+    small, large = (_sets(sets, group, [F.col(key).alias(name)], items) for name in ("small", "large"))
+    left, right, ok = _lookup(small, large, group, proper)
+    pairs = left.join(right, ok if proper else ok & (F.col("small.small") != F.col("large.large")))
+    return pairs.select(*[F.col(f"small.{g}") for g in group], F.col("small.small"), F.col("large.large"))
 
-    A contained set shares its rarest item with what contains it. Each set is looked up by that one item only, in
-    the lists of items, so candidates grow with the rarest item's frequency and no pair is tried by more than one item.
-    Empty sets are left out.
+
+def _holders(sets: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """(group, names) of the sets `_s` that hold another set of their group properly.
+
+    A semi join: a set is done with the first set found in it, and gives a row at most for each of its items, however many
+    it holds. Equal sets are looked up once.
     """
-    base = sets.select(*group, key, F.array_sort(F.array_distinct(items)).alias("_s")).filter(F.size("_s") > 0)
-    exploded = base.select(*group, key, "_s", F.explode("_s").alias("_i"))
-    freq = exploded.groupBy(*group, "_i").agg(F.count(F.lit(1)).alias("_f"))
-    rare = exploded.join(freq, [*group, "_i"]).groupBy(*group, key).agg(F.min_by("_i", F.struct("_f", "_i")).alias("_i"), F.first("_s").alias("_s"))
-    small = rare.select(*group, F.col(key).alias("small"), F.col("_s").alias("_a"), "_i")
-    large = exploded.select(*group, F.col(key).alias("large"), F.col("_s").alias("_b"), "_i")
-    ok = (F.size("_a") < F.size("_b")) if proper else (F.size("_a") <= F.size("_b")) & (F.col("small") != F.col("large"))
-    return small.join(large, [*group, "_i"]).filter(ok & (F.size(F.array_except("_a", "_b")) == 0)).select(*group, "small", "large")
+    left, right, ok = _lookup(sets.select(*group, "_s").distinct(), sets, group)
+    return right.join(left, ok, "left_semi").select(*group, *[F.col("_b").alias(n) if n == "_s" else F.col(n) for n in names]).distinct()
 
 
 def minimal_sets(sets: DataFrame, group: list[str], key: str, items: str) -> DataFrame:
-    """Sets that hold no other set of their group."""
-    covered = contained_sets(sets, group, key, items).select(*group, F.col("large").alias(key)).distinct()
-    return sets.join(covered, [*group, key], "left_anti")
+    """Sets that hold no other set of their group. Equal sets don't hold each other, an empty one is held by none; null groups are kept."""
+    held = _holders(_sets(sets, group, [key], items), group, [key])
+    return sets.join(held, [*group, key], "left_anti")
 
 
 def union_of_contained(sets: DataFrame, group: list[str], key: str, items: str, carried: str) -> DataFrame:
-    """(group, key, union): all `carried` elements of the sets strictly inside each set."""
-    pairs = contained_sets(sets, group, key, items)
-    inside = pairs.join(sets.select(*group, F.col(key).alias("small"), carried), [*group, "small"])
-    return inside.groupBy(*group, F.col("large").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(carried)))).alias("union"))
+    """(group, key, union): all `carried` elements of the sets strictly inside each set; a set that holds none has no row.
+
+    An element is looked for in the smallest sets that carry it: those which hold another carrier of it add nothing. So
+    pairs are those of a set with its elements' smallest carriers, and equal sets are joined once.
+    """
+    boxed = F.transform(carried, lambda x: F.struct(x.alias("v")))
+    carriers = _sets(sets.select(*group, items, F.explode_outer(boxed).alias("_c")), group, ["_c"], items).distinct()
+    # sets without elements have a null there: they are equal to none, so all stay, and their holders get a row
+    smallest = carriers.join(_holders(carriers, [*group, "_c"], ["_s"]), [*group, "_c", "_s"], "left_anti")
+    named = _sets(sets, group, [key], items)
+    left, right, ok = _lookup(smallest, named.select(*group, "_s").distinct(), group)
+    inside = left.join(right, ok).select(*[F.col(f"small.{g}") for g in group], F.col("_b").alias("_s"), "_c")
+    unions = inside.groupBy(*group, "_s").agg(F.array_sort(F.transform(F.collect_set("_c"), lambda x: x["v"])).alias("union"))
+    return named.join(unions, [*group, "_s"]).select(*group, key, "union")
 
 
 def differ_on_one(left: DataFrame, right: DataFrame, group: list[str], key: str, items: str) -> DataFrame:
@@ -61,6 +106,22 @@ def labels_of_others(labels: DataFrame, owner: str, label: str) -> DataFrame:
     return offered.join(own, [owner, label], "left_anti")
 
 
+def drawn_labels_of_others(labels: DataFrame, owner: str, label: str, n: int, seed: int) -> DataFrame:
+    """(owner, label): the first n labels, in the seeded order, that some other owner has and this one hasn't.
+
+    Labels are ranked once for all owners. Of an owner with m labels the first n others have ranks of n + m at most, so
+    these ranks are drawn and its own are taken away: rows grow with what owners have, not with owners times labels.
+    Null owners and labels take no part.
+    """
+    own = labels.select(owner, label).filter(F.col(owner).isNotNull() & F.col(label).isNotNull()).distinct()
+    ranked = sample.ranked(own.select(label).distinct(), seed, label, "_r")
+    held = own.join(ranked, label).select(owner, "_r")
+    reach = held.groupBy(owner).agg((F.count(F.lit(1)) + n).alias("_m"))
+    tried = reach.select(owner, F.explode(F.sequence(F.lit(1).cast("long"), "_m")).alias("_r")).join(held, [owner, "_r"], "left_anti")
+    first = tried.join(ranked, "_r").withColumn("_p", F.row_number().over(Window.partitionBy(owner).orderBy("_r"))).filter(F.col("_p") <= n)
+    return first.select(owner, label)
+
+
 def prefix_lookup(df: DataFrame, name: str, table: DataFrame, prefix: str, order: str, value: str, default: Column) -> DataFrame:
     """Add `value` of the first entry of a small table, in its order, that `name` equals or starts with.
 

@@ -12,14 +12,29 @@ def draw(seed: int, *key: Column) -> Column:
 
 
 def per_stratum(df: DataFrame, strata: list[str], n: int | Column, seed: int, key: str, exact: bool = False) -> DataFrame:
-    """At most n rows of each stratum. With `exact` a stratum of fewer rows is an error. n may be a column; null takes all."""
-    own = Window.partitionBy(*strata)
-    ranked = df.withColumn("_r", F.row_number().over(own.orderBy(draw(seed, F.col(key)), key)))
+    """At most n rows of each stratum. With `exact` a stratum of fewer rows is an error.
+
+    n may be a column, the same for all rows of a stratum; null takes all. Null strata are strata of their own.
+
+    A stratum may hold most rows, so none is sorted whole: it is cut into 4,096 buckets of the shuffle, counts say which
+    of them are wanted, and ranks are made within these only. With one n for all, Spark keeps n rows of a stratum in each
+    partition before it shuffles.
+    """
+    by_draw = draw(seed, F.col(key))
+    if isinstance(n, int) and not exact:
+        own = Window.partitionBy(*strata).orderBy(by_draw, key)
+        return df.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= n).drop("_r")
     limit = F.lit(n) if isinstance(n, int) else n
+    drawn = df.withColumns({"_d": by_draw, "_g": F.struct(*strata), "_n": limit}).withColumn("_b", _bucket("_d"))
+    counts = drawn.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"))
+    stratum = Window.partitionBy("_g")
+    before = stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.select("_g", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"), F.max("_n").over(stratum).alias("_n"), F.sum("_k").over(stratum).alias("_all"))
     if exact:
-        short = F.when(F.count(F.lit(1)).over(own) < limit, F.raise_error(F.lit("stratum too small"))).otherwise(F.lit(True))
-        ranked = ranked.withColumn("_ok", short).filter("_ok").drop("_ok")
-    return ranked.filter(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
+        sizes = sizes.filter(F.when(F.col("_all") < F.col("_n"), F.raise_error(F.lit("stratum too small"))).otherwise(F.lit(True)))
+    wanted = sizes.filter("_n is null or _o < _n").select("_g", "_b", "_o", "_n")
+    placed = drawn.drop("_n").join(wanted, ["_g", "_b"]).withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_d", key)))
+    return placed.filter("_n is null or _o + _r <= _n").select(*df.columns)
 
 
 def whole_table(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
@@ -60,18 +75,28 @@ def one_index(size: Column, seed: int, *key: Column) -> Column:
     return F.pmod(F.conv(F.substring(draw(seed, *key), 1, 8), 16, 10).cast("long"), size)
 
 
-def balanced_schedule(df: DataFrame, levels: int, seed: int, key: str) -> DataFrame:
-    """Add k: levels 1 to `levels` in turn over the shuffled rows, so that their numbers differ by one at most.
+def _bucket(drawn: str) -> Column:
+    """Which of 4,096 buckets of the shuffle, which follow each other, a row falls in."""
+    return F.substring(drawn, 1, 3)
+
 
-    Rows are ranked within 4,096 buckets of the shuffle, which follow each other; counts of the buckets give the offsets.
+def ranked(df: DataFrame, seed: int, key: str, rank: str) -> DataFrame:
+    """Add the row's place, from 1, in the seeded shuffle of the whole table.
+
+    Rows are ranked within 4,096 buckets of the shuffle; counts of the buckets give the offsets.
     """
-    drawn = df.withColumn("_d", draw(seed, F.col(key))).withColumn("_b", F.substring("_d", 1, 3))
+    drawn = df.withColumn("_d", draw(seed, F.col(key))).withColumn("_b", _bucket("_d"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = drawn.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key))
     # 4,096 rows at most
-    placed = drawn.withColumn("_r", own).join(F.broadcast(offsets), "_b")
-    return placed.withColumn("k", F.pmod(F.col("_o") + F.col("_r") - 1, F.lit(levels)) + 1).drop("_b", "_d", "_r", "_o")
+    placed = drawn.withColumn("_p", own).join(F.broadcast(offsets), "_b")
+    return placed.withColumn(rank, F.col("_o") + F.col("_p")).drop("_b", "_d", "_p", "_o")
+
+
+def balanced_schedule(df: DataFrame, levels: int, seed: int, key: str) -> DataFrame:
+    """Add k: levels 1 to `levels` in turn over the shuffled rows, so that their numbers differ by one at most."""
+    return ranked(df, seed, key, "_place").withColumn("k", F.pmod(F.col("_place") - 1, F.lit(levels)) + 1).drop("_place")
 
 
 def hardest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

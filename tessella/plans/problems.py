@@ -142,7 +142,7 @@ def one_of_each_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foreign_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five foreign labels of each nation, drawn by hash."""
     labels = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 40).alias("label"))
-    return sample.per_stratum(relate.labels_of_others(labels, "c_nationkey", "label"), ["c_nationkey"], 5, 42, "label")
+    return relate.drawn_labels_of_others(labels, "c_nationkey", "label", 5, 42)
 
 
 def forbid_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
