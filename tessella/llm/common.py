@@ -17,6 +17,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Leading bits of the 64-bit order hash that say which bucket of its group a row falls in.
 BUCKET_BITS = 12
+#: Rows of a bucket beyond which it is cut anew.
+MOST_ROWS = 1 << 16
+#: Hot buckets, or hashes of hot rows, up to which they are broadcast: a few MB.
+MOST_BROADCAST = 100_000
 
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,27 +68,36 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), "")
 
 
-def dense_rank_in(df: DataFrame, group: str, key: Column, rank: str) -> DataFrame:
-    """Add `rank`: a gapless number from 0 within `group`, in the order of a hash of `key`.
+def dense_rank_in(df: DataFrame, group: str, key: Column, rank: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Add `rank`: a gapless number from 0 within `group`, in the order of buckets of a hash of `key`.
 
     One group may hold most rows, so a group is cut into hash-ordered buckets: counts of (group, bucket) give each
-    bucket its offset, and only a bucket's rows meet in one task. Null groups form one group; equal keys get
-    neighbouring numbers in any order, unless they are null: null keys are spread over the buckets. A column named
-    `rank` is replaced.
+    bucket its offset, and only a bucket's rows meet in one task. One key may hold most rows as well: a bucket of more
+    than `most_rows` rows is cut anew by a hash of all columns, into parts of about that size, which follow each other.
+    In a bucket or part rows stand in the order of their key's hash; null keys are spread by their other columns. Rows
+    that are equal in every column stay together, in any order, as they can't be told apart. Null groups form one group.
+    A column named `rank` is replaced. The counts are written to the shared folder once.
     """
-    names = {n: f"__rank_{n}" for n in ("h", "b", "g", "r", "o", "n")}
-    h, b, g, r, o, n = (names[x] for x in ("h", "b", "g", "r", "o", "n"))
+    h, b, g, r, o, n, p = (f"__rank_{x}" for x in "hbgronp")
     # types without a hash stay out
     rest = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     hashed = df.withColumn(h, F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(*rest))).withColumn(b, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
     keyed = hashed.withColumn(g, F.to_json(F.struct(F.col(group).alias("g"))))
-    sizes = keyed.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(g, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(o))
+    sizes = materialize(keyed.groupBy(g, b).agg(F.count(F.lit(1)).alias(n)), "rank-sizes").withColumn(p, F.lit(0).cast("long"))
+    large = sizes.filter(F.col(n) > most_rows).select(g, b, F.ceil(F.col(n) / most_rows).alias(r))
+    if found := large.count():
+        parts = keyed.join(F.broadcast(large) if found <= MOST_BROADCAST else large, [g, b], "left")
+        keyed = parts.withColumn(p, F.when(F.col(r).isNotNull(), F.pmod(F.xxhash64(h, *rest), F.col(r))).otherwise(F.lit(0))).drop(r)
+        cut = keyed.join(F.broadcast(large) if found <= MOST_BROADCAST else large, [g, b], "left_semi").groupBy(g, b, p).agg(F.count(F.lit(1)).alias(n))
+        sizes = sizes.filter(F.col(n) <= most_rows).unionByName(cut)
+    else:
+        keyed = keyed.withColumn(p, F.lit(0).cast("long"))
+    before = Window.partitionBy(g).orderBy(b, p).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(g, b, p, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(o))
     # within a bucket the leading bits are equal, so the signed order of the hash is also its unsigned order
-    own = Window.partitionBy(g, b).orderBy(h)
-    ranked = keyed.withColumn(r, F.row_number().over(own) - 1).join(offsets, [g, b])
-    return ranked.withColumn(rank, F.col(r) + F.col(o)).drop(h, b, g, r, o)
+    own = Window.partitionBy(g, b, p).orderBy(h)
+    ranked = keyed.withColumn(r, F.row_number().over(own) - 1).join(offsets, [g, b, p])
+    return ranked.withColumn(rank, F.col(r) + F.col(o)).drop(h, b, g, r, o, p)
 
 
 def run_starts(ordered: np.ndarray) -> np.ndarray:
