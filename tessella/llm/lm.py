@@ -14,7 +14,8 @@ counts) in the order of the keys, and scores its texts with them. Keys travel so
 with counts read from the filter; the first word has no v. Words are told apart by 64-bit hashes.
 
 Null texts count as empty: one token, the end. Rows with a null `held_out` are scored and not learned from. Repeated
-rows are each learned from and each scored. Without training rows every count is 0; an empty table gives no rows.
+rows are each learned from and each get a row of scores; rows repeated so often that they would fill a good part of a
+chunk are scored once and their scores repeated. Without training rows every count is 0; an empty table gives no rows.
 Other columns are ignored, whatever their names. A chunk asks each segment in a row of its own: on tables of many
 terabytes, raise `chunk_bytes` and `segment_bytes` together. Scores don't depend on `chunk_bytes`.
 """
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, materialize, mix, run_starts, text_slices, word_hashes
+from .common import MOST_BROADCAST, distinct, materialize, mix, run_starts, text_slices, word_hashes
 
 BASE = 1.5
 #: An absent key is found with a chance of 0.05 %; and its 32 bits are those of another key of a full segment with 0.06 %.
@@ -44,6 +45,8 @@ LEAST = 64
 #: Tokens counted in a worker before they are sent on.
 AT_ONCE = 1 << 22
 
+#: Equal rows that together hold this part of a chunk are scored once; there are at most this many of them for each chunk.
+HOT_PARTS = 8
 _END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _WORD = np.uint64(0xA0761D6478BD642F)
@@ -282,6 +285,38 @@ def _log_p(pair_n, before_n, word_n, total, distinct_words):
     return np.log10(weight * ratio + (1 - weight) * (word_n + 1) / (total + distinct_words + 1))
 
 
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "held_out", "text")
+
+
+def _marked_hot(docs: DataFrame, least_bytes: float) -> tuple[DataFrame, int, int]:
+    """Hashes of rows, with `hot` for rows that are named so often that together they hold `least_bytes`; all bytes; how many are hot."""
+    sizes = docs.groupBy(_row_hash().alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"))
+    sizes = sizes.withColumn("hot", (F.col("n") > 1) & (F.col("bytes") > least_bytes))
+    size, hot = sizes.agg(F.sum("bytes"), F.count_if("hot")).first()
+    return sizes, size or 0, hot
+
+
+def collapsed(docs: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
+    """Hot rows once, with the number of their copies; all other rows as they are, with 1."""
+    docs = docs.withColumn("copies", F.lit(1).cast("long"))
+    if not hot:
+        return docs
+    named = sizes.filter("hot").select("row")
+    if hot <= MOST_BROADCAST:
+        named = F.broadcast(named)
+    marked = docs.withColumn("row", _row_hash())
+    once = marked.join(named, "row", "left_semi").groupBy("doc_id", "held_out", "text").agg(F.sum("copies").alias("copies"))
+    return marked.join(named, "row", "left_anti").drop("row").unionByName(once)
+
+
+def _repeated(scored: DataFrame) -> DataFrame:
+    """Each row as often as it has copies, in blocks that different tasks write."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 65536"))).alias("block")
+    blocks = scored.select("*", block).repartition("doc_id", "block")
+    return blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(65536), F.col("copies") - F.col("block") * 65536)))).drop("block", "copy")
+
+
 def _score(total: int, distinct_words: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("segment")
@@ -298,18 +333,18 @@ def _score(total: int, distinct_words: int):
         score = _log_p(pair_n, before_n, word_n, total, distinct_words)
         sizes = np.diff(np.append(chunk.starts, len(word_n)))
         sums = [np.add.reduceat(x, chunk.starts) for x in ((exact > 0).astype(np.int64), base, score)]
-        return pa.table([docs["doc_id"], docs["held_out"], *map(pa.array, (sizes, *sums))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([docs["doc_id"], docs["held_out"], docs["copies"], *map(pa.array, (sizes, *sums))], ["doc_id", "held_out", "copies", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double"
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "held_out", chunk_bytes: int = CHUNK_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(held_out).alias("held_out"), F.col(text).alias("text"))
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    sizes, size, hot = _marked_hot(docs, chunk_bytes / HOT_PARTS)
     segments = Segments(1 << math.ceil(math.log2(max(LEAST, size / segment_bytes))))
     sent = docs.filter(~F.col("held_out")).select("text").mapInArrow(_gather(segments), "segment long, words binary, word_n binary, keys binary, n binary")
     # a task for each segment and chunk, or so, however many there are
@@ -318,9 +353,10 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out
     total, distinct_words = model.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     # dealt by content, so that rows fall into the same chunk whenever they are read
     chunks = max(LEAST, math.ceil(size / chunk_bytes))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk").groupBy("chunk")
+    dealt = collapsed(docs, sizes, hot).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk").groupBy("chunk")
     asked = dealt.applyInArrow(_ask(segments), "chunk long, segment long, words binary, word_keys binary, pairs binary")
     held = model.select("segment", "words", "word_n", "bits", "data").groupBy("segment")
     answers = held.cogroup(asked.repartition(segments.number, "segment").groupBy("segment")).applyInArrow(_answer, "chunk long, segment long, counts binary, word_levels binary, pair_levels binary")
     scored = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct_words), _SCORED)
+    scored = (_repeated(scored) if hot else scored).drop("copies")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
