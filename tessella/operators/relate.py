@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import sample
 
 
+#: Lengths that the prefixes of a table may have: each is an expression of the plan.
+MOST_LENGTHS = 200
+
+
 def _signature(items: Column) -> Column:
     """64 bits, one for each item's hash: a set lies in another only if its bits do."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
@@ -128,7 +132,9 @@ def prefix_lookup(df: DataFrame, name: str, table: DataFrame, prefix: str, order
     Names are cut to the lengths that prefixes have (as many as the longest prefix has characters, at most), so that
     the join is on equality.
     """
-    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().collect()]
+    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"prefixes have more than {MOST_LENGTHS} lengths")
     cut = F.array(*[F.when(F.length(name) >= n, F.substring(F.col(name), 1, n)) for n in sorted(lengths)])
     names = df.select(name).distinct().withColumn("_p", F.explode(F.array_compact(cut)))
     found = names.join(table.select(F.col(prefix).alias("_p"), order, value), "_p").groupBy(name).agg(F.min_by(value, order).alias(value))

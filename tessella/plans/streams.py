@@ -12,6 +12,10 @@ from ..streaming import jobs
 from .base import table
 
 
+#: Event types that an episode's state may hold.
+MOST_TYPES = 1000
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream; times as instants."""
     schema = table(spark, sf_dir, "events").schema
@@ -51,7 +55,9 @@ def stream_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(MOST_TYPES + 1).collect()]
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types: the state holds a time for each")
     covered = jobs.live_coverage(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", types, "36500 days")
     return _drained(covered, _place(spark, "coverage"), "append").select("user_id", F.col("covered_at").cast("timestamp_ntz").alias("covered_at"))
 
