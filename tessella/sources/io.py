@@ -114,6 +114,22 @@ def last_file(files: DataFrame, by: list[str], newest: bool = False) -> DataFram
     return files.groupBy(*by).agg(F.max_by("path", order).alias("path"))
 
 
+def newest_documents(spark: SparkSession, path: str, pattern: str, group: str, items: str | None = None, item_schema: str = "") -> DataFrame:
+    """(pool, path, n_items): of the JSON documents of each pool the newest one that has items; ties: the last path.
+
+    `group` is a pattern whose first group in the path is the pool. `items` names the list that a document must hold;
+    without it the document must be a list itself.
+    Empty files, text that isn't JSON, documents of another kind and empty lists are passed over, so an older document
+    of the pool may be taken; a pool without any has no row. Only the list's length is kept of a document.
+    """
+    documents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    text = F.decode("content", "UTF-8")
+    number = F.json_array_length(text) if items is None else F.size(F.from_json(text, f"`{items}` array<struct<{item_schema}>>")[items])
+    counted = documents.filter(F.col("length") > 0).select("path", F.col("modificationTime").alias("modified"), number.alias("n_items"), F.regexp_extract("path", group, 1).alias("pool"))
+    newest = F.max_by(F.struct("path", "n_items"), F.struct("modified", "path"))
+    return counted.filter("n_items > 0 and pool <> ''").groupBy("pool").agg(newest.alias("_r")).select("pool", "_r.*")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(key, result, batch, pos, file, line): an append-only log of JSON lines; lines that don't parse are left out.
 
@@ -127,7 +143,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, batch: int | None = None) -> None:
-    """Append (key, result) rows as one batch, by default numbered by the time in nanoseconds; later rows of `df` are later lines."""
+    """Append (key, result) rows as one batch, by default numbered by the time in nanoseconds; later rows of `df` are later lines.
+
+    Writers whose clocks may differ must give their own growing numbers: the larger batch wins.
+    """
     number = time.time_ns() if batch is None else batch
     rows = df.select("key", "result", F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("pos"))
     rows.write.mode("append").json(path)
