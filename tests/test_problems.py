@@ -108,6 +108,15 @@ def test_verdicts(spark, text, choices, missing, truth):
     assert (got(verdicts.choice_verdict), got(verdicts.ambiguity_verdict), got(verdicts.truth_verdict)) == (choices, missing, truth)
 
 
+def test_places_of_a_truth_are_read_for_themselves(spark):
+    said = lambda t: one(spark, verdicts.truth_verdict(F.col("t")), t=("string", t))
+    # the line ends in n, and o follows the word
+    assert said("yes, again\nanswero") == "yes"
+    # in capitals before the last `answer` only, and nowhere
+    assert said("YES\nmy answer: maybe") is None and said("YES, the answer: maybe") is None and said("hm") == "None"
+    assert said("Perhaps.\nThe Answer: NOT SURE") == "not sure" and said("yes\nanswer: no") == "no" and said("") == "None"
+
+
 def test_settled_number(spark):
     kind = "array<struct<role:string,content:string>>"
     said = [("model", "Answer: 4"), ("user", "Answer: 9"), ("model", "answer: 5.5 or 6"), ("model", "Answer: none"), ("model", "7")]
