@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,28 +13,55 @@ MATCH, PASS, MISS = 0.98, 0.50, 0.02
 TINY = 1e-12
 
 
-def likelihood(label: Column, observed: Column) -> Column:
-    return F.when(label == observed, F.lit(MATCH)).when(label == "pass", F.lit(PASS)).otherwise(F.lit(MISS))
+def _answer(label: Column, observed: Column) -> Column:
+    """0 for a match, 1 for a pass, 2 for a miss."""
+    return F.when(label == observed, F.lit(0)).when(label == "pass", F.lit(1)).otherwise(F.lit(2))
 
 
-def beliefs(judged: DataFrame, episode: list[str], turn: str = "turn", candidate: str = "candidate") -> DataFrame:
-    """Add prior and posterior of each (episode, turn, candidate).
+def log_weight(matches: Column, passes: Column, turns: Column) -> Column:
+    """Logarithm of the likelihood of that many answers. Equal counts give equal weights, in whatever order they came."""
+    return matches * F.lit(math.log(MATCH)) + passes * F.lit(math.log(PASS)) + (turns - matches - passes) * F.lit(math.log(MISS))
 
-    judged: episode, turn, candidate, label, observed. The prior of the first turn is uniform. Answers are independent,
-    so the posterior is the normalised running product of likelihoods: one running sum of logarithms, no loop.
+
+def _counted(judged: DataFrame, episode: list[str], turn: str, candidate: str) -> DataFrame:
+    """Add _m and _p, a candidate's matches and passes up to a turn, its turns _n, and the same before the turn (_m0, _p0, _n0)."""
+    run = Window.partitionBy(*episode, candidate).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answer = _answer(F.col("label"), F.col("observed"))
+    upto = judged.withColumns({"_m": F.sum((answer == 0).cast("int")).over(run), "_p": F.sum((answer == 1).cast("int")).over(run), "_n": F.count(F.lit(1)).over(run)})
+    return upto.withColumns({"_m0": F.col("_m") - (answer == 0).cast("int"), "_p0": F.col("_p") - (answer == 1).cast("int"), "_n0": F.col("_n") - 1})
+
+
+_COUNTS = ["_m", "_p", "_n", "_m0", "_p0", "_n0"]
+
+
+def _cells(counted: DataFrame, episode: list[str], turn: str, more: list[str]) -> DataFrame:
+    """Candidates of a turn with equal counts as one row: how many (_c) and what each of them weighs before and after.
+
+    Added up before the shuffle. A turn has at most some t * t cells for each label, however large its pool is, so the
+    windows over a turn hold cells and not candidates.
     """
-    run = Window.partitionBy(*episode, candidate).orderBy(turn)
+    cells = counted.groupBy(*episode, turn, *more, *_COUNTS).agg(F.count(F.lit(1)).alias("_c"))
     at = Window.partitionBy(*episode, turn)
-    logs = judged.withColumn("_l", F.ln(likelihood(F.col("label"), F.col("observed"))))
-    logs = logs.withColumn("_after", F.sum("_l").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    logs = logs.withColumn("_before", F.col("_after") - F.col("_l"))
+    logs = cells.withColumns({"_a": log_weight(F.col("_m"), F.col("_p"), F.col("_n")), "_b": log_weight(F.col("_m0"), F.col("_p0"), F.col("_n0"))})
+    tops = logs.withColumns({"_ta": F.max("_a").over(at), "_tb": F.max("_b").over(at)})
+    scaled = tops.withColumns({"_a": F.exp(F.col("_a") - F.col("_ta")), "_b": F.exp(F.col("_b") - F.col("_tb"))})
+    return scaled.withColumns({"_za": F.sum(F.col("_c") * F.col("_a")).over(at), "_zb": F.sum(F.col("_c") * F.col("_b")).over(at)})
+
 
-    def normalised(c: str) -> Column:
-        p = F.exp(F.col(c) - F.max(c).over(at))
-        return p
+def beliefs(judged: DataFrame, episode: list[str], turn: str = "turn", candidate: str = "candidate") -> DataFrame:
+    """Add prior and posterior of each (episode, turn, candidate).
 
-    scaled = logs.withColumns({"_a": normalised("_after"), "_b": normalised("_before")})
-    return scaled.withColumns({"prior": F.col("_b") / F.sum("_b").over(at), "posterior": F.col("_a") / F.sum("_a").over(at)}).drop("_l", "_after", "_before", "_a", "_b")
+    judged: episode, turn, candidate, label, observed. The prior of the first turn is uniform. Answers are independent,
+    so a weight follows from running counts of matches and passes; a turn's total comes from its cells, of which there
+    are few, and is joined to the candidates. A null label or observed answer is a miss.
+    """
+    counted = _counted(judged, episode, turn, candidate)
+    totals = _cells(counted, episode, turn, []).groupBy(*episode, turn).agg(*[F.first(c).alias(c) for c in ("_ta", "_tb", "_za", "_zb")])
+    keys = [*episode, turn]
+    named = totals.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_ta", "_tb", "_za", "_zb")
+    joined = counted.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]))
+    share = lambda counts, top, total: F.exp(log_weight(*map(F.col, counts)) - F.col(top)) / F.col(total)
+    return joined.select(*judged.columns, share(_COUNTS[3:], "_tb", "_zb").alias("prior"), share(_COUNTS[:3], "_ta", "_za").alias("posterior"))
 
 
 def entropy(p: Column) -> Column:
@@ -39,20 +69,27 @@ def entropy(p: Column) -> Column:
     return -F.sum(p * F.ln(p + TINY))
 
 
-def question_values(believed: DataFrame, episode: list[str], turn: str = "turn") -> DataFrame:
-    """Per (episode, turn): entropies before and after, expected information gain, its share, and support of the answer."""
-    parts = believed.groupBy(*episode, turn, "label").agg(
-        F.sum("prior").alias("_p"), F.sum(F.col("prior") * F.ln("prior")).alias("_plp"), F.sum(F.when(F.col("label") == F.col("observed"), F.col("prior")).otherwise(0.0)).alias("_s"),
-        F.sum(F.when(F.col("label") == "pass", F.col("prior")).otherwise(0.0)).alias("_pass"), entropy(F.col("prior")).alias("_h0"), entropy(F.col("posterior")).alias("_h1"),
+def question_values(judged: DataFrame, episode: list[str], turn: str = "turn", candidate: str = "candidate") -> DataFrame:
+    """Per (episode, turn): entropies before and after, expected information gain, its share, and support of the answer.
+
+    judged as for `beliefs`. Everything comes from cells of candidates with equal counts.
+    """
+    cells = _cells(_counted(judged, episode, turn, candidate), episode, turn, ["label", "observed"])
+    prior, posterior, n = F.col("_b") / F.col("_zb"), F.col("_a") / F.col("_za"), F.col("_c")
+    told = lambda p: n * p * F.ln(p + TINY)
+    parts = cells.groupBy(*episode, turn, "label").agg(
+        F.sum(n * prior).alias("_q"), F.sum(F.when(prior > 0, n * prior * F.ln(prior)).otherwise(0.0)).alias("_plp"),
+        F.sum(F.when(F.col("label") == F.col("observed"), n * prior).otherwise(0.0)).alias("_s"),
+        F.sum(F.when(F.col("label") == "pass", n * prior).otherwise(0.0)).alias("_pass"), (-F.sum(told(prior))).alias("_h0"), (-F.sum(told(posterior))).alias("_h1"),
     )
     # H(prior | label) = ln p_label - sum(prior ln prior) / p_label
-    conditional = F.ln("_p") - F.col("_plp") / F.col("_p")
+    conditional = F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q") - F.col("_plp")).otherwise(0.0)
     turns = parts.groupBy(*episode, turn).agg(
-        F.sum("_h0").alias("entropy_before"), F.sum("_h1").alias("entropy_after"), F.sum(F.col("_p") * conditional).alias("_c"),
+        F.sum("_h0").alias("entropy_before"), F.sum("_h1").alias("entropy_after"), F.sum(conditional).alias("_rest"),
         F.sum("_s").alias("support"), F.sum("_pass").alias("pass_mass"),
     )
-    eig = F.col("entropy_before") - F.col("_c")
-    return turns.withColumns({"eig": eig, "eig_share": eig / (F.col("entropy_before") + TINY)}).drop("_c")
+    eig = F.col("entropy_before") - F.col("_rest")
+    return turns.withColumns({"eig": eig, "eig_share": eig / (F.col("entropy_before") + TINY)}).drop("_rest")
 
 
 def episode_values(values: DataFrame, episode: list[str], turn: str = "turn") -> DataFrame:
@@ -70,21 +107,35 @@ def top_candidates(believed: DataFrame, episode: list[str], n: int = 10, turn: s
     return believed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def pruned_beliefs(judged: DataFrame, episode: list[str], keep: int, turns: int, order: str = "pos") -> DataFrame:
-    """Beliefs when only the `keep` likeliest candidates survive each turn: they never return, so turns run in order.
+def pruned_beliefs(judged: DataFrame, episode: list[str], keep: int, turn: str = "turn", candidate: str = "candidate", order: str = "pos") -> DataFrame:
+    """(episode, turn, candidate, order, posterior) when only the `keep` likeliest candidates survive each turn.
 
-    A loop over turns (a small bounded number), each a join of survivors with the turn's judgements.
+    Those that a turn drops never return, so turns are folded in their order, after one shuffle by episode: the state of
+    a fold is an episode's pool, which the row of an episode holds once. Ties go by `order`, then by candidate. A
+    candidate that a turn doesn't judge leaves there; one judged twice in a turn has the better answer.
     """
-    state = judged.select(*episode, "candidate", order).distinct()
-    at = Window.partitionBy(*episode)
-    state = state.withColumn("p", 1.0 / F.count(F.lit(1)).over(at))
-    out = None
-    for t in range(1, turns + 1):
-        now = state.join(judged.filter(F.col("turn") == t).drop(order), [*episode, "candidate"])
-        now = now.withColumn("posterior", F.col("p") * likelihood(F.col("label"), F.col("observed")))
-        now = now.withColumn("posterior", F.col("posterior") / F.sum("posterior").over(at))
-        ranked = now.withColumn("_r", F.row_number().over(at.orderBy(F.desc("posterior"), order))).filter(F.col("_r") <= keep)
-        ranked = ranked.withColumn("posterior", F.col("posterior") / F.sum("posterior").over(at)).drop("_r", "p")
-        out = ranked if out is None else out.unionByName(ranked)
-        state = ranked.select(*episode, "candidate", order, F.col("posterior").alias("p"))
-    return out
+    answers = judged.repartition(*episode).groupBy(*episode, candidate, order, turn).agg(F.min(_answer(F.col("label"), F.col("observed"))).alias("_x"))
+    pool = answers.groupBy(*episode, candidate, order).agg(F.map_from_entries(F.collect_list(F.struct(turn, "_x"))).alias("_answers"))
+    pools = pool.groupBy(*episode).agg(F.collect_list(F.struct(F.col(order).alias("order"), F.col(candidate).alias("candidate"), "_answers")).alias("_pool"))
+    turns = F.array_sort(F.array_distinct(F.flatten(F.transform("_pool", lambda c: F.map_keys(c["_answers"])))))
+    none = F.lit(0)
+
+    def entry(c: Column, place: Column, matches: Column, passes: Column, n: Column) -> Column:
+        """What a fold keeps of a candidate, in the order by which it is ranked."""
+        weight = log_weight(matches, passes, n)
+        return F.struct((-weight).alias("less"), c["order"].alias("order"), c["candidate"].alias("candidate"), place.alias("place"), matches.alias("m"), passes.alias("p"), n.alias("n"))
+
+    def survivors(left: Column, t: Column) -> Column:
+        said = lambda c: F.try_element_at(F.get("_pool", c["place"])["_answers"], t)
+        judged_now = F.filter(left, lambda c: said(c).isNotNull())
+        moved = F.transform(judged_now, lambda c: entry(c, c["place"], c["m"] + (said(c) == 0).cast("int"), c["p"] + (said(c) == 1).cast("int"), c["n"] + 1))
+        return F.slice(F.array_sort(moved), 1, keep)
+
+    start = F.array(F.transform("_pool", lambda c, i: entry(c, i, none, none, none)))
+    # the state lists what was left after each turn, the last of which the next turn starts from
+    folded = F.aggregate("_turns", start, lambda past, t: F.array_append(past, survivors(F.element_at(past, -1), t)))
+    kept = pools.withColumn("_turns", turns).select(*episode, "_turns", F.posexplode(folded).alias("_i", "_left")).filter("_i > 0")
+    weight = lambda c: F.exp(F.get("_left", F.lit(0))["less"] - c["less"])
+    total = F.aggregate("_left", F.lit(0.0), lambda z, c: z + weight(c))
+    rows = kept.withColumn("_z", total).select(*episode, F.get("_turns", F.col("_i") - 1).alias(turn), "_z", F.get("_left", F.lit(0))["less"].alias("_top"), F.explode("_left").alias("_c"))
+    return rows.select(*episode, turn, F.col("_c.candidate").alias(candidate), F.col("_c.order").alias(order), (F.exp(F.col("_top") - F.col("_c.less")) / F.col("_z")).alias("posterior"))

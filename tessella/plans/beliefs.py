@@ -31,12 +31,12 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = belief.question_values(belief.beliefs(_judged(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+    values = belief.question_values(_judged(spark, sf_dir), ["c_custkey"])
     return values.select("c_custkey", "turn", *[F.round(c, 5).alias(c) for c in ("entropy_before", "entropy_after", "eig", "eig_share", "support", "pass_mass")])
 
 
 def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = belief.question_values(belief.beliefs(_judged(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+    values = belief.question_values(_judged(spark, sf_dir), ["c_custkey"])
     out = belief.episode_values(values, ["c_custkey"])
     return out.select("c_custkey", "n_turns", *[F.round(c, 5).alias(c) for c in ("mean_eig", "initial_entropy", "final_entropy", "total_eig")])
 
@@ -49,7 +49,7 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pruned_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beliefs that keep only the ten likeliest nations after each turn."""
-    kept = belief.pruned_beliefs(_judged(spark, sf_dir), ["c_custkey"], 10, TURNS)
+    kept = belief.pruned_beliefs(_judged(spark, sf_dir), ["c_custkey"], 10)
     return kept.groupBy("c_custkey", "turn").agg(F.count(F.lit(1)).alias("n_left"), F.round(belief.entropy(F.col("posterior")), 5).alias("entropy"))
 
 
@@ -67,5 +67,10 @@ _VALUES = """h AS (SELECT c_custkey, turn, -sum(prior * ln(prior + 1e-12)) AS h0
 ORACLES = {
     "question_values": f"WITH {_JUDGED}, {_VALUES} SELECT c_custkey, turn, round(entropy_before, 5) AS entropy_before, round(entropy_after, 5) AS entropy_after, round(eig, 5) AS eig, round(eig_share, 5) AS eig_share, round(support, 5) AS support, round(pass_mass, 5) AS pass_mass FROM v",
     "episode_values": f"WITH {_JUDGED}, {_VALUES} SELECT c_custkey, count(*) AS n_turns, round(avg(eig), 5) AS mean_eig, round(arg_min(entropy_before, turn), 5) AS initial_entropy, round(arg_max(entropy_after, turn), 5) AS final_entropy, round(sum(eig), 5) AS total_eig FROM v GROUP BY 1",
+    "pruned_beliefs": f"""WITH RECURSIVE {_JUDGED.split(",\n  s AS")[0]}, k(c_custkey, turn, pos, m, p) AS (SELECT c_custkey, 0::BIGINT, n_nationkey, 0, 0 FROM customer, nation UNION ALL
+      SELECT c_custkey, turn, pos, m, p FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m * ln(0.98) + p * ln(0.5) + (turn - m - p) * ln(0.02) DESC, pos) AS r
+        FROM (SELECT k.c_custkey, j.turn, k.pos, k.m + (label = observed)::INT AS m, k.p + (label <> observed AND label = 'pass')::INT AS p FROM k JOIN j ON j.c_custkey = k.c_custkey AND j.turn = k.turn + 1 AND j.pos = k.pos)) WHERE r <= 10),
+      e AS (SELECT *, exp(m * ln(0.98) + p * ln(0.5) + (turn - m - p) * ln(0.02)) AS w FROM k WHERE turn > 0), q2 AS (SELECT *, w / sum(w) OVER (PARTITION BY c_custkey, turn) AS x FROM e)
+      SELECT c_custkey, turn, count(*) AS n_left, round(-sum(x * ln(x + 1e-12)), 5) AS entropy FROM q2 GROUP BY ALL""",
     "top_candidates": f"WITH {_JUDGED}, r AS (SELECT c_custkey, turn, row_number() OVER (PARTITION BY c_custkey, turn ORDER BY round(posterior, 9) DESC, pos) AS rank, candidate, round(round(posterior, 9), 5) AS posterior FROM b) SELECT * FROM r WHERE rank <= 3",
 }
