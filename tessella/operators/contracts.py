@@ -50,6 +50,14 @@ def require_none(df: DataFrame, message: str) -> DataFrame:
     return n.select(F.when(F.col("n") == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("n").cast("string")))).alias("ok"))
 
 
+def require_feasible(violations: DataFrame) -> DataFrame:
+    """One row that is true, before a run; an error that tells the kinds and their numbers where `metrics.feasibility_violations` has rows."""
+    kinds = violations.select("kind", "n").distinct()
+    # at most three kinds
+    told = kinds.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["kind"], F.lit("="), x["n"].cast("string"))), ", ").alias("t"))
+    return told.select(F.when(F.col("t") == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("problems can't be run: "), F.col("t")))).alias("ok"))
+
+
 def with_columns_of(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     """The expected columns, null where the table lacks them."""
     have = set(df.columns)

@@ -24,6 +24,12 @@ def flip_problem(df: DataFrame, literal_sets: list[str], known_true: str, known_
     return flipped.withColumns({known_true: F.col(known_false), known_false: F.col(known_true)})
 
 
+def flip_worlds(worlds: Column) -> Column:
+    """Worlds of a flipped problem: array of struct(assignments, target); every value and the target are negated, unknown (null) values stay."""
+    other = lambda w: F.transform_values(w["assignments"], lambda _, v: ~v)
+    return F.transform(worlds, lambda w: F.struct(other(w).alias("assignments"), tx.negate(w["target"]).alias("target")))
+
+
 def mask_last(df: DataFrame, conditions: str, most: int) -> DataFrame:
     """One row for each k from 1 to min(most, size): context without the last k conditions, and those as `desired`."""
     n = F.size(conditions)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.storage import checkpointed
-from .curate import depth_bucket
+from .curate import depth_bucket, mask_last
 
 # The task names of problem families and what they ask for.
 TASKS = {
@@ -106,22 +106,65 @@ def result_counts(constraints: Column, variables: Column, cost: Column, tokens:
 
 
 def tree_rows(trees: DataFrame, tree: str = "tree") -> DataFrame:
-    """(tree, path, type, label): the nodes of nested JSON trees, one round for each depth.
+    """(tree, path, trail, type, label): the nodes of nested JSON trees, one round for each depth.
 
     trees: (tree, json), a node being an object with type, label and either `next`, its only child, or `branches`, from an
     answer to a child. path: a struct (pos, answer) for each step from the root; the answer is null for an only child.
+    trail: a struct (type, label, answer) for each node above.
     """
     node = F.from_json("json", "type string, label string, next string, branches map<string,string>")
     root = F.array().cast("array<struct<pos:int,answer:string>>")
-    new = checkpointed(trees.select(tree, root.alias("path"), node.alias("_n")).filter("_n is not null"))
+    above = F.array().cast("array<struct<type:string,label:string,answer:string>>")
+    new = checkpointed(trees.select(tree, root.alias("path"), above.alias("trail"), node.alias("_n")).filter("_n is not null"))
     out = new
     while not new.isEmpty():
         only = F.when(F.col("_n.next").isNotNull() & (F.coalesce(F.col("_n.type"), F.lit("")) != "decision"), F.create_map(F.lit("_next"), F.col("_n.next")))
-        below = new.select(tree, "path", F.posexplode(F.coalesce("_n.branches", only)).alias("pos", "answer", "json"), F.col("_n.branches").isNull().alias("_only"))
-        step = F.struct("pos", F.when(~F.col("_only"), F.col("answer")).alias("answer"))
-        new = checkpointed(below.select(tree, F.array_append("path", step).alias("path"), node.alias("_n")).filter("_n is not null"))
+        below = new.select(tree, "path", "trail", F.col("_n.type").alias("_t"), F.col("_n.label").alias("_l"), F.posexplode(F.coalesce("_n.branches", only)).alias("pos", "answer", "json"), F.col("_n.branches").isNull().alias("_only"))
+        answer = F.when(~F.col("_only"), F.col("answer")).alias("answer")
+        passed = F.struct(F.col("_t").alias("type"), F.col("_l").alias("label"), answer)
+        grown = [F.array_append("path", F.struct("pos", answer)).alias("path"), F.array_append("trail", passed).alias("trail")]
+        new = checkpointed(below.select(tree, *grown, node.alias("_n")).filter("_n is not null"))
         out = out.unionByName(new)
-    return out.select(tree, "path", F.col("_n.type").alias("type"), F.col("_n.label").alias("label"))
+    return out.select(tree, "path", "trail", F.col("_n.type").alias("type"), F.col("_n.label").alias("label"))
+
+
+def _walked(trail: Column) -> Column:
+    """Whether a way leads only through assessments, each with an only child, and conditions."""
+    return F.forall(trail, lambda n: F.coalesce(((n["type"] == "assessment") & n["answer"].isNull()) | (n["type"] == "condition"), F.lit(False)))
+
+
+def tree_paths(nodes: DataFrame, tree: str = "tree") -> DataFrame:
+    """(tree, path, assessment, conditions, outcome): the ways from the root to a decision, from `tree_rows`.
+
+    conditions: a struct (label, answer) for each condition on the way that branches, from the root on; a condition with
+    an only child asks nothing. assessment: the label of the last assessment on the way, null without one.
+    """
+    last = F.try_element_at(F.filter("trail", lambda n: n["type"] == "assessment"), F.lit(-1))["label"]
+    asked = F.filter("trail", lambda n: (n["type"] == "condition") & n["answer"].isNotNull())
+    conditions = F.transform(asked, lambda n: F.struct(n["label"].alias("label"), n["answer"].alias("answer")))
+    ends = nodes.filter((F.col("type") == "decision") & _walked(F.col("trail")))
+    return ends.select(tree, "path", last.alias("assessment"), conditions.alias("conditions"), F.col("label").alias("outcome"))
+
+
+def tree_questions(paths: DataFrame, most: int, tree: str = "tree") -> DataFrame:
+    """(tree, path, k, assessment, context, desired, questions, outcome): each way with its last k conditions asked for, k from 1 to `most`."""
+    masked = mask_last(paths, "conditions", most)
+    return masked.select(tree, "path", "k", "assessment", "context", "desired", F.transform("desired", lambda c: c["label"]).alias("questions"), "outcome")
+
+
+def tree_summary(nodes: DataFrame, tree: str = "tree") -> DataFrame:
+    """(tree, n_nodes, n_decisions, conditions, category): conditions are the distinct labels that ways lead to, sorted.
+
+    category is the label of the last assessment in the order of reading, `Unknown` where there is none.
+    """
+    reached, empty = _walked(F.col("trail")), F.coalesce(F.col("label"), F.lit("")) == ""
+    order = F.transform("path", lambda p: p["pos"])
+    assessed = reached & (F.col("type") == "assessment")
+    return nodes.groupBy(tree).agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("type") == "decision").alias("n_decisions"),
+        F.array_sort(F.collect_set(F.when(reached & (F.col("type") == "condition") & ~empty, F.col("label")))).alias("conditions"),
+        F.coalesce(F.max_by("label", F.when(assessed, order)), F.lit("Unknown")).alias("category"),
+    )
 
 
 def tree_text(nodes: DataFrame, tree: str = "tree") -> DataFrame:

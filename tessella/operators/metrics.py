@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import setscore
-from . import curate
+from . import contracts, curate
 
 
 def scoped(df: DataFrame, scopes: list[str], aggregates: list[Column]) -> DataFrame:
@@ -183,3 +183,54 @@ def feasibility(problems: DataFrame, task: str, queryable: str, k: str) -> DataF
         F.count(F.lit(1)).alias("n"), F.min(queryable).alias("min_queryable"), F.avg(F.col(queryable).cast("double")).alias("avg_queryable"),
         F.min(margin).alias("min_margin"), F.avg(margin.cast("double")).alias("avg_margin"), F.count_if(margin < 0).alias("n_violations"),
     )
+
+
+#: Rows that a report names of each kind of violation.
+NAMED = 10
+
+
+def feasibility_violations(problems: DataFrame, key: str, queryable: str, k: str, canonical: str, most: int = NAMED) -> DataFrame:
+    """(kind, n, pos, key, k, n_queryable, missing): how many problems break a rule, and the first `most` of them by key.
+
+    Kinds: `below_k`, fewer queryable variables than k; `none_queryable`; `canonical_missing`, canonical variables
+    that aren't queryable, which `missing` names. `queryable` and `canonical` are arrays; null is an empty one. A problem may be of several kinds; a kind without problems has
+    no row.
+    """
+    empty = F.array().cast("array<string>")
+    names, wanted = F.coalesce(queryable, empty), F.coalesce(canonical, empty)
+    rows = problems.select(F.col(key).alias("key"), F.col(k).alias("k"), F.size(F.array_distinct(names)).alias("n_queryable"), F.array_except(wanted, names).alias("missing"))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("n_queryable") < F.col("k"), F.lit("below_k")), F.when(F.col("n_queryable") == 0, F.lit("none_queryable")), F.when(F.size("missing") > 0, F.lit("canonical_missing")),
+    ))
+    broken = rows.withColumn("kind", F.explode(kinds))
+    counts = broken.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    first = broken.withColumn("pos", F.row_number().over(Window.partitionBy("kind").orderBy("key", "k"))).filter(F.col("pos") <= most)
+    # a row for each of three kinds
+    return first.join(F.broadcast(counts), "kind").select("kind", "n", "pos", "key", "k", "n_queryable", "missing")
+
+
+#: What an episode may tell; a family whose episodes lack one of these has null for it.
+TOLD = {"correct": "boolean", "sufficient": "boolean", "turns_to": "double", "turns": "double", "tokens": "double", "eig": "double", "entropy": "double"}
+
+
+def family_rows(episodes: DataFrame, family: str) -> DataFrame:
+    """One row for each family: episodes, accuracy, final sufficiency, turns to it, turns of all and of right ones, tokens, gain and last entropy.
+
+    episodes: family and any of the columns of `TOLD`. Means are of the episodes that have a value.
+    """
+    rows = contracts.with_columns_of(episodes, {family: "string", **TOLD})
+    mean = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(family).agg(
+        F.count(F.lit(1)).alias("n"), mean(F.col("correct")).alias("accuracy"), mean(F.col("sufficient")).alias("final_sufficiency"), mean(F.col("turns_to")).alias("turns_to_sufficiency"),
+        mean(F.col("turns")).alias("avg_turns"), mean(F.when(F.col("correct"), F.col("turns"))).alias("avg_turns_right"), mean(F.col("tokens")).alias("avg_tokens"),
+        mean(F.col("eig")).alias("mean_eig"), mean(F.col("entropy")).alias("mean_final_entropy"),
+    )
+
+
+def least_hard(rows: DataFrame, by: list[str], sets: str, measures: list[str]) -> DataFrame:
+    """Of each problem and measure the least, over its sets, of a set's largest value: how hard the easiest set is at worst.
+
+    rows: (by, set, measures), one for each assignment of a set; null measures (not derived) are passed over.
+    """
+    worst = rows.groupBy(*by, sets).agg(*[F.max(m).alias(m) for m in measures])
+    return worst.groupBy(*by).agg(*[F.min(m).alias(m) for m in measures])

@@ -54,6 +54,17 @@ def grow(masks: DataFrame, variables: DataFrame, problem: str = "problem_id") ->
     return joined.select(problem, F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx"))).alias("mask"), F.col("idx").alias("top"))
 
 
+def exhaustive(worlds: DataFrame, reported: DataFrame, variables: DataFrame, most: int, problem: str = "problem_id") -> DataFrame:
+    """(problem, mask, kind): sets of a problem that are reported but not minimal and sufficient (`extra`), or the reverse (`missing`).
+
+    reported: (problem, mask). What must be reported is what the search of `minimal_sufficient` finds at its smallest k;
+    a problem for which it finds nothing, or too much, must report nothing.
+    """
+    found = minimal_sufficient(worlds, variables, most, problem=problem)[0].select(problem, "mask").withColumn("_f", F.lit(True))
+    both = reported.select(problem, "mask").distinct().withColumn("_r", F.lit(True)).join(found, [problem, "mask"], "full")
+    return both.filter("_f is null or _r is null").select(problem, "mask", F.when(F.col("_f").isNull(), F.lit("extra")).otherwise(F.lit("missing")).alias("kind"))
+
+
 def witnesses(worlds: DataFrame, masks: DataFrame, problem: str = "problem_id") -> DataFrame:
     """(problem, mask, diff) of masks that don't suffice: bits in which two worlds differ that agree on the mask but not on y.
 

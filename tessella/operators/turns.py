@@ -67,6 +67,20 @@ def log_breaks(log: DataFrame, group: str, order: str, index: str, start: int =
     return log.withColumn("expected", F.row_number().over(w) - 1 + start).filter(F.col(index) != F.col("expected"))
 
 
+def signature_breaks(log: DataFrame, rows: DataFrame, index: str, signature: str) -> DataFrame:
+    """(index, signature, expected, problem): lines of a log that don't belong to the rows that it is resumed for.
+
+    `rows` hold the signature that each index must have. problem: `unknown` index, `signature` of another row (a null
+    equals a null only), or `twice`, an index that several lines name; the first of these that holds.
+    """
+    lines = log.groupBy(index, signature).agg(F.count(F.lit(1)).alias("_n"))
+    named = lines.groupBy(F.col(index).alias("_i")).agg(F.sum("_n").alias("_all"))
+    wanted = rows.select(F.col(index).alias("_w"), F.col(signature).alias("expected")).withColumn("_known", F.lit(True))
+    found = lines.join(named, F.col(index).eqNullSafe(F.col("_i"))).join(wanted, F.col(index) == F.col("_w"), "left")
+    problem = F.when(F.col("_known").isNull(), "unknown").when(~F.col(signature).eqNullSafe(F.col("expected")), "signature").when(F.col("_all") > 1, "twice")
+    return found.withColumn("problem", problem).filter("problem is not null").select(index, signature, "expected", "problem")
+
+
 def compact_transcript(messages: DataFrame, conv: str, order: str, role: str, text: str) -> DataFrame:
     """(conv, system, transcript): system text, and other messages as `Guesser:` and `Answerer:` lines."""
     names = F.when(F.col(role) == "assistant", F.lit("Guesser: ")).otherwise(F.lit("Answerer: "))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import curate, logic, minset, relate, sample
+from ..operators import curate, logic, metrics, minset, relate, sample
 from ..sources import io
 from ..sources.storage import checkpoint_dir
 from .base import table
@@ -87,18 +87,30 @@ def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer: the least, over orders, of the largest quantity of a line."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"))
+    """Per customer: the least, over orders, of the largest quantity and the last number of a line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("difficulty"), F.col("l_linenumber").alias("depth"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.min("q").alias("difficulty"))
+    return metrics.least_hard(orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")), ["o_custkey"], "o_orderkey", ["difficulty", "depth"])
+
+
+def flipped_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a world, whose lines are variables that are true where one was returned, with all values and the target negated."""
+    values = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_returnflag") == "R").alias("v"))
+    entry = F.struct(F.concat(F.lit("x"), "l_linenumber").alias("k"), "v")
+    target = F.when(F.count_if("v") > 1, "goal").otherwise("not goal")
+    worlds = values.groupBy("l_orderkey").agg(F.array(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("assignments"), target.alias("target"))).alias("worlds"))
+    flipped = worlds.select("l_orderkey", F.inline(curate.flip_worlds(F.col("worlds"))))
+    said = F.array_join(F.transform(F.map_entries("assignments"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return flipped.select("l_orderkey", said.alias("assignments"), "target")
 
 
 def shortest_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per basket: the smallest basket of the same customer inside it; the first key wins a tie."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    """Per basket: the smallest basket of the same customer inside it, and the one of the lowest priority's number; the first key wins a tie."""
+    depth = F.substring("o_orderpriority", 1, 1).cast("int").alias("depth")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), depth)
     sets = orders.join(_lists(spark, sf_dir), "o")
-    pairs = relate.contained_sets(sets, ["c"], "o", "items").join(sets.select(F.col("o").alias("small"), F.size("items").alias("n")), "small")
-    return pairs.groupBy(F.col("large").alias("o")).agg(F.min_by("small", F.struct("n", "small")).alias("small"))
+    pairs = relate.contained_sets(sets, ["c"], "o", "items").join(sets.select(F.col("o").alias("small"), F.size("items").alias("n"), "depth"), "small")
+    return pairs.groupBy(F.col("large").alias("o")).agg(F.min_by("small", F.struct("n", "small")).alias("small"), F.min_by("small", F.struct("depth", "small")).alias("shallow"))
 
 
 def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +181,7 @@ def resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        masked_conditions, flipped_problems, problem_columns, choice_lists, asked_status, cell_statistics, predicted_sizes, first_answers, difficulty, shortest_contained, generation_summary,
+        masked_conditions, flipped_problems, problem_columns, choice_lists, asked_status, cell_statistics, predicted_sizes, first_answers, difficulty, flipped_worlds, shortest_contained, generation_summary,
         stable_distractors, explained_rows, identified_outcomes, sampled_subsets, policy_choices, log_compaction, csv_round_trip, resume_rows,
     )
 }
@@ -188,8 +200,10 @@ ORACLES = {
     "predicted_sizes": r"""WITH s AS (SELECT len(list_distinct(regexp_extract_all(text, '\b([0-9]+)\b'))) AS a, len(list_distinct(regexp_extract_all(text, '([A-Za-z]+)'))) AS b FROM conversations), n AS (SELECT CASE WHEN a > 0 THEN a ELSE b END AS n FROM s)
       SELECT round(avg(n), 6) AS mean, median(n) AS median, min(n) AS min, max(n) AS max, count(n) AS count FROM n""",
     "first_answers": """WITH f AS (SELECT l_orderkey, min({'l': l_linenumber, 's': l_suppkey, 'p': l_partkey}) FILTER (l_returnflag = 'R').l AS turn, max({'l': l_linenumber, 's': l_suppkey, 'p': l_partkey, 'r': l_returnflag}).l AS last FROM lineitem GROUP BY 1) SELECT l_orderkey, turn, turn = last AS forced FROM f""",
-    "difficulty": "SELECT o_custkey, min(q) AS difficulty FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1",
-    "shortest_contained": f"WITH {_LISTS}, s AS (SELECT o_custkey AS c, o, items FROM b JOIN orders ON o = o_orderkey) SELECT g.o, arg_min(a.o, {{'n': len(a.items), 'o': a.o}}) AS small FROM s a JOIN s g ON a.c = g.c AND len(a.items) < len(g.items) AND list_has_all(g.items, a.items) GROUP BY 1",
+    "flipped_worlds": """WITH v AS (SELECT l_orderkey, 'x' || l_linenumber AS k, bool_or(l_returnflag = 'R') AS v FROM lineitem GROUP BY ALL)
+      SELECT l_orderkey, string_agg(k || '=' || (NOT v)::VARCHAR, ',' ORDER BY k) AS assignments, CASE WHEN count(*) FILTER (v) > 1 THEN 'not goal' ELSE 'goal' END AS target FROM v GROUP BY 1""",
+    "difficulty": "SELECT o_custkey, min(q) AS difficulty, min(d) AS depth FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS q, max(l_linenumber) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1",
+    "shortest_contained": f"WITH {_LISTS}, s AS (SELECT o_custkey AS c, o, items, o_orderpriority[1]::INT AS d FROM b JOIN orders ON o = o_orderkey) SELECT g.o, arg_min(a.o, {{'n': len(a.items), 'o': a.o}}) AS small, arg_min(a.o, {{'d': a.d, 'o': a.o}}) AS shallow FROM s a JOIN s g ON a.c = g.c AND len(a.items) < len(g.items) AND list_has_all(g.items, a.items) GROUP BY 1",
     "generation_summary": "SELECT round(avg(p_size), 3) AS avg_size, round(avg((p_size > 25)::INT), 3) AS share_large, min(p_size) AS min_size, max(p_size) AS max_size, count(*) AS n FROM part",
     "stable_distractors": f"WITH {_WORLDS}, x AS (SELECT problem_id AS model, y, i::INT AS idx, min((state >> i::INT) & 1) AS a, max((state >> i::INT) & 1) AS z FROM w, range(0, 6) r(i) GROUP BY ALL) SELECT model, idx FROM x GROUP BY ALL HAVING bool_and(a = z) AND min(a) < max(z)",
     "explained_rows": f"""WITH {_WORLDS}, t AS (SELECT problem_id, max({{'s': state, 'y': y}}) AS r FROM w GROUP BY 1), e AS (SELECT problem_id, mask, bool_and(y = r.y) AS ok FROM w JOIN t USING (problem_id), (SELECT unnest(range(0, 64))::BIGINT AS mask) WHERE state & mask = r.s & mask GROUP BY ALL)

@@ -103,6 +103,14 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.latest_per_key(log, ["user_id", "event_type"], F.col("ts"), F.col("event_id")).select("user_id", "event_type", "event_id", "value")
 
 
+def signature_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a log of orders, whose flag must be that of the order's status; some name no order."""
+    wanted = F.when(F.col("o_orderstatus") == "F", "R").otherwise("N")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), wanted.alias("flag"))
+    row = F.when(F.col("l_partkey") % 17 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return turns.signature_breaks(table(spark, sf_dir, "lineitem").select(row.alias("row"), F.col("l_returnflag").alias("flag")), orders, "row", "flag")
+
+
 def log_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order whose number isn't one more than the line before."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").withColumn("_o", F.struct("l_linenumber", "l_partkey"))
@@ -119,7 +127,7 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB's \b knows ASCII letters only, so the letters around a question's verb are looked at by their kind
 _QUESTION = tx.QUESTION.replace(r"(\b(?:", r"(?:^|[^\pL\pN_])((?:").replace(r")\b[^?]*", r")(?:[^\pL\pN_?][^?]*)?")
 
-QUERIES = {f.__name__: f for f in (dialogue_pairs, dialogue_metrics, turn_features, reply_actions, message_questions, transcripts, role_tokens, turns_to_clarity, turn_of_coverage, running_ambiguity, latest_events, log_breaks, section_lines)}
+QUERIES = {f.__name__: f for f in (dialogue_pairs, dialogue_metrics, turn_features, reply_actions, message_questions, transcripts, role_tokens, turns_to_clarity, turn_of_coverage, running_ambiguity, latest_events, signature_breaks, log_breaks, section_lines)}
 
 _NORM = r"trim(regexp_replace(regexp_replace(translate(text, '’‘“”–—', '''''\"\"--'), '\*+', '', 'g'), '\s+', ' ', 'g'))".replace('\\"', '"')
 _PASS = "|".join(tx.PASS)
@@ -154,6 +162,9 @@ ORACLES = {
       SELECT user_id, max(n.n) AS n_needed, CASE WHEN count(*) = max(n.n) THEN max(t) END AS covered_at FROM f, n GROUP BY user_id""",
     "running_ambiguity": _EVENTS + " SELECT event_id, turn, bool_and(is_ambiguous) OVER (PARTITION BY user_id ORDER BY turn) AS still_ambiguous FROM e",
     "latest_events": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "signature_breaks": """WITH l AS (SELECT CASE WHEN l_partkey % 17 = 0 THEN -l_orderkey ELSE l_orderkey END AS row, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT row, sum(n) AS n FROM l GROUP BY 1),
+      o AS (SELECT o_orderkey AS row, CASE WHEN o_orderstatus = 'F' THEN 'R' ELSE 'N' END AS expected FROM orders),
+      p AS (SELECT l.row, l.flag, expected, CASE WHEN o.row IS NULL THEN 'unknown' WHEN l.flag <> expected THEN 'signature' WHEN a.n > 1 THEN 'twice' END AS problem FROM l JOIN a ON a.row = l.row LEFT JOIN o ON o.row = l.row) SELECT * FROM p WHERE problem IS NOT NULL""",
     "log_breaks": "SELECT * FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS expected FROM lineitem) WHERE l_linenumber <> expected",
     "section_lines": """SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_returnflag <> 'N' THEN l_partkey END IGNORE NULLS) OVER
         (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM lineitem""",

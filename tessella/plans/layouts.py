@@ -75,6 +75,44 @@ def written_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.tree_text(layouts.tree_rows(docs))
 
 
+def _tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a tree for each nation: its region, then market segments, then the sign of the balance, then the number of customers."""
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sign = F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("sign")
+    counts = customers.groupBy("n_name", "n_regionkey", F.col("c_mktsegment").alias("s"), sign).agg(F.count(F.lit(1)).cast("string").alias("n"))
+    text = lambda *parts: F.concat(*[F.lit(p[1:]) if p.startswith("'") else F.col(p) for p in parts])
+    branches = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    leaf = text("'\"", "sign", "'\":{\"type\":\"decision\",\"label\":\"", "n", "'\"}")
+    signs = counts.groupBy("n_name", "n_regionkey", "s").agg(branches(leaf).alias("b"))
+    branch = text("'\"", "s", "'\":{\"type\":\"condition\",\"label\":\"balance of ", "s", "'\",\"branches\":{", "b", "'}}")
+    trees = signs.groupBy("n_name", F.col("n_regionkey").cast("string").alias("r")).agg(branches(branch).alias("b"))
+    root = text("'{\"type\":\"assessment\",\"label\":\"region ", "r", "'\",\"next\":{\"type\":\"condition\",\"label\":\"segment\",\"branches\":{", "b", "'}}}")
+    return layouts.tree_rows(trees.select(F.col("n_name").alias("tree"), root.alias("json")))
+
+
+def tree_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each way through a nation's tree with its last one or two conditions asked for."""
+    asked = layouts.tree_questions(layouts.tree_paths(_tree_nodes(spark, sf_dir)), 2)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["label"], F.lit("="), x["answer"])), ",")
+    return asked.select("tree", "k", "assessment", said("context").alias("context"), said("desired").alias("desired"), F.array_join("questions", ",").alias("questions"), "outcome")
+
+
+def tree_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, decisions, conditions and category of each nation's tree."""
+    return layouts.tree_summary(_tree_nodes(spark, sf_dir)).withColumn("conditions", F.array_join("conditions", ","))
+
+
+def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines, some cut off or without a text, read again with the bad lines put aside."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    doc = F.struct("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), "text")
+    line = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace(F.to_json(doc), r"\}$", "")).otherwise(F.to_json(doc))
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    good, bad = io.read_checked(spark, path, "doc_id long, lang string, text string", ["doc_id", "lang"])
+    both = good.select(F.lit("good").alias("reason"), F.length("text").alias("n")).unionByName(bad.select("reason", F.lit(None).cast("int").alias("n")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n_chars"))
+
+
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as JSON lines to one folder for each priority's digit, read as one table by wildcard, counted by shard."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
@@ -119,11 +157,13 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (task_names, aliased_problems, laid_out_problems, held_out_problems, result_sizes, written_trees, shard_counts, split_actions, joined_notes, billed_usage, audit_lines)
+    for f in (task_names, aliased_problems, laid_out_problems, held_out_problems, result_sizes, written_trees, tree_questions, tree_summaries, checked_lines, shard_counts, split_actions, joined_notes, billed_usage, audit_lines)
 }
 
 _NAMES = """p AS (SELECT l_orderkey AS o, 'v' || (l_partkey % 60) AS name, l_partkey % 60 AS number, max(l_quantity) AS q FROM lineitem GROUP BY ALL),
   a AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY number) - 1 AS i FROM p), n AS (SELECT *, chr((65 + i % 26)::INT) || (i // 26 + 1) AS alias FROM a)"""
+_TREES = """t AS (SELECT n_name AS tree, 'region ' || n_regionkey AS assessment, c_mktsegment AS s, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS b, count(*)::VARCHAR AS outcome
+  FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"""
 _SAID = "[" + ", ".join("'" + s.replace("\n", "' || chr(10) || '") + "'" for s in SAID) + "]"
 
 ORACLES = {
@@ -138,6 +178,11 @@ ORACLES = {
     "result_sizes": f"""WITH {_NAMES} SELECT o, CASE WHEN o % 3 < 2 THEN count(*) END AS num_constraints, CASE WHEN o % 3 = 1 THEN count(*) END AS num_vars, CASE WHEN o % 2 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS cost_usd, 0 AS thinking_tokens FROM n GROUP BY o""",
     "written_trees": """SELECT n_name AS tree, 'If segment:' || chr(10) || string_agg('  ' || s || ':' || chr(10) || '    Assessment: count' || chr(10) || '      -> ' || n, chr(10) ORDER BY s) AS text
       FROM (SELECT n_name, c_mktsegment AS s, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) GROUP BY 1""",
+    "tree_questions": f"""WITH {_TREES} SELECT tree, k::INT AS k, assessment, CASE WHEN k = 1 THEN 'segment=' || s ELSE '' END AS context, CASE WHEN k = 2 THEN 'segment=' || s || ',' ELSE '' END || 'balance of ' || s || '=' || b AS desired,
+      CASE WHEN k = 2 THEN 'segment,' ELSE '' END || 'balance of ' || s AS questions, outcome FROM t, range(1, 3) r(k)""",
+    "tree_summaries": f"""WITH {_TREES} SELECT tree, 2 + count(DISTINCT s) + count(*) AS n_nodes, count(*) AS n_decisions, string_agg(DISTINCT 'balance of ' || s, ',' ORDER BY 'balance of ' || s) || ',segment' AS conditions, max(assessment) AS category FROM t GROUP BY 1""",
+    "checked_lines": """WITH r AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'unreadable' WHEN doc_id % 5 = 0 OR lang IS NULL THEN 'missing lang' ELSE 'good' END AS reason, length(text) AS n FROM documents)
+      SELECT reason, count(*) AS rows, sum(CASE WHEN reason = 'good' THEN n END)::BIGINT AS n_chars FROM r GROUP BY 1""",
     "shard_counts": "SELECT o_orderpriority[1] AS shard, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys FROM orders GROUP BY 1",
     "split_actions": rf"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % {len(SAID)} AS m, CASE WHEN l_linenumber % 2 = 0 THEN ' ' || l_linenumber ELSE '' END AS e, {_SAID} AS said FROM lineitem)
       SELECT l_orderkey, l_linenumber, l_partkey, CASE m WHEN 0 THEN 'Question: Is it red?' WHEN 1 THEN trim('Answer: 4 ' || e) WHEN 2 THEN '' WHEN 3 THEN 'Answer:' || chr(10) || 'no' || e ELSE 'Question: who asks, and why' || e END AS visible,

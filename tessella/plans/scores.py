@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import setscore
 from ..operators import metrics
+from . import beliefs, dialogue
 from .base import table
 
 ITEMS = 25
@@ -101,6 +102,13 @@ def feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_brand", "n", "min_queryable", F.round("avg_queryable", 6).alias("avg_queryable"), "min_margin", F.round("avg_margin", 6).alias("avg_margin"), "n_violations")
 
 
+def feasibility_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that can't be run, whose later items may be asked for and whose first one must be."""
+    lists = _baskets(spark, sf_dir).select("o", (F.col("o") % 4).alias("k"), F.filter("items", lambda i: i > "I10").alias("queryable"), F.slice("items", 1, 1).alias("first"))
+    found = metrics.feasibility_violations(lists, "o", "queryable", "k", "first")
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
 def asked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate and invalid items of each episode: repeated items, and distinct items outside the valid range."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % ITEMS).alias("i"))
@@ -108,14 +116,20 @@ def asked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each family with the columns of the combined report; what a family lacks is null."""
-    orders = table(spark, sf_dir, "orders").select(F.lit("orders").alias("family"), (F.col("o_orderstatus") == "F").cast("double").alias("hit"))
-    events = table(spark, sf_dir, "events").select(F.lit("events").alias("family"), F.lit(None).cast("double").alias("hit"), "value")
-    rows = orders.unionByName(events, allowMissingColumns=True)
-    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.round(F.avg("value"), 4).alias("mean_value"))
+    """One row for each family with the columns of the combined report; what a family lacks is null.
+
+    Orders have turns and tokens of their lines, users the turn at which their events get clear, customers the value of questions.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("turns"), F.sum("l_quantity").alias("tokens"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.lit("orders").alias("family"), (F.col("o_orderstatus") == "F").alias("correct"), "turns", "tokens")
+    logs = dialogue.turns_to_clarity(spark, sf_dir).select(F.lit("events").alias("family"), F.col("turns_to_clarity").isNotNull().alias("sufficient"), F.col("turns_to_clarity").alias("turns_to"))
+    values = beliefs.episode_values(spark, sf_dir).select(F.lit("customers").alias("family"), F.col("n_turns").alias("turns"), F.col("mean_eig").alias("eig"), F.col("final_entropy").alias("entropy"), (F.col("final_entropy") < 0.5).alias("correct"))
+    rows = orders.unionByName(logs, allowMissingColumns=True).unionByName(values, allowMissingColumns=True)
+    out = metrics.family_rows(rows, "family")
+    return out.select("family", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
-QUERIES = {f.__name__: f for f in (set_scores, set_reports, episode_metrics, turn_rates, numeric_profiles, outcome_counts, flag_counts, run_performance, call_estimate, feasibility, asked_counts, family_summary)}
+QUERIES = {f.__name__: f for f in (set_scores, set_reports, episode_metrics, turn_rates, numeric_profiles, outcome_counts, flag_counts, run_performance, call_estimate, feasibility, feasibility_violations, asked_counts, family_summary)}
 
 _SCORES = f"""{_BASKETS}, s AS (SELECT a.o, len(a.items) AS na, len(g.items) AS ng, len(list_intersect(a.items, g.items)) AS i, g.o IS NOT NULL AS has FROM b a LEFT JOIN b g ON a.c = g.c AND g.o % 2 = 0 WHERE a.o % 2 = 1),
   sc AS (SELECT o, round(coalesce(max(2.0::DOUBLE * i / (na + ng)), 0), 6) AS max_f1, round(coalesce(max(i::DOUBLE / (na + ng - i)), 0), 6) AS max_jaccard,
@@ -146,6 +160,13 @@ ORACLES = {
     "call_estimate": "WITH c AS (SELECT event_type AS dataset, count(*) * 2 * count(DISTINCT user_id) AS calls FROM events GROUP BY 1) SELECT dataset, sum(calls)::BIGINT AS calls FROM c GROUP BY ROLLUP (dataset)",
     "feasibility": """SELECT p_brand, count(*) AS n, min(p_size) AS min_queryable, round(avg(p_size), 6) AS avg_queryable, min(p_size - p_partkey % 10) AS min_margin, round(avg(p_size - p_partkey % 10), 6) AS avg_margin,
       count(*) FILTER (p_size - p_partkey % 10 < 0) AS n_violations FROM part GROUP BY 1""",
+    "feasibility_violations": f"""WITH {_BASKETS}, p AS (SELECT o AS key, o % 4 AS k, len([i FOR i IN items IF i > 'I10'])::INT AS n_queryable, CASE WHEN items[1] <= 'I10' THEN items[1] ELSE '' END AS missing FROM b),
+      v AS (SELECT unnest(['below_k', 'none_queryable', 'canonical_missing']) AS kind, unnest([n_queryable < k, n_queryable = 0, missing <> '']) AS broken, * FROM p), x AS (SELECT * FROM v WHERE broken)
+      SELECT kind, (count(*) OVER (PARTITION BY kind)) AS n, row_number() OVER (PARTITION BY kind ORDER BY key) AS pos, key, k, n_queryable, missing FROM x QUALIFY pos <= 10""",
     "asked_counts": f"SELECT l_orderkey, count(*) - count(DISTINCT l_partkey % {ITEMS}) AS n_duplicate, count(DISTINCT l_partkey % {ITEMS}) FILTER (l_partkey % {ITEMS} >= 20) AS n_invalid FROM lineitem GROUP BY 1",
-    "family_summary": "SELECT 'orders' AS family, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS accuracy, NULL::DOUBLE AS mean_value FROM orders UNION ALL SELECT 'events', count(*), NULL, round(avg(value), 4) FROM events",
+    "family_summary": f"""WITH l AS (SELECT l_orderkey, count(*) AS turns, sum(l_quantity) AS tokens FROM lineitem GROUP BY 1), z AS ({dialogue.ORACLES["turns_to_clarity"]}), y AS ({beliefs.ORACLES["episode_values"]}),
+      u AS (SELECT 'orders' AS family, o_orderstatus = 'F' AS correct, NULL::BOOLEAN AS sufficient, NULL::BIGINT AS turns_to, turns, tokens, NULL::DOUBLE AS eig, NULL::DOUBLE AS entropy FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+        UNION ALL SELECT 'events', NULL, turns_to_clarity IS NOT NULL, turns_to_clarity, NULL, NULL, NULL, NULL FROM z UNION ALL SELECT 'customers', final_entropy < 0.5, NULL, NULL, n_turns, NULL, mean_eig, final_entropy FROM y)
+      SELECT family, count(*) AS n, round(avg(correct::INT), 4) AS accuracy, round(avg(sufficient::INT), 4) AS final_sufficiency, round(avg(turns_to), 4) AS turns_to_sufficiency, round(avg(turns), 4) AS avg_turns, round(avg(turns) FILTER (correct), 4) AS avg_turns_right,
+        round(avg(tokens), 4) AS avg_tokens, round(avg(eig), 4) AS mean_eig, round(avg(entropy), 4) AS mean_final_entropy FROM u GROUP BY 1""",
 }

@@ -47,6 +47,13 @@ def verified_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minset.verify_sets(worlds, sets, BITS)
 
 
+def unreported_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between flags 0 and 1, flags 0, 1 and 3 and all six, reported as minimal for each brand, and the minimal sets."""
+    worlds = _worlds(spark, sf_dir)
+    reported = worlds.select("problem_id").distinct().withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in (3, 11, 63)])))
+    return minset.exhaustive(worlds, reported, _variables(worlds), BITS)
+
+
 def partial_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains when two flags are known, for each of their four values."""
     worlds = _worlds(spark, sf_dir)
@@ -179,12 +186,14 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (minimal_sets, search_reports, verified_sets, partial_observations, narrowed_contexts, best_answers, goal_ancestors, goal_distances, cyclic_nodes, basin_labels, horn_reach, recomputed_totals, validated_orders, tree_paths)
+    for f in (minimal_sets, unreported_sets, search_reports, verified_sets, partial_observations, narrowed_contexts, best_answers, goal_ancestors, goal_distances, cyclic_nodes, basin_labels, horn_reach, recomputed_totals, validated_orders, tree_paths)
 }
 
 _BEST = "b AS (SELECT problem_id, min(bit_count(mask)) AS k FROM m WHERE ok GROUP BY 1)"
 ORACLES = {
     "minimal_sets": f"WITH {_WORLDS}, {_BEST} SELECT problem_id, k::INT AS k, mask FROM m JOIN b USING (problem_id) WHERE ok AND bit_count(mask) = k",
+    "unreported_sets": f"""WITH {_WORLDS}, {_BEST}, f AS (SELECT problem_id, mask FROM m JOIN b USING (problem_id) WHERE ok AND bit_count(mask) = k), r AS (SELECT DISTINCT problem_id, v.mask FROM w, (SELECT unnest([3, 11, 63])::BIGINT AS mask) v)
+      SELECT problem_id, mask, CASE WHEN f.problem_id IS NULL THEN 'extra' ELSE 'missing' END AS kind FROM f FULL JOIN r USING (problem_id, mask) WHERE f.problem_id IS NULL OR r.problem_id IS NULL""",
     "search_reports": f"WITH {_WORLDS}, {_BEST} SELECT p.problem_id, max(k)::INT AS k, count(mask) FILTER (ok AND bit_count(mask) = k) AS n_sets, CASE WHEN max(k) IS NULL THEN 'none' ELSE 'found' END AS status FROM (SELECT DISTINCT problem_id FROM w) p LEFT JOIN b USING (problem_id) LEFT JOIN m USING (problem_id) GROUP BY 1",
     "verified_sets": f"WITH {_WORLDS}, c AS (SELECT problem_id, mask, ok FROM m WHERE mask IN (3, 11, 15)) SELECT c.problem_id, c.mask, bool_and(c.ok) AS is_sufficient, bool_and(c.ok) AND NOT bool_or(coalesce(l.ok, false)) AS is_minimal FROM c LEFT JOIN m l ON l.problem_id = c.problem_id AND l.mask & c.mask = l.mask AND bit_count(l.mask) = bit_count(c.mask) - 1 GROUP BY c.problem_id, c.mask",
     "partial_observations": f"WITH {_WORLDS} SELECT problem_id, state & 10 AS context, count(*) AS n_states, count(DISTINCT y) AS n_outcomes, min(y) = max(y) AS is_determined FROM w GROUP BY 1, 2",

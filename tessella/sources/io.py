@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CORRUPT = "_corrupt"
 
@@ -130,6 +131,23 @@ def newest_documents(spark: SparkSession, path: str, pattern: str, group: str, i
     return counted.filter("n_items > 0 and pool <> ''").groupBy("pool").agg(newest.alias("_r")).select("pool", "_r.*")
 
 
+def read_checked(spark: SparkSession, path: str, schema: str, required: list[str], form: str = "json", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows of JSON lines or CSV that fit the schema, and the others as (file, line, reason).
+
+    reason: `unreadable`, text that isn't of the form or a value that isn't of its type; or `missing <column>`, the first
+    required column that is null. Blank lines are passed over, and a row of CSV is a line. Nothing is lost: each line is in one of the two.
+    """
+    parse = {"json": F.from_json, "csv": F.from_csv}[form]
+    names = StructType.fromDDL(schema).fieldNames()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
+    parsed = lines.withColumn("_r", parse("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", **options}))
+    reason = F.when(F.col("_r").isNull() | F.col("_r._bad").isNotNull(), F.lit("unreadable"))
+    for name in required:
+        reason = reason.when(F.col("_r")[name].isNull(), F.lit(f"missing {name}"))
+    told = parsed.withColumn("reason", reason)
+    return told.filter("reason is null").select(*[F.col("_r")[n].alias(n) for n in names]), told.filter("reason is not null").select("file", F.col("value").alias("line"), "reason")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(key, result, batch, pos, file, line): an append-only log of JSON lines; lines that don't parse are left out.
 
