@@ -103,3 +103,27 @@ def numbers_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 def choice_correct(chosen: Column, truth: Column) -> Column:
     """Single choice: null or -1 (unparsable) is wrong."""
     return F.coalesce((chosen >= 0) & (chosen == truth), F.lit(False))
+
+
+def number_verdict(reply: Column, truth: Column) -> Column:
+    """struct(said, correct) of a reply that names a whole number or that it isn't sure, in what follows its last `answer:`.
+
+    said: `Not sure`, the first number's digits, or null. truth: a number as text or `Not sure`. Without a truth, or with one
+    that is neither, the reply is wrong.
+    """
+    answer = F.substring_index(F.lower(F.coalesce(reply, F.lit(""))), "answer:", -1)
+    number = F.nullif(F.regexp_extract(answer, r"\b([0-9]+)\b", 1), F.lit(""))
+    said = F.when(F.contains(answer, F.lit("not sure")), F.lit("Not sure")).otherwise(number)
+    whole = lambda x: F.regexp_replace(F.trim(x), r"^0+(?=\d)", "")
+    same = F.when(said == "Not sure", truth == "Not sure").otherwise(whole(said) == whole(truth))
+    return F.struct(said.alias("said"), F.coalesce(same, F.lit(False)).alias("correct"))
+
+
+def choice_sets(truth: Column) -> Column:
+    """JSON text of a number, a list of numbers or a list of lists as an array of sorted sets; an empty list or anything else is one empty set."""
+    nested, flat = F.from_json(truth, "array<array<int>>"), F.from_json(truth, "array<int>")
+    single = truth.try_cast("int")
+    whole = lambda x: F.array_sort(F.array_distinct(F.array_compact(x)))
+    is_nested = truth.rlike(r"^\s*\[\s*\[")
+    sets = F.when(single.isNotNull(), F.array(F.array(single))).when(is_nested, F.transform(nested, whole)).when(flat.isNotNull(), F.array(whole(flat)))
+    return F.coalesce(sets, F.array(F.array().cast("array<int>")))

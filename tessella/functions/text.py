@@ -265,11 +265,21 @@ def stable_key(*parts: Column) -> Column:
 
 
 def rule_sentence(clause: Column, subject: str = "Alice") -> Column:
-    """A clause [c, not a, not b] as `If <subject> is a and <subject> is b, then <subject> is c.`; others give null."""
-    heads = F.filter(clause, lambda x: ~x.startswith("not "))
-    body = F.array_sort(F.transform(F.filter(clause, lambda x: x.startswith("not ")), negate))
-    said = F.array_join(F.transform(body, lambda b: F.concat(F.lit(f"{subject} is "), b)), " and ")
-    return F.when((F.size(heads) == 1) & (F.size(body) > 0), F.concat(F.lit("If "), said, F.lit(f", then {subject} is "), F.get(heads, F.lit(0)), F.lit(".")))
+    """A clause as `If <subject> is a and <subject> is b, then <subject> is c.`; a clause without a single head gives null.
+
+    The head is the only literal without `not`, as in [c, not a, not b]; in a flipped clause, [not c, a, b], the only one with it:
+    `If <subject> is not a and <subject> is not b, then <subject> is not c.` Premises are sorted.
+    """
+    negative = F.filter(clause, lambda x: x.startswith("not "))
+    positive = F.filter(clause, lambda x: ~x.startswith("not "))
+    told = lambda xs: F.array_join(F.transform(F.array_sort(F.transform(xs, negate)), lambda x: F.concat(F.lit(f"{subject} is "), x)), " and ")
+    sentence = lambda head, body: F.concat(F.lit("If "), told(body), F.lit(f", then {subject} is "), F.get(head, F.lit(0)), F.lit("."))
+    return F.when((F.size(positive) == 1) & (F.size(negative) > 0), sentence(positive, negative)).when((F.size(negative) == 1) & (F.size(positive) > 0), sentence(negative, positive))
+
+
+def rule_sentences(rules: Column, subject: str = "Alice") -> Column:
+    """The sentences of an array of clauses, sorted, one a line; clauses that have none are left out."""
+    return F.array_join(F.array_sort(F.array_compact(F.transform(rules, lambda r: rule_sentence(r, subject)))), "\n")
 
 
 def to_clause(premises: Column, conclusion: Column) -> Column:

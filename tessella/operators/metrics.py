@@ -94,6 +94,12 @@ def pooled_rates(turns: DataFrame, scopes: list[str], flags: list[str]) -> DataF
     return scoped(turns, scopes, [F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags])
 
 
+def ever_rates(turns: DataFrame, episode: list[str], scopes: list[str], flags: list[str]) -> DataFrame:
+    """Share of episodes in which a flag ever holds, in each scope. Scope columns depend on the episode; null flags don't hold."""
+    ever = turns.groupBy(*episode, *scopes).agg(*[F.max(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags])
+    return scoped(ever, scopes, [F.count(F.lit(1)).alias("n_episodes"), *[F.avg(F.col(f).cast("double")).alias(f"ever_{f}_rate") for f in flags]])
+
+
 #: Values between the bounds of a median beyond which the bounds are narrowed before what lies between is sorted.
 SORTED = 1_000_000
 #: Share of the values on either side of the middle that the next bounds leave in; ten times the error of the quantiles.

@@ -21,6 +21,11 @@ def keep_values(df: DataFrame, column: str, wanted: list) -> DataFrame:
     return kept
 
 
+def keep_range(df: DataFrame, column: str, least: int, most: int) -> DataFrame:
+    """Rows whose size lies from least to most, both included; null is in no range."""
+    return df.filter(F.col(column).between(least, most))
+
+
 def eligible(df: DataFrame, column: str, gates: dict) -> DataFrame:
     """Rows that pass the gate of their own value; values without a gate don't pass. One filter, in place of a union of strata."""
     passes = F.lit(False)

@@ -42,6 +42,21 @@ def whole_table(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 
+def split_off(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """Add sampled: true for n rows drawn by hash, false for their complement. Rows of equal key stay together.
+
+    The n-th row's draw is the bound; one row comes to the driver, and both parts are filters of the table, without a join.
+    """
+    at = F.struct(draw(seed, F.col(key)).alias("d"), F.col(key).alias("k"))
+    if n <= 0:
+        return df.withColumn("sampled", F.lit(False))
+    bound = df.select(at.alias("at")).orderBy("at").limit(n).agg(F.max("at").alias("at")).first()["at"]
+    if bound is None:
+        return df.withColumn("sampled", F.lit(False))
+    kind = df.schema[key].dataType
+    return df.withColumn("sampled", at <= F.struct(F.lit(bound["d"]).alias("d"), F.lit(bound["k"]).cast(kind).alias("k")))
+
+
 def round_robin(df: DataFrame, groups: list[str], n: int, seed: int, key: str) -> DataFrame:
     """n rows picked in turn from each group, groups in their order; in key order."""
     w = Window.partitionBy(*groups).orderBy(draw(seed, F.col(key)), key)

@@ -28,6 +28,11 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.whole_table(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), 100, SEED, "c_custkey")
 
 
+def sample_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers marked as a sample of 100 and its complement."""
+    return sample.split_off(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), 100, SEED, "c_custkey")
+
+
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 3).alias("bucket"))
     return sample.round_robin(parts, ["p_brand", "bucket"], 120, SEED, "p_partkey")
@@ -88,7 +93,7 @@ def curation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stratified_orders, sized_strata, uniform_sample, round_robin, filled_quotas, quota_rejections, hardest_sets, worlds_per_outcome, aligned_element, shuffled_items, balanced_levels, curation_gates)
+    for f in (stratified_orders, sized_strata, uniform_sample, sample_split, round_robin, filled_quotas, quota_rejections, hardest_sets, worlds_per_outcome, aligned_element, shuffled_items, balanced_levels, curation_gates)
 }
 
 _QUOTA = """p AS (SELECT *, p_size % 4 AS cell FROM part), u AS (SELECT * FROM p WHERE p_retailprice > 950 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type, cell ORDER BY p_partkey) = 1),
@@ -97,6 +102,7 @@ ORACLES = {
     "balanced_levels": "SELECT c_custkey, (row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) - 1) % 4 + 1 AS k FROM customer",
     "stratified_orders": "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 30",
     "sized_strata": "SELECT o_orderkey, o_orderstatus FROM orders QUALIFY o_orderstatus NOT IN ('F', 'O') OR row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) <= CASE o_orderstatus WHEN 'F' THEN 200 ELSE 50 END",
+    "sample_split": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) <= 100 AS sampled FROM customer",
     "uniform_sample": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY md5('42|' || c_custkey), c_custkey LIMIT 100",
     "round_robin": "WITH p AS (SELECT p_partkey, p_brand, p_size % 3 AS bucket FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, bucket ORDER BY md5('42|' || p_partkey), p_partkey) AS r FROM p) SELECT p_partkey, p_brand, bucket FROM (SELECT * FROM r ORDER BY r, p_brand, bucket LIMIT 120)",
     "filled_quotas": f"WITH {_QUOTA} SELECT p_partkey, p_brand, cell, quota_rank FROM a",

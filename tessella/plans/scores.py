@@ -72,6 +72,15 @@ def turn_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("task", "scope", F.round("known_rate", 6).alias("known_rate"), F.round("covered_rate", 6).alias("covered_rate"))
 
 
+def ever_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of orders, overall and by status, in which a line's target was ever known or covered."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("task"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    turns = lines.select("l_orderkey", "task", (F.col("l_tax") > 0.06).alias("known"), (F.col("l_discount") > 0.08).alias("covered"))
+    out = metrics.ever_rates(turns, ["l_orderkey"], ["task"], ["known", "covered"])
+    return out.select("task", "scope", "n_episodes", *[F.round(c, 6).alias(c) for c in ("ever_known_rate", "ever_covered_rate")])
+
+
 def numeric_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return out.select("column", *[F.round(c, 4).alias(c) for c in ("mean", "median", "min", "max")], F.round("total", 2).alias("total"), "n")
@@ -129,7 +138,7 @@ def family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("family", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
-QUERIES = {f.__name__: f for f in (set_scores, set_reports, episode_metrics, turn_rates, numeric_profiles, outcome_counts, flag_counts, run_performance, call_estimate, feasibility, feasibility_violations, asked_counts, family_summary)}
+QUERIES = {f.__name__: f for f in (set_scores, set_reports, episode_metrics, turn_rates, ever_rates, numeric_profiles, outcome_counts, flag_counts, run_performance, call_estimate, feasibility, feasibility_violations, asked_counts, family_summary)}
 
 _SCORES = f"""{_BASKETS}, s AS (SELECT a.o, len(a.items) AS na, len(g.items) AS ng, len(list_intersect(a.items, g.items)) AS i, g.o IS NOT NULL AS has FROM b a LEFT JOIN b g ON a.c = g.c AND g.o % 2 = 0 WHERE a.o % 2 = 1),
   sc AS (SELECT o, round(coalesce(max(2.0::DOUBLE * i / (na + ng)), 0), 6) AS max_f1, round(coalesce(max(i::DOUBLE / (na + ng - i)), 0), 6) AS max_jaccard,
@@ -153,6 +162,8 @@ ORACLES = {
       SELECT a.*, n.macro_accuracy FROM a JOIN n ON a.scope = n.scope AND a.k IS NOT DISTINCT FROM n.k AND a.task IS NOT DISTINCT FROM n.task""",
     "turn_rates": """SELECT l_returnflag AS task, CASE WHEN grouping(l_returnflag) = 0 THEN 'task' ELSE 'overall' END AS scope, round(avg((l_tax > 0.04)::INT), 6) AS known_rate, round(avg((l_discount > 0.05)::INT), 6) AS covered_rate
       FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag))""",
+    "ever_rates": """WITH e AS (SELECT l_orderkey, o_orderstatus AS task, bool_or(l_tax > 0.06) AS known, bool_or(l_discount > 0.08) AS covered FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+      SELECT task, CASE WHEN grouping(task) = 0 THEN 'task' ELSE 'overall' END AS scope, count(*) AS n_episodes, round(avg(known::INT), 6) AS ever_known_rate, round(avg(covered::INT), 6) AS ever_covered_rate FROM e GROUP BY GROUPING SETS ((), (task))""",
     "numeric_profiles": " UNION ALL ".join(f"SELECT '{c}' AS column, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(sum({c}), 2) AS total, count({c}) AS n FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
     "outcome_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"n_F\", count(*) FILTER (o_orderstatus = 'O') AS \"n_O\", count(*) FILTER (o_orderstatus = 'P') AS \"n_P\" FROM orders GROUP BY 1",
     "flag_counts": "SELECT 'taxed' AS flag, count(*) FILTER (l_tax > 0.04) AS n FROM lineitem UNION ALL SELECT 'reduced', count(*) FILTER (l_discount > 0.05) FROM lineitem UNION ALL SELECT 'large', count(*) FILTER (l_quantity > 25) FROM lineitem",

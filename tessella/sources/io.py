@@ -131,6 +131,20 @@ def newest_documents(spark: SparkSession, path: str, pattern: str, group: str, i
     return counted.filter("n_items > 0 and pool <> ''").groupBy("pool").agg(newest.alias("_r")).select("pool", "_r.*")
 
 
+def read_pools(spark: SparkSession, path: str) -> DataFrame:
+    """(pool, pos, name): candidate pools, a text file for each, named like it, with a candidate a line.
+
+    Of names that differ only in case or outer blanks the first stays; pos, from 0, counts what stays, in the order of lines. A pool is
+    one document that one task reads, as a question's candidates are one list.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("pool"), "value")
+    names = F.filter(F.transform(F.split("value", r"\r?\n"), lambda n: F.trim(n)), lambda n: n != "")
+    lines = files.select("pool", F.posexplode(names).alias("line", "name"))
+    first = lines.groupBy("pool", F.lower("name").alias("_k")).agg(F.min(F.struct("line", "name")).alias("_f"))
+    order = Window.partitionBy("pool").orderBy("_f.line")
+    return first.select("pool", (F.row_number().over(order) - 1).alias("pos"), F.col("_f.name").alias("name"))
+
+
 def read_checked(spark: SparkSession, path: str, schema: str, required: list[str], form: str = "json", **options: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows of JSON lines or CSV that fit the schema, and the others as (file, line, reason).
 
