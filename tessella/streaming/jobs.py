@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 #: Hash buckets of a latest-wins table; also the most rows of a manifest.
@@ -90,36 +90,67 @@ def metric_board(stream: DataFrame, by: list[str], flag: str) -> DataFrame:
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag).cast("long")).alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
 
 
+class _Coverage(StatefulProcessor):
+    """Of an open episode the first time of each needed item, until it is covered; then only that it is."""
+
+    def __init__(self, episode: str, item: str, time: str, needed: list[str]) -> None:
+        self.episode, self.item, self.time, self.needed = episode, item, time, frozenset(needed)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getMapState("first", "item string", "at long")
+        self.whole = handle.getValueState("whole", "n_seen long, covered boolean, closes long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n, covered, closes = self.whole.get() if self.whole.exists() else (0, False, None)
+        latest = timerValues.getCurrentWatermarkInMs() + 1
+        for frame in rows:
+            n += len(frame)
+            times = frame[self.time].dropna()
+            latest = max(latest, int(times.max().value // 1_000_000)) if len(times) else latest
+            if not covered:
+                for name, at in frame[frame[self.item].isin(self.needed)].groupby(self.item)[self.time].min().dropna().items():
+                    micros = int(at.value // 1000)
+                    if not self.first.containsKey((name,)) or micros < self.first.getValue((name,))[0]:
+                        self.first.updateValue((name,), (micros,))
+        if not covered:
+            found = [at for (at,) in self.first.values()]
+            if len(found) == len(self.needed):
+                covered = True
+                self.first.clear()
+                yield pd.DataFrame({self.episode: [key[0]], "covered_at": [pd.Timestamp(max(found), unit="us")], "n_seen": [n]})
+        if closes is None or latest > closes:
+            if closes is not None:
+                self.handle.deleteTimer(closes)
+            # fires once the watermark, which lags by the idle time, has passed the last event
+            self.handle.registerTimer(latest)
+            closes = latest
+        self.whole.update((n, covered, closes))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        self.whole.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def live_coverage(stream: DataFrame, episode: str, item: str, time: str, needed: list[str], idle: str = "1 hour") -> DataFrame:
     """(episode, covered_at, n_seen): emitted once, at the event that completes the needed items of an episode.
 
-    State: a time of first sight for each needed item, nothing else. Rows may come in any order within the watermark;
-    an episode that stays idle past the watermark is closed.
+    State: a time of first sight for each needed item until all are seen, and a timer that each later event moves. Rows may
+    come in any order within the watermark; an episode that stays idle past the watermark is closed, and one that comes
+    back later starts anew. Null items and null times complete nothing. Sets the session's state store to RocksDB,
+    which keeps state on disk and not on the heap.
     """
-    names = list(needed)
-    schema = f"{episode} long, covered_at timestamp, n_seen long"
-    state_schema = "first array<bigint>, n long, done boolean"
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, n, done = state.get if state.exists else ([-1] * len(names), 0, False)
-        first, latest = list(first), 0
-        for frame in frames:
-            n += len(frame)
-            latest = max(latest, int(frame[time].max().value // 1_000_000))
-            for i, name in enumerate(names):
-                times = frame.loc[frame[item] == name, time]
-                if len(times):
-                    micros = int(times.min().value // 1000)
-                    first[i] = micros if first[i] < 0 else min(first[i], micros)
-        if not done and min(first) >= 0:
-            done = True
-            yield pd.DataFrame({episode: [key[0]], "covered_at": [pd.Timestamp(max(first), unit="us")], "n_seen": [n]})
-        state.update((first, n, done))
-        # closed once the watermark, which lags by `idle`, has passed the last event
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
-
+    if not needed:
+        raise ValueError("no needed items")
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = f"`{episode}` {stream.schema[episode].dataType.simpleString()}, covered_at timestamp, n_seen long"
     marked = stream.withWatermark(time, idle)
-    return marked.groupBy(episode).applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(episode).transformWithStateInPandas(_Coverage(episode, item, time, needed), schema, "append", "eventTime")
