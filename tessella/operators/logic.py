@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
-from .fixpoint import Closure, clause_index, close, refuted
+from .fixpoint import Closure, Index, clause_index, close, refuted
 
 
 def _columns(problem: str | list[str]) -> list[str]:
@@ -38,7 +38,7 @@ def no_facts(branches: DataFrame, problem: str = "problem_id") -> DataFrame:
     return branches.select(problem, "branch_id", F.lit("").alias("var"), F.lit(True).alias("val")).filter("false")
 
 
-def context_closures(index: DataFrame, contexts: DataFrame, problem: str = "problem_id") -> tuple[DataFrame, Closure]:
+def context_closures(index: Index, contexts: DataFrame, problem: str = "problem_id") -> tuple[DataFrame, Closure]:
     """(problem, context, branch_id), and the closure of each context. contexts: (problem, context), arrays of literals."""
     named = checkpointed(contexts.select(problem, "context").distinct().withColumn("branch_id", F.to_json(F.struct("context"))))
     facts = named.select(problem, "branch_id", F.explode(literal_structs("context")).alias("_l")).select(problem, "branch_id", "_l.*")
