@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
 from . import sample
 
 
@@ -68,21 +69,49 @@ def minimal_sets(sets: DataFrame, group: list[str], key: str, items: str) -> Dat
     return sets.join(held, [*group, key], "left_anti")
 
 
+#: A group of at most so many sets and elements is compared within its row, a larger one by joins.
+ROW_SETS, ROW_ELEMENTS = 128, 4096
+
+
 def union_of_contained(sets: DataFrame, group: list[str], key: str, items: str, carried: str) -> DataFrame:
     """(group, key, union): all `carried` elements of the sets strictly inside each set; a set that holds none has no row.
 
-    An element is looked for in the smallest sets that carry it: those which hold another carrier of it add nothing. So
-    pairs are those of a set with its elements' smallest carriers, and equal sets are joined once.
+    Sets are written once and shuffled by their group. Null groups have no rows, and a set needs an element that isn't null
+    to be found in another.
     """
-    boxed = F.transform(carried, lambda x: F.struct(x.alias("v")))
-    carriers = _sets(sets.select(*group, items, F.explode_outer(boxed).alias("_c")), group, ["_c"], items).distinct()
+    own = checkpointed(sets.select(*group, F.col(key).alias("_k"), F.array_sort(F.array_distinct(items)).alias("_s"), F.col(carried).alias("_c")).filter(F.size("_s") > 0).dropna(subset=group))
+    sizes = own.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_s") + F.greatest(F.size("_c"), F.lit(0))).alias("_m"))
+    large = checkpointed(sizes.filter((F.col("_n") > ROW_SETS) | (F.col("_m") > ROW_ELEMENTS)).select(*group))
+    if large.isEmpty():
+        return _unions_in_rows(own, group).withColumnRenamed("_k", key)
+    few = _unions_in_rows(own.join(large, group, "left_anti"), group)
+    return few.unionByName(_unions_by_joins(own.join(large, group, "left_semi"), group)).withColumnRenamed("_k", key)
+
+
+def _unions_in_rows(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _k, union), with all sets of a group in one row."""
+    held = sets.groupBy(*group).agg(F.collect_list(F.struct("_k", "_s", "_c")).alias("_all"))
+
+    def inside(b: Column) -> Column:
+        fits = lambda a: (F.size(a["_s"]) < F.size(b["_s"])) & F.exists(a["_s"], F.isnotnull) & (F.size(F.array_except(a["_s"], b["_s"])) == 0)
+        found = F.transform(F.filter("_all", fits), lambda a: F.coalesce(a["_c"], F.array().cast(sets.schema["_c"].dataType)))
+        return F.struct(b["_k"].alias("_k"), F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.flatten(found)))).alias("union"))
+
+    return held.select(*group, F.explode(F.transform("_all", inside)).alias("_u")).select(*group, "_u.*").filter("union is not null")
+
+
+def _unions_by_joins(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _k, union). An element is looked for in the smallest sets that carry it: those which hold another carrier of it add
+    nothing. So pairs are those of a set with its elements' smallest carriers, and equal sets are joined once."""
+    boxed = F.transform("_c", lambda x: F.struct(x.alias("v")))
+    carriers = sets.select(*group, "_s", F.explode_outer(boxed).alias("_c")).distinct()
     # sets without elements have a null there: they are equal to none, so all stay, and their holders get a row
     smallest = carriers.join(_holders(carriers, [*group, "_c"], ["_s"]), [*group, "_c", "_s"], "left_anti")
-    named = _sets(sets, group, [key], items)
+    named = sets.select(*group, "_k", "_s")
     left, right, ok = _lookup(smallest, named.select(*group, "_s").distinct(), group)
     inside = left.join(right, ok).select(*[F.col(f"small.{g}") for g in group], F.col("_b").alias("_s"), "_c")
     unions = inside.groupBy(*group, "_s").agg(F.array_sort(F.transform(F.collect_set("_c"), lambda x: x["v"])).alias("union"))
-    return named.join(unions, [*group, "_s"]).select(*group, key, "union")
+    return named.join(unions, [*group, "_s"]).select(*group, "_k", "union")
 
 
 def differ_on_one(left: DataFrame, right: DataFrame, group: list[str], key: str, items: str) -> DataFrame:
@@ -155,9 +184,9 @@ def filled_grid(left: DataFrame, right: DataFrame, counts: DataFrame, on: list[s
 
 def differences(reported: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, status): rows of one table only, as `extra` (reported only) or `missing` (found only)."""
-    a, b = reported.select(*keys).distinct(), found.select(*keys).distinct()
-    extra = a.exceptAll(b).withColumn("status", F.lit("extra"))
-    return extra.unionByName(b.exceptAll(a).withColumn("status", F.lit("missing")))
+    sides = reported.select(*keys, F.lit(True).alias("_r")).unionByName(found.select(*keys, F.lit(False).alias("_r")))
+    held = sides.groupBy(*keys).agg(F.bool_and("_r").alias("_all"), F.bool_or("_r").alias("_any"))
+    return held.filter("_all or not _any").select(*keys, F.when(F.col("_all"), "extra").otherwise("missing").alias("status"))
 
 
 def unanswered(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
