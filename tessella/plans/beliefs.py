@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,29 @@ def _label(nation: Column, region: Column, turn: Column) -> Column:
     return F.when((nation * 7 + turn) % 11 == 0, "pass").when(yes, "yes").otherwise("no")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    turns = F.explode(F.sequence(F.lit(1), F.lit(TURNS)))
+    asked = nations.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("candidate"), "n_regionkey", turns.alias("turn"))
+    return asked.select("pos", "candidate", "turn", _label(F.col("pos"), F.col("n_regionkey"), F.col("turn")).alias("label"))
+
+
+def _by_history(spark: SparkSession, sf_dir: str, values: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """Values of each customer's episode, from its answers: those of the customer's nation, of which every thirteenth is turned round."""
+    asked = _asked(spark, sf_dir)
+    truth = asked.groupBy(F.col("pos").alias("c_nationkey")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("label").alias("t")))).alias("_truth"))
+
+    def told(x: Column) -> Column:
+        wrong = (F.col("c_custkey") + x["turn"]) % 13 == 0
+        return F.struct(x["turn"].alias("turn"), F.when(wrong & (x["t"] == "yes"), "no").when(wrong & (x["t"] == "no"), "yes").otherwise(x["t"]).alias("observed"))
+
+    # a few bytes of a customer give many rows, so they are dealt out however few files hold them
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition("c_custkey")
+    # the pool of candidates is fixed: 25 nations, six questions
+    episodes = customers.join(F.broadcast(truth), "c_nationkey")
+    return belief.by_history(episodes.select("c_custkey", F.transform("_truth", told).alias("history")), F.broadcast(asked), values)
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     turns = F.explode(F.sequence(F.lit(1), F.lit(TURNS)))
@@ -31,7 +56,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = belief.question_values(_judged(spark, sf_dir), ["c_custkey"])
+    values = _by_history(spark, sf_dir, belief.question_values)
     return values.select("c_custkey", "turn", *[F.round(c, 5).alias(c) for c in ("entropy_before", "entropy_after", "eig", "eig_share", "support", "pass_mass")])
 
 

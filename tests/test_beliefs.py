@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import belief
 
@@ -100,3 +101,43 @@ def test_pruned_beliefs_equal_a_loop_over_turns(spark, keep):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert belief.beliefs(empty, ["e"]).count() == belief.question_values(empty, ["e"]).count() == belief.pruned_beliefs(empty, ["e"], 3).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_equal_histories_are_judged_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(belief, "BROADCAST_ROWS", bound)
+    asked = spark.createDataFrame([(t, c, f"c{c}", ["yes", "no", "pass"][(c + t) % 3]) for t in (1, 2) for c in range(6)], "turn int, pos int, candidate string, label string")
+    told = [["yes", "no"], ["no", "no"], [None, "pass"]]
+    rows = [(e, [(t, x) for t, x in enumerate(told[e % 3], 1)]) for e in range(30)] + [(30, []), (None, [(2, "yes")])]
+    answered = spark.createDataFrame(rows, "e long, history array<struct<turn: int, observed: string>>")
+    judged = answered.select("e", F.inline("history")).join(asked, "turn")
+    seen = []
+
+    def values(judged, by):
+        seen.append(judged.count())
+        return belief.question_values(judged, by)
+
+    got = belief.by_history(answered, asked, values)
+    assert seen == [(3 * 2 + 1) * 6]
+    want = belief.question_values(judged, ["e"])
+    plain = lambda df: sorted((str(r.e), r.turn, *(round(x, 9) for x in (r.entropy_before, r.entropy_after, r.eig, r.support, r.pass_mass))) for r in df.collect())
+    assert plain(got) == plain(want) and got.count() == 61
+    assert belief.by_history(answered.limit(0), asked, belief.question_values).count() == 0
+
+
+def test_no_row_is_made_for_a_customer_and_a_candidate(spark, tmp_path):
+    """Two tables of customers, the second six times the first: what is judged doesn't grow, and every customer has its rows."""
+    from tessella.plans import beliefs
+
+    base = "/root/testdata/sf0.001"
+    (tmp_path / "nation.parquet").symlink_to(f"{base}/nation.parquet")
+    customers = spark.range(1, 1 + 13 * 25 * 6).select(F.col("id").alias("c_custkey"), (F.col("id") / 13).cast("long").alias("c_nationkey") % 25)
+    customers.toDF("c_custkey", "c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    judged = []
+
+    def values(rows, by):
+        judged.append(rows.count())
+        return belief.question_values(rows, by)
+
+    assert beliefs._by_history(spark, str(tmp_path), values).count() == 13 * 25 * 6 * 6
+    assert judged[0] <= 13 * 25 * 6 * 25
