@@ -61,8 +61,7 @@ def question_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = belief.question_values(_judged(spark, sf_dir), ["c_custkey"])
-    out = belief.episode_values(values, ["c_custkey"])
+    out = _by_history(spark, sf_dir, lambda judged, by: belief.episode_values(belief.question_values(judged, by), by))
     return out.select("c_custkey", "n_turns", *[F.round(c, 5).alias(c) for c in ("mean_eig", "initial_entropy", "final_entropy", "total_eig")])
 
 
