@@ -67,8 +67,11 @@ def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three likeliest nations after each turn."""
-    ranked = belief.beliefs(_judged(spark, sf_dir), ["c_custkey"]).withColumn("posterior", F.round("posterior", 9))
-    return belief.top_candidates(ranked, ["c_custkey"], 3).select("c_custkey", "turn", "rank", "candidate", F.round("posterior", 5).alias("posterior"))
+
+    def top(judged: DataFrame, by: list[str]) -> DataFrame:
+        return belief.top_candidates(belief.beliefs(judged, by).withColumn("posterior", F.round("posterior", 9)), by, 3)
+
+    return _by_history(spark, sf_dir, top).select("c_custkey", "turn", "rank", "candidate", F.round("posterior", 5).alias("posterior"))
 
 
 def pruned_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
