@@ -42,19 +42,6 @@ def _by_history(spark: SparkSession, sf_dir: str, values: Callable[[DataFrame, l
     return belief.by_history(episodes.select("c_custkey", F.transform("_truth", told).alias("history")), F.broadcast(asked), values)
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation")
-    turns = F.explode(F.sequence(F.lit(1), F.lit(TURNS)))
-    asked = nations.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("candidate"), "n_regionkey", turns.alias("turn"))
-    judged = asked.select("pos", "candidate", "turn", _label(F.col("pos"), F.col("n_regionkey"), F.col("turn")).alias("label"))
-    truth = judged.select(F.col("pos").alias("c_nationkey"), "turn", F.col("label").alias("_t"))
-    episodes = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(truth), "c_nationkey")
-    wrong = (F.col("c_custkey") + F.col("turn")) % 13 == 0
-    observed = F.when(wrong & (F.col("_t") == "yes"), "no").when(wrong & (F.col("_t") == "no"), "yes").otherwise(F.col("_t"))
-    # the pool of candidates is fixed: 25 nations, six questions
-    return episodes.select("c_custkey", "turn", observed.alias("observed")).join(F.broadcast(judged), "turn")
-
-
 def question_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _by_history(spark, sf_dir, belief.question_values)
     return values.select("c_custkey", "turn", *[F.round(c, 5).alias(c) for c in ("entropy_before", "entropy_after", "eig", "eig_share", "support", "pass_mass")])
@@ -76,8 +63,11 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pruned_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beliefs that keep only the ten likeliest nations after each turn."""
-    kept = belief.pruned_beliefs(_judged(spark, sf_dir), ["c_custkey"], 10)
-    return kept.groupBy("c_custkey", "turn").agg(F.count(F.lit(1)).alias("n_left"), F.round(belief.entropy(F.col("posterior")), 5).alias("entropy"))
+
+    def left(judged: DataFrame, by: list[str]) -> DataFrame:
+        return belief.pruned_beliefs(judged, by, 10).groupBy(*by, "turn").agg(F.count(F.lit(1)).alias("n_left"), F.round(belief.entropy(F.col("posterior")), 5).alias("entropy"))
+
+    return _by_history(spark, sf_dir, left).select("c_custkey", "turn", "n_left", "entropy")
 
 
 QUERIES = {f.__name__: f for f in (question_values, episode_values, top_candidates, pruned_beliefs)}
