@@ -16,16 +16,22 @@ def _columns(problem: str | list[str]) -> list[str]:
 
 
 def combinations(variables: DataFrame, k: int, problem: str | list[str] = "problem_id", var: str = "var") -> DataFrame:
-    """(problem, vars): all k-subsets of each problem's variables, in name order; each is made once."""
+    """(problem, vars): all k-subsets of each problem's variables, in name order; each is made once.
+
+    A set grows from its problem's row of variables by what stands after its last one, so nothing is joined and no row holds sets.
+    """
     by = _columns(problem)
-    own = variables.select(*by, var).distinct()
-    sets = own.select(*by).distinct().select(*by, F.array().cast("array<string>").alias("vars"))
-    for i in range(k):
-        longer = sets.join(own, by)
-        if i:
-            longer = longer.filter(F.col(var) > F.element_at("vars", -1))
-        sets = longer.select(*by, F.array_append("vars", F.col(var)).alias("vars"))
-    return sets
+    if not k:
+        return variables.select(*by).distinct().select(*by, F.array().cast("array<string>").alias("vars"))
+    # a null variable is a set of its own and stands beside no other
+    known = variables.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in (by if k == 1 else [*by, var])]))
+    held = known.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(F.col(var).alias("v")))).alias("_all"))
+    sets = held.select(*by, "_all", F.lit(-1).alias("_at"), F.array().cast("array<string>").alias("vars"))
+    for _ in range(k):
+        after = F.when(F.col("_at") + 1 < F.size("_all"), F.sequence(F.col("_at") + 1, F.size("_all") - 1))
+        longer = sets.select(*by, "_all", F.explode(after).alias("_at"), "vars")
+        sets = longer.select(*by, "_all", "_at", F.array_append("vars", F.get("_all", F.col("_at"))["v"]).alias("vars"))
+    return sets.select(*by, "vars")
 
 
 def literal_structs(context: str) -> Column:

@@ -85,6 +85,25 @@ def shuffled(elements: Column, seed: int, *key: Column) -> Column:
     return F.transform(keyed, lambda p: p["x"])
 
 
+def drawn_pairs(elements: Column, n: int, seed: int) -> Column:
+    """At most n pairs `a,b` of an array's different elements, a before b, in the seeded order of pairs.
+
+    Every pair is drawn, and after each first element only the n that come first are kept, so a row never holds all its pairs.
+    """
+    def pair(a: Column, b: Column) -> Column:
+        s = F.concat_ws(",", a, b)
+        return F.struct(draw(seed, s).alias("d"), s.alias("s"))
+
+    def kept(own: Column) -> Column:
+        firsts = F.transform(own, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        none = F.array().cast("array<struct<d: string, s: string>>")
+        return F.aggregate(firsts, none, lambda found, a: F.slice(F.sort_array(F.concat(found, F.transform(F.slice(own, a["i"] + 2, F.size(own)), lambda b: pair(a["x"], b)))), 1, n))
+
+    # as a variable, so that the elements are put in order once
+    own = F.array(F.sort_array(F.array_distinct(F.array_compact(elements))))
+    return F.transform(F.get(F.transform(own, kept), F.lit(0)), lambda p: p["s"])
+
+
 def one_index(size: Column, seed: int, *key: Column) -> Column:
     """An index from 0 within `size`, the same for lists that are drawn together."""
     return F.pmod(F.conv(F.substring(draw(seed, *key), 1, 8), 16, 10).cast("long"), size)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import curate, logic, metrics, minset, relate, sample
+from ..operators import curate, metrics, minset, relate, sample
 from ..sources import io
 from ..sources.storage import checkpoint_dir
 from .base import table
@@ -141,9 +141,8 @@ def identified_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sampled_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of item names of each order: all, or ten drawn by hash where there are more."""
-    items = _lists(spark, sf_dir).select(F.col("o").alias("problem_id"), F.explode("items").alias("var"))
-    pairs = logic.combinations(items, 2).withColumn("s", F.array_join("vars", ","))
-    return sample.per_stratum(pairs, ["problem_id"], 10, 42, "s").select("problem_id", "s")
+    lists = _lists(spark, sf_dir).filter(F.col("o").isNotNull())
+    return lists.select(F.col("o").alias("problem_id"), F.explode(sample.drawn_pairs(F.col("items"), 10, 42)).alias("s"))
 
 
 def policy_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
