@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,17 +50,20 @@ class Pieces:
 
     def __init__(self, spark: SparkSession, schema: StructType):
         self.spark, self.schema, self.paths = spark, schema, []
-        #: Rows of the piece that was added last.
-        self.last = 0
+        #: Rows of the piece that was added last, and of all that were added.
+        self.last = self.rows = 0
+        #: What else was counted in the last piece.
+        self.seen: dict = {}
 
-    def add(self, df: DataFrame) -> DataFrame:
-        """Write another piece; returns its rows."""
+    def add(self, df: DataFrame, **counted: Column) -> DataFrame:
+        """Write another piece; returns its rows. counted: aggregates over them."""
         if len(self.paths) >= self.MOST:
             self.paths = [_written(self.all())]
         seen = Observation()
-        self.paths.append(_written(df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n"))))
+        self.paths.append(_written(df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counted.items()])))
         # what is known to be empty is not observed
-        self.last = seen.get.get("n", 0)
+        self.last, self.seen = seen.get.get("n", 0), seen.get
+        self.rows += self.last
         return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
     def all(self) -> DataFrame:
